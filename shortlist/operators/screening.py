@@ -146,7 +146,7 @@ def honeypot_rules(as_of_year: int, views_field: str = "profile_views_received_3
         r.Rule("H4", 0.2, F.size(skills) > 75,
                F.concat(F.lit("Keyword stuffing: "), F.size(skills).cast("string"),
                         F.lit(" discrete skills is statistically improbable."))),
-        r.Rule("H5", 0.3, (years >= 3) & (F.size(skills) / years > 20),
+        r.Rule("H5", 0.3, (years >= 3) & (F.try_divide(F.size(skills), years) > 20),
                F.lit("Keyword stuffing: Claiming to master 20+ entirely new technologies every single year.")),
         r.Rule("H6", 0.2, (rate == 1.0) & (views > 1000) & (F.size(skills) > 50),
                F.lit("Behavioral anomaly: Perfect response rate with hyper-inflated views and skills (bot signature).")),
