@@ -80,11 +80,11 @@ def group_sizes(df: DataFrame, group: str = "group_id") -> DataFrame:
 def group_folds(df: DataFrame, k: int = 5, group: str = "group_id") -> DataFrame:
     """``(group, size, fold)``; groups are dealt out by size, so fold sizes differ by little.
 
-    Equal sizes are common, so groups of one size are numbered in runs of 1000 ids.
+    Equal sizes are common, so groups of one size are numbered in runs of 100 000 ids.
     """
     sizes = group_sizes(df, group)
     indexed = row_index(
-        sizes, [-F.col("size"), F.floor(F.col(group) / 1000)], [F.col(group)], "_i"
+        sizes, [-F.col("size"), F.floor(F.col(group) / 100_000)], [F.col(group)], "_i"
     )
     return indexed.withColumn("fold", F.pmod("_i", F.lit(k)).cast("int")).drop("_i")
 

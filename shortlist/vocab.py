@@ -222,6 +222,8 @@ SKILL_SPELLINGS = {
     "Matplotlib": ["seaborn", "plotly", "visualization"],
     "Jupyter": ["jupyter notebook", "jupyterlab"],
 }
+#: Lower-cased names that rank behind all other spellings of the same length.
+SPELLED_LAST = ["go", "r", "cnns", "chroma", "bayesian methods"]
 PRODUCTION_ML_SKILLS = ["docker", "kubernetes", "mlops", "mlflow", "deployment", "aws", "gcp", "azure", "production"]
 
 # --- job description: industries and places -------------------------------------------------
