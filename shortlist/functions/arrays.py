@@ -2,15 +2,35 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _PATTERN_CHARS = set("\\.^$*+?()[]{}|")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value evaluated once per row.
+
+    An expression that is mentioned inside a lambda is evaluated for every element. As a lambda
+    variable it is a plain reference, also after the optimizer has merged projections.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Append columns behind a one-row generator, so that they are computed a single time.
+
+    Spark pushes a filter on a computed column below the projection and then evaluates the
+    expression twice. Filters on generated columns stay above the generator; filters on other
+    columns still pass through it to the scan.
+    """
+    made = F.explode(F.array(F.struct(*[value.alias(name) for name, value in columns.items()])))
+    return df.select("*", made.alias("_once")).select("*", *[F.col(f"_once.{n}").alias(n) for n in columns]).drop("_once")
+
+
 def words(values: Iterable[str]) -> Column:
     """A literal array of strings."""
     return F.array(*[F.lit(v) for v in values])

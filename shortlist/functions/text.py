@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from shortlist import vocab
-from shortlist.functions.arrays import any_of
+from shortlist.functions.arrays import any_of, let
 
 #: Runs of letters, digits and underscores in any script; one-character tokens count.
 TOKEN_PATTERN = r"[\p{L}\p{N}_]+"
@@ -42,12 +42,15 @@ def sentences(column: Column) -> Column:
 
 def header_label(line: Column) -> Column:
     """The section a trimmed line announces, or null if it is not a header."""
-    lowered = F.trim(F.regexp_replace(F.lower(line), ":+$", ""))
-    label = F.lit(None).cast("string")
-    for name in reversed(vocab.SECTION_HEADERS):
-        label = F.when(lowered.rlike(any_of(vocab.SECTION_HEADERS[name])), F.lit(name)).otherwise(label)
-    possible = (F.length(line).between(1, 80)) & ~line.rlike(r"^[\-•*]\s|^\d+\.") & (F.length(lowered) < 60)
-    return F.when(possible, label)
+    possible = F.length(line).between(1, 80) & ~line.rlike(r"^[\-•*]\s|^\d+\.")
+
+    def label(lowered: Column) -> Column:
+        found = F.lit(None).cast("string")
+        for name in reversed(vocab.SECTION_HEADERS):
+            found = F.when(lowered.rlike(any_of(vocab.SECTION_HEADERS[name])), F.lit(name)).otherwise(found)
+        return F.when(F.length(lowered) < 60, found)
+
+    return F.when(possible, let(F.trim(F.regexp_replace(F.lower(line), ":+$", "")), label))
 
 
 def sections(column: Column) -> Column:
@@ -55,38 +58,48 @@ def sections(column: Column) -> Column:
 
     Each header opens a section that runs to the next header. Sections that repeat are joined.
     """
-    lines = F.split(column, "\n", -1)
-    marked = F.filter(
+    return let(column, lambda text: let(F.split(text, "\n", -1), lambda lines: _line_sections(text, lines)))
+
+
+def _line_sections(text: Column, lines: Column) -> Column:
+    headers = F.filter(
         F.transform(
             lines,
             lambda line, i: F.struct(i.alias("at"), header_label(stripped(line)).alias("label")),
         ),
         lambda h: h["label"].isNotNull(),
     )
-    # Every header together with the position where the following one starts.
-    ends = F.concat(F.slice(F.transform(marked, lambda h: h["at"]), 2, F.greatest(F.size(marked), F.lit(1))),
-                    F.array(F.size(lines)))
-    spans = F.filter(
-        F.arrays_zip(marked.alias("head"), ends.alias("until")),
-        lambda s: s["until"] - s["head"]["at"] > 1,
-    )
-    pieces = F.transform(
-        spans,
-        lambda s: F.struct(
-            s["head"]["label"].alias("label"),
-            stripped(
-                F.array_join(F.slice(lines, s["head"]["at"] + 2, s["until"] - s["head"]["at"] - 1), "\n")
-            ).alias("text"),
-        ),
-    )
-    labels = F.array_distinct(F.transform(pieces, lambda p: p["label"]))
-    found = F.map_from_arrays(
-        labels,
-        F.transform(
-            labels,
-            lambda name: F.array_join(
-                F.transform(F.filter(pieces, lambda p: p["label"] == name), lambda p: p["text"]), "\n"
+
+    def bodies(marked: Column) -> Column:
+        # Every header together with the position where the following one starts.
+        starts = F.transform(marked, lambda h: h["at"])
+        ends = F.concat(F.slice(starts, 2, F.greatest(F.size(marked), F.lit(1))), F.array(F.size(lines)))
+        spans = F.filter(
+            F.arrays_zip(marked.alias("head"), ends.alias("until")), lambda s: s["until"] - s["head"]["at"] > 1
+        )
+        return F.transform(
+            spans,
+            lambda s: F.struct(
+                s["head"]["label"].alias("label"),
+                stripped(
+                    F.array_join(F.slice(lines, s["head"]["at"] + 2, s["until"] - s["head"]["at"] - 1), "\n")
+                ).alias("text"),
             ),
-        ),
-    )
-    return F.when(F.size(labels) > 0, found).otherwise(F.create_map(F.lit("full_text"), column))
+        )
+
+    def merged(pieces: Column) -> Column:
+        labels = F.array_distinct(F.transform(pieces, lambda p: p["label"]))
+        found = F.map_from_entries(
+            F.transform(
+                labels,
+                lambda name: F.struct(
+                    name,
+                    F.array_join(
+                        F.transform(F.filter(pieces, lambda p: p["label"] == name), lambda p: p["text"]), "\n"
+                    ),
+                ),
+            )
+        )
+        return F.when(F.size(pieces) > 0, found).otherwise(F.create_map(F.lit("full_text"), text))
+
+    return let(let(headers, bodies), merged)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shortlist import vocab
-from shortlist.functions.arrays import any_of, count_substrings, has_any_substring, words
+from shortlist.functions.arrays import any_of, count_substrings, has_any_substring, let, words
 from shortlist.functions.text import normalised, sections, sentences, stripped
 
 MUST, NICE = "must_have", "nice_to_have"
@@ -51,12 +51,14 @@ def cued_sentences(found: Column, default: str) -> Column:
     """Each sentence with its lower-cased text, whether it negates, and its context and confidence."""
 
     def cue(sentence: Column) -> Column:
-        low = F.lower(sentence)
-        return F.struct(
-            low.alias("low"),
-            has_any_substring(low, vocab.NEGATION_CUES).alias("negated"),
-            count_substrings(low, vocab.MUST_HAVE_CUES).alias("must"),
-            count_substrings(low, vocab.NICE_TO_HAVE_CUES).alias("nice"),
+        return let(
+            F.lower(sentence),
+            lambda low: F.struct(
+                low.alias("low"),
+                has_any_substring(low, vocab.NEGATION_CUES).alias("negated"),
+                count_substrings(low, vocab.MUST_HAVE_CUES).alias("must"),
+                count_substrings(low, vocab.NICE_TO_HAVE_CUES).alias("nice"),
+            ),
         )
 
     return F.transform(
@@ -77,17 +79,23 @@ def _mentions(text: Column, cued: Column, default: str, section: str, match: str
     """The skills a text mentions, best context per skill, at most 30."""
     if match not in ("substring", "word"):
         raise ValueError("match must be 'substring' or 'word'")
-    pad = (lambda c: F.concat(F.lit(" "), c, F.lit(" "))) if match == "word" else (lambda c: c)
-    low = _wordlike(F.lower(text)) if match == "word" else F.lower(text)
-    inside = F.transform(cued, lambda s: s.withField("low", _wordlike(s["low"]))) if match == "word" else cued
+    whole = match == "word"
+
+    def pad(c: Column) -> Column:
+        return F.concat(F.lit(" "), c, F.lit(" ")) if whole else c
+
+    def searchable(c: Column) -> Column:
+        return _wordlike(F.lower(c)) if whole else F.lower(c)
+
+    inside = F.transform(cued, lambda s: s.withField("low", _wordlike(s["low"]))) if whole else cued
     start = F.struct(
         F.lit(False).alias("negated"), F.lit(default).alias("context"), F.lit(0.60).alias("confidence")
     )
 
-    def classify(spelling: Column) -> Column:
+    def classify(spelling: Column, pool: Column) -> Column:
         """One pass over the sentences that hold the spelling; the first of the most confident wins."""
         return F.aggregate(
-            F.filter(inside, lambda s: F.contains(s["low"], pad(spelling))),
+            F.filter(pool, lambda s: F.contains(s["low"], pad(spelling))),
             start,
             lambda acc, s: F.struct(
                 (acc["negated"] | s["negated"]).alias("negated"),
@@ -100,10 +108,16 @@ def _mentions(text: Column, cued: Column, default: str, section: str, match: str
             ),
         )
 
-    hits = F.transform(
-        F.filter(spellings, lambda a: F.contains(low, pad(a["spelling"]))),
-        lambda a: F.struct(
-            a["name"].alias("name"), a["rank"].alias("rank"), classify(a["spelling"]).alias("found")
+    matched = let(
+        searchable(text), lambda low: F.filter(spellings, lambda a: F.contains(low, pad(a["spelling"])))
+    )
+    hits = let(
+        inside,
+        lambda pool: F.transform(
+            matched,
+            lambda a: F.struct(
+                a["name"].alias("name"), a["rank"].alias("rank"), classify(a["spelling"], pool).alias("found")
+            ),
         ),
     )
     # A capital R standing alone counts as the language, with no context of its own.
@@ -117,33 +131,36 @@ def _mentions(text: Column, cued: Column, default: str, section: str, match: str
             )
         ),
     ).otherwise(F.array().cast("array<struct<name:string,rank:int,found:struct<context:string,confidence:double>>>"))
-    all_hits = F.concat(alone, hits)
-    best = F.transform(
-        F.array_distinct(F.transform(all_hits, lambda h: h["name"])),
-        lambda name: F.array_min(
+
+    def best_of(name: Column, mine: Column) -> Column:
+        """The most confident mention of one skill, placed where its longest spelling ranks."""
+        top = F.array_min(
             F.transform(
-                F.filter(all_hits, lambda h: h["name"] == name),
+                mine,
                 lambda h: F.struct(
-                    (-h["found"]["confidence"]).alias("minus"), h["rank"].alias("rank"), name.alias("name"),
+                    (-h["found"]["confidence"]).alias("minus"), h["rank"].alias("rank"),
                     h["found"]["context"].alias("context"),
                 ),
             )
-        ),
-    )
-    first_seen = F.transform(
-        best,
-        lambda b: F.struct(
-            (b["context"] != MUST).cast("int").alias("later"),
-            b["minus"].alias("minus"),
-            F.array_min(
-                F.transform(F.filter(all_hits, lambda h: h["name"] == b["name"]), lambda h: h["rank"])
-            ).alias("rank"),
-            b["name"].alias("name"),
-            b["context"].alias("context"),
+        )
+        first = F.array_min(F.transform(mine, lambda h: h["rank"]))
+        return let(
+            top,
+            lambda t: F.struct(
+                (t["context"] != MUST).cast("int").alias("later"), t["minus"].alias("minus"),
+                first.alias("rank"), name.alias("name"), t["context"].alias("context"),
+            ),
+        )
+
+    best = let(
+        F.concat(alone, hits),
+        lambda found: F.transform(
+            F.array_distinct(F.transform(found, lambda h: h["name"])),
+            lambda name: let(F.filter(found, lambda h: h["name"] == name), lambda mine: best_of(name, mine)),
         ),
     )
     return F.transform(
-        F.slice(F.array_sort(first_seen), 1, 30),
+        F.slice(F.array_sort(best), 1, 30),
         lambda b: F.struct(
             b["name"].alias("name"), b["context"].alias("context"), (-b["minus"]).alias("confidence"),
             F.lit(section).alias("section"),
@@ -333,16 +350,19 @@ STARTUP_FLAGS = [
 def startup_signals(low: Column) -> Column:
     """Flags, the last funding stage in list order, and the phrases found."""
     rows = [{"phrase": p, "flag": f, "stage": s} for p, (f, s) in vocab.STARTUP_PHRASES.items()]
-    found = F.filter(
-        _records(rows, "phrase:string,flag:string,stage:string"), lambda x: F.contains(low, x["phrase"])
-    )
-    flags = F.transform(found, lambda x: x["flag"])
-    stages = F.filter(F.transform(found, lambda x: x["stage"]), lambda s: s.isNotNull())
-    return F.struct(
-        *[F.array_contains(flags, F.lit(name)).alias(name) for name in STARTUP_FLAGS],
-        F.try_element_at(stages, F.lit(-1)).alias("funding_stage"),
-        F.transform(found, lambda x: x["phrase"]).alias("signals"),
-    )
+    phrases = _records(rows, "phrase:string,flag:string,stage:string")
+    hits = let(low, lambda text: F.filter(phrases, lambda x: F.contains(text, x["phrase"])))
+
+    def summary(found: Column) -> Column:
+        flags = F.transform(found, lambda x: x["flag"])
+        stages = F.filter(F.transform(found, lambda x: x["stage"]), lambda s: s.isNotNull())
+        return F.struct(
+            *[F.array_contains(flags, F.lit(name)).alias(name) for name in STARTUP_FLAGS],
+            F.try_element_at(stages, F.lit(-1)).alias("funding_stage"),
+            F.transform(found, lambda x: x["phrase"]).alias("signals"),
+        )
+
+    return let(hits, summary)
 
 
 LEADERSHIP_FLAGS = ["requires_management", "hiring_manager", "cross_functional", "technical_lead", "strategy_ownership"]
@@ -412,11 +432,16 @@ def target_titles(text: Column, low: Column) -> Column:
         lambda t: F.regexp_replace(stripped(t), r"[,.]+$", ""),
     )
     role = F.transform(F.regexp_extract_all(text, F.lit(f"(?i){vocab.ROLE_PATTERN}"), F.lit(1)), stripped)
-    known = F.filter(words(vocab.KNOWN_TITLES), lambda t: F.contains(low, F.lower(t)))
-    titles = F.concat(heads, sized(hiring), sized(role), known)
-    lowered = F.transform(titles, F.lower)
-    # Keep the first of those that differ only in case.
-    return F.slice(F.filter(titles, lambda t, i: F.array_position(lowered, F.lower(t)) == i + 1), 1, 8)
+    known = let(low, lambda whole: F.filter(words(vocab.KNOWN_TITLES), lambda t: F.contains(whole, F.lower(t))))
+
+    def distinct(titles: Column) -> Column:
+        """The first of those that differ only in case."""
+        return let(
+            F.transform(titles, lambda t: F.lower(t)),
+            lambda lowered: F.filter(titles, lambda t, i: F.array_position(lowered, F.lower(t)) == i + 1),
+        )
+
+    return F.slice(let(F.concat(heads, sized(hiring), sized(role), known), distinct), 1, 8)
 
 
 # --- the whole description ------------------------------------------------------------------

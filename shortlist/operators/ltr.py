@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shortlist import vocab
-from shortlist.session import staged
+from shortlist.operators.scoring import weighted_score
+from shortlist.session import checkpointing, staged
 
 # --- training frame -----------------------------------------------------------------------
 
@@ -162,6 +163,7 @@ def _assembled(df: DataFrame, features: list[str]) -> DataFrame:
 
 def fit_ranker(df: DataFrame, features: list[str], params: RankerParams = RankerParams(), label: str = "label") -> Model:
     """L1: fit on all rows of ``df``."""
+    checkpointing(df.sparkSession)
     learner = GBTRegressor(
         featuresCol="features", labelCol="_y", maxIter=params.trees, stepSize=params.learning_rate,
         maxDepth=params.depth, seed=params.seed, predictionCol="score", checkpointInterval=10,
@@ -177,8 +179,6 @@ def predict(model: Model, df: DataFrame, features: list[str], out: str = "score"
 
 def predict_or_weighted(model: Model | None, df: DataFrame, features: list[str], weights=None) -> DataFrame:
     """L2: the model's score, or the weighted sum where there is no model or it does not fit the columns."""
-    from shortlist.operators.scoring import weighted_score
-
     if model is not None and set(features) <= set(df.columns) and model.numFeatures == len(features):
         return predict(model, df, features)
     return df.withColumn("score", weighted_score(weights))

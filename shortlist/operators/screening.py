@@ -17,6 +17,7 @@ from shortlist.functions.arrays import (
     has_any_element,
     has_any_substring,
     lowered,
+    once,
     or_default,
     total,
 )
@@ -198,8 +199,7 @@ def negative_rules() -> list[r.Rule]:
 
 def _scored(df: DataFrame, parts: dict[str, tuple[list, float]]) -> DataFrame:
     """Add hit arrays, then scores and messages, for each named rule set."""
-    out = with_rule_inputs(df)
-    out = out.select("*", *[r.all_hits(rules).alias(f"_{name}") for name, (rules, _) in parts.items()])
+    out = once(with_rule_inputs(df), **{f"_{name}": r.all_hits(rules) for name, (rules, _) in parts.items()})
     columns = []
     for name, (_, cap) in parts.items():
         hits = F.col(f"_{name}")

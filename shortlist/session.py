@@ -49,6 +49,13 @@ def shared_folder(spark: SparkSession) -> str | None:
     return folder
 
 
+def checkpointing(spark: SparkSession) -> None:
+    """Let iterative learners cut their lineage in the shared folder."""
+    folder = shared_folder(spark)
+    if folder and not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(folder)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and return a scan of the written table.
 
