@@ -1 +1,5 @@
-ORACLE = {}
+"""All comparison SQL, by query name."""
+
+from oracle import people
+
+ORACLE: dict[str, str] = {**people.SQL}
