@@ -1,5 +1,5 @@
 """All comparison SQL, by query name."""
 
-from oracle import people
+from oracle import people, ranking
 
-ORACLE: dict[str, str] = {**people.SQL}
+ORACLE: dict[str, str] = {**people.SQL, **ranking.SQL}

@@ -27,8 +27,8 @@ def once(df: DataFrame, **columns: Column) -> DataFrame:
     expression twice. Filters on generated columns stay above the generator; filters on other
     columns still pass through it to the scan.
     """
-    made = F.explode(F.array(F.struct(*[value.alias(name) for name, value in columns.items()])))
-    return df.select("*", made.alias("_once")).select("*", *[F.col(f"_once.{n}").alias(n) for n in columns]).drop("_once")
+    made = F.inline(F.array(F.struct(*[value.alias(name) for name, value in columns.items()])))
+    return df.select("*", made)
 
 
 def words(values: Iterable[str]) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from shortlist import vocab
 from shortlist.functions.arrays import elements, or_default
+from shortlist.functions.rules import fixed
 from shortlist.schemas import SKILLS_DDL
 
 
@@ -123,7 +124,7 @@ def top_factors(weights: Weights | None = None, n: int = 3) -> Column:
     )
     return F.transform(
         F.slice(F.array_sort(items), 1, n),
-        lambda x: F.concat(x["label"], F.lit(" ("), F.format_string("%.2f", x["value"]), F.lit(")")),
+        lambda x: F.concat(x["label"], F.lit(" ("), fixed(x["value"], 2), F.lit(")")),
     )
 
 
@@ -195,9 +196,9 @@ def reasoning_text(title: Column, years: Column, matched: Column, rate: Column,
         F.concat_ws(
             "; ",
             F.concat(or_default(title, "Professional"), F.lit(" with "),
-                     F.format_string("%.1f", or_default(years, 0.0)), F.lit(" yrs")),
+                     fixed(or_default(years, 0.0), 1), F.lit(" yrs")),
             F.concat(matched.cast("int").cast("string"), F.lit(" core skills matched")),
-            F.concat(F.lit("response rate "), F.format_string("%.2f", or_default(rate, 0.0))),
+            F.concat(F.lit("response rate "), fixed(or_default(rate, 0.0), 2)),
             F.when(or_default(open_flag, False), F.lit("open to work")),
             F.when(first_flag.isNotNull(), F.concat(F.lit("flags: "), F.substring(first_flag, 1, 40))),
         ),

@@ -181,19 +181,18 @@ def negative_rules() -> list[r.Rule]:
     completeness = or_default(F.col("signals.profile_completeness_score"), 100.0)
     notice = or_default(F.col("signals.notice_period_days"), 60)
     tenure = F.try_divide(F.col("_months"), F.size(jobs))
-    whole = lambda c: F.format_string("%.0f", F.bround(c, 0))
     return [
         r.Rule("N1", 0.10, (F.size(skills) > 15) & (mean_endorsements < 2) & (F.size(scores) == 0),
                F.concat(F.lit("Possible keyword stuffing: "), F.size(skills).cast("string"),
                         F.lit(" skills, avg endorsements="), r.one_decimal(mean_endorsements))),
         r.Rule("N2", 0.08, unverified > 3, F.concat(unverified.cast("string"), F.lit(" unverified 'expert' skills"))),
         r.Rule("N3", 0.05, completeness < 30,
-               F.concat(F.lit("Very low profile completeness: "), whole(completeness), F.lit("%"))),
+               F.concat(F.lit("Very low profile completeness: "), r.fixed(completeness, 0), F.lit("%"))),
         r.Rule("N4", 0.02, ~or_default(F.col("signals.open_to_work_flag"), True), F.lit("Not marked as open to work")),
         r.Rule("N5", 0.03, notice > 120,
                F.concat(F.lit("Long notice period: "), notice.cast("string"), F.lit(" days"))),
         r.Rule("N6", 0.05, (F.size(jobs) >= 5) & (tenure < 6),
-               F.concat(F.lit("High job hopping: avg tenure "), whole(tenure), F.lit(" months"))),
+               F.concat(F.lit("High job hopping: avg tenure "), r.fixed(tenure, 0), F.lit(" months"))),
     ]
 
 

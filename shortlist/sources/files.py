@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shortlist import vocab
+from shortlist.functions.rules import fixed
 from shortlist.operators import ranking
 from shortlist.operators.stats import report_document
 from shortlist.schemas import LABELS_DDL
@@ -67,7 +68,7 @@ def format_ranking(rows: DataFrame) -> DataFrame:
     return rows.select(
         "candidate_id",
         F.col("rank").cast("int").alias("rank"),
-        F.format_string("%.4f", F.bround("score", 4)).alias("score"),
+        fixed(F.col("score"), 4).alias("score"),
         F.coalesce("reasoning", F.lit(vocab.DEFAULT_REASONING)).alias("reasoning"),
     )
 
