@@ -50,6 +50,17 @@ def elements(column: Column, element_type: str) -> Column:
     return F.coalesce(column, F.array().cast(f"array<{element_type}>"))
 
 
+def fields_of(array: str, fields: dict[str, str]) -> Column:
+    """Some fields of an array of structs, as a smaller array of structs; empty where it is missing.
+
+    Each field is taken out by itself, so a Parquet scan reads only these and not, for instance,
+    the long descriptions next to them.
+    """
+    kind = "array<struct<" + ",".join(f"{name}:{type_}" for name, type_ in fields.items()) + ">>"
+    narrow = F.arrays_zip(*[F.col(f"{array}.{name}") for name in fields]).cast(kind)
+    return F.coalesce(narrow, F.array().cast(kind))
+
+
 def has_any_element(column: Column, values: Iterable[str]) -> Column:
     """Whether one of ``values`` is, as a whole, an element of the array."""
     return F.arrays_overlap(column, words(values))

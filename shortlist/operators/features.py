@@ -22,7 +22,7 @@ from shortlist.functions.arrays import (
     total,
     words,
 )
-from shortlist.schemas import CAREER_DDL, SKILLS_DDL
+from shortlist.schemas import CAREER_DDL
 
 FEATURES_31 = [
     "embedding_similarity", "bm25_score", "skill_overlap_score", "years_experience_score", "seniority_score",
@@ -96,8 +96,8 @@ def overlap_share(asked: Column, offered: Column) -> Column:
 def _inputs(candidates: DataFrame) -> DataFrame:
     return candidates.select(
         "*",
-        F.transform(elements(F.col("skills"), SKILLS_DDL[6:-1]), lambda s: lowered(s["name"])).alias("_names"),
-        elements(F.col("career_history"), CAREER_DDL[6:-1]).alias("_jobs"),
+        F.transform(elements(F.col("skills.name"), "string"), lowered).alias("_names"),
+        elements(F.col("career_history.duration_months"), "int").alias("_durations"),
         lowered(F.col("profile.current_title")).alias("_title"),
         lowered(F.col("profile.summary")).alias("_summary"),
         or_default(F.col("profile.years_of_experience"), 0.0).alias("_years"),
@@ -131,7 +131,7 @@ def with_features_31(
 ) -> DataFrame:
     """Append the 31 feature columns. ``bm25`` and ``semantic`` are scores carried in by retrieval."""
     source = signals or SignalNames()
-    names, jobs, title, years = F.col("_names"), F.col("_jobs"), F.col("_title"), F.col("_years")
+    names, title, years = F.col("_names"), F.col("_title"), F.col("_years")
 
     def signal(name: str, default):
         return or_default(F.col(f"signals.{name}"), default).cast("double")
@@ -142,8 +142,8 @@ def with_features_31(
     def skilled(values: list[str]) -> Column:
         return flag(has_any_element(names, values))
 
-    hops = F.size(jobs)
-    months = total(F.transform(jobs, lambda j: or_default(j["duration_months"], 0)))
+    hops = F.size("_durations")
+    months = total(F.transform("_durations", lambda d: or_default(d, 0)))
     tenure = F.when(hops > 0, months / 12.0 / F.greatest(hops, F.lit(1))).otherwise(0.0)
     github = signal("github_activity_score", 0.0)
     views = signal(source.views, 0.0) if source.views else F.lit(0.0)
@@ -201,7 +201,8 @@ def promotions(jobs: Column) -> Column:
 
 def with_features_26(candidates: DataFrame) -> DataFrame:
     """Append the 26 job-independent feature columns."""
-    jobs, title, years = F.col("_jobs"), F.col("_title"), F.col("_years")
+    jobs = elements(F.col("career_history"), CAREER_DDL[6:-1])
+    title, years = F.col("_title"), F.col("_years")
     joined, promoted = F.col("_joined"), F.col("_promotions")
     listed = F.size("_names")
 
@@ -246,6 +247,6 @@ def with_features_26(candidates: DataFrame) -> DataFrame:
     kept = [c for c in candidates.columns if c not in features]
     return (
         _inputs(candidates)
-        .select("*", F.array_join("_names", " ").alias("_joined"), promotions(F.col("_jobs")).alias("_promotions"))
+        .select("*", F.array_join("_names", " ").alias("_joined"), promotions(jobs).alias("_promotions"))
         .select(*kept, *[value.alias(name) for name, value in features.items()])
     )

@@ -218,32 +218,45 @@ def with_skills(parsed: DataFrame, match: str = "substring", skills: dict[str, l
 # --- numbers ----------------------------------------------------------------------------
 
 
-def _first_match(text: Column, patterns: list[str], build) -> Column:
-    """``build(index, pattern)`` for the first pattern, in list order, that occurs."""
+def _extract(text: Column, low: Column, pattern: str, needs: list[str]) -> Column:
+    """The first match, or "". ``needs`` are words of which every match holds at least one.
+
+    Searching for a plain word is much cheaper than for a pattern, and most texts stop there.
+    """
+    return F.when(has_any_substring(low, needs), F.regexp_extract(text, pattern, 0)).otherwise("")
+
+
+def _first_of(snippets: Column, patterns: list[str], build) -> Column:
+    """``build(index, pattern, match)`` for the first pattern, in list order, that matched."""
     out = F.lit(None)
     for i, pattern in reversed(list(enumerate(patterns))):
-        out = F.when(F.regexp_extract(text, pattern, 0) != "", build(i, pattern)).otherwise(out)
+        snippet = F.get(snippets, F.lit(i))
+        out = F.when(snippet != "", build(i, pattern, snippet)).otherwise(out)
     return out
 
 
-def _number(text: Column, pattern: str, group: int) -> Column:
-    return F.regexp_extract(text, pattern, group).try_cast("double")
+def _number(snippet: Column, pattern: str, group: int, kind: str = "double") -> Column:
+    """A number of a match; the pattern finds the same groups in the matched piece alone."""
+    return F.regexp_extract(snippet, pattern, group).try_cast(kind)
 
 
 def experience(text: Column) -> Column:
     """``struct<min, max, raw>``; an open end is null, a single number spans four years."""
+    patterns = [f"(?i){p}" for p in vocab.EXPERIENCE_PATTERNS]
 
-    def build(i: int, pattern: str) -> Column:
-        raw, low = F.regexp_extract(text, pattern, 0), _number(text, pattern, 1)
+    def build(i: int, pattern: str, raw: Column) -> Column:
+        low = _number(raw, pattern, 1)
         if i == 0:
-            other = _number(text, pattern, 2)
+            other = _number(raw, pattern, 2)
             return F.struct(
                 F.least(low, other).alias("min"), F.greatest(low, other).alias("max"), raw.alias("raw")
             )
         top = F.when(~F.contains(raw, F.lit("+")), low + 4.0)
         return F.struct(low.alias("min"), top.alias("max"), raw.alias("raw"))
 
-    return _first_match(text, [f"(?i){p}" for p in vocab.EXPERIENCE_PATTERNS], build)
+    low = F.lower(text)
+    snippets = F.array(*[_extract(text, low, p, ["year", "yr"]) for p in patterns])
+    return let(snippets, lambda found: _first_of(found, patterns, build))
 
 
 def midpoint(low: Column, high: Column) -> Column:
@@ -254,12 +267,14 @@ def midpoint(low: Column, high: Column) -> Column:
 def salary(text: Column) -> Column:
     """``struct<min, max>``; a single amount v stands for v to 1.5 v."""
 
-    def build(i: int, pattern: str) -> Column:
-        low = _number(text, pattern, 1)
-        high = _number(text, pattern, 2) if i < 2 else low * 1.5
+    def build(i: int, pattern: str, raw: Column) -> Column:
+        low = _number(raw, pattern, 1)
+        high = _number(raw, pattern, 2) if i < 2 else low * 1.5
         return F.struct(low.alias("min"), high.alias("max"))
 
-    return _first_match(text, vocab.SALARY_PATTERNS, build)
+    low = F.lower(text)
+    snippets = F.array(*[_extract(text, low, p, ["lpa", "lakh"]) for p in vocab.SALARY_PATTERNS])
+    return let(snippets, lambda found: _first_of(found, vocab.SALARY_PATTERNS, build))
 
 
 # --- seniority --------------------------------------------------------------------------
@@ -269,7 +284,7 @@ def stated_seniority(low: Column) -> Column:
     """``struct<level, confidence>`` of the most confident phrase, the earlier level on ties."""
     options = [
         F.when(
-            low.rlike(whole_words(phrases)),
+            has_any_substring(low, phrases) & low.rlike(whole_words(phrases)),
             F.struct(F.lit(-confidence).alias("minus"), F.lit(i).alias("at"), F.lit(level).alias("level")),
         )
         for i, (level, confidence, phrases) in enumerate(vocab.SENIORITY_PHRASES)
@@ -329,7 +344,8 @@ def location(low: Column, longest_match: bool = False) -> Column:
         ).otherwise(place)
     by_word = F.lit(None).cast("string")
     for spelling, country in reversed(vocab.COUNTRIES.items()):
-        by_word = F.when(low.rlike(whole_words([spelling])), F.lit(country)).otherwise(by_word)
+        named = F.contains(low, F.lit(spelling)) & low.rlike(whole_words([spelling]))
+        by_word = F.when(named, F.lit(country)).otherwise(by_word)
     mode = F.lit("unknown")
     for name, phrases in reversed(vocab.WORK_MODE_PHRASES.items()):
         mode = F.when(has_any_substring(low, phrases), F.lit(name)).otherwise(mode)
@@ -368,48 +384,69 @@ def startup_signals(low: Column) -> Column:
 LEADERSHIP_FLAGS = ["requires_management", "hiring_manager", "cross_functional", "technical_lead", "strategy_ownership"]
 
 
+#: A word that every match of the leadership pattern at the same position holds.
+_LEADERSHIP_WORDS = [
+    ["manage"], ["manage"], ["people"], ["people"], ["report"], ["team"], ["team"], ["report"], ["lead"], ["build"],
+    ["grow"], ["hire", "hiring", "build"], ["cross"], ["work"], ["define"], ["technical"], ["drive"], ["tech"],
+    ["lead"], ["mentor"],
+]
+
+
 def leadership_signals(text: Column) -> Column:
     """Flags, the range of direct reports (the last pattern that names one), and up to ten snippets."""
-    found, low, high = [], F.lit(None).cast("int"), F.lit(None).cast("int")
-    manages = F.lit(False)
-    flags = {name: F.lit(False) for name in LEADERSHIP_FLAGS}
-    for pattern, meaning in vocab.LEADERSHIP_PATTERNS:
-        pattern = f"(?i){pattern}"
-        snippet = F.regexp_extract(text, pattern, 0)
-        hit = snippet != ""
-        found.append(F.when(hit, F.substring(snippet, 1, 60)))
-        if meaning == "reports_range":
-            a, b = (F.regexp_extract(text, pattern, g).try_cast("int") for g in (1, 2))
-            low, high = F.when(hit, F.least(a, b)).otherwise(low), F.when(hit, F.greatest(a, b)).otherwise(high)
-            manages = manages | hit
-        elif meaning == "min_reports":
-            low = F.when(hit, F.regexp_extract(text, pattern, 1).try_cast("int")).otherwise(low)
-            manages = manages | hit
-        else:
-            flags[meaning] = flags[meaning] | hit
-    flags["requires_management"] = flags["requires_management"] | manages | flags["technical_lead"]
-    return F.struct(
-        *[value.alias(name) for name, value in flags.items()],
-        low.alias("min_direct_reports"),
-        high.alias("max_direct_reports"),
-        F.slice(F.array_compact(F.array(*found)), 1, 10).alias("signals"),
-    )
+    patterns = [(f"(?i){pattern}", meaning) for pattern, meaning in vocab.LEADERSHIP_PATTERNS]
+
+    def summary(found: Column) -> Column:
+        low, high = F.lit(None).cast("int"), F.lit(None).cast("int")
+        flags = {name: F.lit(False) for name in LEADERSHIP_FLAGS}
+        manages = F.lit(False)
+        for i, (pattern, meaning) in enumerate(patterns):
+            raw = F.get(found, F.lit(i))
+            hit = raw != ""
+            if meaning == "reports_range":
+                a, b = _number(raw, pattern, 1, "int"), _number(raw, pattern, 2, "int")
+                low, high = F.when(hit, F.least(a, b)).otherwise(low), F.when(hit, F.greatest(a, b)).otherwise(high)
+                manages = manages | hit
+            elif meaning == "min_reports":
+                low = F.when(hit, _number(raw, pattern, 1, "int")).otherwise(low)
+                manages = manages | hit
+            else:
+                flags[meaning] = flags[meaning] | hit
+        flags["requires_management"] = flags["requires_management"] | manages | flags["technical_lead"]
+        shown = F.transform(F.filter(found, lambda raw: raw != ""), lambda raw: F.substring(raw, 1, 60))
+        return F.struct(
+            *[value.alias(name) for name, value in flags.items()],
+            low.alias("min_direct_reports"),
+            high.alias("max_direct_reports"),
+            F.slice(shown, 1, 10).alias("signals"),
+        )
+
+    low = F.lower(text)
+    snippets = [
+        _extract(text, low, pattern, needs)
+        for (pattern, _), needs in zip(patterns, _LEADERSHIP_WORDS, strict=True)
+    ]
+    return let(F.array(*snippets), summary)
+
+
+#: A word that every match of the negative pattern at the same position holds.
+_NEGATIVE_WORDS = [
+    ["fresher"], ["experience"], ["technical"], ["remote", "office", "onsite", "home"], ["immediate"], ["must"],
+    ["gap"], ["looking"], ["remote", "wfh", "home"], ["notice"],
+]
 
 
 def negative_signals(text: Column) -> Column:
     """``array<struct<signal, category, raw>>`` in list order."""
-    found = []
-    for pattern, category, label in vocab.NEGATIVE_PATTERNS:
-        raw = F.regexp_extract(text, f"(?i){pattern}", 0)
-        found.append(
-            F.when(
-                raw != "",
-                F.struct(
-                    F.lit(label).alias("signal"), F.lit(category).alias("category"), F.substring(raw, 1, 100).alias("raw")
-                ),
-            )
+    low = F.lower(text)
+    entries = [
+        F.struct(
+            F.lit(label).alias("signal"), F.lit(category).alias("category"),
+            F.substring(_extract(text, low, f"(?i){pattern}", needs), 1, 100).alias("raw"),
         )
-    return F.array_compact(F.array(*found))
+        for (pattern, category, label), needs in zip(vocab.NEGATIVE_PATTERNS, _NEGATIVE_WORDS, strict=True)
+    ]
+    return F.filter(F.array(*entries), lambda x: x["raw"] != "")
 
 
 def target_titles(text: Column, low: Column) -> Column:
@@ -427,11 +464,15 @@ def target_titles(text: Column, low: Column) -> Column:
     def sized(found: Column) -> Column:
         return F.filter(found, lambda t: F.length(t).between(6, 69))
 
+    def every(pattern: str, needs: list[str]) -> Column:
+        matches = F.regexp_extract_all(text, F.lit(f"(?i){pattern}"), F.lit(1))
+        return F.when(has_any_substring(low, needs), matches).otherwise(F.array().cast("array<string>"))
+
     hiring = F.transform(
-        F.regexp_extract_all(text, F.lit(f"(?i){vocab.HIRING_PATTERN}"), F.lit(1)),
+        every(vocab.HIRING_PATTERN, ["hiring", "looking for", "seeking", "recruiting"]),
         lambda t: F.regexp_replace(stripped(t), r"[,.]+$", ""),
     )
-    role = F.transform(F.regexp_extract_all(text, F.lit(f"(?i){vocab.ROLE_PATTERN}"), F.lit(1)), stripped)
+    role = F.transform(every(vocab.ROLE_PATTERN, ["role", "position", "title"]), stripped)
     known = let(low, lambda whole: F.filter(words(vocab.KNOWN_TITLES), lambda t: F.contains(whole, F.lower(t))))
 
     def distinct(titles: Column) -> Column:

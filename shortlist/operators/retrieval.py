@@ -1,8 +1,8 @@
 """Text, vector and hybrid retrieval.
 
-One query: the documents are scanned with narrow projections. Corpus statistics are one-row
-aggregates read back as scalar subqueries, so nothing is shuffled but those few rows, and the
-top-k is a per-task heap.
+One query: the documents are scanned with narrow projections, once for the statistics and once
+for the scores. The statistics are a one-row scalar subquery over one row per query term, so
+nothing else is shuffled, and the top-k is a per-task heap.
 
 Many queries: token counts are aggregated per (document, term) with map-side combine, joined to
 the query terms on the term, and summed per (query, document). Vectors are scored in blocks
@@ -70,20 +70,27 @@ def bm25_scores(
 ) -> DataFrame:
     """BM25 of every document for one query, zeros included: ``(id, bm25_score)``."""
     hits = _term_hits(docs, query_terms(query), id_col, text_col)
-    corpus = hits.agg(F.struct(F.count("*").alias("n"), F.avg("length").alias("mean_length")))
-    # At most one row per query term.
-    per_term = hits.select(F.explode(F.array_distinct("hits")).alias("term")).groupBy("term").count()
-    frequencies = per_term.agg(F.map_from_entries(F.collect_list(F.struct("term", F.col("count").cast("double")))))
-    scored = hits.select(
-        id_col,
-        "length",
-        "hits",
-        corpus.scalar().alias("corpus"),
-        frequencies.scalar().alias("df"),
+    # All statistics in one pass: a row without a term for every document, carrying its length,
+    # and a row for each query term it contains. They collapse to one row per query term.
+    marks = F.concat(
+        F.array(F.struct(F.lit(None).cast("string").alias("term"), F.col("length").alias("length"))),
+        F.transform(F.array_distinct("hits"), lambda t: F.struct(t.alias("term"), F.lit(0).alias("length"))),
+    )
+    counted = hits.select(F.inline(marks)).groupBy("term").agg(
+        F.count("*").cast("double").alias("n"), F.sum("length").alias("total")
+    )
+    of_documents = F.col("term").isNull()
+    stats = counted.agg(
+        F.struct(
+            F.max(F.when(of_documents, F.col("n"))).alias("n"),
+            F.max(F.when(of_documents, F.col("total") / F.col("n"))).alias("mean_length"),
+            F.map_from_entries(F.collect_list(F.when(~of_documents, F.struct("term", "n")))).alias("df"),
+        )
     )
+    scored = hits.select(id_col, "length", "hits", stats.scalar().alias("corpus"))
     parts = F.transform(
         F.array_distinct("hits"),
-        lambda term: _idf(F.col("corpus.n"), F.try_element_at("df", term))
+        lambda term: _idf(F.col("corpus.n"), F.try_element_at("corpus.df", term))
         * _saturation(
             F.size(F.filter("hits", lambda t: t == term)).cast("double"),
             F.col("length"), F.col("corpus.mean_length"), k1, b,

@@ -13,7 +13,7 @@ from shortlist import vocab
 from shortlist.functions import rules as r
 from shortlist.functions.arrays import (
     distinct_overlap,
-    elements,
+    fields_of,
     has_any_element,
     has_any_substring,
     lowered,
@@ -21,16 +21,17 @@ from shortlist.functions.arrays import (
     or_default,
     total,
 )
-from shortlist.schemas import CAREER_DDL, EDUCATION_DDL, SKILLS_DDL
 
 
 def with_rule_inputs(df: DataFrame) -> DataFrame:
     """Shared inputs, computed once per row in their own projection."""
     return df.select(
         "*",
-        elements(F.col("skills"), SKILLS_DDL[6:-1]).alias("_skills"),
-        elements(F.col("career_history"), CAREER_DDL[6:-1]).alias("_jobs"),
-        elements(F.col("education"), EDUCATION_DDL[6:-1]).alias("_schools"),
+        fields_of("skills", {"name": "string", "proficiency": "string", "endorsements": "int",
+                             "duration_months": "int"}).alias("_skills"),
+        fields_of("career_history", {"title": "string", "start_date": "string", "end_date": "string",
+                                     "duration_months": "int"}).alias("_jobs"),
+        fields_of("education", {"start_year": "int", "end_year": "int"}).alias("_schools"),
         lowered(F.col("profile.current_title")).alias("_title"),
         lowered(F.col("profile.summary")).alias("_summary"),
         or_default(F.col("profile.years_of_experience"), 0.0).alias("_years"),

@@ -18,7 +18,7 @@ from shortlist.operators import features as feat
 from shortlist.operators import jd, ltr, normalise, ranking, retrieval, scoring, screening, search, stats
 from shortlist.plans import derived, pipeline, quality_inputs
 from shortlist.plans.warehouse import warehouse
-from shortlist.session import shared_folder
+from shortlist.session import shared_folder, spread
 from shortlist.sources import ingest
 from shortlist.streaming import ingest as streaming
 
@@ -313,7 +313,7 @@ def dataset_summary(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
-    return derived.table(spark, folder, "documents").select("doc_id", "text")
+    return spread(derived.table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
 
 
 def _document_vectors(spark: SparkSession, folder: str) -> DataFrame:

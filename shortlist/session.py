@@ -49,6 +49,16 @@ def shared_folder(spark: SparkSession) -> str | None:
     return folder
 
 
+def spread(scan: DataFrame, key: str) -> DataFrame:
+    """A scan with at least one partition per core.
+
+    A single small file is read by a single task, which would then do all the work on its
+    texts. Scans that already have enough partitions, as any large table does, are left alone.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores, key)
+
+
 def checkpointing(spark: SparkSession) -> None:
     """Let iterative learners cut their lineage in the shared folder."""
     folder = shared_folder(spark)
