@@ -40,18 +40,9 @@ def rows(values: list[tuple], columns: str) -> str:
     return f"{name.strip()}({cols} AS (VALUES {body})"
 
 
-def half_up(expr: str, digits: int) -> str:
-    """Rounding of the number as printed, ties away from zero."""
-    return f"round(({expr})::VARCHAR::DECIMAL(38, 18), {digits})::DOUBLE"
-
-
-def half_even(expr: str, digits: int) -> str:
-    """Rounding of a non-negative number as printed, ties to even."""
-    scaled = f"(({expr})::VARCHAR::DECIMAL(38, 18) * {10 ** digits})"
-    return (
-        f"((floor({scaled}) + CASE WHEN {scaled} - floor({scaled}) > 0.5 OR ({scaled} - floor({scaled}) = 0.5 "
-        f"AND floor({scaled})::BIGINT % 2 = 1) THEN 1 ELSE 0 END)::DOUBLE / {10 ** digits})"
-    )
+def exact(expr: str, digits: int) -> str:
+    """Rounding of the stored binary value, as printing does it."""
+    return f"printf('%.{digits}f', ({expr})::DOUBLE)::DOUBLE"
 
 
 CID = "'CAND_' || lpad({k}::VARCHAR, 7, '0')"

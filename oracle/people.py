@@ -36,7 +36,7 @@ FROM people p LEFT JOIN skillset s USING (k) WHERE NOT {VALID}""")
 SQL["load_stats"] = with_base(f"""
 SELECT count(*) + count(*) FILTER (WHERE k % {BROKEN} = 8) AS total_lines, count(*) FILTER (WHERE {VALID}) AS valid_records,
   count(*) FILTER (WHERE NOT {VALID}) AS skipped_records,
-  round(count(*) FILTER (WHERE {VALID}) / (count(*) + count(*) FILTER (WHERE k % {BROKEN} = 8))::DOUBLE, 4) AS success_rate
+  printf('%.4f', count(*) FILTER (WHERE {VALID}) / (count(*) + count(*) FILTER (WHERE k % {BROKEN} = 8))::DOUBLE)::DOUBLE AS success_rate
 FROM people""")
 
 SQL["stream_ingest"] = with_base(" UNION ALL ".join(
@@ -205,11 +205,11 @@ FROM people p
 SQL["dataset_stats"] = with_base("""
 SELECT count(*) AS total_candidates, count(*) FILTER (WHERE open_to_work) AS open_to_work,
   round(count(*) FILTER (WHERE open_to_work) * 100.0 / greatest(count(*), 1), 4)::DOUBLE AS open_to_work_pct,
-  round(avg(years), 2)::DOUBLE AS avg_years_experience, round(avg(completeness), 2) AS avg_profile_completeness,
+  printf('%.2f', avg(years)::DOUBLE)::DOUBLE AS avg_years_experience, printf('%.2f', avg(completeness)::DOUBLE)::DOUBLE AS avg_profile_completeness,
   count(*) FILTER (WHERE relocate) AS willing_to_relocate, count(*) FILTER (WHERE verified_email) AS verified_email,
   count(*) FILTER (WHERE verified_phone) AS verified_phone, count(*) FILTER (WHERE linkedin) AS linkedin_connected,
-  round(avg(notice), 1) AS avg_notice_period_days, round(avg(response_rate), 3)::DOUBLE AS avg_recruiter_response_rate,
-  round(avg(interview_rate), 3)::DOUBLE AS avg_interview_completion_rate FROM people""")
+  printf('%.1f', avg(notice)::DOUBLE)::DOUBLE AS avg_notice_period_days, printf('%.3f', avg(response_rate)::DOUBLE)::DOUBLE AS avg_recruiter_response_rate,
+  printf('%.3f', avg(interview_rate)::DOUBLE)::DOUBLE AS avg_interview_completion_rate FROM people""")
 SQL["top_countries"] = with_base(
     "SELECT country, count(*) AS n FROM people GROUP BY 1 ORDER BY n DESC, country LIMIT 10")
 SQL["top_skills"] = with_base(

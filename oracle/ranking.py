@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from oracle.base import contains_any, half_even, half_up, inlist, lst, q, rows, tokens, with_base
+from oracle.base import contains_any, exact, inlist, lst, q, rows, tokens, with_base
 from shortlist import vocab
 from shortlist.operators.features import FEATURES_26, FEATURES_31
 from shortlist.plans import derived
@@ -77,8 +77,12 @@ idf AS (SELECT term, ln((n - df + 0.5) / (df + 0.5) + 1.0) AS idf FROM (SELECT t
 score AS (
   SELECT query_id, doc_id, round(sum(idf * (tf * 2.5) / (tf + 1.5 * (0.25 + 0.75 * length / mean_length))), 9) AS s
   FROM tf JOIN qt USING (term) JOIN idf USING (term) JOIN dl USING (doc_id), corpus GROUP BY 1, 2),
-whole AS (SELECT query_id, doc_id, coalesce(s, 0.0) AS s FROM (SELECT query_id, doc_id FROM qs, dl) LEFT JOIN score USING (query_id, doc_id)),
-spread AS (SELECT query_id, max(s) AS hi, min(s) AS lo FROM whole GROUP BY 1),
+spread AS (
+  SELECT query_id, max(coalesce(s, 0.0)) AS hi, min(coalesce(s, 0.0)) AS lo
+  FROM (SELECT query_id, doc_id FROM qs, dl) LEFT JOIN score USING (query_id, doc_id) GROUP BY 1),
+whole AS (
+  SELECT query_id, doc_id, coalesce(s, 0.0) AS s
+  FROM (SELECT query_id, vec_id AS doc_id FROM qs, embeddings) LEFT JOIN score USING (query_id, doc_id)),
 pairs AS (
   SELECT w.query_id, w.doc_id, CASE WHEN hi > lo THEN (s - lo) / (hi - lo) ELSE 0.0 END AS bm25_norm,
     round(list_dot_product(e.embedding::DOUBLE[], qs.vec), 9) AS semantic_score
@@ -126,7 +130,7 @@ hits AS (
     WHERE (contains(t, 'ai') OR contains(t, 'machine learning')) AND jobs > 0 AND k NOT IN (
       SELECT k FROM job WHERE {contains_any('lower(title)', vocab.TECHNICAL_TITLE_WORDS)})
   UNION ALL SELECT k, 3, 'C3', 0.3, 'Unrealistic experience claim: Stated ' || yoe || ' YoE but career history adds up to '
-      || printf('%.1f', round_even(months / 12, 1)) || ' YoE.'
+      || printf('%.1f', months / 12) || ' YoE.'
     FROM shape WHERE yoe > 0 AND months > 0 AND abs(yoe - months / 12) > 5
   UNION ALL SELECT k, 4 + pos / 10000.0, 'C4', 0.5, 'Unrealistic skill duration: Claimed ' || duration_months ||
       CASE lname WHEN 'langchain' THEN ' months in LangChain (framework is newer than this).' ELSE ' months in ChatGPT.' END
@@ -179,13 +183,13 @@ skill_facts AS (
     count(*) FILTER (WHERE proficiency = 'expert' AND endorsements = 0 AND score IS NULL) AS unverified FROM sk GROUP BY 1),
 bad AS (
   SELECT k, 1 AS o, 'N1' AS code, 0.10 AS w, 'Possible keyword stuffing: ' || listed || ' skills, avg endorsements='
-      || printf('%.1f', round_even(mean_endorsed, 1)) AS m
+      || printf('%.1f', mean_endorsed) AS m
     FROM shape JOIN skill_facts USING (k) WHERE listed > 15 AND mean_endorsed < 2 AND scored = 0
   UNION ALL SELECT k, 2, 'N2', 0.08, unverified || ' unverified ''expert'' skills' FROM skill_facts WHERE unverified > 3
   UNION ALL SELECT k, 3, 'N3', 0.05, 'Very low profile completeness: ' || completeness::INTEGER || '%' FROM people WHERE completeness < 30
   UNION ALL SELECT k, 4, 'N4', 0.02, 'Not marked as open to work' FROM people WHERE NOT open_to_work
   UNION ALL SELECT k, 5, 'N5', 0.03, 'Long notice period: ' || notice || ' days' FROM people WHERE notice > 120
-  UNION ALL SELECT k, 6, 'N6', 0.05, 'High job hopping: avg tenure ' || round_even(months / jobs, 0)::INTEGER || ' months'
+  UNION ALL SELECT k, 6, 'N6', 0.05, 'High job hopping: avg tenure ' || printf('%.0f', months / jobs) || ' months'
     FROM shape WHERE jobs >= 5 AND months / jobs < 6),
 neg AS (
   SELECT p.k, least(0.35, coalesce(list_sum(list(w::DOUBLE ORDER BY o)), 0))::DOUBLE AS penalty, coalesce(string_agg(code, '|' ORDER BY o), '') AS codes,
@@ -331,14 +335,14 @@ PARTS = [  # label, weight, component
     ("Career Stability", 0.05, "career_growth_score"),
 ]
 ITEMS = "item AS (" + " UNION ALL ".join(
-    f"SELECT k, {q(name)} AS feature, {i} AS o, {w} * round_even({e}, 4) AS value FROM feat"
+    f"SELECT k, {q(name)} AS feature, {i} AS o, {w} * {exact(e, 4)} AS value FROM feat"
     for i, (name, w, e) in enumerate(PARTS)
 ) + ")"
-RAW = " + ".join(f"{w} * {half_even(f'abs({e})', 4)} * CASE WHEN {e} < 0 THEN -1 ELSE 1 END" for _, w, e in PARTS)
+RAW = " + ".join(f"{w} * {exact(e, 4)}" for _, w, e in PARTS)
 POOL = f"""
 raw AS (SELECT k, {RAW} AS raw FROM feat),
 pool AS (
-  SELECT f.*, n.penalty, n.flags, n.first_flag, {half_up('raw * (1 - n.penalty)', 6)} AS score, h.honeypot_probability,
+  SELECT f.*, n.penalty, n.flags, n.first_flag, {exact('raw * (1 - n.penalty)', 6)} AS score, h.honeypot_probability,
     c.contradiction_score
   FROM feat f JOIN raw USING (k) JOIN neg n USING (k) JOIN honey h USING (k) JOIN contra c USING (k)),
 topped AS (
@@ -357,17 +361,17 @@ SQL["rank_legacy"] = with_base(
     """SELECT rank, cid AS candidate_id, score, coalesce(top_skills, '') AS top_skills, title, factors
 FROM topped JOIN factor USING (k) LEFT JOIN best USING (k)""", *ALL, FACTORS, BEST)
 SQL["reasoning_text"] = with_base(
-    f"""SELECT p.cid AS candidate_id, p.title || ' with ' || printf('%.1f', round(yoe, 1)) || ' yrs; '
+    f"""SELECT p.cid AS candidate_id, p.title || ' with ' || printf('%.1f', yoe) || ' yrs; '
   || floor(skill_overlap_score * {len(ROLE['must_have_skills'])})::INTEGER || ' core skills matched; response rate '
   || printf('%.2f', recruiter_response_rate) || CASE WHEN open_to_work_score = 1 THEN '; open to work' ELSE '' END
   || CASE WHEN first_flag IS NOT NULL THEN '; flags: ' || substr(first_flag, 1, 40) ELSE '' END || '.' AS reasoning
 FROM pool p""", *ALL)
 SQL["candidate_importance"] = with_base(
-    f"""SELECT cid AS candidate_id, feature, {half_even('abs(value)', 4)} AS importance,
+    f"""SELECT cid AS candidate_id, feature, {exact('abs(value)', 4)} AS importance,
   CASE WHEN value < 0 THEN 'negative' ELSE 'positive' END AS direction FROM people JOIN item USING (k)
-UNION ALL SELECT cid, 'Penalty', round(penalty, 4), 'negative' FROM pool""", *ALL)
+UNION ALL SELECT cid, 'Penalty', {exact('penalty', 4)}, 'negative' FROM pool""", *ALL)
 SQL["global_importance"] = with_base(
-    """SELECT feature, round(avg(value), 4) AS importance, 'positive' AS direction
+    f"""SELECT feature, {exact('avg(value)', 4)} AS importance, 'positive' AS direction
 FROM item SEMI JOIN topped USING (k) GROUP BY 1""", *ALL)
 LINEAR = "lin AS (" + " UNION ALL ".join(
     f"SELECT cid, {q(f)} AS feature, {w} * ({f} - avg({f}) OVER ()) AS contribution FROM feat"
@@ -384,8 +388,8 @@ SQL["score_tiers"] = with_base(
     """SELECT cid AS candidate_id, CASE WHEN score >= 0.85 THEN 'Top Match' WHEN score >= 0.7 THEN 'Strong' ELSE 'Moderate' END AS tier,
   honeypot_probability > 0.4 AS flagged FROM pool""", *ALL)
 SQL["pool_kpis"] = with_base(
-    """SELECT count(*) AS pool, count(*) FILTER (WHERE honeypot_probability <= 0.4) AS clean,
-  count(*) FILTER (WHERE honeypot_probability > 0.4) AS flagged, round(avg(score), 4) AS mean_score FROM pool""", *ALL)
+    f"""SELECT count(*) AS pool, count(*) FILTER (WHERE honeypot_probability <= 0.4) AS clean,
+  count(*) FILTER (WHERE honeypot_probability > 0.4) AS flagged, {exact('avg(score)', 4)} AS mean_score FROM pool""", *ALL)
 SQL["score_bands"] = with_base(" UNION ALL ".join(
     f"SELECT {q(n)} AS band, count(*) FILTER (WHERE score >= {a} AND score < {b}) AS n FROM pool"
     for n, a, b in (("90+", 0.9, 9), ("80-89", 0.8, 0.9), ("70-79", 0.7, 0.8), ("<70", -9, 0.7))), *ALL)
@@ -412,8 +416,8 @@ labelled AS (
 lab AS (SELECT *, CASE verdict WHEN 'excellent' THEN 3 WHEN 'good' THEN 2 WHEN 'weak' THEN 1 ELSE 0 END AS label,
   CASE verdict {' '.join(f'WHEN {q(k)} THEN {q(v)}' for k, v in vocab.LABEL_REASONS.items())} END AS reason FROM labelled)"""
 SQL["pseudo_labels"] = with_base(
-    """SELECT cid AS candidate_id, label, round(embedding_similarity, 4) AS hybrid_score,
-  round(contradiction_score, 2) AS contradiction_score, round(honeypot_probability, 2) AS honeypot_score, reason FROM lab""",
+    f"""SELECT cid AS candidate_id, label, {exact('embedding_similarity', 4)} AS hybrid_score,
+  {exact('contradiction_score', 2)} AS contradiction_score, {exact('honeypot_probability', 2)} AS honeypot_score, reason FROM lab""",
     *ALL, LABELS)
 SQL["features_labels"] = with_base(
     "SELECT cid AS candidate_id, label, round(python_score, 6) AS python_score, round(average_tenure, 6) AS average_tenure FROM lab",
@@ -439,5 +443,5 @@ SQL["rank_candidates"] = with_base(
 FROM scored ORDER BY score DESC, cid LIMIT 100""",
     SHAPE, COS, bm25("full_text", "k", "text", ROLE["text"]), HYBRID, CONTRA, HONEY, FEATURED,
     "retrieved AS (SELECT * FROM hybrid ORDER BY hybrid_score DESC, id LIMIT 1000)",
-    f"""scored AS (SELECT r.*, f.*, round({R4}, 4) AS score FROM retrieved r JOIN feat f ON r.id = f.k
+    f"""scored AS (SELECT r.*, f.*, {exact(R4, 4)} AS score FROM retrieved r JOIN feat f ON r.id = f.k
   JOIN contra c USING (k) JOIN honey h USING (k) WHERE contradiction_score < 0.3 AND honeypot_probability < 0.3)""")

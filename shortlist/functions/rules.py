@@ -70,12 +70,3 @@ def hit_codes(hits: Column) -> Column:
 
 def hit_messages(hits: Column) -> Column:
     return F.transform(hits, lambda hit: hit["message"])
-
-
-def fixed(column: Column, digits: int) -> Column:
-    """The number as text with a fixed number of places, ties to even."""
-    return F.format_string(f"%.{digits}f", F.bround(column, digits))
-
-
-def one_decimal(column: Column) -> Column:
-    return fixed(column, 1)

@@ -236,11 +236,12 @@ def mean_abs_contributions(contributions: DataFrame) -> DataFrame:
 
 
 def permutation_importance(model: Model, df: DataFrame, features: list[str], k: int = 10, group: str = "group_id",
-                           seed: int = 42, id_col: str = "candidate_id") -> DataFrame:
+                           seed: int = 42, id_col: str = "candidate_id", exchange: list[str] | None = None) -> DataFrame:
     """L4 for trees: the loss of ranking quality when one feature is exchanged between rows.
 
     Values are exchanged between rows that land at the same position of two hash orders inside
-    hash buckets of bounded size, so no global sort or single-task window is needed.
+    hash buckets of bounded size, so no global sort or single-task window is needed. ``exchange``
+    limits the report to some of the features.
     """
     base = mean_ndcg(predict(model, df, features), (k,), group=group).select(f"ndcg_at_{k}").scalar()
     spark = df.sparkSession
@@ -248,7 +249,7 @@ def permutation_importance(model: Model, df: DataFrame, features: list[str], k:
     buckets = max(1, rows // 10_000)
     bucket = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(buckets))
     out = None
-    for i, name in enumerate(features):
+    for i, name in enumerate(exchange or features):
         give = Window.partitionBy("_b").orderBy(F.xxhash64(F.col(id_col), F.lit(seed + 2 * i + 1)), F.col(id_col))
         take = Window.partitionBy("_b").orderBy(F.xxhash64(F.col(id_col), F.lit(seed + 2 * i + 2)), F.col(id_col))
         placed = df.withColumn("_b", bucket)

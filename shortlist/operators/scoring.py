@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from shortlist import vocab
 from shortlist.functions.arrays import elements, or_default
-from shortlist.functions.rules import fixed
+from shortlist.functions.numbers import exact_round, fixed
 from shortlist.schemas import SKILLS_DDL
 
 
@@ -100,7 +100,7 @@ def weighted_score(weights: Weights | None = None) -> Column:
 
 def component(name: str) -> Column:
     """A component score, missing as 0, to four places."""
-    return F.bround(or_default(F.col(name), 0.0), 4)
+    return exact_round(or_default(F.col(name), 0.0), 4)
 
 
 def contributions(weights: Weights | None = None) -> dict[str, Column]:
@@ -139,10 +139,10 @@ def candidate_importance(weights: Weights | None = None, penalty: str = "penalty
     items = F.array(
         *[
             F.struct(
-                (-F.bround(F.abs(value), 4)).alias("order"),
+                (-exact_round(F.abs(value), 4)).alias("order"),
                 F.lit(i).alias("position"),
                 F.lit(label).alias("feature"),
-                F.bround(F.abs(value), 4).alias("importance"),
+                exact_round(F.abs(value), 4).alias("importance"),
                 F.when((value < 0) | F.lit(label == "Penalty"), "negative").otherwise("positive").alias("direction"),
             )
             for i, (label, value) in enumerate(values)
@@ -158,7 +158,7 @@ def global_importance(ranked: DataFrame, weights: Weights | None = None) -> Data
     return (
         means.where(F.col("rows") > 0)
         .unpivot("rows", list(parts), "feature", "importance")
-        .select("feature", F.round("importance", 4).alias("importance"), F.lit("positive").alias("direction"))
+        .select("feature", exact_round(F.col("importance"), 4).alias("importance"), F.lit("positive").alias("direction"))
         .orderBy(F.desc("importance"), F.asc("feature"))
     )
 
@@ -247,8 +247,8 @@ def pseudo_labels(featured: DataFrame, hybrid: str = "hybrid_score", semantic: s
     return featured.select(
         "candidate_id",
         columns["label"].alias("label"),
-        F.round(hybrid, 4).alias("hybrid_score"),
-        F.round("contradiction_score", 2).alias("contradiction_score"),
-        F.round("honeypot_probability", 2).alias("honeypot_score"),
+        exact_round(F.col(hybrid), 4).alias("hybrid_score"),
+        exact_round(F.col("contradiction_score"), 2).alias("contradiction_score"),
+        exact_round(F.col("honeypot_probability"), 2).alias("honeypot_score"),
         columns["reason"].alias("reason"),
     )

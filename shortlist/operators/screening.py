@@ -21,6 +21,7 @@ from shortlist.functions.arrays import (
     or_default,
     total,
 )
+from shortlist.functions.numbers import fixed
 
 
 def with_rule_inputs(df: DataFrame) -> DataFrame:
@@ -92,7 +93,7 @@ def contradiction_rules() -> list[r.Rule | r.EachRule]:
                F.lit("Contradictory career: AI title but previous roles are non-technical.")),
         r.Rule("C3", 0.3, (years > 0) & (months > 0) & (F.abs(years - months / 12.0) > 5.0),
                F.concat(F.lit("Unrealistic experience claim: Stated "), years.cast("string"),
-                        F.lit(" YoE but career history adds up to "), r.one_decimal(months / 12.0), F.lit(" YoE."))),
+                        F.lit(" YoE but career history adds up to "), fixed(months / 12.0, 1), F.lit(" YoE."))),
         r.EachRule("C4", 0.5, skills, over_limit, too_long_message),
         r.Rule("C5", 0.2, F.contains("_summary", F.lit("software engineer")) & F.contains(title, F.lit("recruiter")),
                F.lit("Contradictory summary: Summary implies software engineering while current title is recruiter.")),
@@ -138,7 +139,7 @@ def honeypot_rules(as_of_year: int, views_field: str = "profile_views_received_3
     views = or_default(F.col(f"signals.{views_field}"), -1.0) if views_field else F.lit(-1.0)
     return [
         r.EachRule("H1", 0.4, claims, lambda c: c["months"] / 12.0 > (as_of_year - c["year"] + 1),
-                   lambda c: F.concat(F.lit("Impossible profile: Claimed "), r.one_decimal(c["months"] / 12.0),
+                   lambda c: F.concat(F.lit("Impossible profile: Claimed "), fixed(c["months"] / 12.0, 1),
                                       F.lit(" years in "), c["name"], F.lit(", which only released in "),
                                       c["year"].cast("string"), F.lit("."))),
         r.Rule("H2", 0.3, has_any_substring(title, ["frontend", "ui "]) & ~has_any_element(names, vocab.FRONTEND_SKILLS),
@@ -157,7 +158,7 @@ def honeypot_rules(as_of_year: int, views_field: str = "profile_views_received_3
                      "stack and AI with low YoE.")),
         r.Rule("H8", 0.3, (months > 0) & (years > 0) & (years * 12 > months + 60),
                F.concat(F.lit("Contradictory employment: Profile claims "), years.cast("string"),
-                        F.lit(" YoE, but career history only contains "), r.one_decimal(months / 12.0),
+                        F.lit(" YoE, but career history only contains "), fixed(months / 12.0, 1),
                         F.lit(" years."))),
         r.Rule("H9", 0.5, (buzz >= 3) & ~has_any_element(names, vocab.AI_FOUNDATIONS),
                F.concat(F.lit("AI buzzword stuffing: Claimed "), buzz.cast("string"),
@@ -185,15 +186,15 @@ def negative_rules() -> list[r.Rule]:
     return [
         r.Rule("N1", 0.10, (F.size(skills) > 15) & (mean_endorsements < 2) & (F.size(scores) == 0),
                F.concat(F.lit("Possible keyword stuffing: "), F.size(skills).cast("string"),
-                        F.lit(" skills, avg endorsements="), r.one_decimal(mean_endorsements))),
+                        F.lit(" skills, avg endorsements="), fixed(mean_endorsements, 1))),
         r.Rule("N2", 0.08, unverified > 3, F.concat(unverified.cast("string"), F.lit(" unverified 'expert' skills"))),
         r.Rule("N3", 0.05, completeness < 30,
-               F.concat(F.lit("Very low profile completeness: "), r.fixed(completeness, 0), F.lit("%"))),
+               F.concat(F.lit("Very low profile completeness: "), fixed(completeness, 0), F.lit("%"))),
         r.Rule("N4", 0.02, ~or_default(F.col("signals.open_to_work_flag"), True), F.lit("Not marked as open to work")),
         r.Rule("N5", 0.03, notice > 120,
                F.concat(F.lit("Long notice period: "), notice.cast("string"), F.lit(" days"))),
         r.Rule("N6", 0.05, (F.size(jobs) >= 5) & (tenure < 6),
-               F.concat(F.lit("High job hopping: avg tenure "), r.fixed(tenure, 0), F.lit(" months"))),
+               F.concat(F.lit("High job hopping: avg tenure "), fixed(tenure, 0), F.lit(" months"))),
     ]
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shortlist.functions.numbers import exact_round
+
 YEARS_BANDS = [("0-2", None, 2), ("2-5", 2, 5), ("5-10", 5, 10), ("10-15", 10, 15), ("15+", 15, None)]
 SCORE_BANDS = [("90+", 0.9, None), ("80-89", 0.8, 0.9), ("70-79", 0.7, 0.8), ("<70", None, 0.7)]
 
@@ -12,7 +14,7 @@ SCORE_BANDS = [("90+", 0.9, None), ("80-89", 0.8, 0.9), ("70-79", 0.7, 0.8), ("<
 def dataset_stats(profiles: DataFrame) -> DataFrame:
     """The headline numbers in one pass."""
     yes = lambda c: F.count_if(F.col(c)).alias(c)
-    mean = lambda c, digits, name: F.round(F.avg(c), digits).alias(name)
+    mean = lambda c, digits, name: exact_round(F.avg(c), digits).alias(name)
     return profiles.agg(
         F.count("*").alias("total_candidates"),
         F.count_if(F.col("open_to_work_flag")).alias("open_to_work"),
@@ -158,7 +160,7 @@ def pool_kpis(ranked: DataFrame, above: float = 0.4) -> DataFrame:
         F.count("*").alias("pool"),
         F.count_if(~flagged).alias("clean"),
         F.count_if(flagged).alias("flagged"),
-        F.round(F.coalesce(F.avg("score"), F.lit(0.0)), 4).alias("mean_score"),
+        exact_round(F.coalesce(F.avg("score"), F.lit(0.0)), 4).alias("mean_score"),
     )
 
 

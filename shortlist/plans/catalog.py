@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shortlist.functions import text
+from shortlist.functions.numbers import exact_round
 from shortlist.operators import features as feat
 from shortlist.operators import jd, ltr, normalise, ranking, retrieval, scoring, screening, search, stats
 from shortlist.plans import derived, pipeline, quality_inputs
@@ -525,7 +526,7 @@ def _components(spark: SparkSession, folder: str) -> DataFrame:
 
 def _penalised(spark: SparkSession, folder: str) -> DataFrame:
     return screening.with_negative_signals(_components(spark, folder)).withColumn(
-        "score", F.round(scoring.penalised_score(), 6)
+        "score", exact_round(scoring.penalised_score(), 6)
     )
 
 

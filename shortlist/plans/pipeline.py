@@ -8,6 +8,7 @@ from pyspark.ml import Model
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shortlist.functions.numbers import exact_round
 from shortlist.operators import features as feat
 from shortlist.operators import ranking, retrieval, scoring, screening
 from shortlist.operators.ltr import predict_or_weighted
@@ -42,7 +43,7 @@ def score_and_rank(featured: DataFrame, settings: Settings, model: Model | None
     scored = predict_or_weighted(model, featured, feat.FEATURES_31, settings.weights)
     shaped = scored.select(
         "candidate_id",
-        F.round("score", 4).alias("score"),
+        exact_round(F.col("score"), 4).alias("score"),
         F.struct(*feat.FEATURES_31).alias("feature_breakdown"),
     )
     return ranking.ranked(shaped, settings.top).select("candidate_id", "rank", "score", "feature_breakdown")
@@ -72,7 +73,7 @@ def rank_with_components(
     """
     flagged = screening.with_negative_signals(candidates)
     # Six places, because the order of equal scores is decided by the id.
-    scored = flagged.withColumn("score", F.round(scoring.penalised_score(weights), 6))
+    scored = flagged.withColumn("score", exact_round(scoring.penalised_score(weights), 6))
     top = ranking.ranked(scored, n)
     return top.select(
         "candidate_id",

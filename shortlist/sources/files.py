@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shortlist import vocab
-from shortlist.functions.rules import fixed
+from shortlist.functions.numbers import fixed
 from shortlist.operators import ranking
 from shortlist.operators.stats import report_document
 from shortlist.schemas import LABELS_DDL
