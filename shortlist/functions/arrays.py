@@ -33,7 +33,8 @@ def once(df: DataFrame, **columns: Column) -> DataFrame:
 
 def words(values: Iterable[str]) -> Column:
     """A literal array of strings."""
-    return F.array(*[F.lit(v) for v in values])
+    quoted_values = ("'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" for v in values)
+    return F.expr(f"array({', '.join(quoted_values)})")
 
 
 def or_default(column: Column, value) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from shortlist.functions.arrays import let
+
 #: Splits a double into two halves whose products are exact.
 _SPLITTER = 134217729.0
 
@@ -17,15 +19,18 @@ def exact_round(value: Column, digits: int) -> Column:
     apparent tie is decided by what is really stored.
     """
     scale = float(10**digits)
-    x = F.abs(value.cast("double"))
-    scaled = x * scale
-    high = x * _SPLITTER - (x * _SPLITTER - x)
-    error = (high * scale - scaled) + (x - high) * scale
-    below = F.floor(scaled)
-    rest = scaled - below
-    up = (rest > 0.5) | ((rest == 0.5) & ((error > 0) | ((error == 0) & (below % 2 == 1))))
-    rounded = (below + up.cast("int")) / scale
-    return F.when(value < 0, -rounded).otherwise(rounded)
+
+    def rounded(v: Column) -> Column:
+        x = F.abs(v)
+        scaled = x * scale
+        high = x * _SPLITTER - (x * _SPLITTER - x)
+        error = (high * scale - scaled) + (x - high) * scale
+        below = F.floor(scaled)
+        rest = scaled - below
+        up = (rest > 0.5) | ((rest == 0.5) & ((error > 0) | ((error == 0) & (below % 2 == 1))))
+        return F.signum(v) * (below + up.cast("int")) / scale
+
+    return let(value.cast("double"), rounded)
 
 
 def fixed(value: Column, digits: int) -> Column:

@@ -4,9 +4,9 @@ One query: the documents are scanned with narrow projections, once for the stati
 for the scores. The statistics are a one-row scalar subquery over one row per query term, so
 nothing else is shuffled, and the top-k is a per-task heap.
 
-Many queries: token counts are aggregated per (document, term) with map-side combine, joined to
-the query terms on the term, and summed per (query, document). Vectors are scored in blocks
-inside each task, which hands on at most k rows per query.
+Many queries: the weights of the query terms are aggregated per document, and texts and vectors
+are scored against a bounded block of queries inside each task, which hands on at most k rows
+per query. No row is made per query and document.
 
 Scores are rounded to ``SCORE_DIGITS`` before sorting, so that the order of additions cannot
 decide between equal documents; ties go to the smaller id.
@@ -31,8 +31,10 @@ BM25_WEIGHT = 0.4
 SEMANTIC_WEIGHT = 0.6
 SCORE_DIGITS = 9
 
-#: Query vectors handled by one pass over the stored vectors; more queries take more passes.
-QUERIES_PER_PASS = 4096
+#: Queries handled by one pass over the documents; more queries take more passes.
+QUERIES_PER_PASS = 1024
+#: Documents scored at a time inside a task.
+ROWS_PER_PIECE = 2048
 
 
 def top_k(df: DataFrame, score: str, id_col: str, k: int) -> DataFrame:
@@ -270,93 +272,181 @@ def hybrid_topk(docs: DataFrame, vectors: DataFrame, query: str, query_vector: C
 # --- many queries -------------------------------------------------------------------------
 
 
-def bm25_pairs(
-    docs: DataFrame, queries: DataFrame, id_col: str = "candidate_id", text_col: str = "text",
-    query_id: str = "query_id", query_text: str = "query_text", k1: float = K1, b: float = B,
-) -> DataFrame:
-    """T4: BM25 for every (query, document) that share a word.
+def best_per_query(df: DataFrame, score: str, id_col: str, k: int, query_id: str = "query_id") -> DataFrame:
+    """The k best rows of every query with their rank; each task keeps only k rows per query."""
+    order = Window.partitionBy(query_id).orderBy(F.desc(score), F.asc(id_col))
+    return df.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
 
-    The query terms are joined on the term; Spark broadcasts them when it finds them small and
-    otherwise shuffles, splitting terms that are too frequent. Sums are per (query, document).
+def _term_weights(docs: DataFrame, terms: DataFrame, id_col: str, text_col: str, k1: float, b: float) -> DataFrame:
+    """``(id, terms, weights)``: the BM25 weight of each query term in each document that holds one.
+
+    ``terms`` is ``(term, no)``. Occurrences are counted per (document, term) with map-side
+    combine; other words are dropped before that. Spark broadcasts the terms when it finds them
+    small and otherwise shuffles, splitting terms that are too frequent.
     """
-    asked = queries.select(query_id, F.explode(F.array_distinct(tokens(F.col(query_text)))).alias("term"))
     counted = docs.select(id_col, tokens(F.col(text_col)).alias("_t")).select(
         id_col, F.size("_t").alias("length"), "_t"
     )
     postings = (
         counted.select(id_col, "length", F.explode("_t").alias("term"))
-        .join(asked.select("term").distinct(), "term", "left_semi")
-        .groupBy(id_col, "length", "term")
+        .join(terms, "term")
+        .groupBy(id_col, "length", "no")
         .agg(F.count("*").cast("double").alias("tf"))
     )
-    frequencies = postings.groupBy("term").agg(F.count("*").cast("double").alias("df"))
+    frequencies = postings.groupBy("no").agg(F.count("*").cast("double").alias("df"))
     corpus = counted.agg(F.struct(F.count("*").alias("n"), F.avg("length").alias("mean_length"))).scalar()
-    weighted = asked.join(frequencies, "term")
-    part = _idf(F.col("corpus.n"), F.col("df")) * _saturation(
+    weight = _idf(F.col("corpus.n"), F.col("df")) * _saturation(
         F.col("tf"), F.col("length"), F.col("corpus.mean_length"), k1, b
     )
+    # At most one entry per query term of the block.
     return (
-        postings.join(weighted, "term")
+        postings.join(frequencies, "no")
         .withColumn("corpus", corpus)
-        .groupBy(query_id, id_col)
-        .agg(F.round(F.sum(part), SCORE_DIGITS).alias("bm25_score"))
+        .groupBy(id_col)
+        .agg(F.sort_array(F.collect_list(F.struct("no", weight.alias("weight")))).alias("_w"))
+        .select(id_col, F.col("_w.no").alias("_terms"), F.col("_w.weight").alias("_weights"))
     )
 
 
-def best_per_query(df: DataFrame, score: str, id_col: str, k: int, query_id: str = "query_id") -> DataFrame:
-    """The k best rows of every query with their rank; each task keeps only k rows per query."""
-    order = Window.partitionBy(query_id).orderBy(F.desc(score), F.asc(id_col))
-    return df.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+class _Block:
+    """A bounded block of queries as arrays: which queries hold a term, and their vectors."""
+
+    def __init__(self, rows: pd.DataFrame, query_id: str, query_vector: str) -> None:
+        self.ids = rows[query_id].to_numpy()
+        self.matrix = np.stack([np.asarray(v, dtype="float64") for v in rows[query_vector]])
+        self.terms = sorted({t for found in rows["_terms"] for t in found})
+        number = {t: i for i, t in enumerate(self.terms)}
+        pairs = sorted((number[t], q) for q, found in enumerate(rows["_terms"]) for t in found)
+        self.queries = np.array([q for _, q in pairs], dtype="int64")
+        self.starts = np.searchsorted([t for t, _ in pairs], np.arange(len(self.terms) + 1))
+
+    def text_scores(self, terms: list, weights: list) -> np.ndarray:
+        """Documents x queries: the sum of a document's term weights over the terms of each query."""
+        sizes = [0 if t is None else len(t) for t in terms]
+        shape = (len(terms), len(self.ids))
+        if not sum(sizes):
+            return np.zeros(shape)
+        flat = np.concatenate([t for t in terms if t is not None]).astype("int64")
+        values = np.concatenate([w for w in weights if w is not None]).astype("float64")
+        first, count = self.starts[flat], self.starts[flat + 1] - self.starts[flat]
+        inside = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        query = self.queries[np.repeat(first, count) + inside]
+        cell = np.repeat(np.repeat(np.arange(len(terms)), sizes), count) * shape[1] + query
+        sums = np.bincount(cell, weights=np.repeat(values, count), minlength=shape[0] * shape[1])
+        return np.round(sums.reshape(shape), SCORE_DIGITS)
+
+
+def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Record batches cut to a size whose score matrix stays small."""
+    for batch in batches:
+        for start in range(0, len(batch), ROWS_PER_PIECE):
+            yield batch.iloc[start : start + ROWS_PER_PIECE]
+
+
+def _spread_of(block: _Block) -> Callable:
+    """Per task and query: the range of the scores above zero, and how many there are."""
+
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        high = np.zeros(len(block.ids))
+        low = np.full(len(block.ids), np.inf)
+        matched = np.zeros(len(block.ids), dtype="int64")
+        for piece in _pieces(batches):
+            scores = block.text_scores(piece["_terms"].tolist(), piece["_weights"].tolist())
+            high = np.maximum(high, scores.max(axis=0))
+            low = np.minimum(low, np.where(scores > 0, scores, np.inf).min(axis=0))
+            matched += (scores > 0).sum(axis=0)
+        yield pd.DataFrame({"q": np.arange(len(block.ids)), "hi": high, "lo": low, "matched": matched})
+
+    return measure
+
+
+def _best_of(block: _Block, low: np.ndarray, high: np.ndarray, k: int, names: tuple[str, str, str],
+             weights: tuple[float, float]) -> Callable:
+    """Score pieces of documents against the block, keeping k rows per query and task."""
+    query_id, id_col, vector_col = names
+    width = np.where(high > low, high - low, 1.0)
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept: pd.DataFrame | None = None
+        for piece in _pieces(batches):
+            vectors = np.stack(piece[vector_col].to_numpy()).astype("float64")
+            cosine = np.round(vectors @ block.matrix.T, SCORE_DIGITS)
+            text = block.text_scores(piece["_terms"].tolist(), piece["_weights"].tolist())
+            norm = np.where(high > low, (text - low) / width, 0.0)
+            hybrid = np.round(weights[0] * norm + weights[1] * cosine, SCORE_DIGITS)
+            # Rows below the k-th best score of a query cannot be among its k best.
+            cut = np.partition(hybrid, -k, axis=0)[-k] if len(hybrid) > k else hybrid.min(axis=0)
+            row, column = np.nonzero(hybrid >= cut)
+            fresh = pd.DataFrame(
+                {
+                    query_id: block.ids[column],
+                    id_col: piece[id_col].to_numpy()[row],
+                    "hybrid_score": hybrid[row, column],
+                    "bm25_norm": norm[row, column],
+                    "semantic_score": cosine[row, column],
+                }
+            )
+            merged = fresh if kept is None else pd.concat([kept, fresh], ignore_index=True)
+            merged = merged.sort_values([query_id, "hybrid_score", id_col], ascending=[True, False, True])
+            kept = merged.groupby(query_id, sort=False).head(k)
+        if kept is not None:
+            yield kept
+
+    return score
 
 
 def hybrid_batch(
     docs: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 500, id_col: str = "candidate_id",
     text_col: str = "text", vector_col: str = "embedding", query_id: str = "query_id",
     query_text: str = "query_text", query_vector: str = "query_vector", bm25_weight: float = BM25_WEIGHT,
-    semantic_weight: float = SEMANTIC_WEIGHT,
+    semantic_weight: float = SEMANTIC_WEIGHT, k1: float = K1, b: float = B,
 ) -> DataFrame:
     """T4: hybrid top-k for a table of queries, exact.
 
-    The BM25 scores of a document travel as one short list, at most one entry per query of the
-    block. Every task multiplies its vectors with the block of query vectors and keeps its k best
-    rows per query; only those are shuffled. Queries beyond one block take further passes.
+    No row is made per (query, document). Every document carries the weights of the query terms
+    it holds; each task multiplies these and its vectors with a bounded block of queries, and
+    hands on at most k rows per query. The term weights are written to the shared folder once
+    per block, because the range of the scores is needed before they can be combined. Queries
+    beyond one block take further passes.
     """
-    pairs = bm25_pairs(docs, queries, id_col, text_col, query_id, query_text)
-    n = docs.agg(F.count("*")).scalar()
-    # A query that some document does not match has 0 as its lowest score.
-    spread = pairs.groupBy(query_id).agg(
-        F.max("bm25_score").alias("hi"),
-        F.when(F.count("*") < n, 0.0).otherwise(F.min("bm25_score")).alias("lo"),
+    asked = queries.select(
+        query_id, query_vector, F.array_distinct(tokens(F.col(query_text))).alias("_terms")
     )
-    norm = F.when(
-        F.col("hi") > F.col("lo"), (F.col("bm25_score") - F.col("lo")) / (F.col("hi") - F.col("lo"))
-    ).otherwise(0.0)
-    scaled = pairs.join(spread, query_id).select(query_id, id_col, norm.alias("bm25_norm"))
-
+    total, documents = queries.count(), docs.agg(F.count("*").alias("n")).first()["n"]
     # Hash parts of about half the block size. Only one bounded block is held at a time.
-    total = queries.count()
     parts = 1 if total <= QUERIES_PER_PASS else -(-2 * total // QUERIES_PER_PASS)
     part_of = F.pmod(F.xxhash64(query_id), F.lit(parts))
+    spark = docs.sparkSession
     out = None
     for part in range(parts):
-        block = (
-            queries.where(part_of == part).select(query_id, query_vector).limit(QUERIES_PER_PASS + 1).toPandas()
-        )
-        if len(block) > QUERIES_PER_PASS:
+        rows = asked.where(part_of == part).limit(QUERIES_PER_PASS + 1).toPandas()
+        if len(rows) > QUERIES_PER_PASS:
             raise ValueError("query ids must be unique")
-        if not len(block):
+        if not len(rows):
             continue
-        ids = block[query_id].tolist()
-        matrix = np.stack([np.asarray(v, dtype="float64") for v in block[query_vector]])
-        lists = scaled.where(part_of == part).groupBy(id_col).agg(
-            F.collect_list(F.struct(F.col(query_id).alias("q"), "bm25_norm")).alias("_found")
-        ).select(
-            id_col,
-            F.transform("_found", lambda x: x["q"]).alias("_ids"),
-            F.transform("_found", lambda x: x["bm25_norm"]).alias("_norms"),
+        block = _Block(rows, query_id, query_vector)
+        numbered = spark.createDataFrame(
+            pd.DataFrame({"term": block.terms, "no": np.arange(len(block.terms))}), "term string, no int"
+        )
+        lists = staged(_term_weights(docs, numbered, id_col, text_col, k1, b), "term-weights")
+        # One row per query: at most a block.
+        spread = (
+            lists.select("_terms", "_weights")
+            .mapInPandas(_spread_of(block), "q bigint, hi double, lo double, matched bigint")
+            .groupBy("q")
+            .agg(F.max("hi").alias("hi"), F.min("lo").alias("lo"), F.sum("matched").alias("matched"))
+            .orderBy("q")
+            .toPandas()
         )
+        high = np.zeros(len(rows))
+        low = np.zeros(len(rows))
+        if len(spread):
+            high = spread["hi"].to_numpy()
+            # A query that some document does not match has 0 as its lowest score.
+            low = np.where(spread["matched"] < documents, 0.0, spread["lo"].to_numpy())
         local = vectors.select(id_col, vector_col).join(lists, id_col, "left").mapInPandas(
-            _block_scorer(ids, matrix, k, id_col, vector_col, query_id, bm25_weight, semantic_weight),
+            _best_of(block, low, high, k, (query_id, id_col, vector_col), (bm25_weight, semantic_weight)),
             f"{query_id} {queries.schema[query_id].dataType.simpleString()}, "
             f"{id_col} {vectors.schema[id_col].dataType.simpleString()}, "
             "hybrid_score double, bm25_norm double, semantic_score double",
@@ -367,44 +457,6 @@ def hybrid_batch(
     return best_per_query(out, "hybrid_score", id_col, k, query_id)
 
 
-def _block_scorer(ids, matrix, k, id_col, vector_col, query_id, bm25_weight, semantic_weight) -> Callable:
-    """Score record batches against a block of query vectors, keeping k rows per query and task."""
-    position = {q: i for i, q in enumerate(ids)}
-    query_ids = np.asarray(ids)
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept: pd.DataFrame | None = None
-        for batch in batches:
-            if not len(batch):
-                continue
-            cosine = np.round(np.stack(batch[vector_col].to_numpy()).astype("float64") @ matrix.T, SCORE_DIGITS)
-            norm = np.zeros_like(cosine)
-            for row, (found, values) in enumerate(zip(batch["_ids"], batch["_norms"], strict=True)):
-                if found is not None and len(found):
-                    norm[row, [position[q] for q in found]] = values
-            hybrid = np.round(bm25_weight * norm + semantic_weight * cosine, SCORE_DIGITS)
-            doc_ids = batch[id_col].to_numpy()
-            # Rows below the k-th best score of a query cannot be among its k best.
-            cut = np.partition(hybrid, -k, axis=0)[-k] if len(hybrid) > k else hybrid.min(axis=0)
-            row, column = np.nonzero(hybrid >= cut)
-            fresh = pd.DataFrame(
-                {
-                    query_id: query_ids[column],
-                    id_col: doc_ids[row],
-                    "hybrid_score": hybrid[row, column],
-                    "bm25_norm": norm[row, column],
-                    "semantic_score": cosine[row, column],
-                }
-            )
-            merged = fresh if kept is None else pd.concat([kept, fresh], ignore_index=True)
-            merged = merged.sort_values([query_id, "hybrid_score", id_col], ascending=[True, False, True])
-            kept = merged.groupby(query_id, sort=False).head(k)
-        if kept is not None:
-            yield kept
-
-    return score
-
-
 # --- keyword filter and union retrieval ----------------------------------------------------
 
 
