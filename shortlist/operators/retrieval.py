@@ -33,6 +33,8 @@ SCORE_DIGITS = 9
 
 #: Queries handled by one pass over the documents; more queries take more passes.
 QUERIES_PER_PASS = 1024
+#: Query terms of a block, some tens of bytes each, that are sent to every task.
+BROADCAST_TERMS = 500_000
 #: Documents scored at a time inside a task.
 ROWS_PER_PIECE = 2048
 
@@ -282,8 +284,7 @@ def _term_weights(docs: DataFrame, terms: DataFrame, id_col: str, text_col: str,
     """``(id, terms, weights)``: the BM25 weight of each query term in each document that holds one.
 
     ``terms`` is ``(term, no)``. Occurrences are counted per (document, term) with map-side
-    combine; other words are dropped before that. Spark broadcasts the terms when it finds them
-    small and otherwise shuffles, splitting terms that are too frequent.
+    combine; other words are dropped before that.
     """
     counted = docs.select(id_col, tokens(F.col(text_col)).alias("_t")).select(
         id_col, F.size("_t").alias("length"), "_t"
@@ -304,7 +305,7 @@ def _term_weights(docs: DataFrame, terms: DataFrame, id_col: str, text_col: str,
         postings.join(frequencies, "no")
         .withColumn("corpus", corpus)
         .groupBy(id_col)
-        .agg(F.sort_array(F.collect_list(F.struct("no", weight.alias("weight")))).alias("_w"))
+        .agg(F.collect_list(F.struct("no", weight.alias("weight"))).alias("_w"))
         .select(id_col, F.col("_w.no").alias("_terms"), F.col("_w.weight").alias("_weights"))
     )
 
@@ -429,6 +430,8 @@ def hybrid_batch(
         numbered = spark.createDataFrame(
             pd.DataFrame({"term": block.terms, "no": np.arange(len(block.terms))}), "term string, no int"
         )
+        if len(block.terms) <= BROADCAST_TERMS:  # longer lists are joined by a shuffle
+            numbered = F.broadcast(numbered)
         lists = staged(_term_weights(docs, numbered, id_col, text_col, k1, b), "term-weights")
         # One row per query: at most a block.
         spread = (
@@ -542,3 +545,17 @@ def embed_new(candidates: DataFrame, stored: DataFrame | None, encoder: Encoder
     """Vectors for new ids only; append the result to the stored table."""
     todo = candidates.dropDuplicates([id_col]) if stored is None else pending(candidates, stored, id_col)
     return encode(todo, encoder, id_col, text_col, dim)
+
+
+def updated_store(candidates: DataFrame, stored: DataFrame, encoder: Encoder | None = None,
+                  id_col: str = "candidate_id", text_col: str = "embedding_text", dim: int = 64) -> DataFrame:
+    """The stored vectors together with those of new ids.
+
+    A store that holds an id twice no longer fits its ids: it is dropped, and every given
+    candidate is encoded again. The check is part of the plan.
+    """
+    broken = stored.groupBy(id_col).agg(F.count("*").alias("n")).agg(
+        F.coalesce(F.max("n") > 1, F.lit(False))
+    ).scalar()
+    kept = stored.select(id_col, "embedding").where(~broken)
+    return kept.unionByName(embed_new(candidates, kept, encoder, id_col, text_col, dim))

@@ -103,7 +103,10 @@ def load_stats(spark: SparkSession, folder: str) -> DataFrame:
 @register
 def stream_ingest(spark: SparkSession, folder: str) -> DataFrame:
     """M1, M3: the same lines through the streaming load; rows per stored table."""
-    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    shared = shared_folder(spark)
+    if shared is None:
+        raise ValueError("a streaming load needs a shared folder: set spark.checkpoint.dir")
+    base = f"{shared}/stream-{uuid.uuid4().hex}"
     derived.raw_lines(warehouse(spark, folder).candidates).select("value").write.text(f"{base}/in")
     streaming.load_stream(spark, f"{base}/in", f"{base}/out", f"{base}/state", files_per_batch=8).awaitTermination()
     out = None

@@ -31,7 +31,7 @@ def local_session(app: str = "shortlist", cores: str = "*", memory: str = "16g",
 
 
 def is_local(spark: SparkSession) -> bool:
-    return spark.conf.get("spark.master", "").startswith("local")
+    return spark.sparkContext.master.startswith("local")
 
 
 def shared_folder(spark: SparkSession) -> str | None:

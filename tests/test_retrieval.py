@@ -187,6 +187,15 @@ def test_only_new_candidates_are_encoded_by_a_given_encoder(spark):
         retrieval.embed_new(arriving.drop("embedding_text"), stored)
 
 
+def test_store_grows_or_is_rebuilt(spark):
+    texts = spark.createDataFrame([(f"C{i}", f"text {i}") for i in (2, 3, 4, 5)], "candidate_id string, embedding_text string")
+    first = retrieval.encode(spark.createDataFrame([(f"C{i}", f"text {i}") for i in (1, 2, 3)], texts.schema))
+    assert sorted(ids(retrieval.updated_store(texts, first))) == ["C1", "C2", "C3", "C4", "C5"]
+    broken = first.unionByName(first.where("candidate_id = 'C1'"))
+    assert sorted(ids(retrieval.updated_store(texts, broken))) == ["C2", "C3", "C4", "C5"]
+    assert sorted(ids(retrieval.updated_store(texts, first.where("false")))) == ["C2", "C3", "C4", "C5"]
+
+
 def test_audit_of_stored_vectors(spark):
     people = spark.createDataFrame([(f"C{i}",) for i in range(5)], "candidate_id string")
     stored = spark.createDataFrame([("C1",), ("C2",), ("C2",), ("X",)], "candidate_id string")
