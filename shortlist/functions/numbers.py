@@ -5,10 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from shortlist.functions.arrays import let
-
 #: Splits a double into two halves whose products are exact.
-_SPLITTER = 134217729.0
+_SPLITTER = "134217729.0D"
 
 
 def exact_round(value: Column, digits: int) -> Column:
@@ -18,19 +16,19 @@ def exact_round(value: Column, digits: int) -> Column:
     below) into a tie. Here the error of ``value * 10^digits`` is computed as well, so that an
     apparent tie is decided by what is really stored.
     """
-    scale = float(10**digits)
-
-    def rounded(v: Column) -> Column:
-        x = F.abs(v)
-        scaled = x * scale
-        high = x * _SPLITTER - (x * _SPLITTER - x)
-        error = (high * scale - scaled) + (x - high) * scale
-        below = F.floor(scaled)
-        rest = scaled - below
-        up = (rest > 0.5) | ((rest == 0.5) & ((error > 0) | ((error == 0) & (below % 2 == 1))))
-        return F.signum(v) * (below + up.cast("int")) / scale
-
-    return let(value.cast("double"), rounded)
+    scale = f"{float(10**digits)}D"
+    # t.p is the scaled value, t.h the upper half of x; the bracketed sum is the error of t.p.
+    error = f"((t.h * {scale} - t.p) + (x - t.h) * {scale})"
+    up = f"t.r > 0.5D OR (t.r = 0.5D AND ({error} > 0 OR ({error} = 0 AND floor(t.p) % 2 = 1)))"
+    parts = f"struct(x * {scale} AS p, x * {_SPLITTER} - (x * {_SPLITTER} - x) AS h, x * {scale} - floor(x * {scale}) AS r)"
+    result = f"signum(v) * (floor(t.p) + if({up}, 1, 0)) / {scale}"
+    body = "v -> " + _bound("abs(v)", "x", _bound(parts, "t", result))
+    return F.element_at(F.call_function("transform", F.array(value.cast("double")), F.expr(body)), 1)
+
+
+def _bound(value: str, name: str, body: str) -> str:
+    """SQL for ``body`` with ``name`` standing for the value."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
 def fixed(value: Column, digits: int) -> Column:

@@ -463,11 +463,22 @@ def fraud_breakdown(spark: SparkSession, folder: str) -> DataFrame:
 @register
 def features31(spark: SparkSession, folder: str) -> DataFrame:
     """The 31-column set; similarities come from the stored vectors."""
+    featured = feat.with_features_31(warehouse(spark, folder).candidates, _role())
+    return _with_similarity(featured, spark, folder).select("candidate_id", *[six(c) for c in feat.FEATURES_31])
+
+
+def _with_similarity(featured: DataFrame, spark: SparkSession, folder: str) -> DataFrame:
+    """Fill in the similarity to one stored vector, 0 where a candidate has none.
+
+    The features are made before the join, so numbers are shuffled and not whole profiles.
+    """
     vectors = derived.candidate_vectors(spark, folder)
     scores = retrieval.cosine_scores(vectors, retrieval.stored_vector(vectors, "CAND_0000007"))
-    people = warehouse(spark, folder).candidates.join(scores, "candidate_id", "left")
-    featured = feat.with_features_31(people, _role(), None, F.coalesce("semantic_score", F.lit(0.0)))
-    return featured.select("candidate_id", *[six(c) for c in feat.FEATURES_31])
+    return (
+        featured.drop("embedding_similarity")
+        .join(scores.withColumnRenamed("semantic_score", "embedding_similarity"), "candidate_id", "left")
+        .withColumn("embedding_similarity", F.coalesce("embedding_similarity", F.lit(0.0)))
+    )
 
 
 @register
@@ -508,11 +519,7 @@ def top_skills_per_candidate(spark: SparkSession, folder: str) -> DataFrame:
 
 def _featured(spark: SparkSession, folder: str) -> DataFrame:
     """All candidates with fraud scores and the 31 features."""
-    vectors = derived.candidate_vectors(spark, folder)
-    scores = retrieval.cosine_scores(vectors, retrieval.stored_vector(vectors, "CAND_0000007"))
-    people = _screened(spark, folder).join(scores, "candidate_id", "left")
-    featured = feat.with_features_31(people, _role(), None, F.coalesce("semantic_score", F.lit(0.0)))
-    return featured.drop("semantic_score")
+    return _with_similarity(feat.with_features_31(_screened(spark, folder), _role()), spark, folder)
 
 
 @register
