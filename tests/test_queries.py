@@ -38,8 +38,11 @@ def test_only_the_model_fit_has_no_sql():
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
-def test_query_equals_sql(spark, duck, small, name):
+def test_query_equals_sql(spark, duck, small, name, capsys):
     df = QUERIES[name](spark, small)
+    df.explain("formatted")
+    plan = capsys.readouterr().out
+    assert not [bad for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "EvalPython") if bad in plan]
     result = duck.execute(ORACLE[name])
     columns = [c[0] for c in result.description]
     assert sorted(columns) == sorted(df.columns)
