@@ -14,10 +14,12 @@ decide between equal documents; ties go to the smaller id.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +27,9 @@ from shortlist.functions.text import tokens
 from shortlist.functions.vectors import dot, hashed_bag
 from shortlist.session import staged
 
+# The functions that run in tasks travel with their code, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 K1 = 1.5
 B = 0.75
 BM25_WEIGHT = 0.4
