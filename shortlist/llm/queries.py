@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shortlist.llm import exact, language, licenses, neardup, pieces, quality, toxicity, warc
+from shortlist.llm import exact, language, licenses, neardup, pieces, quality, substrings, toxicity, warc
 from shortlist.llm.common import Stage, is_held_out, table
 
 #: The vocabulary file of the public tokenizer that op4 is bound to.
 PIECES_FILE = "piece_bpe_32k.model"
 
 
+def op1_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, folder, "documents"), length=400)
+
+
 def op2_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan(table(spark, folder, "documents"))
 
@@ -62,6 +66,7 @@ def op10_minhash(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_license_scan": op2_license_scan,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_sentencepiece": op4_sentencepiece,
