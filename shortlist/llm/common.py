@@ -95,3 +95,15 @@ def per_row(
                 yield pa.RecordBatch.from_arrays([pa.array(made[n], arrow.field(n).type) for n in names], schema=arrow)
 
     return df.mapInArrow(task, schema)
+
+
+def keep_rows(df: DataFrame, text: str, setup: Callable[[], Callable[[str | None], bool]]) -> DataFrame:
+    """The rows whose text the predicate accepts, with all their columns; ``setup`` runs once per task."""
+    at = df.columns.index(text)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        accepts = setup()
+        for batch in batches:
+            yield batch.filter(pa.array([accepts(t) for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return df.mapInArrow(task, df.schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shortlist.llm import exact, language, licenses, neardup, pieces, quality, substrings, toxicity, warc
+from shortlist.llm import decontaminate, exact, language, licenses, neardup, pieces, quality, substrings, toxicity, warc
 from shortlist.llm.common import Stage, is_held_out, table
 
 #: The vocabulary file of the public tokenizer that op4 is bound to.
@@ -30,6 +30,10 @@ def op4_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.digest_documents(table(spark, folder, "documents"), public_tokenizers.path(PIECES_FILE))
 
 
+def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
     held = is_held_out("doc_id", 5, 0)
@@ -70,6 +74,7 @@ QUERIES = {
     "op2_license_scan": op2_license_scan,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_sentencepiece": op4_sentencepiece,
+    "op5_decontamination": op5_decontamination,
     "op6_quality": op6_quality,
     "op7_language": op7_language,
     "op8_toxicity": op8_toxicity,

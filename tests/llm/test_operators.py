@@ -1,0 +1,402 @@
+"""Every operator on small tables: against brute force, round trips, and the cases its docstring defines."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import Row
+from pyspark.sql import functions as F
+
+from shortlist.llm import components, decontaminate, exact, language, licenses, neardup, pieces, quality, substrings, toxicity, warc
+from shortlist.llm.common import Stage, is_held_out
+
+ODD = "id long, text string, lang string, key string, n long, low long, label int, row long"
+
+
+def docs_of(spark, rows, schema="doc_id long, text string"):
+    return spark.createDataFrame(rows, schema)
+
+
+def odd_docs(spark):
+    """Nulls, empty, blank and repeated rows, ties, and columns whose names the operators use themselves."""
+    rows = [(1, None), (2, ""), (3, " \n"), (4, "one two"), (4, "one two"), (5, "ONE two"), (None, "one two three four five six seven"), (6, "x" * 20000)]
+    frame = docs_of(spark, rows)
+    for name in ("id", "key", "n", "low", "label", "row", "component", "class", "digest", "body", "hash", "print"):
+        frame = frame.withColumn(name, F.lit(7))
+    return frame
+
+
+# ---- repeated strings
+
+
+def brute_removed(texts, length):
+    bodies = [(t or "").encode() for t in texts]
+    seen = Counter(b[i : i + length] for b in bodies for i in range(len(b) - length + 1))
+    out = []
+    for b in bodies:
+        gone = [False] * len(b)
+        for i in range(len(b) - length + 1):
+            if seen[b[i : i + length]] > 1:
+                gone[i : i + length] = [True] * length
+        kept = bytes(x for x, g in zip(b, gone) if not g)
+        out.append((len(b), sum(gone), sum(g and (i == 0 or not gone[i - 1]) for i, g in enumerate(gone)), hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+def test_interval_expansion_marks_repeats():
+    draw = random.Random(1)
+    for trial in range(120):
+        length = draw.choice([1, 2, 4, 9])
+        bodies = [bytes(draw.choice(b"ab" if trial % 2 else b"abcd\x00\xff") for _ in range(draw.randint(0, 50))) for _ in range(draw.randint(1, 6))]
+        seen = Counter(b[i : i + length] for b in bodies for i in range(len(b) - length + 1))
+        want = [[i for i in range(len(b) - length + 1) if seen[b[i : i + length]] > 1] for b in bodies]
+        assert [x.tolist() for x in substrings.repeated_starts(bodies, length)] == want
+
+
+@pytest.mark.parametrize("most", [2000, 1])
+def test_repeated_strings_against_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(substrings, "MOST_CONTEXTS", most)
+    draw = random.Random(2)
+    passage = "".join(draw.choice("abcdefgh é") for _ in range(400))
+    texts = [None, "", "short", passage, passage, "a" * 700, "ab" * 300, passage[:90] + "?" + passage[91:]]
+    texts += ["".join(draw.choice("abcdefgh ") for _ in range(150)) + passage[draw.randint(0, 200) :] for _ in range(8)]
+    frame = docs_of(spark, list(enumerate(texts)))
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substrings.remove_repeats(frame, length=120).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_removed(texts, 120)
+
+
+def test_repeated_strings_defined_cases(spark):
+    frame = docs_of(spark, [(1, "z" * 50), (2, "q" * 39), (None, "w" * 10 + "".join(map(chr, range(97, 123))) * 2)])
+    frame = frame.union(frame.filter("doc_id = 2")).withColumn("anchor", F.lit(1)).withColumn("n", F.lit("x"))
+    got = {(r.doc_id, r.n_bytes): (r.n_removed, r.n_spans, r.kept, r.spans) for r in substrings.remove_repeats(frame, length=39, with_text=True).collect()}
+    assert got[1, 50][:2] == (50, 1) and got[2, 39] == (39, 1, b"", [[0, 39]]) and got[None, 62][:2] == (0, 0)
+    assert substrings.remove_repeats(frame.limit(0), length=39).count() == 0
+
+
+# ---- licences
+
+
+def brute_licence(text):
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c.isascii() else c for c in text or ""))
+    found = []
+    for t in licenses.TEMPLATES:
+        first, length = t.key
+        for start in range(-len(t.words), len(words)):
+            if start + first >= 0 and tuple(words[start + first : start + first + length]) == t.words[first : first + length]:
+                share = sum(0 <= start + i < len(words) and words[start + i] == w for i, w in enumerate(t.words)) / len(t.words)
+                if share >= 0.6:
+                    found.append((t, start + first, share))
+    base = [at for t, at, _ in found if t.base]
+    return (
+        len(words), len(base), min(base, default=None), max(base, default=None), ",".join(sorted({t.label for t, _, _ in found if t.base})),
+        ",".join(sorted({t.label for t, _, _ in found})), max((s for _, _, s in found), default=0.0),
+    )
+
+
+def test_licences_against_brute_force(spark, small):
+    table = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    extra = [(-1, None), (-2, ""), (-3, "cc by CC-BY cc, by all RIGHTS reserved"), (-4, "general public license general public license"), (-5, "by"), (-5, "by")]
+    frame = table.union(docs_of(spark, extra))
+    rows = {r.doc_id: r.text for r in frame.collect()}
+    got = licenses.scan(frame.withColumn("words", F.lit(1)).withColumn("key", F.lit(1))).collect()
+    assert len(got) == frame.count()
+    for r in got:
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, r.score) == brute_licence(rows[r.doc_id])
+    assert licenses.scan(frame.limit(0)).count() == 0
+
+
+# ---- exact duplicates
+
+
+def test_exact_names_against_grouping(spark):
+    draw = random.Random(4)
+    texts = ["".join(draw.choice("aB") for _ in range(draw.choice([0, 3, 7, 8, 9, 16, 17, 40]))) for _ in range(300)] + [None, "É" * 9, "é" * 9]
+    frame = docs_of(spark, [(i if i % 50 else None, t) for i, t in enumerate(texts)])
+    norm = lambda t: "".join(c.lower() if c.isascii() else c for c in t or "")
+    groups: dict = {}
+    for i, t in enumerate(texts):
+        groups.setdefault(norm(t), []).append(i if i % 50 else None)
+    rows = exact.deduplicate(frame, block_bytes=4).collect()
+    assert len(rows) == len(texts)
+    by_text = {hashlib.sha256(k.encode()).hexdigest(): v for k, v in groups.items()}
+    for r in rows:
+        ids = by_text[r.text_sha256]
+        largest = max((i for i in ids if i is not None), default=None)
+        assert (r.keep_id, r.group_size) == (largest, len(ids))
+    kept = Counter(r.text_sha256 for r in rows if r.kept)
+    assert kept == Counter(dict.fromkeys(by_text, 1))
+
+
+def test_blocks_that_share_a_hash_get_names_of_their_own(spark):
+    rows = [(1, 0, 5, b"aa"), (2, 0, 5, b"bb"), (3, 0, 5, b"aa"), (4, 0, 6, b"cc")]
+    frame = spark.createDataFrame(rows, "row long, at int, hash long, block binary")
+    names = {r.row: r.name for r in exact.named_blocks(frame, Stage(spark, "clash")).collect()}
+    assert names[1] == names[3] and len({names[1], names[2], names[4]}) == 3
+
+
+def test_exact_defined_cases(spark):
+    got = exact.deduplicate(odd_docs(spark)).collect()
+    assert len(got) == 8 and sum(r.kept for r in got) == 5
+    assert {(r.doc_id, r.keep_id, r.group_size) for r in got if r.doc_id in (4, 5)} == {(4, 5, 3), (5, 5, 3)}
+    twice = exact.deduplicate(docs_of(spark, [(1, "a"), (1, "a"), (None, "b"), (None, "b")])).collect()
+    assert sorted(r.kept for r in twice) == [False, False, True, True]
+    assert exact.deduplicate(odd_docs(spark).limit(0)).count() == 0
+
+
+# ---- near duplicates
+
+
+def brute_components(rows, length, percent=80):
+    sets = {}
+    for i, t in rows:
+        words = (t or "").encode().lower().split() if (t or "").isascii() else re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in t))
+        size = min(length, len(words))
+        sets[i] = {tuple(words[k : k + size]) for k in range(len(words) - size + 1)} if words else set()
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    ids = sorted(sets)
+    for n, a in enumerate(ids):
+        for b in ids[n + 1 :]:
+            common = len(sets[a] & sets[b])
+            if common and 100 * common >= percent * len(sets[a] | sets[b]):
+                low, high = sorted((find(a), find(b)))
+                root[high] = low
+    return {i: (len(sets[i]), find(i)) for i in ids}
+
+
+def test_near_duplicates_against_brute_force(spark, small):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()]
+    draw = random.Random(5)
+    words = [f"w{draw.randint(0, 400)}" for _ in range(120)]
+    for i in range(60):  # a chain, in which neighbours are near and ends are not
+        words[i * 2 % 120] = f"v{i}"
+        rows.append((100000 + i, " ".join(words)))
+    frame = docs_of(spark, rows)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(frame, shingle_words=4).collect()}
+    assert got == brute_components(rows, 4)
+
+
+def test_near_duplicates_defined_cases(spark):
+    got = neardup.near_duplicates(odd_docs(spark), shingle_words=4).collect()
+    found = sorted(((r.doc_id or 0), r.n_shingles, r.component_id, r.kept) for r in got)
+    assert found == [(0, 4, None, True), (1, 0, 1, True), (2, 0, 2, True), (3, 0, 3, True), (4, 1, 4, True), (4, 1, 4, True), (5, 1, 4, False), (6, 1, 6, True)]
+    assert neardup.near_duplicates(odd_docs(spark).limit(0)).count() == 0
+
+
+def test_components_of_a_path_and_a_star(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(7, 7)]
+    got = components.components(spark.createDataFrame(edges, "a long, b long"), Stage(spark, "graph"), "g").collect()
+    assert {r.node: r.component for r in got} == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 160)}
+
+
+# ---- pieces
+
+
+@pytest.fixture(scope="module")
+def piece_path():
+    return pytest.importorskip("public_tokenizers").path("piece_bpe_32k.model")
+
+
+def test_pieces_against_the_library(spark, small, piece_path):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=piece_path)
+    model = pieces.Model(open(piece_path, "rb").read())
+    draw = random.Random(6)
+    texts = ["", " ", "   a  b ", "a" * 300, " " * 99, "<s> </s> <0x41> ▁▁", "中文 😀\U0001f600\x00", "\r\n\t é"]
+    texts += ["".join(draw.choice("  ab etin▁\n\té中😀<>s0xTH.!-_=*") for _ in range(draw.randint(0, 40))) for _ in range(800)]
+    names = [library.id_to_piece(i).replace("▁", " ") for i in range(259, 32000)]
+    texts += ["".join(draw.choice(names) for _ in range(draw.randint(1, 6))) for _ in range(3000)]
+    texts += [r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
+    for text in texts:
+        ids = library.encode(text, add_eos=True)
+        assert model.encode(text) == ids
+        assert model.decode(ids) == library.decode(ids)
+        line = " ".join(map(str, ids))
+        assert model.digest(text) == (len(ids), hashlib.sha256(line.encode()).hexdigest(), hashlib.sha256(library.decode(ids).encode()).hexdigest())
+    for _ in range(1000):
+        ids = [draw.randrange(32000) if draw.random() < 0.5 else draw.randrange(259) for _ in range(draw.randint(0, 12))]
+        assert model.decode(ids) == library.decode(ids)
+
+
+def test_pieces_defined_cases(spark, piece_path):
+    got = pieces.encode_documents(odd_docs(spark), piece_path).collect()
+    assert len(got) == 8 and {tuple(r.ids) for r in got if r.doc_id in (1, 2)} == {(2,)} and {r.decoded for r in got if r.doc_id == 4} == {"one two"}
+    assert pieces.digest_documents(odd_docs(spark).limit(0), piece_path).count() == 0
+
+
+# ---- decontamination
+
+
+def brute_common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
+def test_common_subsequence():
+    draw = random.Random(7)
+    for _ in range(300):
+        a, b = ([draw.choice("abcd") for _ in range(draw.randint(1, 20))] for _ in range(2))
+        item = decontaminate.Item.of(1, " ".join(a), {})
+        assert decontaminate.common_subsequence(item.bits, b, len(a)) == brute_common(a, b)
+
+
+def test_passages_of_the_benchmark_are_found_and_clean_documents_are_not(spark, small):
+    benchmark = spark.read.parquet(f"{small}/benchmark.parquet")
+    items = {r.item_id: r.text for r in benchmark.collect()}
+    table = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    texts = {r.doc_id: r.text for r in table.collect()}
+    clean = [t for t in texts.values() if len(t) > 2000][:6]
+    draw, planted, rows = random.Random(8), set(), []
+    for n, (item, text) in enumerate(items.items()):
+        words = text.split()
+        for _ in range(max(1, len(words) // 10)):  # a paraphrase: some words exchanged
+            words[draw.randrange(len(words))] = f"changed{n}"
+        rows.append((500000 + n, f"{clean[n % len(clean)][:900]} {' '.join(words)} {clean[n % len(clean)][900:1700]}"))
+        planted.add((500000 + n, item))
+    frame = table.union(docs_of(spark, rows))
+    texts |= dict(rows)
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(frame, benchmark, block_items=15).collect()}
+    frequency = Counter(w for t in texts.values() for w in set(decontaminate.words_of(t)))
+    want = set()
+    for item, text in items.items():
+        own = decontaminate.Item.of(item, text, frequency)
+        rarest = own.answer
+        for doc, body in texts.items():
+            words = decontaminate.words_of(body)
+            if not rarest.intersection(words):
+                continue
+            n = len(own.words)
+            if any(own.share(words[a : a + 2 * n]) >= 0.8 for a in range(0, max(1, len(words)), max(1, n // 4))):
+                want.add((doc, item))
+    assert len(got & want) >= 0.9 * len(want) and planted & want <= got
+    for doc, item in got:
+        own = decontaminate.Item.of(item, items[item], frequency)
+        assert brute_common(own.words, decontaminate.words_of(texts[doc])) >= 0.6 * len(own.words)
+
+
+def test_decontamination_defined_cases(spark):
+    item = " ".join(f"rare{i}" for i in range(20))
+    benchmark = spark.createDataFrame([(1, item), (1, item), (2, None), (3, ""), (4, "what is it? answer42 here")], "item_id long, text string")
+    frame = odd_docs(spark).select("doc_id", "text").union(docs_of(spark, [(9, f"a b {item} c"), (9, f"a b {item} c"), (10, f"{item} x {item}")]))
+    got = sorted((r.doc_id, r.item_id, r.common) for r in decontaminate.contaminated(frame.withColumn("item", F.lit(1)), benchmark).collect())
+    assert got == [(9, 1, 1.0), (10, 1, 1.0)]
+    assert decontaminate.contaminated(frame, benchmark.limit(0)).count() == 0
+    assert decontaminate.contaminated(frame.limit(0), benchmark).count() == 0
+
+
+# ---- classifiers
+
+
+def agreement(spark, folder, frame, label, held):
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    rows = frame.join(labels, "doc_id").filter(held).collect()
+    return rows, np.mean([r["predicted"] == r[label] for r in rows])
+
+
+def test_quality_on_held_out_labels(spark):
+    folder = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    held = is_held_out("doc_id", 5, 0)
+    scored = quality.score(docs, quality.learn(docs, labels, ~held)).withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+    assert scored.count() == docs.count()
+    rows, right = agreement(spark, folder, scored, "quality", held)
+    assert right >= 0.95
+    good, bad = [r.score for r in rows if r.quality == 1], [r.score for r in rows if r.quality == 0]
+    assert np.mean([a > b for a in good for b in bad]) >= 0.97
+
+
+def test_toxicity_on_held_out_labels(spark):
+    folder = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    held = is_held_out("doc_id", 5, 0)
+    scored = toxicity.score(docs, toxicity.learn(docs, labels, ~held)).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    rows, right = agreement(spark, folder, scored, "toxic", held)
+    assert right >= 0.97 and np.mean([r.predicted for r in rows if r.toxic == 1]) >= 0.8
+
+
+def test_pairs_weigh_more_than_their_terms():
+    draw = np.random.default_rng(1)
+    held = [sorted(set(np.flatnonzero(draw.random(4) < 0.5).tolist())) for _ in range(3000)]
+    y = np.array([float({0, 1} <= set(h)) for h in held])  # only both together
+    bias, linear, latent = toxicity.fit(held, y, 4, factors=2, epochs=30, seed=2)
+    model = toxicity.Model({}, bias, linear, latent)
+    assert model.logit([0, 1]) > 0 > max(model.logit([0]), model.logit([1]), model.logit([2, 3]), model.logit([]))
+
+
+def test_language_on_held_out_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held = is_held_out("doc_id", 4, 2)
+    found = language.identify(docs, language.learn(docs, ~held)).join(docs.select("doc_id", "lang"), "doc_id").filter(held).collect()
+    assert np.mean([r.lang_pred == r.lang for r in found]) >= 0.97
+    assert all(0 <= r.score <= 1 for r in found)
+
+
+def test_classifiers_defined_cases(spark):
+    frame = odd_docs(spark).withColumn("lang", F.when(F.col("doc_id") == 4, "en"))
+    labels = spark.createDataFrame([Row(doc_id=4, quality=1, toxic=0), Row(doc_id=4, quality=1, toxic=0), Row(doc_id=5, quality=None, toxic=None)], "doc_id long, quality int, toxic int")
+    good = quality.score(frame, quality.learn(frame, labels, F.lit(True))).collect()
+    assert len(good) == 8 and {r.score for r in good} == {0.5}
+    bad = toxicity.score(frame, toxicity.learn(frame, labels, F.lit(True))).collect()
+    assert len(bad) == 8 and all(r.score < 0.02 for r in bad)
+    told = language.identify(frame, language.learn(frame, F.lit(True))).collect()
+    assert {(r.doc_id, r.lang_pred) for r in told if r.doc_id in (1, 2, 3, 4)} == {(1, "und"), (2, "und"), (3, "und"), (4, "en")}
+    nothing = language.learn(frame, F.lit(False))
+    assert {r.lang_pred for r in language.identify(frame, nothing).collect()} == {"und"}
+    empty = frame.limit(0)
+    assert quality.score(empty, quality.learn(empty, labels, F.lit(True))).count() == 0
+    assert toxicity.score(empty, toxicity.learn(empty, labels.limit(0), F.lit(True))).count() == 0
+
+
+def test_long_texts_are_read_whole(spark):
+    text = "the of and in " * 100_000
+    assert language.ngram_counts(text).sum() == pytest.approx(sum(len(text) - n + 1 for n in (2, 3)) + sum(c != " " for c in text), abs=0)
+
+
+# ---- archive
+
+
+def test_archive_round_trip(spark, tmp_path):
+    long = "<html>" + "x" * 200 + "\r\n\r\n" + "é" * 10
+    rows = [(3, "http://a", long), (1, "http://b", long), (2, None, long), (4, "http://c\r\nX: y", "short"), (5, "u", "short"), (6, "u", None), (7, "u", ""), (None, "u", long)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit(1)).withColumn("header", F.lit("h"))
+    warc.write_archive(pages, str(tmp_path / "archive"))
+    assert spark.read.parquet(str(tmp_path / "archive/payloads")).count() == 3
+    back = warc.parsed(warc.read_archive(spark, str(tmp_path / "archive")))
+    got = {r.record_id: r for r in back.collect()}
+    assert len(got) == 8
+    for page, _, html in rows:
+        r, body = got[page], (html or "").encode()
+        assert bytes(r.payload) == body and r.payload_digest == r.declared_digest == hashlib.sha256(body).hexdigest() and r.payload_bytes == len(body)
+    assert {k: (r.record_type, r.refers_to) for k, r in got.items()} == {
+        1: ("response", None), 2: ("revisit", "1"), 3: ("revisit", "1"), None: ("revisit", "1"),
+        4: ("response", None), 5: ("response", None), 6: ("response", None), 7: ("response", None),
+    }
+    warc.export_warc(back, str(tmp_path / "files"))
+    stored = b"".join(p.read_bytes() for p in sorted((tmp_path / "files").glob("part-*")))
+    records, at = Counter(), 0
+    while at < len(stored):  # a reader of its own: header block, then as many bytes as it declares
+        head, at = stored[at : stored.index(b"\r\n\r\n", at)], stored.index(b"\r\n\r\n", at) + 4
+        size = int(re.search(rb"Content-Length: (\d+)", head)[1])
+        records[head.split(b"\r\n")[0], re.search(rb"WARC-Type: (\w+)", head)[1], hashlib.sha256(stored[at : at + size]).hexdigest()] += 1
+        assert stored[at + size : at + size + 4] == b"\r\n\r\n"
+        at += size + 4
+    assert sum(records.values()) == 8 and sum(n for (_, kind, _), n in records.items() if kind == b"revisit") == 3
+    single = {bytes(r[0]) for r in back.select(warc.record_bytes()).collect()}
+    assert sum(len(x) for x in single) <= len(stored) and all(x in stored for x in single)
+    warc.write_archive(pages.limit(0), str(tmp_path / "none"))
+    assert warc.read_archive(spark, str(tmp_path / "none")).count() == 0
