@@ -45,7 +45,7 @@ def exact(expr: str, digits: int) -> str:
     return f"printf('%.{digits}f', ({expr})::DOUBLE)::DOUBLE"
 
 
-CID = "'CAND_' || lpad({k}::VARCHAR, 7, '0')"
+CID = "'CAND_' || lpad({k}::VARCHAR, greatest(7, length({k}::VARCHAR))::INTEGER, '0')"
 
 BASE = f"""
 ev AS (
@@ -68,7 +68,7 @@ job AS (
     {pick(['Finance', 'Retail', 'Energy'], 'o_orderkey')} AS industry,
     {pick(vocab.COMPANY_SIZES, 'o_orderkey')} AS company_size,
     'Handled ' || o_orderpriority || ' work' AS description
-  FROM numbered WHERE rn <= 10),
+  FROM numbered),
 bought AS (
   SELECT o_custkey, l_partkey, l_quantity,
     CASE WHEN l_partkey % 240 < 120 THEN {pick(derived.SKILLS, 'l_partkey')}

@@ -76,7 +76,7 @@ src AS (SELECT c_custkey AS k, c_custkey // {LIST_SIZE} AS no, c_custkey % {LIST
 cells AS (
   SELECT 'list_' || no AS list_id, (place + 1)::INTEGER AS row_num,
     CASE WHEN k % 37 = 0 THEN 'BAD_' || k WHEN k % 53 = 0 THEN 'CAND_0000001' WHEN k % 59 = 0 THEN ''
-      ELSE 'CAND_' || lpad((CASE WHEN no % 2 = 0 THEN 9999999 - k ELSE k END)::VARCHAR, 7, '0') END AS cid,
+      ELSE {CID.format(k='(CASE WHEN no % 2 = 0 THEN no * 60 + 59 - k % 60 ELSE k END)::BIGINT')} END AS cid,
     CASE WHEN k % 41 = 0 THEN NULL WHEN k % 47 = 0 AND place > 1 THEN place - 1
       WHEN k % 61 = 0 THEN place + {LIST_SIZE} ELSE place END AS rank,
     CASE WHEN k % 43 = 0 THEN NULL ELSE (100 - place + CASE WHEN k % 7 = 0 THEN 1 ELSE 0 END
@@ -88,7 +88,7 @@ seq AS (
   WINDOW w AS (PARTITION BY list_id ORDER BY rank, row_num)),
 idrep AS (
   SELECT *, row_number() OVER (PARTITION BY list_id, cid ORDER BY row_num) AS nth FROM cells
-  WHERE regexp_full_match(cid, 'CAND_[0-9]{{7}}')),
+  WHERE regexp_full_match(cid, 'CAND_[0-9]{{7,}}')),
 rankrep AS (
   SELECT *, row_number() OVER (PARTITION BY list_id, rank ORDER BY row_num) AS nth FROM cells
   WHERE rank BETWEEN 1 AND {LIST_SIZE}),
@@ -102,7 +102,7 @@ SQL["validate_ranking"] = "WITH " + _LIST.strip() + f"""
 SELECT list_id, 'id_required' AS rule, row_num, 'Row ' || row_num || ': candidate_id is required.' AS message
   FROM cells WHERE cid = ''
 UNION ALL SELECT list_id, 'id_pattern', row_num, 'Row ' || row_num || ': candidate_id must be CAND_XXXXXXX (7 digits).'
-  FROM cells WHERE cid <> '' AND NOT regexp_full_match(cid, 'CAND_[0-9]{{7}}')
+  FROM cells WHERE cid <> '' AND NOT regexp_full_match(cid, 'CAND_[0-9]{{7,}}')
 UNION ALL SELECT list_id, 'rank_integer', row_num, 'Row ' || row_num || ': rank must be an integer (1–{LIST_SIZE}).'
   FROM cells WHERE rank IS NULL
 UNION ALL SELECT list_id, 'rank_range', row_num, 'Row ' || row_num || ': rank must be between 1 and {LIST_SIZE}.'
@@ -248,10 +248,10 @@ GROUP BY 1, 2""",
 )
 
 
-def _sections(parts: list[tuple[str, str, str, int]]) -> str:
+def _sections(parts: list[tuple[str, str, str, int | None]]) -> str:
     return " UNION ALL ".join(
         f"""SELECT * FROM (SELECT {q(section)} AS section, {column}::VARCHAR AS key, count(*) AS n,
-  row_number() OVER (ORDER BY count(*) DESC, {column}::VARCHAR) AS rank FROM {relation} GROUP BY {column}) WHERE rank <= {size}"""
+  row_number() OVER (ORDER BY count(*) DESC, {column}::VARCHAR) AS rank FROM {relation} GROUP BY {column}){f" WHERE rank <= {size}" if size else ""}"""
         for section, column, relation, size in parts
     )
 
@@ -259,8 +259,8 @@ def _sections(parts: list[tuple[str, str, str, int]]) -> str:
 SQL["dataset_report"] = with_base(_sections([
     ("top_100_skills", "name", "sk", 100), ("top_titles", "title", "people", 20),
     ("top_industries", "industry", "people", 20), ("top_countries", "country", "people", 20),
-    ("top_certifications", "cert_name", "cert", 20), ("company_sizes", "company_size", "job", 200),
-    ("notice_periods", "notice", "people", 200),
+    ("top_certifications", "cert_name", "cert", 20), ("company_sizes", "company_size", "job", None),
+    ("notice_periods", "notice", "people", None),
 ]))
 SQL["dataset_summary"] = with_base(_sections([
     ("industry", "industry", "people", 5), ("country", "country", "people", 5), ("skill", "name", "sk", 10),

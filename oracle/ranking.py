@@ -42,8 +42,9 @@ HYBRID = """
 spread AS (
   SELECT max(s) AS hi, min(s) AS lo FROM (SELECT coalesce(bm25_score, 0.0) AS s FROM dl LEFT JOIN score USING (id))),
 normed AS (
-  SELECT c.id, CASE WHEN hi > lo THEN (coalesce(bm25_score, 0.0) - lo) / (hi - lo) ELSE 0.0 END AS bm25_norm, semantic_score
-  FROM cos c LEFT JOIN score USING (id), spread),
+  SELECT id, CASE WHEN hi > lo THEN (coalesce(bm25_score, 0.0) - lo) / (hi - lo) ELSE 0.0 END AS bm25_norm,
+    coalesce(semantic_score, 0.0) AS semantic_score
+  FROM (SELECT id FROM dl UNION SELECT id FROM cos) LEFT JOIN cos USING (id) LEFT JOIN score USING (id), spread),
 hybrid AS (SELECT *, round(0.4 * bm25_norm + 0.6 * semantic_score, 9) AS hybrid_score FROM normed)"""
 
 SQL["tokenize"] = f"""
@@ -82,11 +83,11 @@ spread AS (
   FROM (SELECT query_id, doc_id FROM qs, dl) LEFT JOIN score USING (query_id, doc_id) GROUP BY 1),
 whole AS (
   SELECT query_id, doc_id, coalesce(s, 0.0) AS s
-  FROM (SELECT query_id, vec_id AS doc_id FROM qs, embeddings) LEFT JOIN score USING (query_id, doc_id)),
+  FROM (SELECT query_id, doc_id FROM qs, (SELECT doc_id FROM dl UNION SELECT vec_id FROM embeddings)) LEFT JOIN score USING (query_id, doc_id)),
 pairs AS (
   SELECT w.query_id, w.doc_id, CASE WHEN hi > lo THEN (s - lo) / (hi - lo) ELSE 0.0 END AS bm25_norm,
-    round(list_dot_product(e.embedding::DOUBLE[], qs.vec), 9) AS semantic_score
-  FROM whole w JOIN spread USING (query_id) JOIN qs USING (query_id) JOIN embeddings e ON e.vec_id = w.doc_id),
+    coalesce(round(list_dot_product(e.embedding::DOUBLE[], qs.vec), 9), 0.0) AS semantic_score
+  FROM whole w JOIN spread USING (query_id) JOIN qs USING (query_id) LEFT JOIN embeddings e ON e.vec_id = w.doc_id),
 ranked AS (
   SELECT *, round(0.4 * bm25_norm + 0.6 * semantic_score, 9) AS h FROM pairs),
 numbered AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY h DESC, doc_id) AS rank FROM ranked)

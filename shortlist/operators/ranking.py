@@ -44,7 +44,9 @@ def header_errors(header: Column) -> Column:
     )
 
 
-def validate_ranking(rows: DataFrame, n: int = 100, list_id: str = "list_id", bucket: int = 1000) -> DataFrame:
+def validate_ranking(
+    rows: DataFrame, n: int = 100, list_id: str = "list_id", bucket: int = 1000, id_pattern: str = vocab.ID_PATTERN
+) -> DataFrame:
     """V5: one row per broken rule: ``(list, rule, row_num, message)``.
 
     Input: ``(list, row_num, candidate_id, rank, score)`` as text, one list per ranked file, so
@@ -64,7 +66,7 @@ def validate_ranking(rows: DataFrame, n: int = 100, list_id: str = "list_id", bu
         "*",
         F.when(whole, F.expr("try_cast(rank_text AS BIGINT)")).alias("rank"),
         F.expr("try_cast(score_text AS DOUBLE)").alias("score"),
-        F.col("cid").rlike(vocab.ID_PATTERN).alias("id_ok"),
+        F.col("cid").rlike(id_pattern).alias("id_ok"),
     )
     in_range = F.col("rank").between(1, n)
 

@@ -243,7 +243,8 @@ def hybrid_scores(
     """Weighted sum of BM25, scaled to 0..1 over all documents, and unscaled similarity.
 
     The two sides meet on the id (J11). Vectors are reduced to one number before the join, so
-    only ids and scores are shuffled. A vector without a text counts as matching nothing.
+    only ids and scores are shuffled. A vector without a text counts as matching nothing, a text
+    without a vector as of similarity 0.
     ``stage`` writes ids and BM25 scores to the shared folder first, so that long texts are
     read twice (statistics, scores) instead of three times (range of the scores).
     """
@@ -256,8 +257,9 @@ def hybrid_scores(
         F.col("s.hi") > F.col("s.lo"), (F.col("bm25_score") - F.col("s.lo")) / (F.col("s.hi") - F.col("s.lo"))
     ).otherwise(0.0)
     return (
-        semantic.join(bm25, id_col, "left")
+        semantic.join(bm25, id_col, "full_outer")
         .withColumn("bm25_score", F.coalesce("bm25_score", F.lit(0.0)))
+        .withColumn("semantic_score", F.coalesce("semantic_score", F.lit(0.0)))
         .withColumn("s", spread.scalar())
         .withColumn("bm25_norm", norm)
         .select(
@@ -376,7 +378,8 @@ def _best_of(block: _Block, low: np.ndarray, high: np.ndarray, k: int, names: tu
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept: pd.DataFrame | None = None
         for piece in _pieces(batches):
-            vectors = np.stack(piece[vector_col].to_numpy()).astype("float64")
+            none = np.zeros(block.matrix.shape[1])
+            vectors = np.stack([none if v is None else v for v in piece[vector_col]]).astype("float64")
             cosine = np.round(vectors @ block.matrix.T, SCORE_DIGITS)
             text = block.text_scores(piece["_terms"].tolist(), piece["_weights"].tolist())
             norm = np.where(high > low, (text - low) / width, 0.0)
@@ -453,7 +456,9 @@ def hybrid_batch(
             high = spread["hi"].to_numpy()
             # A query that some document does not match has 0 as its lowest score.
             low = np.where(spread["matched"] < documents, 0.0, spread["lo"].to_numpy())
-        local = vectors.select(id_col, vector_col).join(lists, id_col, "left").mapInPandas(
+        # Every text and every vector takes part, whether or not the other is there.
+        known = docs.select(id_col).join(vectors.select(id_col, vector_col), id_col, "full_outer")
+        local = known.join(lists, id_col, "left").mapInPandas(
             _best_of(block, low, high, k, (query_id, id_col, vector_col), (bm25_weight, semantic_weight)),
             f"{query_id} {queries.schema[query_id].dataType.simpleString()}, "
             f"{id_col} {vectors.schema[id_col].dataType.simpleString()}, "

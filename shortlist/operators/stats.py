@@ -93,8 +93,14 @@ def _section_counts(candidates: DataFrame, entries: list[Column]) -> DataFrame:
     )
 
 
-def _top_of_sections(counts: DataFrame, sizes: dict[str, int]) -> DataFrame:
-    """The most frequent keys of each section, ties by key. Every task keeps at most the largest size."""
+def _top_of_sections(counts: DataFrame, sizes: dict[str, int | None]) -> DataFrame:
+    """The most frequent keys of each section, ties by key. Of limited sections, every task keeps at most the largest size."""
+    whole = [section for section, size in sizes.items() if size is None]
+    if whole:
+        order = Window.partitionBy("section").orderBy(F.desc("n"), F.asc("key"))
+        listed = counts.where(F.col("section").isin(whole)).withColumn("rank", F.row_number().over(order))
+        limited = counts.where(~F.col("section").isin(whole))
+        return _top_of_sections(limited, {s: n for s, n in sizes.items() if n is not None}).unionByName(listed)
     order = Window.partitionBy("section").orderBy(F.desc("n"), F.asc("key"))
     allowed = F.lit(0)
     for section, size in sizes.items():
@@ -170,10 +176,10 @@ def fraud_breakdown(screened: DataFrame) -> DataFrame:
     return screened.select(F.explode(codes).alias("code")).groupBy("code").agg(F.count("*").alias("n"))
 
 
-#: Rows per section of the report. The last two have a fixed domain (8 sizes, 181 day counts), so all are listed.
+#: Rows per section of the report; None lists all.
 REPORT_SIZES = {
     "top_100_skills": 100, "top_titles": 20, "top_industries": 20, "top_countries": 20, "top_certifications": 20,
-    "company_sizes": 200, "notice_periods": 200,
+    "company_sizes": None, "notice_periods": None,
 }
 
 
@@ -197,7 +203,7 @@ def dataset_report(candidates: DataFrame) -> DataFrame:
 def report_document(report: DataFrame, profiles: DataFrame) -> DataFrame:
     """K7: the long report as one row of maps, ready to be written as JSON.
 
-    Sections are bounded: the long ones by their top-n, sizes and notice periods by their domain.
+    The long sections are bounded by their top-n; sizes and notice periods are listed in full.
     """
     maps = [
         F.map_from_entries(

@@ -63,7 +63,9 @@ def _settings() -> pipeline.Settings:
 
 
 def _checked(spark: SparkSession, folder: str) -> DataFrame:
-    return ingest.parse_lines(derived.raw_lines(warehouse(spark, folder).candidates))
+    return ingest.parse_lines(
+        derived.raw_lines(warehouse(spark, folder).candidates), id_pattern=derived.ID_PATTERN, longest_career=derived.LONGEST_CAREER
+    )
 
 
 @register
@@ -108,7 +110,10 @@ def stream_ingest(spark: SparkSession, folder: str) -> DataFrame:
         raise ValueError("a streaming load needs a shared folder: set spark.checkpoint.dir")
     base = f"{shared}/stream-{uuid.uuid4().hex}"
     derived.raw_lines(warehouse(spark, folder).candidates).select("value").write.text(f"{base}/in")
-    streaming.load_stream(spark, f"{base}/in", f"{base}/out", f"{base}/state", files_per_batch=8).awaitTermination()
+    streaming.load_stream(
+        spark, f"{base}/in", f"{base}/out", f"{base}/state", files_per_batch=8,
+        id_pattern=derived.ID_PATTERN, longest_career=derived.LONGEST_CAREER,
+    ).awaitTermination()
     out = None
     for name in (*normalise.NORMALISERS, "quarantine"):
         row = spark.read.parquet(f"{base}/out/{name}").agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
@@ -127,7 +132,7 @@ def table_catalog(spark: SparkSession, folder: str) -> DataFrame:
 def validate_ranking(spark: SparkSession, folder: str) -> DataFrame:
     """Ranked lists with known faults."""
     rows = quality_inputs.ranked_lists(warehouse(spark, folder).table("customer"))
-    found = ranking.validate_ranking(rows, n=quality_inputs.LIST_SIZE)
+    found = ranking.validate_ranking(rows, n=quality_inputs.LIST_SIZE, id_pattern=derived.ID_PATTERN)
     return found.select("list_id", "rule", F.coalesce("row_num", F.lit(0)).alias("row_num"), "message")
 
 

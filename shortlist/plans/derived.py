@@ -3,12 +3,13 @@
 The test tables hold no people, so a deterministic profile is built for every customer with
 integer arithmetic: orders become jobs, line items become skills, events become behavioural
 signals and documents become summaries. The size follows the tables. Per-candidate lists are
-bounded by construction: at most ten jobs and at most ``SKILL_LIMIT`` differently named skills.
+whole: every order is a job, so a career is as long as a customer's orders, and there are at most
+``SKILL_LIMIT`` differently named skills. Ids have seven digits and more.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shortlist import vocab
@@ -40,22 +41,23 @@ LANGUAGES = ["English", "Hindi", "German", "French", "Tamil"]
 SKILL_LIMIT = len(SKILLS) + 2000
 
 JD_TEMPLATES = [
-    "Senior Machine Learning Engineer\nBangalore (Hybrid)\n\nAbout Us\nWe are a Series B startup with equity and "
-    "high ownership.\n\nRequirements\n- 5-8 years of experience required\n- Strong experience with Python and "
-    "PyTorch\n- RAG, Pinecone and Docker\n\nPreferred\n- Familiarity with LangChain\n- MLflow is a plus\n\n"
-    "Compensation\n- 40-80 LPA\n",
-    "Junior Data Scientist\nMumbai, in-office only\n\nWhat you need:\n- 0-2 years with pandas and NumPy\n- SQL is "
-    "required\n\nGood to have:\n- Exposure to AWS\n",
-    "Director of Engineering\n\nRequirements:\n- minimum 12 years in the field\n- Manage a team of 8-12 engineers\n"
-    "- Must have Kafka and Spark\n\nNice to have\n- Kubernetes\n",
-    "NLP Engineer\nfintech payments, Remote\n\nMandatory\n- 3+ years\n- BERT, Elasticsearch required\n- INR 25-45 "
-    "LPA\n- we sponsor visa sponsorship\n",
-    "We need a software engineer with Python and JavaScript skills.\n3 years of experience required. Remote.\n",
-    "Role: Platform Engineer\nSingapore\nexperience of 4 years\nKubernetes and Terraform are essential.\nRs 30 LPA\n"
-    "relocation support offered\n",
-    "Principal Engineer\nBerlin, flexible\n10+ years, Java, Scala and Kafka\nDefine the technical roadmap\nhealthcare "
-    "and robotics\n",
-    "Intern, remote\nNo prior LLM experience required. Freshers only. Immediate joiner.\nLondon\n",
+    "Senior Search Engineer\nPune (Hybrid)\n\nAbout Us\nShops use our search boxes. A startup after its Series B, "
+    "with high ownership and equity for all.\n\nRequirements\n- 6-9 years of building retrieval systems required\n"
+    "- Daily work in Python and PyTorch\n- Pinecone or FAISS, Docker, RAG\n\nPreferred\n- A first project with "
+    "LangChain\n- Having run MLflow is a plus\n\nCompensation\n- 35-70 LPA\n",
+    "Junior Data Analyst\nChennai, in-office only\n\nWhat you need:\n- 0-1 years, some pandas, some NumPy\n- Queries "
+    "in SQL required\n\nGood to have:\n- A course on AWS\n",
+    "Director of Data Platforms\n\nRequirements:\n- minimum 14 years, most of them with Spark\n- Manage a team of 6-9 "
+    "people\n- Must have run Kafka at night\n\nNice to have\n- Kubernetes\n",
+    "NLP Engineer for claims\ninsurance, Remote\n\nMandatory\n- 4+ years\n- Named entities with BERT; Elasticsearch "
+    "required\n- INR 20-38 LPA\n- visa sponsorship for the right person\n",
+    "Our shop page needs care: JavaScript in front, Python behind.\nTwo releases a week, 3 years of experience "
+    "required. Remote.\n",
+    "Role: Build Engineer\nSingapore\nexperience of 5 years\nTerraform is essential, Kubernetes too.\nRs 28 LPA\n"
+    "relocation paid\n",
+    "Principal Engineer\nBerlin, flexible\n12+ years of Java or Scala, all of them with Kafka\nOwns the technical "
+    "roadmap\nhealthcare devices and robotics\n",
+    "Intern, remote\nFreshers only; no prior ML experience required. Immediate joiner.\nLondon\n",
 ]
 
 ROLE = {
@@ -83,17 +85,22 @@ def _day(column: Column) -> Column:
     return F.date_format(column, "yyyy-MM-dd")
 
 
+#: What the ids made here look like, and that their careers may have any length.
+ID_PATTERN, LONGEST_CAREER = "^CAND_[0-9]{7,}$", None
+
+
 def candidate_id(key: Column) -> Column:
-    return F.concat(F.lit("CAND_"), F.lpad(key.cast("string"), 7, "0"))
+    """Padded to seven digits; longer keys stay whole."""
+    digits = key.cast("string")
+    return F.concat(F.lit("CAND_"), F.lpad(digits, F.greatest(F.lit(7), F.length(digits)), F.lit("0")))
 
 
 # --- parts of a profile -------------------------------------------------------------------
 
 
 def _careers(orders: DataFrame) -> DataFrame:
-    """First ten orders of each customer; the rank limit is applied before the shuffle too."""
+    """All orders of each customer, oldest first."""
     key = F.col("o_orderkey")
-    order = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
     days = (F.pmod(key, F.lit(900)) - 30).cast("int")
     title = F.when(
         F.pmod("o_custkey", F.lit(4)) == 0, _pick(["Marketing Manager", "Sales Lead"], key)
@@ -101,7 +108,8 @@ def _careers(orders: DataFrame) -> DataFrame:
     current = F.pmod(key, F.lit(10)) == 0
     start = F.to_date("o_orderdate")
     job = F.struct(
-        F.col("rn"),
+        F.col("o_orderdate"),
+        F.col("o_orderkey"),
         F.when(F.pmod(key, F.lit(97)) == 0, "Amazon Retail")
         .otherwise(F.concat(F.lit("ORG"), F.pmod(key, F.lit(5)).cast("string")))
         .alias("company"),
@@ -116,13 +124,11 @@ def _careers(orders: DataFrame) -> DataFrame:
     )
     return (
         orders.select("o_custkey", "o_orderkey", "o_orderdate", "o_orderpriority")
-        .withColumn("rn", F.row_number().over(order))
-        .where("rn <= 10")
         .groupBy("o_custkey")
         .agg(F.array_sort(F.collect_list(job)).alias("jobs"))
         .select(
             F.col("o_custkey").alias("c_custkey"),
-            F.transform("jobs", lambda j: j.dropFields("rn")).alias("career_history"),
+            F.transform("jobs", lambda j: j.dropFields("o_orderdate", "o_orderkey")).alias("career_history"),
         )
     )
 
@@ -297,7 +303,7 @@ def raw_lines(nested: DataFrame) -> DataFrame:
     5 negative endorsements on every skill, 6 no profile, 7 cut off, 8 an extra blank line,
     9 a number written as text; the others are left alone.
     """
-    n = F.substring("candidate_id", 6, 7).cast("long")
+    n = F.expr("substring(candidate_id, 6)").cast("long")
     kind = F.pmod(n, F.lit(BROKEN_EVERY))
     skills = F.transform("skills", lambda s: s.withField("endorsements", F.lit(-1)))
     changed = nested.select(

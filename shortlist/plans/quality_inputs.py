@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shortlist.plans.derived import candidate_id
+
 LIST_SIZE = 60
 
 
@@ -18,12 +20,12 @@ def ranked_lists(customer: DataFrame) -> DataFrame:
     no = F.floor(k / LIST_SIZE)
     place = F.pmod(k, F.lit(LIST_SIZE)) + 1
     every = lambda n: F.pmod(k, F.lit(n)) == 0
-    number = F.when(no % 2 == 0, F.lit(9_999_999) - k).otherwise(k)
+    number = F.when(no % 2 == 0, no * LIST_SIZE + (LIST_SIZE - 1) - F.pmod(k, F.lit(LIST_SIZE))).otherwise(k)
     cid = (
         F.when(every(37), F.concat(F.lit("BAD_"), k.cast("string")))
         .when(every(53), F.lit("CAND_0000001"))
         .when(every(59), F.lit(" "))
-        .otherwise(F.concat(F.lit("CAND_"), F.lpad(number.cast("string"), 7, "0")))
+        .otherwise(candidate_id(number))
     )
     rank = (
         F.when(every(41), F.concat(F.lit("0"), place.cast("string")))

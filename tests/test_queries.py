@@ -6,8 +6,9 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from oracle.sql import ORACLE
+from shortlist.plans.catalog import QUERIES
 
-QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
 TABLES = [
     "benchmark", "conversations", "customer", "documents", "embeddings", "events", "labels", "lineitem", "nation",
     "orders", "pages", "part", "region", "supplier",
@@ -35,6 +36,7 @@ def table(columns, rows):
 
 def test_only_the_model_fit_has_no_sql():
     assert set(QUERIES) - set(ORACLE) == {"ltr_cv"} and set(ORACLE) <= set(QUERIES)
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLE) <= set(entry.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))

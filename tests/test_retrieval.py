@@ -209,3 +209,14 @@ def test_audit_of_stored_vectors(spark):
 def test_unit_length(spark):
     df = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],)], "v array<double>")
     assert [r[0] for r in df.select(vectors.unit_length(F.col("v"))).collect()] == [[0.6, 0.8], [0.0, 0.0]]
+
+
+def test_texts_without_a_vector_and_vectors_without_a_text_are_found(spark):
+    docs = spark.createDataFrame([("a", "rust"), ("b", "python search"), ("c", "cooking")], "candidate_id string, text string")
+    vectors = spark.createDataFrame([("a", [1.0, 0.0]), ("d", [0.6, 0.8])], "candidate_id string, embedding array<double>")
+    query = F.array(F.lit(1.0), F.lit(0.0))
+    got = [(r.candidate_id, r.bm25_norm, r.semantic_score) for r in retrieval.hybrid_topk(docs, vectors, "python", query, 4).collect()]
+    assert got == [("a", 0.0, 1.0), ("b", 1.0, 0.0), ("d", 0.0, 0.6), ("c", 0.0, 0.0)]
+    queries = spark.createDataFrame([(1, "python", [1.0, 0.0])], "query_id int, query_text string, query_vector array<double>")
+    many = retrieval.hybrid_batch(docs, vectors, queries, k=4).orderBy("rank").collect()
+    assert [(r.candidate_id, r.bm25_norm, r.semantic_score) for r in many] == got

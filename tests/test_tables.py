@@ -131,6 +131,21 @@ def test_rules_are_evaluated_once_behind_a_filter(spark, small, capsys):
     """A filter on the status must not copy the parsing below itself."""
     from shortlist.plans import derived
 
-    checked = ingest.parse_lines(derived.raw_lines(warehouse(spark, small).candidates))
+    checked = ingest.parse_lines(derived.raw_lines(warehouse(spark, small).candidates), longest_career=None)
     ingest.valid_candidates(checked).explain("formatted")
     assert capsys.readouterr().out.count("from_json") == 1
+
+
+def test_keys_above_ten_million_stay_apart(spark):
+    from shortlist.plans import derived
+
+    keys = spark.createDataFrame([(7,), (12345678,), (12345679,), (123456789012,)], "k long")
+    ids = [r[0] for r in keys.select(derived.candidate_id(F.col("k"))).collect()]
+    assert ids == ["CAND_0000007", "CAND_12345678", "CAND_12345679", "CAND_123456789012"]
+
+
+def test_every_order_is_a_job(spark, small):
+    from shortlist.plans import derived
+
+    jobs = derived.candidates(spark, small).select(F.sum(F.size("career_history"))).first()[0]
+    assert jobs == spark.read.parquet(f"{small}/orders.parquet").count()
