@@ -127,10 +127,15 @@ def confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame, shingle_wo
     return per_row(both, "a long, b long", compare, step=64)
 
 
-def _across(members: np.ndarray, component: np.ndarray, size: np.ndarray, home: np.ndarray, sign: np.ndarray, collisions: int, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of members in different components with enough collisions and sizes close enough, in blocks."""
+def _across(members: np.ndarray, component: np.ndarray, size: np.ndarray, home: np.ndarray, sign: np.ndarray, posted: np.ndarray, at: int, collisions: int, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of members in different components with enough collisions and sizes close enough, in blocks.
+
+    ``posted`` marks the coordinates under which a member stands in a list. A pair is
+    emitted by the list of its first common one, coordinate ``at``, and skipped in all others.
+    """
     order = np.lexsort((members, size))
     members, component, size, home, sign = members[order], component[order], size[order], home[order], sign[order]
+    posted = posted[order]
     for start in range(0, len(members), 128):
         stop = min(start + 128, len(members))
         last = int(np.searchsorted(size, size[stop - 1] * 100 // percent, side="right"))
@@ -143,13 +148,18 @@ def _across(members: np.ndarray, component: np.ndarray, size: np.ndarray, home:
             i, j = np.nonzero(open_)
             if len(i):
                 i, j = i + start, j + other
-                enough = (sign[i] == sign[j]).sum(axis=1) >= collisions
-                yield members[i[enough]], members[j[enough]]
+                for piece in range(0, len(i), 1 << 15):
+                    left, right = i[piece : piece + (1 << 15)], j[piece : piece + (1 << 15)]
+                    same = sign[left] == sign[right]
+                    enough = same.sum(axis=1) >= collisions
+                    left, right, same = left[enough], right[enough], same[enough]
+                    first = (same & posted[left] & posted[right]).argmax(axis=1) == at
+                    yield members[left[first]], members[right[first]]
 
 
 def linked(
     docs: DataFrame, *, id_column: str = "doc_id", text: str = "text", shingle_words: int = 5, percent: int = 80,
-    coordinates: int = 64, collisions: int = 36, rounds: int = 2,
+    coordinates: int = 64, collisions: int = 36, rounds: int = 3,
 ) -> tuple[DataFrame, DataFrame]:
     """Membership (``id``, ``n_shingles``, ``class``) of every row, and ``class``, ``component``, ``component_id`` of every class."""
     spark = docs.sparkSession
@@ -165,50 +175,63 @@ def linked(
     frequency = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("classes")).filter(F.col("classes") > 1)
     # Tokens of one class only come first in the order and have lists of one, which link nothing.
     shared = tokens.join(frequency, "token").groupBy("class").agg(F.sort_array(F.collect_list(F.struct("classes", "token"))).alias("held"))
-    prefix = F.col("held.token")
     room = F.greatest(F.lit(0), F.size("held") - (collisions - 1))
-    postings = shared.select("class", F.explode(F.slice(prefix, F.lit(1), room)).alias("token"))
-    postings = stage.write(postings, "postings")
+    posted = shared.select("class", F.slice(F.col("held.token"), F.lit(1), room).alias("tokens")).filter(F.size("tokens") > 0)
+    postings = stage.write(posted.select("class", F.explode("tokens").alias("token")), "postings")
 
     narrow = classes.select("class", "size", "signature")
-    state = None
-    edges = None
+    state = edges = None
     for turn in range(rounds):
-        own = postings if state is None else postings.join(state, "class", "left").withColumn("component", F.coalesce("component", "class"))
-        centre = F.struct(F.xxhash64("class", F.lit(turn)).alias("order"), *([] if state is None else ["component"]), "class")
-        centres = own.groupBy("token").agg(F.min(centre).alias("centre"), F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
-        pairs = own.join(centres, "token").filter(F.col("class") != F.col("centre.class"))
-        if state is not None:
-            pairs = pairs.filter(F.col("component") != F.col("centre.component"))
-        pairs = pairs.select(F.col("class").alias("a"), F.col("centre.class").alias("b")).distinct()
-        left = narrow.select(F.col("class").alias("a"), F.col("size").alias("size_a"), F.col("signature").alias("sign_a"))
-        right = narrow.select(F.col("class").alias("b"), F.col("size").alias("size_b"), F.col("signature").alias("sign_b"))
-        pairs = pairs.join(left, "a").join(right, "b")
-        pairs = pairs.filter(F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * percent)
-        same = F.aggregate(F.zip_with("sign_a", "sign_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-        pairs = stage.write(pairs.filter(same >= collisions).select("a", "b"), f"star{turn}")
+        own = _with_component(postings, state)
+        centre = F.min(F.struct(F.xxhash64("class", F.lit(turn)).alias("order"), "component", "class"))
+        centres = own.groupBy("token").agg(centre.alias("centre"), F.min("component").alias("low"), F.max("component").alias("high"))
+        centres = centres.filter(F.col("low") != F.col("high")).select("token", "centre")
+        # Of the centres of its lists, each class is compared with the one it meets most often.
+        met = own.join(centres, "token").filter(F.col("component") != F.col("centre.component"))
+        met = met.groupBy("class", F.col("centre.class").alias("b")).agg(F.count(F.lit(1)).alias("times"))
+        pairs = met.groupBy("class").agg(F.max(F.struct("times", "b")).alias("best")).select(F.col("class").alias("a"), F.col("best.b").alias("b"))
+        pairs = stage.write(_colliding(pairs, narrow, collisions, percent), f"star{turn}")
         made = stage.write(confirmed(pairs, classes, texts, shingle_words, percent), f"edges{turn}")
         edges = made if edges is None else edges.unionByName(made)
         state = components(edges, stage, f"state{turn}_").select(F.col("node").alias("class"), "component")
 
     # Lists that still hold more than one component, compared across components.
-    own = postings.join(state, "class", "left").withColumn("component", F.coalesce("component", "class"))
+    own = _with_component(postings, state)
     several = own.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter(F.col("low") != F.col("high")).select("token")
-    own = own.join(several, "token").join(narrow, "class")
+    places = own.join(several, "token")
+    at = F.shiftright("token", 32).cast("int")
+    masks = places.groupBy("class").agg(*(F.sum(F.when((at >= lo) & (at < lo + 32), F.pow(F.lit(2.0), at - lo).cast("long")).otherwise(F.lit(0))).alias(f"mask{lo}") for lo in range(0, coordinates, 32)))
+    mask = F.array(*(f"mask{lo}" for lo in range(0, coordinates, 32)))
+    own = places.join(narrow.join(masks.select("class", mask.alias("posted")), "class"), "class")
     # Sizes of a pair differ by at most a band, so it meets in the band of the larger one, at home or as a guest.
     band = F.floor(F.log(F.col("size").cast("double")) / (F.log(F.lit(100.0 / percent)) * (1 + 1e-9))).cast("int")
-    places = F.explode(F.array(F.struct(band.alias("band"), F.lit(True).alias("home")), F.struct((band + 1).alias("band"), F.lit(False).alias("home"))))
-    own = own.select("token", "class", "component", "size", "signature", places.alias("place")).select("*", "place.*").drop("place")
-    kept = own.groupBy("token", "band").applyInArrow(_list_pairs(collisions, percent), "a long, b long").distinct()
-    pairs = stage.write(kept, "across")
+    bands = F.explode(F.array(F.struct(band.alias("band"), F.lit(True).alias("home")), F.struct((band + 1).alias("band"), F.lit(False).alias("home"))))
+    own = own.select("token", "class", "component", "size", "signature", "posted", bands.alias("place")).select("*", "place.*").drop("place")
+    pairs = stage.write(own.groupBy("token", "band").applyInArrow(_list_pairs(collisions, percent), "a long, b long"), "across")
     made = stage.write(confirmed(pairs, classes, texts, shingle_words, percent), "edges")
     label = components(edges.unionByName(made), stage, "final_").select(F.col("node").alias("class"), "component")
-    found = classes.join(label, "class", "left").withColumn("component", F.coalesce("component", "class"))
+    found = _with_component(classes, label)
     smallest = found.groupBy("component").agg(F.min("id").alias("component_id"))
     found = found.join(smallest, "component").select("digest", "class", "component", "component_id")
     return rows.select("id", F.col("size").alias("n_shingles"), "digest"), found
 
 
+def _with_component(classes: DataFrame, state: DataFrame | None) -> DataFrame:
+    """Adds ``component``; a class without links is its own."""
+    if state is None:
+        return classes.withColumn("component", F.col("class"))
+    return classes.join(state, "class", "left").withColumn("component", F.coalesce("component", "class"))
+
+
+def _colliding(pairs: DataFrame, narrow: DataFrame, collisions: int, percent: int) -> DataFrame:
+    """The pairs (``a``, ``b``) with enough collisions over all coordinates and sizes close enough."""
+    left = narrow.select(F.col("class").alias("a"), F.col("size").alias("size_a"), F.col("signature").alias("sign_a"))
+    right = narrow.select(F.col("class").alias("b"), F.col("size").alias("size_b"), F.col("signature").alias("sign_b"))
+    near = F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * percent
+    same = F.aggregate(F.zip_with("sign_a", "sign_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
+    return pairs.join(left, "a").join(right, "b").filter(near & (same >= collisions)).select("a", "b")
+
+
 def _list_pairs(collisions: int, percent: int):
     def pairs(group: pa.Table) -> pa.Table:
         members = group.column("class").to_numpy()
@@ -217,7 +240,11 @@ def _list_pairs(collisions: int, percent: int):
         if len(members) > 1 and (component != component[0]).any():
             values = group.column("signature").combine_chunks().flatten().to_numpy()
             home = group.column("home").to_numpy()
-            made = list(_across(members, component, size, home, values.reshape(len(members), -1), collisions, percent))
+            values = values.reshape(len(members), -1)
+            masks = group.column("posted").combine_chunks().flatten().to_numpy().reshape(len(members), -1)
+            posted = (masks[:, :, None] >> np.arange(32)[None, None, :] & 1).reshape(len(members), -1)[:, : values.shape[1]].astype(bool)
+            at = group.column("token")[0].as_py() >> 32
+            made = list(_across(members, component, size, home, values, posted, at, collisions, percent))
         a = np.concatenate([m[0] for m in made]) if made else np.empty(0, np.int64)
         b = np.concatenate([m[1] for m in made]) if made else np.empty(0, np.int64)
         return pa.table({"a": np.maximum(a, b), "b": np.minimum(a, b)})
