@@ -11,10 +11,15 @@ Two classes that share ``collisions`` of ``coordinates`` tokens share one of the
 and the long lists of common passages are skipped.
 
 What matters in the end is who is connected, so pairs already connected are not compared. First each
-list links its members to one centre (a few rounds, with other centres each); the confirmed links
-give components. Then lists that still hold several components are compared in full across
-components, in bands of set size beyond which no pair can reach the threshold. No list
-emits the pairs within a component, and no candidate is left out.
+list links its members to one centre, at first to the class with the most collisions in all, which is
+the one most like the others, then to others in further rounds; the confirmed links give components.
+Then lists that still hold several components are compared in full across components, in bands of
+set size beyond which no pair can reach the threshold, and long lists in pairs of blocks, so
+that no task holds more than two blocks. No list emits the pairs within a component.
+
+A bitmap per class spares most comparisons of full sets: every shingle flips one of ``bits`` bits, so two
+bitmaps differ in at most as many bits as the sets differ in shingles. A pair whose bitmaps differ in
+more than the threshold allows is no link, whatever its collisions; all others are confirmed.
 
 With 64 coordinates and 36 collisions, a pair of similarity 0.8 is missed with a probability of 4e-6.
 
@@ -28,6 +33,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
@@ -74,21 +80,28 @@ def signature(shingles: np.ndarray, coordinates: int) -> np.ndarray:
     return least
 
 
-def sketches(docs: DataFrame, *, id_column: str, text: str, shingle_words: int, coordinates: int) -> DataFrame:
-    """Per row: ``id``, ``size`` of its set, ``digest`` of its set, and its signature as ``coordinates`` integers."""
+def bitmap(shingles: np.ndarray, bits: int) -> np.ndarray:
+    """``bits`` bits, a power of two from 64 on, as integers; each shingle flips one of them."""
+    odd = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def sketches(docs: DataFrame, *, id_column: str, text: str, shingle_words: int, coordinates: int, bits: int) -> DataFrame:
+    """Per row: ``id``; ``size`` and ``digest`` of its set, its signature of ``coordinates`` integers and its bitmap."""
 
     def rows(batch):
-        out: dict[str, list] = {"id": batch["id"], "size": [], "digest": [], "signature": []}
+        out: dict[str, list] = {"id": batch["id"], "size": [], "digest": [], "signature": [], "bitmap": []}
         for body in batch["text"]:
             found = shingle_set(body, shingle_words)
             out["size"].append(len(found))
             out["digest"].append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
             out["signature"].append(signature(found, coordinates).astype(np.int32).tolist() if len(found) else None)
+            out["bitmap"].append(bitmap(found, bits).tolist() if len(found) else None)
         return out
 
     kind = docs.schema[id_column].dataType.simpleString()
     frame = docs.select(F.col(id_column).alias("id"), text_of(text).alias("text"))
-    return per_row(frame, f"id {kind}, size long, digest binary, signature array<int>", rows)
+    return per_row(frame, f"id {kind}, size long, digest binary, signature array<int>, bitmap array<long>", rows)
 
 
 def confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame, shingle_words: int, percent: int) -> DataFrame:
@@ -127,47 +140,70 @@ def confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame, shingle_wo
     return per_row(both, "a long, b long", compare, step=64)
 
 
-def _across(members: np.ndarray, component: np.ndarray, size: np.ndarray, home: np.ndarray, sign: np.ndarray, posted: np.ndarray, at: int, collisions: int, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of members in different components with enough collisions and sizes close enough, in blocks.
+@dataclass
+class _Members:
+    """The classes of one list, or of two blocks of it: one entry or row for each."""
+
+    number: np.ndarray
+    component: np.ndarray
+    size: np.ndarray
+    home: np.ndarray
+    block: np.ndarray
+    signature: np.ndarray
+    bitmap: np.ndarray
+    #: The coordinates under which the class stands in a list.
+    posted: np.ndarray
+
+    def by_size(self) -> _Members:
+        order = np.lexsort((self.number, self.size))
+        return _Members(*(getattr(self, field.name)[order] for field in fields(self)))
+
+
+def _across(of: _Members, at: int, collisions: int, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs in different components that have enough collisions and may reach the threshold, in blocks.
 
-    ``posted`` marks the coordinates under which a member stands in a list. A pair is
-    emitted by the list of its first common one, coordinate ``at``, and skipped in all others.
+    A pair is emitted by the list of its first common coordinate, ``at``, and skipped in all others. Of
+    two blocks only pairs between them are compared.
     """
-    order = np.lexsort((members, size))
-    members, component, size, home, sign = members[order], component[order], size[order], home[order], sign[order]
-    posted = posted[order]
-    for start in range(0, len(members), 128):
-        stop = min(start + 128, len(members))
-        last = int(np.searchsorted(size, size[stop - 1] * 100 // percent, side="right"))
+    of = of.by_size()
+    between = len(of.block) and (of.block != of.block[0]).any()
+    for start in range(0, len(of.number), 128):
+        stop = min(start + 128, len(of.number))
+        last = int(np.searchsorted(of.size, of.size[stop - 1] * 100 // percent, side="right"))
         for other in range(start, last, 2048):
             to = min(other + 2048, last)
-            open_ = component[start:stop, None] != component[None, other:to]
+            open_ = of.component[start:stop, None] != of.component[None, other:to]
             open_ &= np.arange(start, stop)[:, None] < np.arange(other, to)[None, :]
-            open_ &= home[start:stop, None] | home[None, other:to]
-            open_ &= size[start:stop, None] * 100 >= size[None, other:to] * percent
+            open_ &= of.home[start:stop, None] | of.home[None, other:to]
+            open_ &= of.size[start:stop, None] * 100 >= of.size[None, other:to] * percent
+            if between:
+                open_ &= of.block[start:stop, None] != of.block[None, other:to]
             i, j = np.nonzero(open_)
-            if len(i):
-                i, j = i + start, j + other
-                for piece in range(0, len(i), 1 << 15):
-                    left, right = i[piece : piece + (1 << 15)], j[piece : piece + (1 << 15)]
-                    same = sign[left] == sign[right]
-                    enough = same.sum(axis=1) >= collisions
-                    left, right, same = left[enough], right[enough], same[enough]
-                    first = (same & posted[left] & posted[right]).argmax(axis=1) == at
-                    yield members[left[first]], members[right[first]]
+            i, j = i + start, j + other
+            for piece in range(0, len(i), 1 << 15):
+                left, right = i[piece : piece + (1 << 15)], j[piece : piece + (1 << 15)]
+                # Of signed integers NumPy counts the bits of the absolute value.
+                apart = np.bitwise_count((of.bitmap[left] ^ of.bitmap[right]).view(np.uint64)).sum(axis=1, dtype=np.int64)
+                near = apart * (100 + percent) <= (of.size[left] + of.size[right]) * (100 - percent)
+                left, right = left[near], right[near]
+                same = of.signature[left] == of.signature[right]
+                enough = same.sum(axis=1) >= collisions
+                left, right, same = left[enough], right[enough], same[enough]
+                first = (same & of.posted[left] & of.posted[right]).argmax(axis=1) == at
+                yield of.number[left[first]], of.number[right[first]]
 
 
 def linked(
     docs: DataFrame, *, id_column: str = "doc_id", text: str = "text", shingle_words: int = 5, percent: int = 80,
-    coordinates: int = 64, collisions: int = 36, rounds: int = 3,
+    coordinates: int = 64, collisions: int = 36, rounds: int = 3, bits: int = 1024, block: int = 1 << 14,
 ) -> tuple[DataFrame, DataFrame]:
     """Membership (``id``, ``n_shingles``, ``class``) of every row, and ``class``, ``component``, ``component_id`` of every class."""
     spark = docs.sparkSession
     stage = Stage(spark, "neardup")
-    rows = stage.write(sketches(docs, id_column=id_column, text=text, shingle_words=shingle_words, coordinates=coordinates), "rows")
+    rows = stage.write(sketches(docs, id_column=id_column, text=text, shingle_words=shingle_words, coordinates=coordinates, bits=bits), "rows")
     texts = docs.select(F.col(id_column).alias("id"), text_of(text).alias("text"))
-    # Of equal sets all signatures are equal, so any stands for the class.
-    classes = rows.filter(F.col("size") > 0).groupBy("digest", "size").agg(F.min("id").alias("id"), F.first("signature").alias("signature"))
+    # Of equal sets all signatures and bitmaps are equal, so any stands for the class.
+    classes = rows.filter(F.col("size") > 0).groupBy("digest", "size").agg(F.min("id").alias("id"), F.first("signature").alias("signature"), F.first("bitmap").alias("bitmap"))
     classes = stage.write(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
 
     tokens = classes.select("class", F.posexplode("signature").alias("at", "value"))
@@ -176,14 +212,17 @@ def linked(
     # Tokens of one class only come first in the order and have lists of one, which link nothing.
     shared = tokens.join(frequency, "token").groupBy("class").agg(F.sort_array(F.collect_list(F.struct("classes", "token"))).alias("held"))
     room = F.greatest(F.lit(0), F.size("held") - (collisions - 1))
-    posted = shared.select("class", F.slice(F.col("held.token"), F.lit(1), room).alias("tokens")).filter(F.size("tokens") > 0)
-    postings = stage.write(posted.select("class", F.explode("tokens").alias("token")), "postings")
+    # All the class's collisions with others: the class with the most of them in a list is the one most like the rest.
+    alike = F.aggregate("held.classes", F.lit(0).cast("long"), lambda s, x: s + x)
+    posted = shared.select("class", alike.alias("alike"), F.slice(F.col("held.token"), F.lit(1), room).alias("tokens")).filter(F.size("tokens") > 0)
+    postings = stage.write(posted.select("class", "alike", F.explode("tokens").alias("token")), "postings")
 
-    narrow = classes.select("class", "size", "signature")
+    narrow = classes.select("class", "size", "signature", "bitmap")
     state = edges = None
     for turn in range(rounds):
         own = _with_component(postings, state)
-        centre = F.min(F.struct(F.xxhash64("class", F.lit(turn)).alias("order"), "component", "class"))
+        order = F.xxhash64("class", F.lit(turn)) if turn else -F.col("alike")
+        centre = F.min(F.struct(order.alias("order"), "component", "class"))
         centres = own.groupBy("token").agg(centre.alias("centre"), F.min("component").alias("low"), F.max("component").alias("high"))
         centres = centres.filter(F.col("low") != F.col("high")).select("token", "centre")
         # Of the centres of its lists, each class is compared with the one it meets most often.
@@ -197,8 +236,9 @@ def linked(
 
     # Lists that still hold more than one component, compared across components.
     own = _with_component(postings, state)
-    several = own.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter(F.col("low") != F.col("high")).select("token")
-    places = own.join(several, "token")
+    several = own.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("length"))
+    several = several.filter(F.col("low") != F.col("high")).select("token", F.ceil(F.col("length") / block).alias("blocks"))
+    places = own.join(several, "token").drop("alike")
     at = F.shiftright("token", 32).cast("int")
     masks = places.groupBy("class").agg(*(F.sum(F.when((at >= lo) & (at < lo + 32), F.pow(F.lit(2.0), at - lo).cast("long")).otherwise(F.lit(0))).alias(f"mask{lo}") for lo in range(0, coordinates, 32)))
     mask = F.array(*(f"mask{lo}" for lo in range(0, coordinates, 32)))
@@ -206,8 +246,12 @@ def linked(
     # Sizes of a pair differ by at most a band, so it meets in the band of the larger one, at home or as a guest.
     band = F.floor(F.log(F.col("size").cast("double")) / (F.log(F.lit(100.0 / percent)) * (1 + 1e-9))).cast("int")
     bands = F.explode(F.array(F.struct(band.alias("band"), F.lit(True).alias("home")), F.struct((band + 1).alias("band"), F.lit(False).alias("home"))))
-    own = own.select("token", "class", "component", "size", "signature", "posted", bands.alias("place")).select("*", "place.*").drop("place")
-    pairs = stage.write(own.groupBy("token", "band").applyInArrow(_list_pairs(collisions, percent), "a long, b long"), "across")
+    own = own.select("token", "class", "component", "size", "signature", "bitmap", "posted", "blocks", bands.alias("place")).select("*", "place.*").drop("place")
+    # A long list is dealt into blocks; a class goes to every pair of blocks that holds its own.
+    mine, every = F.pmod(F.xxhash64("class"), "blocks"), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+    meets = F.explode(F.transform(every, lambda other: F.struct(F.least(mine, other).alias("one"), F.greatest(mine, other).alias("two"))))
+    own = own.select("*", mine.alias("block"), meets.alias("meets")).select("*", "meets.*").drop("meets", "blocks")
+    pairs = stage.write(own.groupBy("token", "band", "one", "two").applyInArrow(_list_pairs(collisions, percent), "a long, b long"), "across")
     made = stage.write(confirmed(pairs, classes, texts, shingle_words, percent), "edges")
     label = components(edges.unionByName(made), stage, "final_").select(F.col("node").alias("class"), "component")
     found = _with_component(classes, label)
@@ -224,27 +268,26 @@ def _with_component(classes: DataFrame, state: DataFrame | None) -> DataFrame:
 
 
 def _colliding(pairs: DataFrame, narrow: DataFrame, collisions: int, percent: int) -> DataFrame:
-    """The pairs (``a``, ``b``) with enough collisions over all coordinates and sizes close enough."""
-    left = narrow.select(F.col("class").alias("a"), F.col("size").alias("size_a"), F.col("signature").alias("sign_a"))
-    right = narrow.select(F.col("class").alias("b"), F.col("size").alias("size_b"), F.col("signature").alias("sign_b"))
+    """The pairs (``a``, ``b``) with enough collisions over all coordinates that may reach the threshold by size and bitmap."""
+    left = narrow.select(F.col("class").alias("a"), F.col("size").alias("size_a"), F.col("signature").alias("sign_a"), F.col("bitmap").alias("bits_a"))
+    right = narrow.select(F.col("class").alias("b"), F.col("size").alias("size_b"), F.col("signature").alias("sign_b"), F.col("bitmap").alias("bits_b"))
     near = F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * percent
     same = F.aggregate(F.zip_with("sign_a", "sign_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    return pairs.join(left, "a").join(right, "b").filter(near & (same >= collisions)).select("a", "b")
+    apart = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    may = apart * (100 + percent) <= (F.col("size_a") + F.col("size_b")) * (100 - percent)
+    return pairs.join(left, "a").join(right, "b").filter(near & may & (same >= collisions)).select("a", "b")
 
 
 def _list_pairs(collisions: int, percent: int):
     def pairs(group: pa.Table) -> pa.Table:
-        members = group.column("class").to_numpy()
-        component, size = group.column("component").to_numpy(), group.column("size").to_numpy()
+        component, count = group.column("component").to_numpy(), group.num_rows
         made = []
-        if len(members) > 1 and (component != component[0]).any():
-            values = group.column("signature").combine_chunks().flatten().to_numpy()
-            home = group.column("home").to_numpy()
-            values = values.reshape(len(members), -1)
-            masks = group.column("posted").combine_chunks().flatten().to_numpy().reshape(len(members), -1)
-            posted = (masks[:, :, None] >> np.arange(32)[None, None, :] & 1).reshape(len(members), -1)[:, : values.shape[1]].astype(bool)
-            at = group.column("token")[0].as_py() >> 32
-            made = list(_across(members, component, size, home, values, posted, at, collisions, percent))
+        if count > 1 and (component != component[0]).any():
+            plain = {name: group.column(name).to_numpy() for name in ("class", "size", "home", "block")}
+            wide = {name: group.column(name).combine_chunks().flatten().to_numpy().reshape(count, -1) for name in ("signature", "bitmap", "posted")}
+            posted = (wide["posted"][:, :, None] >> np.arange(32)[None, None, :] & 1).reshape(count, -1)[:, : wide["signature"].shape[1]].astype(bool)
+            of = _Members(plain["class"], component, plain["size"], plain["home"], plain["block"], wide["signature"], wide["bitmap"], posted)
+            made = list(_across(of, group.column("token")[0].as_py() >> 32, collisions, percent))
         a = np.concatenate([m[0] for m in made]) if made else np.empty(0, np.int64)
         b = np.concatenate([m[1] for m in made]) if made else np.empty(0, np.int64)
         return pa.table({"a": np.maximum(a, b), "b": np.minimum(a, b)})

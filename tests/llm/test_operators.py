@@ -186,6 +186,26 @@ def test_near_duplicates_against_brute_force(spark, small):
     assert got == brute_components(rows, 4)
 
 
+def test_groups_of_edited_copies_in_blocks(spark):
+    """Copies of one text with words changed: many are alike, only some are links."""
+    draw = random.Random(5)
+    base = [f"w{draw.randint(0, 400)}" for _ in range(120)]
+    rows = [(i, " ".join(draw.choice([w, w + "x"]) if draw.random() < i % 12 / 200 else w for w in base)) for i in range(1, 121)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs_of(spark, rows), shingle_words=4, rounds=1, block=16).collect()}
+    want = brute_components(rows, 4, 80)
+    assert got == want and 1 < len({c for _, c in want.values()}) < len(rows)
+
+
+def test_bitmaps_differ_in_no_more_bits_than_sets_in_shingles():
+    draw = random.Random(6)
+    for bits in (64, 256, 1024):
+        for _ in range(50):
+            one, two = ({draw.getrandbits(64) for _ in range(draw.randint(2, 300))} for _ in range(2))
+            two |= set(draw.sample(sorted(one), len(one) // 2))
+            a, b = (neardup.bitmap(np.array(sorted(s), np.uint64), bits) for s in (one, two))
+            assert len(a) == bits // 64 and np.bitwise_count((a ^ b).view(np.uint64)).sum() <= len(one ^ two)
+
+
 def test_near_duplicates_defined_cases(spark):
     got = neardup.near_duplicates(odd_docs(spark), shingle_words=4).collect()
     found = sorted(((r.doc_id or 0), r.n_shingles, r.component_id, r.kept) for r in got)
