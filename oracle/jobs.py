@@ -9,7 +9,7 @@ from __future__ import annotations
 from oracle.base import contains_any, lst, pick, q, rows
 from shortlist import vocab
 from shortlist.functions.arrays import any_of, quoted
-from shortlist.operators.jd import spelling_rows
+from shortlist.operators.jd import lone_r_rank, spelling_rows
 from shortlist.plans import derived
 
 SQL: dict[str, str] = {}
@@ -112,7 +112,7 @@ def _found(kind: str, default: str, section: str, text: str) -> str:
     CASE WHEN bool_or(s.negated) THEN 'nice_to_have' ELSE coalesce(min_by(s.context, (-s.conf, s.pos)), {q(default)}) END AS context,
     CASE WHEN bool_or(s.negated) THEN 0.55 ELSE coalesce(max(s.conf), 0.60) END AS conf
   FROM {kind}_word w LEFT JOIN {kind}_sent s ON s.jd_id = w.jd_id AND contains(s.low, w.spelling) GROUP BY ALL
-  UNION ALL SELECT jd_id, 'R', -1, {q(default)}, 0.60 FROM {kind}_text WHERE regexp_matches(body, {q(bounded('R'))})),
+  UNION ALL SELECT jd_id, 'R', {lone_r_rank()}, {q(default)}, 0.60 FROM {kind}_text WHERE regexp_matches(body, {q(bounded('R'))})),
 {kind}_best AS (
   SELECT jd_id, name, min_by(context, (-conf, rank)) AS context, max(conf) AS conf, min(rank) AS rank
   FROM {kind}_hit GROUP BY 1, 2),

@@ -32,14 +32,24 @@ def _records(rows: list[dict], ddl: str) -> Column:
 # --- skills -----------------------------------------------------------------------------
 
 
-def spelling_rows(skills: dict[str, list[str]] | None = None) -> list[dict]:
-    """Every spelling with its skill, longest first; that order decides between equal mentions."""
+def _ranked_spellings(skills: dict[str, list[str]] | None) -> list[tuple[str, str]]:
     table = vocab.SKILL_SPELLINGS if skills is None else skills
-    rows = []
+    rows = [(-len(vocab.LONE_R), False, list(table).index("R") if "R" in table else len(table), vocab.LONE_R, "R")]
     for position, (name, others) in enumerate(table.items()):
         for spelling in {name.lower(), *others}:
             rows.append((-len(spelling), spelling in vocab.SPELLED_LAST, position, spelling, name))
-    return [{"spelling": s, "name": n, "rank": i} for i, (_, _, _, s, n) in enumerate(sorted(rows))]
+    return [(spelling, name) for *_, spelling, name in sorted(rows)]
+
+
+def spelling_rows(skills: dict[str, list[str]] | None = None) -> list[dict]:
+    """Every spelling with its skill, longest first; that order decides between equal mentions."""
+    rows = enumerate(_ranked_spellings(skills))
+    return [{"spelling": s, "name": n, "rank": i} for i, (s, n) in rows if s != vocab.LONE_R]
+
+
+def lone_r_rank(skills: dict[str, list[str]] | None = None) -> int:
+    """Where a capital R standing alone ranks among the spellings: by the length of its pattern."""
+    return _ranked_spellings(skills).index((vocab.LONE_R, "R"))
 
 
 def _wordlike(text: Column) -> Column:
@@ -75,7 +85,7 @@ def cued_sentences(found: Column, default: str) -> Column:
     )
 
 
-def _mentions(text: Column, cued: Column, default: str, section: str, match: str, spellings: Column) -> Column:
+def _mentions(text: Column, cued: Column, default: str, section: str, match: str, spellings: Column, lone: int) -> Column:
     """The skills a text mentions, best context per skill, at most 30."""
     if match not in ("substring", "word"):
         raise ValueError("match must be 'substring' or 'word'")
@@ -126,7 +136,7 @@ def _mentions(text: Column, cued: Column, default: str, section: str, match: str
         F.array(
             F.struct(
                 F.lit("R").alias("name"),
-                F.lit(-1).alias("rank"),
+                F.lit(lone).alias("rank"),
                 F.struct(F.lit(default).alias("context"), F.lit(0.60).alias("confidence")).alias("found"),
             )
         ),
@@ -178,7 +188,7 @@ def with_skills(parsed: DataFrame, match: str = "substring", skills: dict[str, l
     Must-haves come from the requirements section, nice-to-haves from the preferred one; without
     such a section the whole text is searched. A skill is never in both lists.
     """
-    spellings = _records(spelling_rows(skills), "spelling:string,name:string,rank:int")
+    spellings, lone = _records(spelling_rows(skills), "spelling:string,name:string,rank:int"), lone_r_rank(skills)
     part = lambda name: F.coalesce(
         F.nullif(F.try_element_at("sections", F.lit(name)), F.lit("")), F.col("clean")
     )
@@ -196,10 +206,10 @@ def with_skills(parsed: DataFrame, match: str = "substring", skills: dict[str, l
     )
     found = cued.select(
         "*",
-        _mentions(F.col("_must_text"), F.col("_must_cues"), MUST, "requirements", match, F.col("_spellings")).alias(
+        _mentions(F.col("_must_text"), F.col("_must_cues"), MUST, "requirements", match, F.col("_spellings"), lone).alias(
             "must_have"
         ),
-        _mentions(F.col("_nice_text"), F.col("_nice_cues"), NICE, "preferred", match, F.col("_spellings")).alias(
+        _mentions(F.col("_nice_text"), F.col("_nice_cues"), NICE, "preferred", match, F.col("_spellings"), lone).alias(
             "_nice_all"
         ),
     )

@@ -224,6 +224,8 @@ SKILL_SPELLINGS = {
 }
 #: Lower-cased names that rank behind all other spellings of the same length.
 SPELLED_LAST = ["go", "r", "cnns", "chroma", "bayesian methods"]
+#: The pattern of a capital R standing alone; its own length places it among the spellings.
+LONE_R = r"\br\b"
 PRODUCTION_ML_SKILLS = ["docker", "kubernetes", "mlops", "mlflow", "deployment", "aws", "gcp", "azure", "production"]
 
 # --- job description: industries and places -------------------------------------------------

@@ -65,6 +65,12 @@ def test_context_and_confidence(spark):
     assert got["Redis"] == ("nice_to_have", 0.85) and got["Django"] == ("nice_to_have", 0.55)
 
 
+def test_a_lone_r_ranks_by_the_length_of_its_pattern(spark):
+    df = spark.createDataFrame([("j", "Python, Java and R required")], "jd_id string, text string")
+    found = jd.parse_jds(df).first()["must_have_skills"]
+    assert [name for name in found if name in ("Python", "R", "Java")] == ["Python", "R", "Java"]
+
+
 def test_whole_word_matching(spark):
     body = "Requirements\nGood react, Python. Rest of the argument in Go, C++ and node.js"
     df = spark.createDataFrame([("j", body)], "jd_id string, text string")
