@@ -446,3 +446,17 @@ FROM scored ORDER BY score DESC, cid LIMIT 100""",
     "retrieved AS (SELECT * FROM hybrid ORDER BY hybrid_score DESC, id LIMIT 1000)",
     f"""scored AS (SELECT r.*, f.*, {exact(R4, 4)} AS score FROM retrieved r JOIN feat f ON r.id = f.k
   JOIN contra c USING (k) JOIN honey h USING (k) WHERE contradiction_score < 0.3 AND honeypot_probability < 0.3)""")
+SQL["rank_whole_texts"] = with_base(
+    """SELECT row_number() OVER (ORDER BY score DESC, cid) AS rank, cid AS candidate_id, score,
+  round(semantic_score, 6) AS embedding_similarity, round(bm25_norm, 6) AS bm25_norm,
+  round(years_experience_score, 6) AS years_experience_score
+FROM scored ORDER BY score DESC, cid LIMIT 100""",
+    """whole_text AS (
+  SELECT p.k, concat_ws(' ', p.headline, nullif(p.summary, ''), p.title, p.industry, s.listed, j.described) AS text
+  FROM people p
+    LEFT JOIN (SELECT k, string_agg(name, ' ' ORDER BY pos) AS listed FROM sk GROUP BY k) s USING (k)
+    LEFT JOIN (SELECT k, string_agg(description, ' ' ORDER BY pos) AS described FROM job GROUP BY k) j USING (k))""",
+    SHAPE, COS, bm25("whole_text", "k", "text", ROLE["text"]), HYBRID, CONTRA, HONEY, FEATURED,
+    "retrieved AS (SELECT * FROM hybrid ORDER BY hybrid_score DESC, id LIMIT 1000)",
+    f"""scored AS (SELECT r.*, f.*, {exact(R4, 4)} AS score FROM retrieved r JOIN feat f ON r.id = f.k
+  JOIN contra c USING (k) JOIN honey h USING (k) WHERE contradiction_score < 0.3 AND honeypot_probability < 0.3)""")

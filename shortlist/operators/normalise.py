@@ -29,17 +29,26 @@ def average_assessment(scores: Column) -> Column:
     return F.when(F.size(values) > 0, total(values) / F.size(values)).otherwise(F.lit(-1.0))
 
 
-def retrieval_text() -> Column:
-    """The text a candidate is found by."""
+def retrieval_text(
+    summary_chars: int | None = 500, skill_count: int | None = 20, job_count: int | None = 2, text_chars: int | None = 2000
+) -> Column:
+    """The text a candidate is found by; ``None`` leaves a part whole."""
+    first = lambda c, n: F.col(c) if n is None else F.slice(c, 1, n)
+    begin = lambda c, n: c if n is None else F.substring(c, 1, n)
     parts = F.array(
         F.col("profile.headline"),
-        F.substring(F.col("profile.summary"), 1, 500),
+        begin(F.col("profile.summary"), summary_chars),
         F.col("profile.current_title"),
         F.col("profile.current_industry"),
-        F.array_join(F.transform(F.slice("skills", 1, 20), lambda s: s["name"]), " "),
-        F.array_join(F.transform(F.slice("career_history", 1, 2), lambda j: j["description"]), " "),
+        F.array_join(F.transform(first("skills", skill_count), lambda s: s["name"]), " "),
+        F.array_join(F.transform(first("career_history", job_count), lambda j: j["description"]), " "),
     )
-    return F.substring(F.array_join(F.filter(parts, lambda p: p != ""), " "), 1, 2000)
+    return begin(F.array_join(F.filter(parts, lambda p: p != ""), " "), text_chars)
+
+
+def whole_texts(candidates: DataFrame) -> DataFrame:
+    """P8 without its cuts, under the column name of the stored text."""
+    return candidates.select("candidate_id", retrieval_text(None, None, None, None).alias("embedding_text"))
 
 
 def profiles(candidates: DataFrame) -> DataFrame:

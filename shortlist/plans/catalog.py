@@ -411,9 +411,8 @@ def union_retrieve(spark: SparkSession, folder: str) -> DataFrame:
 
 @register
 def embed_pending(spark: SparkSession, folder: str) -> DataFrame:
-    """Vectors for candidates that have none yet."""
-    w = warehouse(spark, folder)
-    texts = w.profiles.select("candidate_id", "embedding_text")
+    """Vectors of the uncut texts of candidates that have none yet."""
+    texts = normalise.whole_texts(warehouse(spark, folder).candidates)
     new = retrieval.embed_new(texts, derived.candidate_vectors(spark, folder))
     length = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     return new.select("candidate_id", F.size("embedding").alias("dim"), F.round(length, 3).alias("norm"))
@@ -551,13 +550,10 @@ def weighted_score_penalised(spark: SparkSession, folder: str) -> DataFrame:
     return _penalised(spark, folder).select("candidate_id", six("penalty"), six("score"))
 
 
-@register
-def rank_candidates(spark: SparkSession, folder: str) -> DataFrame:
-    """The whole ranking."""
-    w = warehouse(spark, folder)
+def _top(spark: SparkSession, folder: str, texts: DataFrame) -> DataFrame:
     vectors = derived.candidate_vectors(spark, folder)
     top = pipeline.rank_candidates(
-        w.candidates, w.profiles.select("candidate_id", "embedding_text"), vectors, derived.ROLE["text"],
+        warehouse(spark, folder).candidates, texts, vectors, derived.ROLE["text"],
         retrieval.stored_vector(vectors, "CAND_0000007"), _role(), _settings(),
     )
     return top.select(
@@ -567,6 +563,18 @@ def rank_candidates(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@register
+def rank_candidates(spark: SparkSession, folder: str) -> DataFrame:
+    """The whole ranking, by the texts of P8."""
+    return _top(spark, folder, warehouse(spark, folder).profiles.select("candidate_id", "embedding_text"))
+
+
+@register
+def rank_whole_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """R6 as ``rank_candidates``, by the uncut texts."""
+    return _top(spark, folder, normalise.whole_texts(warehouse(spark, folder).candidates))
+
+
 def _ranked(spark: SparkSession, folder: str) -> DataFrame:
     return pipeline.rank_with_components(_components(spark, folder), n=100)
 

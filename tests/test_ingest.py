@@ -6,7 +6,7 @@ import os
 from people import frame, job, lines, person, skill
 from pyspark.sql import functions as F
 
-from shortlist.operators import normalise
+from shortlist.operators import normalise, retrieval
 from shortlist.plans import derived
 from shortlist.plans.warehouse import warehouse
 from shortlist.sources import ingest, tables
@@ -104,6 +104,21 @@ def test_retrieval_text_cuts_and_skips(spark):
     assert len(frame(spark, [long]).select(normalise.retrieval_text()).first()[0]) == 2000
 
 
+def test_whole_texts_are_found_behind_every_cut(spark):
+    record = person(
+        profile__summary="s" * 2500 + " behind", skills=[skill(f"k{i}") for i in range(30)],
+        career_history=[{**job(), "description": d} for d in ("one", "two", "three")],
+    )
+    people = frame(spark, [record, person(2), person(3)])
+    texts = normalise.whole_texts(people)
+    first = texts.where("candidate_id = 'CAND_0000001'").first()["embedding_text"]
+    names = " ".join(f"k{i}" for i in range(30))
+    assert first == f"Engineer at X {'s' * 2500} behind Backend Engineer Software {names} one two three"
+    for word in ("behind", "k29", "three"):
+        found = retrieval.bm25_topk(texts, word, 5, text_col="embedding_text").collect()
+        assert [r["candidate_id"] for r in found] == ["CAND_0000001"]
+
+
 def test_load_is_done_once_unless_forced(spark, tmp_path):
     folder = str(tmp_path / "store")
     first = tables.load(lines(spark, [person(1), person(2), "broken"]), folder).first()
