@@ -7,6 +7,7 @@ literals, so a table of descriptions is parsed in one narrow stage without joins
 from __future__ import annotations
 
 import json
+from dataclasses import dataclass, fields
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +20,37 @@ MUST, NICE = "must_have", "nice_to_have"
 MENTION = "struct<name:string,context:string,confidence:double,section:string>"
 
 
+@dataclass(frozen=True)
+class Caps:
+    """How much of a description is kept; ``None`` keeps all of it."""
+
+    mentions: int | None = 30
+    snippets: int | None = 10
+    snippet_chars: int | None = 60
+    negative_chars: int | None = 100
+    title_lines: int | None = 3
+    titles: int | None = 8
+    section_chars: int | None = 500
+    summary_clean_chars: int | None = 600
+    summary_must_have: int | None = 15
+    summary_nice_to_have: int | None = 10
+    summary_titles: int | None = 4
+    summary_industries: int | None = 5
+    summary_chars: int | None = 2000
+
+
+CAPS = Caps()
+UNCAPPED = Caps(**{field.name: None for field in fields(Caps)})
+
+
+def _first(values: Column | str, n: int | None) -> Column:
+    return (F.col(values) if isinstance(values, str) else values) if n is None else F.slice(values, 1, n)
+
+
+def _begin(value: Column | str, n: int | None) -> Column:
+    return (F.col(value) if isinstance(value, str) else value) if n is None else F.substring(value, 1, n)
+
+
 def whole_words(values: list[str]) -> str:
     """A pattern for one of the phrases, bounded like words of any script."""
     return rf"(?U)\b(?:{any_of(values)})\b"
@@ -85,7 +117,8 @@ def cued_sentences(found: Column, default: str) -> Column:
     )
 
 
-def _mentions(text: Column, cued: Column, default: str, section: str, match: str, spellings: Column, lone: int) -> Column:
+def _mentions(text: Column, cued: Column, default: str, section: str, match: str, spellings: Column, lone: int,
+              caps: Caps = CAPS) -> Column:
     """The skills a text mentions, best context per skill, at most 30."""
     if match not in ("substring", "word"):
         raise ValueError("match must be 'substring' or 'word'")
@@ -170,7 +203,7 @@ def _mentions(text: Column, cued: Column, default: str, section: str, match: str
         ),
     )
     return F.transform(
-        F.slice(F.array_sort(best), 1, 30),
+        _first(F.array_sort(best), caps.mentions),
         lambda b: F.struct(
             b["name"].alias("name"), b["context"].alias("context"), (-b["minus"]).alias("confidence"),
             F.lit(section).alias("section"),
@@ -182,7 +215,8 @@ def _names(mentions: Column) -> Column:
     return F.transform(mentions, lambda m: m["name"])
 
 
-def with_skills(parsed: DataFrame, match: str = "substring", skills: dict[str, list[str]] | None = None) -> DataFrame:
+def with_skills(parsed: DataFrame, match: str = "substring", skills: dict[str, list[str]] | None = None,
+                caps: Caps = CAPS) -> DataFrame:
     """Must-have and nice-to-have mentions.
 
     Must-haves come from the requirements section, nice-to-haves from the preferred one; without
@@ -206,12 +240,12 @@ def with_skills(parsed: DataFrame, match: str = "substring", skills: dict[str, l
     )
     found = cued.select(
         "*",
-        _mentions(F.col("_must_text"), F.col("_must_cues"), MUST, "requirements", match, F.col("_spellings"), lone).alias(
-            "must_have"
-        ),
-        _mentions(F.col("_nice_text"), F.col("_nice_cues"), NICE, "preferred", match, F.col("_spellings"), lone).alias(
-            "_nice_all"
-        ),
+        _mentions(
+            F.col("_must_text"), F.col("_must_cues"), MUST, "requirements", match, F.col("_spellings"), lone, caps
+        ).alias("must_have"),
+        _mentions(
+            F.col("_nice_text"), F.col("_nice_cues"), NICE, "preferred", match, F.col("_spellings"), lone, caps
+        ).alias("_nice_all"),
     )
     return (
         found.withColumn("must_have_skills", _names(F.col("must_have")))
@@ -402,8 +436,8 @@ _LEADERSHIP_WORDS = [
 ]
 
 
-def leadership_signals(text: Column) -> Column:
-    """Flags, the range of direct reports (the last pattern that names one), and up to ten snippets."""
+def leadership_signals(text: Column, caps: Caps = CAPS) -> Column:
+    """Flags, the range of direct reports (the last pattern that names one), and the first snippets."""
     patterns = [(f"(?i){pattern}", meaning) for pattern, meaning in vocab.LEADERSHIP_PATTERNS]
 
     def summary(found: Column) -> Column:
@@ -423,12 +457,12 @@ def leadership_signals(text: Column) -> Column:
             else:
                 flags[meaning] = flags[meaning] | hit
         flags["requires_management"] = flags["requires_management"] | manages | flags["technical_lead"]
-        shown = F.transform(F.filter(found, lambda raw: raw != ""), lambda raw: F.substring(raw, 1, 60))
+        shown = F.transform(F.filter(found, lambda raw: raw != ""), lambda raw: _begin(raw, caps.snippet_chars))
         return F.struct(
             *[value.alias(name) for name, value in flags.items()],
             low.alias("min_direct_reports"),
             high.alias("max_direct_reports"),
-            F.slice(shown, 1, 10).alias("signals"),
+            _first(shown, caps.snippets).alias("signals"),
         )
 
     low = F.lower(text)
@@ -446,23 +480,23 @@ _NEGATIVE_WORDS = [
 ]
 
 
-def negative_signals(text: Column) -> Column:
+def negative_signals(text: Column, caps: Caps = CAPS) -> Column:
     """``array<struct<signal, category, raw>>`` in list order."""
     low = F.lower(text)
     entries = [
         F.struct(
             F.lit(label).alias("signal"), F.lit(category).alias("category"),
-            F.substring(_extract(text, low, f"(?i){pattern}", needs), 1, 100).alias("raw"),
+            _begin(_extract(text, low, f"(?i){pattern}", needs), caps.negative_chars).alias("raw"),
         )
         for (pattern, category, label), needs in zip(vocab.NEGATIVE_PATTERNS, _NEGATIVE_WORDS, strict=True)
     ]
     return F.filter(F.array(*entries), lambda x: x["raw"] != "")
 
 
-def target_titles(text: Column, low: Column) -> Column:
+def target_titles(text: Column, low: Column, caps: Caps = CAPS) -> Column:
     """X11: titles from the first lines, from "hiring a ...", from "role: ..." and from a known list."""
-    lines = F.slice(
-        F.filter(F.transform(F.split(text, "\n", -1), stripped), lambda line: line != ""), 1, 3
+    lines = _first(
+        F.filter(F.transform(F.split(text, "\n", -1), stripped), lambda line: line != ""), caps.title_lines
     )
     heads = F.filter(
         lines,
@@ -492,7 +526,7 @@ def target_titles(text: Column, low: Column) -> Column:
             lambda lowered: F.filter(titles, lambda t, i: F.array_position(lowered, F.lower(t)) == i + 1),
         )
 
-    return F.slice(let(F.concat(heads, sized(hiring), sized(role), known), distinct), 1, 8)
+    return _first(let(F.concat(heads, sized(hiring), sized(role), known), distinct), caps.titles)
 
 
 # --- the whole description ------------------------------------------------------------------
@@ -508,7 +542,7 @@ def with_clean_text(jds: DataFrame, text_col: str = "text") -> DataFrame:
     )
 
 
-def with_roles(df: DataFrame, longest_match: bool = False) -> DataFrame:
+def with_roles(df: DataFrame, longest_match: bool = False, caps: Caps = CAPS) -> DataFrame:
     """X4-X12 over ``clean`` and ``low``."""
     clean, low = F.col("clean"), F.col("low")
     return (
@@ -520,37 +554,37 @@ def with_roles(df: DataFrame, longest_match: bool = False) -> DataFrame:
         .withColumn("industries", industries(low))
         .withColumn("location", location(low, longest_match))
         .withColumn("startup", startup_signals(low))
-        .withColumn("leadership", leadership_signals(clean))
-        .withColumn("negatives", negative_signals(clean))
-        .withColumn("titles", target_titles(clean, low))
+        .withColumn("leadership", leadership_signals(clean, caps))
+        .withColumn("negatives", negative_signals(clean, caps))
+        .withColumn("titles", target_titles(clean, low, caps))
         .withColumn("salary", salary(clean))
     )
 
 
-def embedding_summary() -> Column:
+def embedding_summary(caps: Caps = CAPS) -> Column:
     """The text a description is searched with."""
-    joined = lambda c, n: F.array_join(F.slice(c, 1, n), ", ")
+    joined = lambda c, n: F.array_join(_first(c, n), ", ")
     parts = F.array(
-        F.substring("clean", 1, 600),
-        F.concat(F.lit("Required skills: "), joined("must_have_skills", 15)),
-        F.concat(F.lit("Nice-to-have: "), joined("nice_to_have_skills", 10)),
-        F.concat(F.lit("Titles: "), joined("titles", 4)),
+        _begin("clean", caps.summary_clean_chars),
+        F.concat(F.lit("Required skills: "), joined("must_have_skills", caps.summary_must_have)),
+        F.concat(F.lit("Nice-to-have: "), joined("nice_to_have_skills", caps.summary_nice_to_have)),
+        F.concat(F.lit("Titles: "), joined("titles", caps.summary_titles)),
         F.concat(F.lit("Seniority: "), F.col("seniority.level")),
-        F.concat(F.lit("Industries: "), joined("industries", 5)),
+        F.concat(F.lit("Industries: "), joined("industries", caps.summary_industries)),
     )
-    return F.substring(F.array_join(F.filter(parts, lambda p: p != ""), " "), 1, 2000)
+    return _begin(F.array_join(F.filter(parts, lambda p: p != ""), " "), caps.summary_chars)
 
 
 def parse_jds(jds: DataFrame, text_col: str = "text", match: str = "substring", longest_match: bool = False,
-              skills: dict[str, list[str]] | None = None) -> DataFrame:
+              skills: dict[str, list[str]] | None = None, caps: Caps = CAPS) -> DataFrame:
     """Every field of a parsed description, one row per description."""
-    parsed = with_roles(with_skills(with_clean_text(jds, text_col), match, skills), longest_match)
+    parsed = with_roles(with_skills(with_clean_text(jds, text_col), match, skills, caps), longest_match, caps)
     return (
-        parsed.withColumn("summary_for_embedding", embedding_summary())
+        parsed.withColumn("summary_for_embedding", embedding_summary(caps))
         .withColumn("char_count", F.length("clean"))
         .withColumn("is_senior_role", F.col("seniority.level").isin(vocab.SENIOR_LEVELS))
         .withColumn("requires_management", F.col("leadership.requires_management"))
-        .withColumn("sections", F.transform_values("sections", lambda _, v: F.substring(v, 1, 500)))
+        .withColumn("sections", F.transform_values("sections", lambda _, v: _begin(v, caps.section_chars)))
         .drop("low", "sentences", "stated")
     )
 

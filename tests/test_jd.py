@@ -189,3 +189,37 @@ def test_a_table_of_descriptions_is_parsed_without_a_shuffle(spark, small, capsy
     plan.explain("formatted")
     shown = capsys.readouterr().out
     assert "Scan parquet" in shown and "Exchange" not in shown and "EvalPython" not in shown
+
+
+def test_uncapped_description_keeps_everything(spark):
+    skills = {f"Tool{i}x": [f"tool{i}x"] for i in range(40)}
+    named = ", ".join(skills)
+    body = "\n".join([
+        "Alpha", "Beta", "Gamma", "Late Engineer",
+        *[f"Role: {letter * 5} Engineer" for letter in "ABCDEFGHI"],
+        "You will lead a team and mentor engineers. " * 20,
+        "Requirements", f"- {named}", "Preferred", f"- {named} wanted, " + "y" * 600,
+    ])
+    df = spark.createDataFrame([("a", body)], "jd_id string, text string")
+    cut = jd.parse_jds(df, skills=skills).first()
+    whole = jd.parse_jds(df, skills=skills, caps=jd.UNCAPPED).first()
+    assert (len(cut["must_have"]), len(whole["must_have"])) == (30, 40)
+    assert len(cut["titles"]) == 8 and "Late Engineer" not in cut["titles"]
+    assert len(whole["titles"]) > 9 and "Late Engineer" in whole["titles"]
+    assert max(len(v) for v in cut["sections"].values()) == 500 < max(len(v) for v in whole["sections"].values())
+    assert len(cut["summary_for_embedding"]) <= 2000 < len(whole["summary_for_embedding"])
+    assert whole["clean"] in whole["summary_for_embedding"] and ", ".join(whole["must_have_skills"]) in whole["summary_for_embedding"]
+    assert ", ".join(whole["titles"]) in whole["summary_for_embedding"]
+
+
+def test_uncapped_snippets(spark, monkeypatch):
+    monkeypatch.setattr(jd.vocab, "LEADERSHIP_PATTERNS", [(f"lead{i} .*", "technical_lead") for i in range(12)])
+    monkeypatch.setattr(jd, "_LEADERSHIP_WORDS", [["lead"]] * 12)
+    monkeypatch.setattr(jd.vocab, "NEGATIVE_PATTERNS", [("no freshers.*", "experience", "no freshers")])
+    monkeypatch.setattr(jd, "_NEGATIVE_WORDS", [["fresher"]])
+    body = "\n".join([*[f"lead{i} " + "z" * 90 for i in range(12)], "No freshers " + "q" * 150])
+    df = spark.createDataFrame([(body,)], "t string")
+    for caps, count, chars, raw in ((jd.CAPS, 10, 60, 100), (jd.UNCAPPED, 12, 97, 162)):
+        row = df.select(jd.leadership_signals(F.col("t"), caps).alias("s"), jd.negative_signals(F.col("t"), caps).alias("n")).first()
+        assert len(row["s"]["signals"]) == count and max(map(len, row["s"]["signals"])) == chars
+        assert [len(n["raw"]) for n in row["n"]] == [raw]
