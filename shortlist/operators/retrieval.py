@@ -322,7 +322,9 @@ class _Block:
 
     def __init__(self, rows: pd.DataFrame, query_id: str, query_vector: str) -> None:
         self.ids = rows[query_id].to_numpy()
-        self.matrix = np.stack([np.asarray(v, dtype="float64") for v in rows[query_vector]])
+        size = max((len(v) for v in rows[query_vector] if v is not None), default=0)
+        none = np.zeros(size)  # a query without a vector is answered by its text alone
+        self.matrix = np.stack([none if v is None else np.asarray(v, dtype="float64") for v in rows[query_vector]])
         self.terms = sorted({t for found in rows["_terms"] for t in found})
         number = {t: i for i, t in enumerate(self.terms)}
         pairs = sorted((number[t], q) for q, found in enumerate(rows["_terms"]) for t in found)
@@ -379,8 +381,10 @@ def _best_of(block: _Block, low: np.ndarray, high: np.ndarray, k: int, names: tu
         kept: pd.DataFrame | None = None
         for piece in _pieces(batches):
             none = np.zeros(block.matrix.shape[1])
-            vectors = np.stack([none if v is None else v for v in piece[vector_col]]).astype("float64")
-            cosine = np.round(vectors @ block.matrix.T, SCORE_DIGITS)
+            cosine = np.zeros((len(piece), len(block.ids)))
+            if len(none):  # else no query of the block has a vector
+                vectors = np.stack([none if v is None else v for v in piece[vector_col]]).astype("float64")
+                cosine = np.round(vectors @ block.matrix.T, SCORE_DIGITS)
             text = block.text_scores(piece["_terms"].tolist(), piece["_weights"].tolist())
             norm = np.where(high > low, (text - low) / width, 0.0)
             hybrid = np.round(weights[0] * norm + weights[1] * cosine, SCORE_DIGITS)
@@ -415,7 +419,7 @@ def hybrid_batch(
 
     No row is made per (query, document). Every document carries the weights of the query terms
     it holds; each task multiplies these and its vectors with a bounded block of queries, and
-    hands on at most k rows per query. The term weights are written to the shared folder once
+    hands on at most k rows per query. A query without a vector has similarity 0 to all. The term weights are written to the shared folder once
     per block, because the range of the scores is needed before they can be combined. Queries
     beyond one block take further passes.
     """

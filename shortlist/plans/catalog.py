@@ -382,7 +382,7 @@ def hybrid_batch(spark: SparkSession, folder: str) -> DataFrame:
     vectors = _document_vectors(spark, folder)
     queries = derived.table(spark, folder, "benchmark").select(
         F.col("item_id").alias("query_id"), F.col("text").alias("query_text")
-    ).join(vectors.select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("query_vector")), "query_id")
+    ).join(vectors.select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("query_vector")), "query_id", "left")
     top = retrieval.hybrid_batch(_documents(spark, folder), vectors, queries, k=10, id_col="doc_id")
     return top.select(
         "query_id", "rank", "doc_id", six("hybrid_score"), six("bm25_norm"), six("semantic_score")

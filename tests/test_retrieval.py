@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from shortlist.functions import text, vectors
 from shortlist.operators import retrieval
 from shortlist.plans import derived, pipeline
+from shortlist.plans.catalog import QUERIES
 
 CORPUS = [
     ("CAND_1", "Senior Software Engineer Python Django AWS Docker"),
@@ -220,3 +221,20 @@ def test_texts_without_a_vector_and_vectors_without_a_text_are_found(spark):
     queries = spark.createDataFrame([(1, "python", [1.0, 0.0])], "query_id int, query_text string, query_vector array<double>")
     many = retrieval.hybrid_batch(docs, vectors, queries, k=4).orderBy("rank").collect()
     assert [(r.candidate_id, r.bm25_norm, r.semantic_score) for r in many] == got
+
+
+def test_queries_without_vectors_are_answered_by_their_text(spark, tmp_path):
+    texts = [(1, "red apple"), (2, "green pear pear"), (3, "blue plum")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    stored = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<float>")
+    stored.write.parquet(f"{tmp_path}/embeddings.parquet")
+    items = spark.createDataFrame([(2, "apple"), (50, "pear")], "item_id long, text string")
+    items.write.parquet(f"{tmp_path}/benchmark.parquet")
+    best = {r.query_id: r for r in QUERIES["hybrid_batch"](spark, str(tmp_path)).where("rank = 1").collect()}
+    assert best[2].semantic_score == 1.0 and best[2].doc_id == 2
+    assert best[50].doc_id == 2 and (best[50].bm25_norm, best[50].semantic_score, best[50].hybrid_score) == (1.0, 0.0, 0.4)
+    vectors = stored.withColumnRenamed("vec_id", "doc_id")
+    alone = spark.createDataFrame([(7, "plum", None)], "query_id long, query_text string, query_vector array<float>")
+    found = retrieval.hybrid_batch(docs, vectors, alone, k=1, id_col="doc_id").first()
+    assert (found.doc_id, found.semantic_score) == (3, 0.0)
