@@ -7,7 +7,7 @@ from collections import Counter
 
 import duckdb
 import pytest
-from test_operators import brute_components, brute_removed
+from brute_llm import brute_components, brute_removed
 
 import corpus_pipeline
 from shortlist.llm import decontaminate
