@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shortlist.llm import decontaminate, exact, language, licenses, neardup, pieces, quality, substrings, toxicity, warc
+from shortlist.llm import collocations, decontaminate, exact, language, licenses, neardup, pieces, quality, spelling, substrings, toxicity, warc
 from shortlist.llm.common import Stage, is_held_out, table
 
 #: The vocabulary file of the public tokenizer that op4 is bound to.
@@ -69,6 +69,14 @@ def op10_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, folder, "documents"), shingle_words=4, percent=80)
 
 
+def op12_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(table(spark, folder, "documents"))
+
+
+def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_license_scan": op2_license_scan,
@@ -80,6 +88,8 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_warc": op9_warc,
     "op10_minhash": op10_minhash,
+    "op12_spelling": op12_spelling,
+    "op13_collocations": op13_collocations,
 }
 
 _NORMAL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -105,6 +115,47 @@ ORACLE = {
                w.doc_id = least(w.doc_id, coalesce(other, w.doc_id)) AS kept
         FROM w LEFT JOIN n USING (doc_id) LEFT JOIN least USING (doc_id)
     """,
+    "op12_spelling": f"""
+        WITH RECURSIVE bits AS (SELECT i, list_reduce([i] || range(8), lambda c, _: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS entry FROM range(256) t(i)),
+        sums AS (SELECT list(entry ORDER BY i) AS entries FROM bits),
+        runs AS (SELECT coalesce(doc_id::VARCHAR, '') || ':' || run AS named, run, count(*) AS times
+                 FROM (SELECT doc_id, unnest(regexp_extract_all({_NORMAL}, '[A-Za-z\u00C0-\u00FF]+')) AS run FROM documents) GROUP BY named, run),
+        octets AS (SELECT run, times, list_transform(regexp_extract_all(hex(encode(named)), '..'), lambda x: ('0x' || x)::BIGINT) AS own FROM runs),
+        marked AS (SELECT run, times, xor(list_reduce([4294967295] || own, lambda c, b: xor(entries[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) AS mark FROM octets, sums),
+        w AS (SELECT CASE WHEN mark % 97 = 0 THEN substr(run, 1, (mark % length(run))::BIGINT) || substr(run, (mark % length(run) + 2)::BIGINT) ELSE run END AS word, sum(times)::BIGINT AS n
+              FROM marked GROUP BY word HAVING length(word) >= 5 AND n >= 3),
+        holes AS (SELECT word, n, length(word) AS size, pos, substr(word, 1, pos - 1) || substr(word, pos + 1) AS rest
+                  FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS pos FROM w)),
+        near AS (SELECT a.word AS word, a.n AS n, b.word AS other, b.n AS m FROM holes a JOIN holes b ON a.rest = b.rest AND a.pos = b.pos AND a.size = b.size AND a.word <> b.word
+                 UNION SELECT a.word, a.n, b.word, b.n FROM holes a JOIN w b ON a.rest = b.word
+                 UNION SELECT b.word, b.n, a.word, a.n FROM holes a JOIN w b ON a.rest = b.word),
+        best AS (SELECT word, any_value(n) AS n, count(*) AS n_near, arg_min(other, (-m, other)) AS other, max(m) AS m FROM near GROUP BY word),
+        forms AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 2 * w.n THEN other END AS form, CASE WHEN m >= 2 * w.n THEN m END AS form_n FROM w LEFT JOIN best USING (word)),
+        walk AS (SELECT word, form AS root FROM forms WHERE form IS NOT NULL UNION ALL SELECT walk.word, forms.form FROM walk JOIN forms ON forms.word = walk.root WHERE forms.form IS NOT NULL),
+        ends AS (SELECT walk.word, walk.root FROM walk JOIN forms ON forms.word = walk.root WHERE forms.form IS NULL)
+        SELECT word, form, coalesce(root, word) AS root, n, n_near, form_n FROM forms LEFT JOIN ends USING (word)
+    """,
+    "op13_collocations": f"""
+        WITH pieces AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS words
+                        FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_NORMAL}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents)),
+        places AS (SELECT lang, words, unnest(range(1, len(words) + 1)) AS pos FROM pieces),
+        f1 AS (SELECT lang, words[pos] AS x, count(*) AS f FROM places GROUP BY ALL),
+        f2 AS (SELECT lang, words[pos] AS x, words[pos + 1] AS y, count(*) AS f FROM places WHERE pos < len(words) GROUP BY ALL HAVING f >= 10),
+        f3 AS (SELECT lang, words[pos] AS x, words[pos + 1] AS y, words[pos + 2] AS z, count(*) AS f FROM places WHERE pos + 1 < len(words) GROUP BY ALL HAVING f >= 10),
+        totals AS (SELECT lang, sum(f)::BIGINT AS n FROM f1 GROUP BY lang),
+        longer AS (SELECT lang, x, y, max(f) AS m FROM (SELECT lang, x, y, f FROM f3 UNION ALL SELECT lang, y, z, f FROM f3) GROUP BY lang, x, y),
+        cuts AS (SELECT p.lang, p.x || ' ' || p.y AS phrase, 1 AS k, p.f AS a, u.f AS l, v.f AS r
+                 FROM f2 p JOIN f1 u ON u.lang = p.lang AND u.x = p.x JOIN f1 v ON v.lang = p.lang AND v.x = p.y
+                 LEFT JOIN longer g ON g.lang = p.lang AND g.x = p.x AND g.y = p.y WHERE g.m IS NULL OR 100 * g.m < 50 * p.f
+                 UNION ALL SELECT t.lang, t.x || ' ' || t.y || ' ' || t.z, 1, t.f, u.f, v.f
+                 FROM f3 t JOIN f1 u ON u.lang = t.lang AND u.x = t.x JOIN f2 v ON v.lang = t.lang AND v.x = t.y AND v.y = t.z
+                 UNION ALL SELECT t.lang, t.x || ' ' || t.y || ' ' || t.z, 2, t.f, u.f, v.f
+                 FROM f3 t JOIN f2 u ON u.lang = t.lang AND u.x = t.x AND u.y = t.y JOIN f1 v ON v.lang = t.lang AND v.x = t.z),
+        scored AS (SELECT *, (1000000::HUGEINT * a * a // (l::HUGEINT * r))::BIGINT AS score FROM cuts),
+        lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+        FROM lowest JOIN totals USING (lang) QUALIFY rank <= 2000
+    """,
     "op9_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
         d AS (SELECT page_id, strlen(body) AS payload_bytes, sha256(body) AS payload_digest FROM p),

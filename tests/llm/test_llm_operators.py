@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -13,7 +14,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from brute_llm import brute_components, brute_removed
-from shortlist.llm import components, decontaminate, exact, language, licenses, neardup, pieces, quality, substrings, toxicity, warc
+from shortlist.llm import collocations, components, decontaminate, exact, language, licenses, neardup, pieces, quality, spelling, substrings, toxicity, warc
 from shortlist.llm.common import Stage, is_held_out
 
 ODD = "id long, text string, lang string, key string, n long, low long, label int, row long"
@@ -384,3 +385,125 @@ def test_archive_round_trip(spark, tmp_path):
     assert sum(len(x) for x in single) <= len(stored) and all(x in stored for x in single)
     warc.write_archive(pages.limit(0), str(tmp_path / "none"))
     assert warc.read_archive(spark, str(tmp_path / "none")).count() == 0
+
+
+# ---- phrase collocations
+
+
+def brute_collocations(rows, least, cover, top):
+    """Per language: phrase, a, l, r, n, score in order, from plain counts of everything."""
+    counts: dict = {}
+    for lang, text in rows:
+        own = counts.setdefault("und" if lang is None else lang, Counter())
+        for piece in re.split("[.,;:!?\x0a-\x0d]", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")):
+            words = re.findall("[^\x20\x09]+", piece)
+            for size in (1, 2, 3):
+                own.update(tuple(words[i : i + size]) for i in range(len(words) - size + 1))
+    out = {}
+    for lang, own in counts.items():
+        n, found = sum(c for p, c in own.items() if len(p) == 1), []
+        for p, a in own.items():
+            if len(p) == 1 or a < least:
+                continue
+            if len(p) == 2 and any(100 * c >= cover * a for q, c in own.items() if len(q) == 3 and c >= least and p in (q[:2], q[1:])):
+                continue
+            score, k = min((10**6 * a * a // (own[p[:k]] * own[p[k:]]), k) for k in range(1, len(p)))
+            found.append((-score, -a, " ".join(p).encode(), own[p[:k]], own[p[k:]]))
+        out[lang] = [(p.decode(), -a, x, y, n, -s) for s, a, p, x, y in sorted(found)[:top]]
+    return {lang: rows for lang, rows in out.items() if rows}
+
+
+def collocation_docs(draw):
+    words = ["new", "york", "City", "of", "the", "é", "$", "x-y", "a'b"]
+    texts = [(None, None), ("en", ""), ("en", " ... \t!"), (None, "New York city, new YORK City")]
+    for _ in range(60):
+        lang = draw.choice(["en", "en", "fr", None])
+        texts.append((lang, "".join(draw.choice(words) + draw.choice([" ", " ", " ", "  ", "\t", ". ", "\n", "\x1c "]) for _ in range(draw.randint(0, 60)))))
+    return texts + texts[10:30]
+
+
+@pytest.mark.parametrize(("least", "cover", "top", "bits"), [(10, 50, 2000, 1 << 16), (3, 30, 4, 1 << 16), (3, 90, 1, 64), (2, 50, 12, 64)])
+def test_collocations_against_brute_force(spark, monkeypatch, least, cover, top, bits):
+    monkeypatch.setattr(collocations, "_SLICE", 64)
+    rows = collocation_docs(random.Random(least))
+    frame = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, lang string, text string").withColumn("phrase", F.lit(1)).withColumn("level", F.lit(2))
+    got: dict = {}
+    for r in collocations.collocations(frame, least=least, cover=cover, top=top, bits=bits, block=200).orderBy("lang", "rank").collect():
+        own = got.setdefault(r.lang, [])
+        own.append((r.phrase, r.a, r.l, r.r, r.n, r.score))
+        assert r["rank"] == len(own)
+    assert got == brute_collocations(rows, least, cover, top)
+
+
+def test_collocations_defined_cases(spark):
+    assert collocations.collocations(docs_of(spark, [], "lang string, text string")).count() == 0
+    assert collocations.collocations(docs_of(spark, [("en", "one two")], "lang string, text string")).count() == 0
+    big = 10**14
+    row = spark.createDataFrame([(big, big, big + 1)], "a long, l long, r long").select(collocations._score("a", "l", "r", 10**6)).first()
+    assert row[0] == 10**6 * big * big // (big * (big + 1))
+
+
+# ---- spelling variants
+
+
+def brute_variants(rows):
+    counts: Counter = Counter()
+    for doc_id, text in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = re.sub("[A-Z]", lambda m: m[0].lower(), run)
+            mark = zlib.crc32(f"{'' if doc_id is None else doc_id}:{run}".encode())
+            counts[run if mark % 97 else run[: mark % len(run)] + run[mark % len(run) + 1 :]] += 1
+    words = {w: n for w, n in counts.items() if len(w) >= 5 and n >= 3}
+
+    def near(a, b):
+        if len(a) == len(b):
+            return sum(x != y for x, y in zip(a, b)) == 1
+        short, long = sorted((a, b), key=len)
+        return len(long) - len(short) == 1 and any(long[:i] + long[i + 1 :] == short for i in range(len(long)))
+
+    by_size: dict = {}
+    for w in words:
+        by_size.setdefault(len(w), []).append(w)
+    out = {}
+    for w, n in words.items():
+        others = [v for size in (len(w) - 1, len(w), len(w) + 1) for v in by_size.get(size, ()) if near(w, v)]
+        best = min(others, key=lambda v: (-words[v], v), default=None)
+        form = best if best is not None and words[best] >= 2 * n else None
+        out[w] = (form, n, len(others), words[form] if form else None)
+    roots = {}
+    for w in out:
+        root = w
+        while out[root][0]:
+            root = out[root][0]
+        roots[w] = root
+    return {w: (form, roots[w], n, count, form_n) for w, (form, n, count, form_n) in out.items()}
+
+
+def test_variants_against_brute_force(spark, small):
+    draw = random.Random(3)
+    rows = [(None, None), (1, ""), (2, "aaaaa aaaaaa aaaaaaa AAAAAA aaaaab " * 3), (None, "colour color colour COLOUR color colour colours " * 4), (2, "Éclair éclair éclaix÷ " * 5)]
+    rows += [(i, " ".join("".join(draw.choice("abÉé÷") for _ in range(draw.choice([4, 5, 5, 6]))) for _ in range(400))) for i in range(40)]
+    rows += [(r.doc_id, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
+    rows += rows[5:9]
+    frame = docs_of(spark, rows).withColumn("word", F.lit(1)).withColumn("n", F.lit(2)).withColumn("id", F.lit("x"))
+    found = spelling.variants(frame).collect()
+    got = {r.word: (r.form, r.root, r.n, r.n_near, r.form_n) for r in found}
+    assert len(got) == len(found) and got == brute_variants(rows)
+    assert any(form != root and form for form, root, *_ in got.values())
+
+
+def test_variants_defined_cases(spark):
+    assert spelling.variants(docs_of(spark, [])).count() == 0
+    assert spelling.variants(docs_of(spark, [(1, "abcd"), (2, "x" * 100000)])).count() == 0
+    links = docs_of(spark, [(i, i + 1) for i in range(9)], "id long, root long")
+    assert {r.root for r in spelling.last_forms(links, Stage(spark, "chain")).collect()} == {9}
+
+
+@pytest.mark.parametrize("size", [62, 63, 64, 65, 66, 3000])
+def test_variants_of_long_words(spark, size):
+    draw = random.Random(size)
+    word = "".join(draw.choice("abc") for _ in range(size))
+    texts = [word] * 9 + [word[:40] + "z" + word[41:]] * 3 + [word[:20] + word[21:]] * 4 + [word + "c"] * 3 + [word[:-1]] * 3
+    rows = [(1, t) for t in texts]
+    got = {r.word: (r.form, r.root, r.n, r.n_near, r.form_n) for r in spelling.variants(docs_of(spark, rows)).collect()}
+    assert got == brute_variants(rows)
