@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shortlist.llm import collocations, decontaminate, exact, language, licenses, neardup, pieces, quality, spelling, substrings, toxicity, warc
+from shortlist.llm import collocations, decontaminate, exact, language, licenses, neardup, neural, pieces, quality, spelling, substrings, toxicity, warc
 from shortlist.llm.common import Stage, is_held_out, table
 
 #: The vocabulary file of the public tokenizer that op4 is bound to.
@@ -69,6 +69,13 @@ def op10_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, folder, "documents"), shingle_words=4, percent=80)
 
 
+def op11_neural(spark: SparkSession, folder: str) -> DataFrame:
+    docs, held, stage = table(spark, folder, "documents"), is_held_out("doc_id", 7, 2), Stage(spark, "op11")
+    model, counts = neural.learn(docs, ~held, stage)
+    found = neural.score(docs, model, counts, stage)
+    return found.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op12_spelling(spark: SparkSession, folder: str) -> DataFrame:
     return spelling.variants(table(spark, folder, "documents"))
 
@@ -88,6 +95,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_warc": op9_warc,
     "op10_minhash": op10_minhash,
+    "op11_neural": op11_neural,
     "op12_spelling": op12_spelling,
     "op13_collocations": op13_collocations,
 }

@@ -14,7 +14,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from brute_llm import brute_components, brute_removed
-from shortlist.llm import collocations, components, decontaminate, exact, language, licenses, neardup, pieces, quality, spelling, substrings, toxicity, warc
+from shortlist.llm import collocations, components, decontaminate, exact, language, licenses, neardup, neural, pieces, quality, spelling, substrings, toxicity, warc
 from shortlist.llm.common import Stage, is_held_out
 
 ODD = "id long, text string, lang string, key string, n long, low long, label int, row long"
@@ -507,3 +507,80 @@ def test_variants_of_long_words(spark, size):
     rows = [(1, t) for t in texts]
     got = {r.word: (r.form, r.root, r.n, r.n_near, r.form_n) for r in spelling.variants(docs_of(spark, rows)).collect()}
     assert got == brute_variants(rows)
+
+
+# ---- neural language model
+
+
+def lm_tokens(text):
+    return re.findall("[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) + [None]
+
+
+def lm_plain(rows, learnable, model):
+    """n_tokens, n_known, base and score of every text: counts by a dictionary, probabilities by a softmax per place."""
+    counts = Counter(w for i, t in rows if learnable(i) for w in lm_tokens(t))
+    total, distinct, p, short = sum(counts.values()), len(counts), model.parameters, model.numbers.short
+    key = {w: neural.END if w is None else neural.tokens_of(w)[0] for _, t in rows for w in lm_tokens(t)}
+    number = {w: model.tokens.index(key[w]) for w in key if key[w] in model.tokens[:short]}
+    inside = sum(counts[w] for w in number)
+    out = []
+    for _, text in rows:
+        one = two = short + 1
+        tokens, base, score = lm_tokens(text), 0.0, 0.0
+        for w in tokens:
+            q = p.before[one].astype(float) @ p.first + p.before[two].astype(float) @ p.second
+            logits = q @ p.word.astype(float).T + p.bias
+            place = number.get(w, short)
+            score += (logits[place] - logits.max() - np.log(np.exp(logits - logits.max()).sum())) / np.log(10)
+            if place == short:
+                score += np.log10((counts[w] + 1) / (total - inside + distinct - len(number) + 1))
+            base += np.log10((counts[w] + 1) / (total + distinct + 1))
+            one, two = place, one
+        out.append((len(tokens), sum(counts[w] > 0 for w in tokens), total, base, score))
+    return out
+
+
+def test_neural_scores_against_a_plain_softmax(spark):
+    draw = random.Random(8)
+    words = ["a", "B", "cé", "d\x1c", "e" * 70, "E" * 70, "f" * 71, "g"]
+    rows = [(i, " ".join(draw.choice(words[: 3 + i % 6]) for _ in range(draw.randint(0, 40)))) for i in range(60)]
+    rows += [(100, None), (101, ""), (102, "one"), (102, "one"), (None, "never seen a\tb"), (103, "z" * 200000)]
+    frame = docs_of(spark, rows).repartition(3)
+    for name in ("token", "c", "row", "key", "rare", "base", "round"):
+        frame = frame.withColumn(name, F.lit(7))
+    stage, ids = Stage(spark, "lm"), F.coalesce("doc_id", F.lit(-1))
+    for dictionary, shortlist in ((50, 4), (3, 3), (2, 50)):
+        model, counts = neural.learn(frame, ids % 3 != 0, Stage(spark, "lm"), dictionary=dictionary, shortlist=shortlist, width=5, batch=16, noise=4)
+        got = sorted((str(r.doc_id), r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in neural.score(frame, model, counts, Stage(spark, "lm")).collect())
+        plain = lm_plain(rows, lambda i: (-1 if i is None else i) % 3 != 0, model)
+        want = sorted((str(i), *x) for (i, _), x in zip(rows, plain))
+        for a, b in zip(got, want, strict=True):
+            assert a[:4] == b[:4] and a[4:] == pytest.approx(b[4:], abs=1e-4)
+    sums = np.exp(model.parameters.log_probabilities().of(*(x.ravel() for x in np.meshgrid(*[np.arange(n) for n in (model.numbers.size, model.numbers.size + 1, model.numbers.size + 1)], indexing="ij"))))
+    assert np.allclose(sums.reshape(model.numbers.size, -1).sum(axis=0), 1)
+    empty, counts = neural.learn(frame.limit(0), F.lit(True), stage)
+    assert neural.score(frame.limit(0), empty, counts, Stage(spark, "lm")).count() == 0
+    assert all(r.base_score == r.score == 0 and r.n_known == 0 for r in neural.score(frame, empty, counts, Stage(spark, "lm")).collect())
+
+
+def test_noise_contrastive_slopes():
+    draw = np.random.default_rng(2)
+    shares = np.array([0.4, 0.3, 0.2, 0.1])
+    model = neural.Parameters(*(a.astype(np.float64) for a in neural.Parameters.start(shares, 3, 1).arrays()))
+    places = (draw.integers(0, 4, 9), draw.integers(0, 5, 9), draw.integers(0, 5, 9), np.array([0, 0, 1, 3, 2]), np.log(shares))
+    for array, slope in zip(model.arrays(), neural.slopes(model, *places)):
+        for at in np.ndindex(array.shape):
+            old, values = array[at], []
+            for step in (1e-5, -1e-5):
+                array[at] = old + step
+                values.append(neural.objective(model, *places))
+            array[at] = old
+            assert slope[at] == pytest.approx((values[0] - values[1]) / 2e-5, rel=1e-3, abs=1e-6)
+
+
+def test_neural_model_beats_frequencies_on_held_out_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").repartition(4)
+    held, stage = is_held_out("doc_id", 7, 2), Stage(spark, "lm")
+    model, counts = neural.learn(docs, ~held, stage)
+    sums = neural.score(docs, model, counts, stage).filter(held).agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+    assert (sums[0] - sums[1]) / sums[2] > 0.05

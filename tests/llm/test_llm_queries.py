@@ -24,6 +24,7 @@ COLUMNS = {
     "op8_toxicity": {"doc_id", "held_out", "score", "predicted"},
     "op9_warc": {"page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"},
     "op10_minhash": {"doc_id", "n_shingles", "component_id", "kept"},
+    "op11_neural": {"doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"},
     "op12_spelling": {"word", "form", "root", "n", "n_near", "form_n"},
     "op13_collocations": {"lang", "rank", "phrase", "a", "l", "r", "n", "score"},
 }
