@@ -435,6 +435,80 @@ SQL["ndcg_at_k"] = with_base(
     + f""" FROM (SELECT *, row_number() OVER (PARTITION BY location ORDER BY round({R4}, 6) DESC, cid) AS d,
   row_number() OVER (PARTITION BY location ORDER BY label DESC, cid) AS i FROM lab) GROUP BY 1""", *ALL, LABELS)
 
+# --- the pairwise ranker --------------------------------------------------------------------------
+
+UNIT = 1 << 30
+
+
+def lambda_slopes(score: str) -> str:
+    """Relation ``pull``: per candidate the sums of slope and curvature over all pairs of its place, in units."""
+    discount = "CASE WHEN {0}.r <= 30 THEN 1.0 / log2({0}.r + 1) ELSE 0.0 END"
+    return f"""
+placed AS (SELECT cid, coalesce(location, '') AS g, label, {score} AS s FROM lab),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY s DESC, cid) AS r,
+  row_number() OVER (PARTITION BY g ORDER BY label DESC, cid) AS i FROM placed),
+ideal AS (SELECT g, sum((2.0 ** label - 1.0) / log2(i + 1)) AS most FROM ordered WHERE i <= 30 GROUP BY g HAVING most > 0),
+versus AS (
+  SELECT a.cid AS hi, b.cid AS lo, 1.0 / (1.0 + exp(a.s - b.s)) AS chance,
+    abs(2.0 ** a.label - 2.0 ** b.label) * abs({discount.format('a')} - {discount.format('b')}) / most AS size
+  FROM ordered a JOIN ordered b ON a.g = b.g AND a.label > b.label AND least(a.r, b.r) <= 30 JOIN ideal ON ideal.g = a.g),
+units AS (SELECT hi, lo, round({UNIT} * size * chance)::BIGINT AS slope,
+  round({UNIT} * size * chance * (1.0 - chance))::BIGINT AS curve FROM versus),
+summed AS (SELECT cid, sum(slope) AS slope, sum(curve) AS curve FROM (
+  SELECT hi AS cid, slope, curve FROM units UNION ALL SELECT lo, -slope, curve FROM units) GROUP BY 1),
+pull AS (SELECT cid, coalesce(slope, 0)::DOUBLE / {UNIT} AS slope, coalesce(curve, 0)::DOUBLE / {UNIT} AS curve FROM placed LEFT JOIN summed USING (cid))"""
+
+
+SQL["lambda_gradients"] = with_base(
+    "SELECT cid AS candidate_id, round(slope, 6) AS slope, round(curve, 6) AS curve FROM pull", *ALL, LABELS, lambda_slopes(f"round({R4}, 6)"))
+
+
+def _split(level: int, members: str) -> str:
+    """The best split of every node of a level, and who goes where. ``members`` lists cid and node."""
+    strength = "({0}) * ({0}) / ({1} + 1.0)"
+    return f"""
+in{level} AS ({members}),
+sum{level} AS (SELECT node, count(*) AS rows, sum(slope) AS s, sum(curve) AS c FROM in{level} JOIN pull USING (cid) GROUP BY 1),
+left{level} AS (SELECT node, f, i, any_value(edge) AS edge, count(*) AS n, sum(slope) AS s, sum(curve) AS c
+  FROM in{level} JOIN pull USING (cid) JOIN val USING (cid) JOIN edges USING (f) WHERE v <= edge GROUP BY 1, 2, 3),
+try{level} AS (SELECT l.node, f, i, edge, {strength.format('l.s', 'l.c')} + {strength.format('t.s - l.s', 't.c - l.c')} - {strength.format('t.s', 't.c')} AS gain
+  FROM left{level} l JOIN sum{level} t USING (node) WHERE n >= 20 AND rows - n >= 20),
+pick{level} AS (SELECT * FROM try{level} WHERE gain > 1e-9 QUALIFY row_number() OVER (PARTITION BY node ORDER BY gain DESC, f, i) = 1)"""
+
+
+LAMBDA_TREE = (
+    lambda_slopes("0.0"),
+    "val AS (" + " UNION ALL ".join(f"SELECT cid, {i} AS f, round({f}::DOUBLE, 6) AS v FROM lab" for i, f in enumerate(FEATURES_31)) + ")",
+    "edges AS (SELECT f, i, lo + (hi - lo) * i / 16 AS edge FROM (SELECT f, min(v) AS lo, max(v) AS hi FROM val GROUP BY 1 HAVING hi > lo), range(1, 16) t(i))",
+    _split(0, "SELECT cid, 1 AS node FROM placed"),
+    _split(1, "SELECT cid, 2 * node + (v > edge)::INTEGER AS node FROM in0 JOIN pick0 USING (node) JOIN val USING (cid, f)"),
+    """
+in2 AS (SELECT cid, 2 * node + (v > edge)::INTEGER AS node FROM in1 JOIN pick1 USING (node) JOIN val USING (cid, f)),
+sum2 AS (SELECT node, count(*) AS rows, sum(slope) AS s, sum(curve) AS c FROM in2 JOIN pull USING (cid) GROUP BY 1),
+splits AS (SELECT node, f, edge, gain FROM pick0 UNION ALL SELECT node, f, edge, gain FROM pick1),
+nodes AS (SELECT node, f, edge, coalesce(gain, 0.0) AS gain, rows, 0.1 * s / (c + 1.0) AS value
+  FROM (FROM sum0 UNION ALL FROM sum1 UNION ALL FROM sum2) LEFT JOIN splits USING (node)),
+names AS (SELECT unnest(range(""" + str(len(FEATURES_31)) + ")) AS f, unnest(" + lst(FEATURES_31) + """) AS feature),
+leaves AS (SELECT cid, l.node, l.value, l.rows / p.rows AS z2, p.f AS f2, CASE WHEN l.node > 3 THEN p.rows / r.rows END AS z1,
+    CASE WHEN l.node > 3 THEN r.f END AS f1, ((x2.v > p.edge)::INTEGER = l.node % 2)::INTEGER AS o2,
+    ((x1.v > r.edge)::INTEGER = p.node % 2)::INTEGER AS o1
+  FROM nodes l JOIN nodes p ON p.node = l.node // 2 JOIN nodes r ON r.node = 1 JOIN val x2 ON x2.f = p.f JOIN val x1 USING (cid)
+  WHERE l.f IS NULL AND x1.f = r.f),
+parts AS (
+  SELECT cid, f2 AS f, value * (o2 - z2) AS part FROM leaves WHERE f1 IS NULL
+  UNION ALL SELECT cid, f2, value * (o1 * o2 - z1 * z2) FROM leaves WHERE f1 = f2
+  UNION ALL SELECT cid, f1, value * (o1 - z1) * (o2 + z2) / 2 FROM leaves WHERE f1 <> f2
+  UNION ALL SELECT cid, f2, value * (o2 - z2) * (o1 + z1) / 2 FROM leaves WHERE f1 <> f2),
+shares AS (SELECT cid, feature, sum(part) AS contribution FROM parts JOIN names USING (f) GROUP BY 1, 2)""",
+)
+SQL["lambda_tree"] = with_base(
+    """SELECT node, feature, round(edge, 6) AS edge, round(gain, 4) AS gain, rows, round(value, 6) AS value
+FROM nodes LEFT JOIN names USING (f)""", *ALL, LABELS, *LAMBDA_TREE)
+SQL["tree_contrib"] = with_base(
+    "SELECT cid AS candidate_id, feature, round(contribution, 6) AS contribution FROM shares", *ALL, LABELS, *LAMBDA_TREE)
+SQL["tree_mean_abs"] = with_base(
+    "SELECT feature, round(avg(abs(contribution)), 6) AS mean_abs FROM shares GROUP BY 1", *ALL, LABELS, *LAMBDA_TREE)
+
 # --- the whole ranking ----------------------------------------------------------------------------
 
 SQL["rank_candidates"] = with_base(

@@ -237,13 +237,18 @@ def label_columns(years: Column, hybrid: Column, semantic: Column | None = None,
     return {"label": label, "reason": reason}
 
 
-def pseudo_labels(featured: DataFrame, hybrid: str = "hybrid_score", semantic: str | None = None) -> DataFrame:
-    """The label table, scores rounded to 4, 2 and 2 places.
+def pseudo_label(hybrid: str = "hybrid_score", semantic: str | None = None) -> dict:
+    """``label`` and ``reason`` as columns of a frame with the 31 features, both fraud scores and ``profile``.
 
-    Needs the 31 features, both fraud scores and ``profile``; ``semantic`` names the similarity.
+    ``semantic`` names the similarity.
     """
     years = or_default(F.col("profile.years_of_experience"), 0.0)
-    columns = label_columns(years, F.col(hybrid), F.col(semantic) if semantic else None)
+    return label_columns(years, F.col(hybrid), F.col(semantic) if semantic else None)
+
+
+def pseudo_labels(featured: DataFrame, hybrid: str = "hybrid_score", semantic: str | None = None) -> DataFrame:
+    """The label table, scores rounded to 4, 2 and 2 places; arguments as for ``pseudo_label``."""
+    columns = pseudo_label(hybrid, semantic)
     return featured.select(
         "candidate_id",
         columns["label"].alias("label"),

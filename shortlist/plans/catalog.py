@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 from shortlist.functions import text
 from shortlist.functions.numbers import exact_round
 from shortlist.operators import features as feat
-from shortlist.operators import jd, ltr, normalise, ranking, retrieval, scoring, screening, search, stats
+from shortlist.operators import jd, lambdarank, ltr, normalise, ranking, retrieval, scoring, screening, search, stats
 from shortlist.plans import derived, pipeline, quality_inputs
 from shortlist.plans.warehouse import warehouse
-from shortlist.session import shared_folder, spread
+from shortlist.session import shared_folder, spread, staged
 from shortlist.sources import ingest
 from shortlist.streaming import ingest as streaming
 
@@ -705,10 +705,9 @@ def pseudo_labels(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _training(spark: SparkSession, folder: str) -> DataFrame:
-    """Features, label and the place as query group."""
-    featured = _featured(spark, folder)
-    labels = _labelled(spark, folder)
-    frame = ltr.features_with_labels(featured.select("candidate_id", "profile.location", *feat.FEATURES_31), labels)
+    """Features, label and the place as query group, in one projection of the featured rows."""
+    label = scoring.pseudo_label("embedding_similarity", "embedding_similarity")["label"]
+    frame = _featured(spark, folder).select("candidate_id", "profile.location", label.alias("label"), *feat.FEATURES_31)
     return frame.withColumn("score", scoring.weighted_score())
 
 
@@ -745,6 +744,63 @@ def ltr_cv(spark: SparkSession, folder: str) -> DataFrame:
     return ltr.cross_validate(frame, feat.FEATURES_31, k=3, params=ltr.RankerParams(trees=5, depth=3))
 
 
+def _places(spark: SparkSession, folder: str) -> DataFrame:
+    """The training frame with the rounded weighted score, places as groups."""
+    return _training(spark, folder).withColumns({"score": F.round("score", 6), "group_id": F.coalesce("location", F.lit(""))})
+
+
+@register
+def lambda_gradients(spark: SparkSession, folder: str) -> DataFrame:
+    """L1: the slopes that pairs within a place pull at the weighted score with."""
+    rows = staged(_places(spark, folder).select("candidate_id", "group_id", "label", "score"), "lambda-places")
+    ideal = lambdarank.ideal_gains(rows, 30, "group_id", "candidate_id")
+    found = lambdarank.lambda_gradients(rows, ideal)
+    return found.select("candidate_id", *[F.round(F.col(c) / lambdarank.UNIT, 6).alias(c) for c in ("slope", "curve")])
+
+
+LAMBDA_TREE = lambdarank.LambdaParams(trees=1, depth=2, learning_rate=0.1)
+LAMBDA_BINS = 16
+
+
+def _first_tree(spark: SparkSession, folder: str) -> tuple[lambdarank.Ranker, DataFrame]:
+    frame = _places(spark, folder).select("candidate_id", "group_id", "label", *map(six, feat.FEATURES_31))
+    frame = staged(frame, "lambda-frame")
+    edges = lambdarank.equal_edges(frame, feat.FEATURES_31, LAMBDA_BINS)
+    return lambdarank.fit(frame, feat.FEATURES_31, LAMBDA_TREE, edges=edges), frame
+
+
+@register
+def lambda_tree(spark: SparkSession, folder: str) -> DataFrame:
+    """L1, L3: the first tree of the pairwise ranker, node by node."""
+    model, _ = _first_tree(spark, folder)
+    rows = [
+        (number, feat.FEATURES_31[n.feature] if n.feature >= 0 else None, n.edge if n.feature >= 0 else None, n.gain, n.rows, n.value)
+        for number, n in sorted(model.trees[0].nodes.items())
+    ]
+    made = spark.createDataFrame(rows, "node int, feature string, edge double, gain double, rows long, value double")
+    return made.select("node", "feature", six("edge"), F.round("gain", 4).alias("gain"), "rows", six("value"))
+
+
+@register
+def tree_contrib(spark: SparkSession, folder: str) -> DataFrame:
+    """L4: what every feature adds to every candidate's prediction by that tree."""
+    model, frame = _first_tree(spark, folder)
+    return lambdarank.contributions(model, frame).select("candidate_id", "feature", six("contribution"))
+
+
+@register
+def tree_mean_abs(spark: SparkSession, folder: str) -> DataFrame:
+    """The mean absolute contribution per feature."""
+    return ltr.mean_abs_contributions(lambdarank.contributions(*_first_tree(spark, folder))).select("feature", six("mean_abs"))
+
+
+@register
+def lambda_cv(spark: SparkSession, folder: str) -> DataFrame:
+    """L1, L2: held-out ranking quality of the pairwise ranker per fold."""
+    frame = ltr.synthetic_groups(_training(spark, folder).drop("score"))
+    return lambdarank.cross_validate(frame, feat.FEATURES_31, k=3, params=lambdarank.LambdaParams(trees=3, depth=3, learning_rate=0.2))
+
+
 # --- job descriptions -------------------------------------------------------------------------------
 
 
