@@ -54,6 +54,7 @@ SELECT doc_id, len(t)::INTEGER AS tokens, len(list_distinct(t))::INTEGER AS dist
 SQL["bm25_topk"] = f"""
 WITH {bm25('documents', 'doc_id', 'text', TEXT_QUERY)}
 SELECT id AS doc_id, round(bm25_score, 6) AS bm25_score FROM score ORDER BY score.bm25_score DESC, id LIMIT 100"""
+SQL["index_topk"] = SQL["bm25_topk"]
 SQL["bm25_stats"] = f"""
 WITH toks AS (SELECT doc_id, unnest({tokens('text')}) AS term FROM documents),
 df AS (SELECT term, count(DISTINCT doc_id) AS df FROM toks GROUP BY 1)

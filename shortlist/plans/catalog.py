@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from shortlist.functions import text
 from shortlist.functions.numbers import exact_round
 from shortlist.operators import features as feat
-from shortlist.operators import jd, lambdarank, ltr, normalise, ranking, retrieval, scoring, screening, search, stats
+from shortlist.operators import jd, lambdarank, ltr, normalise, ranking, retrieval, scoring, screening, search, stats, textindex
 from shortlist.plans import derived, pipeline, quality_inputs
 from shortlist.plans.warehouse import warehouse
 from shortlist.session import shared_folder, spread, staged
@@ -345,6 +345,25 @@ def bm25_topk(spark: SparkSession, folder: str) -> DataFrame:
     return retrieval.bm25_topk(_documents(spark, folder), TEXT_QUERY, 100, "doc_id").select("doc_id", six("bm25_score"))
 
 
+_INDEXES: dict[tuple[str, str], dict[str, DataFrame]] = {}
+
+
+def _index(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The stored index of all documents, written once per session."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _INDEXES:
+        path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+        textindex.write(_documents(spark, folder), path, "doc_id")
+        _INDEXES[key] = textindex.read(spark, path)
+    return _INDEXES[key]
+
+
+@register
+def index_topk(spark: SparkSession, folder: str) -> DataFrame:
+    """The query of ``bm25_topk`` over the stored block-max index."""
+    return textindex.topk(_index(spark, folder), TEXT_QUERY, 100, "doc_id").select("doc_id", six("bm25_score"))
+
+
 @register
 def bm25_stats(spark: SparkSession, folder: str) -> DataFrame:
     """A10: the numbers of the index."""

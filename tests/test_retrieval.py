@@ -10,7 +10,7 @@ from people import frame, job, person, skill
 from pyspark.sql import functions as F
 
 from shortlist.functions import text, vectors
-from shortlist.operators import retrieval
+from shortlist.operators import retrieval, textindex
 from shortlist.plans import derived, pipeline
 from shortlist.plans.catalog import QUERIES
 
@@ -89,6 +89,65 @@ def test_stored_index_gives_the_same(spark, documents, tmp_path):
     assert tables["corpus"].first()["n"] == index["corpus"].first()["n"]
 
 
+@pytest.fixture(scope="module")
+def block_index(spark, tmp_path_factory):
+    """Documents of which few are rich in rare words, as an index with small blocks; repeated ids, texts without words."""
+    draw = np.random.default_rng(4)
+    common, rows = [f"w{i}" for i in range(40)], []
+    for i in range(1500):
+        words = list(draw.choice(common, int(draw.integers(1, 60))))
+        if i % 300 == 7:
+            words = ["rare", "gold"] * int(draw.integers(1, 4))
+        rows.append((i if i % 100 else 5, " ".join(words)))
+    rows += [(9001, None), (9002, " .,")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(4, "doc_id")
+    path = str(tmp_path_factory.mktemp("index"))
+    textindex.write(df, path, "doc_id", buckets=8, block_size=16)
+    return df, textindex.read(spark, path)
+
+
+@pytest.mark.parametrize("k", [1, 3, 20, 400, 3000])
+@pytest.mark.parametrize("query", ["rare", "rare w1 w2", "w3 w3 W4 w5 gold", "unknown rare", "unknown", "", "w1 w2 w3 w4 w5 w6 w7"])
+def test_block_max_search_equals_a_scan(block_index, query, k):
+    df, index = block_index
+    want = [tuple(r) for r in retrieval.bm25_topk(df, query, k, "doc_id").collect()]
+    assert [tuple(r) for r in textindex.topk(index, query, k, "doc_id").collect()] == want
+
+
+def test_block_max_search_skips(block_index):
+    _, index = block_index
+    few = textindex.Search(index, "rare w1 w2", 3, "doc_id").report().first()
+    assert few.blocks_read < few.blocks / 2 and few.blocks_read + few.blocks_skipped == few.blocks and few.postings_read < few.postings / 2
+    every = textindex.Search(index, "rare w1 w2", 5000, "doc_id").report().first()
+    assert every.blocks_skipped == 0 and every.postings_read == every.postings
+
+
+def test_block_headers(block_index):
+    df, index = block_index
+    n, mean = (index["corpus"].first()[c] for c in ("n", "mean_length"))
+    assert n == df.count()
+    forward = index["documents"].collect()
+    assert max(Counter(r.block for r in forward).values()) <= 16
+    best: dict = {}
+    for r in forward:
+        for term, tf in Counter(r.words).items():
+            share = tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * r.length / mean))
+            size, last, impact = best.get((term, r.block), (0, (-1, None), 0.0))
+            best[term, r.block] = (size + 1, max(last, (r.number, r.doc_id)), max(impact, share))
+    heads = {(r.term, r.block): r for r in index["blocks"].collect()}
+    assert heads.keys() == best.keys()
+    assert all((heads[x].size, heads[x].last_id) == (s, last[1]) and heads[x].impact == pytest.approx(i) for x, (s, last, i) in best.items())
+
+
+def test_block_max_search_reads_only_its_buckets(block_index, capsys):
+    _, index = block_index
+    textindex.topk(index, "rare gold", 3, "doc_id").explain("formatted")
+    plan = capsys.readouterr().out
+    scans = [part for part in plan.split("Scan parquet")[1:] if "postings" in part.split("ReadSchema")[0]]
+    assert scans and all("PartitionFilters: [isnotnull(bucket" in p or "bucket#" in p.split("PushedFilters")[0] for p in scans)
+    assert all("In(term" in p or "EqualTo(term" in p for p in scans) and "CartesianProduct" not in plan
+
+
 def test_cosine_order_and_clamp(spark):
     stored = spark.createDataFrame(
         [("C1", [0.9, 0.1]), ("C2", [0.1, 0.9]), ("C3", [0.5, 0.5]), ("C4", [-1.0, 0.0])], "candidate_id string, embedding array<float>"
