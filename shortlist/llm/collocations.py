@@ -35,6 +35,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -136,33 +137,30 @@ class Wanted:
     second: Members | None = None
 
 
-def phrases_in(lang: str, words: list[bytes], sequence: np.ndarray, wanted: Wanted) -> tuple[list[str], list[int]]:
-    """The wanted phrases of a sequence of word numbers, 0 for a break, and how often each stands there."""
+def phrases_in(lang: str, words: list[bytes], sequence: np.ndarray, wanted: Wanted) -> tuple[list[np.ndarray], np.ndarray]:
+    """The wanted phrases of a sequence of word numbers, 0 for a break, as a number array per word, and how often each stands there."""
     if wanted.length == 1:
-        times = np.bincount(sequence, minlength=len(words))
-        return [w.decode() for w in words[1:]], times[1:].tolist()
+        return [np.arange(1, len(words))], np.bincount(sequence, minlength=len(words))[1:]
     own = word_hashes(lang, words)
     size = np.int64(len(words))
     if wanted.length == 2:
         known = wanted.parts.has(own)
         known[0] = False
         open_ = known[sequence]
-        keys = sequence[:-1] * size + sequence[1:]
-        keys, times = np.unique(keys[open_[:-1] & open_[1:]], return_counts=True)
-        parts = (keys // size, keys % size)
-    else:
-        inside = sequence != 0
-        keys = np.where(inside[:-1] & inside[1:], sequence[:-1] * size + sequence[1:], -1)
-        pairs, at = np.unique(keys, return_inverse=True)
-        x, y = pairs // size, pairs % size
-        hashes = pair_hashes(own[np.maximum(x, 0)], own[y])
-        known = wanted.parts.has(hashes) & (pairs >= 0)
-        left, right = known & wanted.first.has(hashes), known & wanted.second.has(hashes)
-        open_ = known[at[:-1]] & known[at[1:]] & (left[at[:-1]] | right[at[1:]])
-        keys, times = np.unique(at[:-1][open_] * size + sequence[2:][open_], return_counts=True)
-        first = keys // size
-        parts = (x[first], y[first], keys % size)
-    return [b" ".join([words[i] for i in row]).decode() for row in zip(*(p.tolist() for p in parts))], times.tolist()
+        open_ = open_[:-1] & open_[1:]
+        keys, times = np.unique(sequence[:-1][open_] * size + sequence[1:][open_], return_counts=True)
+        return [keys // size, keys % size], times
+    inside = sequence != 0
+    keys = np.where(inside[:-1] & inside[1:], sequence[:-1] * size + sequence[1:], -1)
+    pairs, at = np.unique(keys, return_inverse=True)
+    x, y = pairs // size, pairs % size
+    hashes = pair_hashes(own[np.maximum(x, 0)], own[y])
+    known = wanted.parts.has(hashes) & (pairs >= 0)
+    left, right = known & wanted.first.has(hashes), known & wanted.second.has(hashes)
+    open_ = known[at[:-1]] & known[at[1:]] & (left[at[:-1]] | right[at[1:]])
+    keys, times = np.unique(at[:-1][open_] * size + sequence[2:][open_], return_counts=True)
+    first = keys // size
+    return [x[first], y[first], keys % size], times
 
 
 def counted(docs: DataFrame, wanted: Wanted, block: int) -> DataFrame:
@@ -180,10 +178,14 @@ def counted(docs: DataFrame, wanted: Wanted, block: int) -> DataFrame:
 
         def emit() -> Iterator[pa.RecordBatch]:
             for lang, made in sequences.items():
-                phrases, times = phrases_in(lang, list(number[lang]), np.concatenate(made), wanted)
-                for start in range(0, len(phrases), 1 << 16):
-                    part, f = phrases[start : start + (1 << 16)], times[start : start + (1 << 16)]
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), pa.array(part, pa.string()), pa.array(f, pa.int64())], schema=schema)
+                words = list(number[lang])
+                parts, times = phrases_in(lang, words, np.concatenate(made), wanted)
+                made.clear()
+                text = pa.array([b"", *words[1:]], pa.binary()).cast(pa.string())
+                for start in range(0, len(times), 1 << 16):
+                    piece = slice(start, start + (1 << 16))
+                    phrase = pc.binary_join_element_wise(*(text.take(pa.array(p[piece])) for p in parts), " ")
+                    yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(phrase)), phrase, pa.array(times[piece], pa.int64())], schema=schema)
             number.clear()
             sequences.clear()
 
