@@ -79,17 +79,33 @@ class Model:
         self.chars = {p for p in self.rank if len(p) == 1}
         self.joined = {p[i : i + 2] for p in self.rank for i in range(len(p) - 1)}
         #: Pieces that merging their own text gives; others never come out of encoding.
-        self.words = ahocorasick.Automaton()
+        self.words = ahocorasick.Automaton()  # of a piece: how far before its last character it starts, and its id
         self.halves: dict[str, tuple[str, str]] = {}  # the two pieces that the last merge of a piece joins
         for p in self.rank:
             if self.merged(p) == [p]:
-                self.words.add_word(p, p)
-        #: The longest piece that each piece begins with, itself left out.
-        self.shorter = {p: next((p[:n] for n in range(len(p) - 1, 0, -1) if p[:n] in self.words), None) for p in self.words}
+                self.words.add_word(p, (1 - len(p), self.rank[p][1]))
+        self.lengths = [len(p) for p, _, _ in self.pieces]
+        #: The longest piece that each piece begins with, itself left out; -1 for none.
+        self.shorter = [-1] * len(self.pieces)
+        for p in self.words:
+            before = next((p[:n] for n in range(len(p) - 1, 0, -1) if p[:n] in self.words), None)
+            self.shorter[self.rank[p][1]] = self.rank[before][1] if before else -1
         self.words.make_automaton()
-        self.compatible: dict[tuple[str, str], bool] = {}
-        self.memory: dict[str, tuple[int, str, str]] = {}  # word: number of ids, ids in decimal, what they decode to
-        self.older: dict[str, tuple[int, str, str]] = {}
+        #: By id: the order of merging, the first and the second piece of the last merge (-1 for none); by two ids: the order of their merge.
+        self.order = [-score for _, score, _ in self.pieces]
+        self.head, self.tail = [-1] * len(self.pieces), [-1] * len(self.pieces)
+        for p, (a, b) in self.halves.items():
+            if p in self.rank:
+                self.head[self.rank[p][1]], self.tail[self.rank[p][1]] = self.rank[a][1], self.rank[b][1]
+        self.joint: dict[int, float] = {}
+        for p, (order, _) in self.rank.items():
+            for n in range(1, len(p)):
+                if (a := self.rank.get(p[:n])) and (b := self.rank.get(p[n:])):
+                    self.joint[a[1] * len(self.pieces) + b[1]] = order
+        self.compatible: dict[int, bool] = {}  # first id times the number of pieces plus second id
+        self.memory: dict[str, str] = {}  # word: its ids in decimal
+        self.older: dict[str, str] = {}
+        self.altered: dict[str, str] = {}  # words that do not decode to themselves
 
     @staticmethod
     def check(trainer: dict, normalizer: dict) -> None:
@@ -110,65 +126,64 @@ class Model:
             parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
         return parts
 
-    def fit(self, left: str, right: str) -> bool:
-        """Whether merging the text of both again gives just the two.
+    def fit(self, left: int, right: int) -> bool:
+        """Whether merging the text of both pieces again gives just the two.
 
         The merges that made them are undone from the latest to the earliest. Between two undone
         merges, the pieces at the border must not form a piece that would have come first: one of
         a better score, or of the same score if the undone merge lay to the right.
         """
-        known = self.compatible.get((left, right))
-        if known is not None:
-            return known
-        rank, halves, known = self.rank, self.halves, False
+        order, joint, count, known = self.order, self.joint.get, len(self.pieces), False
         a, b, limit, tie = left, right, (1 << 62), True
         while True:
-            joint = rank.get(a + b)
-            if joint is not None and (joint[0] < limit or tie and joint[0] == limit):
+            first = joint(a * count + b)
+            if first is not None and (first < limit or tie and first == limit):
                 break
-            split_a, split_b = halves.get(a), halves.get(b)
-            if split_a is None and split_b is None:
+            end, start = self.tail[a], self.head[b]
+            if end < 0 and start < 0:
                 known = True
                 break
-            if split_b is None or split_a is not None and rank[a][0] > rank[b][0]:
-                limit, tie, a = rank[a][0], False, split_a[1]
+            if start < 0 or end >= 0 and order[a] > order[b]:
+                limit, tie, a = order[a], False, end
             else:
-                limit, tie, b = rank[b][0], True, split_b[0]
+                limit, tie, b = order[b], True, start
         if len(self.compatible) >= 4 * REMEMBERED:
             self.compatible.clear()
-        self.compatible[left, right] = known
+        self.compatible[left * len(self.pieces) + right] = known
         return known
 
-    def backtracked(self, part: str) -> list[str]:
-        """The pieces of a part all of whose characters are pieces."""
-        longest: list[str | None] = [None] * len(part)
-        for last, piece in self.words.iter(part):
-            longest[last + 1 - len(piece)] = piece  # of one start, longer pieces end later
-        compatible, shorter, taken, at = self.compatible, self.shorter, [], 0
-        failed, piece, before = None, longest[0], ""
-        while at < len(part):
-            while piece is not None:
-                to = at + len(piece)
+    def backtracked(self, part: str) -> list[int]:
+        """The ids of a part all of whose characters are pieces."""
+        size = len(part)
+        longest = [-1] * size
+        for last, (back, piece) in self.words.iter(part):
+            longest[last + back] = piece  # of one start, longer pieces end later
+        lengths, compatible, shorter, count = self.lengths, self.compatible.get, self.shorter, len(self.pieces)
+        taken, at, failed, piece, before = [], 0, None, longest[0], -1
+        while at < size:
+            while piece >= 0:
+                to = at + lengths[piece]
                 if failed is None or not failed[to >> 3] >> (to & 7) & 1:
-                    fits = not before or compatible.get((before, piece))
+                    fits = before < 0 or compatible(before * count + piece)
                     if fits is None:
                         fits = self.fit(before, piece)
                     if fits:
                         break
                 piece = shorter[piece]
-            if piece is not None:
+            if piece >= 0:
                 taken.append(piece)
                 before, at = piece, to
-                piece = longest[at] if at < len(part) else None
+                if at < size:
+                    piece = longest[at]
             else:
                 if not taken:
                     raise ValueError(f"no compatible sequence of pieces for {part[:50]!r}")
                 if failed is None:
-                    failed = bytearray(len(part) // 8 + 1)
+                    failed = bytearray(size // 8 + 1)
                 failed[at >> 3] |= 1 << (at & 7)
                 last = taken.pop()
-                at -= len(last)
-                before, piece = taken[-1] if taken else "", shorter[last]
+                at -= lengths[last]
+                before, piece = taken[-1] if taken else -1, shorter[last]
         return taken
 
     def cut(self, text: str) -> list[str]:
@@ -177,15 +192,14 @@ class Model:
         return [text[a:b] for a, b in zip(starts, starts[1:]) if a < b]
 
     def ids_of_word(self, word: str) -> list[int]:
-        rank = self.rank
         if len(word) <= REMEMBERED_LENGTH and self.chars.issuperset(word):
-            return [rank[p][1] for p in self.backtracked(word)]
+            return self.backtracked(word)
         ids: list[int] = []
         for part in self.cut(word):
             if len(part) == 1 and part not in self.chars:
                 ids.extend(self.byte[b] for b in part.encode())
             else:
-                ids.extend(rank[p][1] for p in self.backtracked(part))
+                ids.extend(self.backtracked(part))
         return ids
 
     def escaped(self, text: str) -> str:
@@ -224,36 +238,49 @@ class Model:
                 out.append(piece)
         return "".join(out)
 
-    def remembered(self, word: str) -> tuple[int, str, str]:
-        """Number of ids, the ids in decimal, and what they decode to, of one word between spaces.
+    def remembered(self, word: str) -> str:
+        """The ids in decimal of one word between spaces; ``altered`` learns what it decodes to if that is another text.
 
         The bytes of a character never fall into two words, so decoded words can be joined. Of the
         words seen last, ``REMEMBERED`` to twice as many are kept.
         """
-        known = self.memory.get(word) or self.older.get(word)
+        known = self.older.get(word)
         if known is None:
             ids = self.ids_of_word(word)
+            known = " ".join(map(str, ids))
             if min(ids) in self.byte_of:
                 lead = [self.rank[SPACE][1]] if self.dummy_prefix else []  # else the word's own space is taken as the prefix
                 decoded = self.decode(lead + ids)
             else:
                 decoded = "".join([self.pieces[i][0] for i in ids]).replace(SPACE, " ")
-            known = len(ids), " ".join(map(str, ids)), decoded
-        if len(word) <= REMEMBERED_LENGTH and word not in self.memory:
+            if decoded != word.replace(SPACE, " "):
+                self.altered[word] = decoded
+        if len(word) <= REMEMBERED_LENGTH:
             if len(self.memory) >= REMEMBERED:
                 self.older, self.memory = self.memory, {}
+                self.altered = {w: t for w, t in self.altered.items() if w in self.older}
             self.memory[word] = known
         return known
 
     def digest(self, text: str) -> tuple[int, str, str]:
         """Number of ids with the end id, SHA-256 of the ids in decimal, SHA-256 of the decoded text."""
-        known, look = self.memory.get, self.remembered
-        parts = [known(w) or look(w) for w in self.words_between(text)]
-        line = " ".join([*(p[1] for p in parts), str(self.end)])
-        decoded = "".join([p[2] for p in parts])
+        words, altered = self.words_between(text), {}
+        ids = list(map(self.memory.get, words))
+        if None in ids:
+            for i, known in enumerate(ids):
+                if known is None:
+                    ids[i] = self.remembered(words[i])
+                    if words[i] in self.altered:
+                        altered[words[i]] = self.altered[words[i]]
+        if self.altered:
+            altered |= {w: self.altered[w] for w in self.altered.keys() & set(words)}
+        decoded = "".join([altered.get(w, w) for w in words]) if altered else "".join(words)
+        decoded = decoded.replace(SPACE, " ")
         if self.dummy_prefix:
             decoded = decoded.removeprefix(" ")
-        return sum(p[0] for p in parts) + 1, hashlib.sha256(line.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
+        ids.append(str(self.end))
+        line = " ".join(ids)
+        return line.count(" ") + 1, hashlib.sha256(line.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
 
 
 def decoded_bytes(data: bytes) -> str:
