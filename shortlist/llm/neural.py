@@ -5,8 +5,9 @@ is q · its own vector + its bias. Words outside the ``shortlist`` share one cla
 corpus frequency, so the probabilities of all known words and of one unknown word add up to 1.
 
 **Counting.** All tokens of all training texts are counted: added up in tasks, then by word in a shuffle. Only the
-``dictionary`` commonest, at most 64 bytes each, go to the driver and to every task. Tokens outside it are written with
-their document and find their count by a join, so no vocabulary has to fit anywhere.
+commonest, of at most 64 bytes each, go to the driver and to every task: all whose count fewer than ``dictionary`` + 1 tokens
+reach. Tokens outside this dictionary are written with their document and find their count by a join, so no vocabulary
+has to fit anywhere.
 
 **Training** reads every token of every training text once. Documents are dealt to ``rounds`` by their id; in a
 round every task starts from the model so far, takes steps over its own texts, and writes what it has learned, word by
@@ -21,8 +22,8 @@ tables, ``exp(first) @ exp(second).T``. With these normalisers a token's log-pro
 Defined cases: null and empty texts have one token, the end; a document's first words have the mark of a beginning
 before them; without training documents the base is log10 of 1 and the model gives every class the same share; tokens of
 more than 64 bytes are told apart by a digest of 128 bits; a null id counts as empty in the deal of rounds; rows that
-repeat are each scored, and learned from again; extra columns are ignored; texts of any length are read whole; among words of equal
-count those first in byte order come first; an empty table gives an empty result.
+repeat are each scored, and learned from again; extra columns are ignored; texts of any length are read whole; words of equal
+count are in the dictionary together or not at all, in byte order; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shortlist.llm.common import LOWER, UPPER, Stage, per_row, text_of
@@ -160,7 +161,10 @@ def slopes(model: Parameters, words: np.ndarray, one: np.ndarray, two: np.ndarra
     """
     x, y, q, data, fake = _contrast(model, words, one, two, noise, log_noise)
     pull = 1 / (1 + np.exp(np.clip(data, -30, 30)))
-    push = -1 / (1 + np.exp(np.clip(-fake, -30, 30)))
+    push = np.clip(fake, -30, 30, out=fake)
+    np.exp(np.negative(push, out=push), out=push)
+    push += 1
+    np.divide(-1, push, out=push)
     dq = pull[:, None] * model.word[words] + push @ model.word[noise]
     size = len(model.bias)
     word = _sums(words, pull[:, None] * q, size)
@@ -240,17 +244,25 @@ class Model:
         return np.log10((counts + 1) / (tokens + distinct + 1))
 
 
+def least_count(counts: DataFrame, most: int) -> int:
+    """The smallest count that no more than ``most`` tokens reach. Only the numbers of tokens by count are sorted."""
+    by_count = counts.groupBy("c").agg(F.count(F.lit(1)).alias("tokens"))
+    down = by_count.withColumn("held", F.sum("tokens").over(Window.orderBy(F.desc("c"))))
+    found = down.filter(F.col("held") <= most).agg(F.min("c")).first()[0]
+    return found if found is not None else 1 << 62
+
+
 def learn(
     docs: DataFrame, learnable: Column, stage: Stage, *, id_column: str = "doc_id", text: str = "text", dictionary: int = 50_000, shortlist: int = 1023,
-    width: int = 24, rounds: int = 2, batch: int = 1024, noise: int = 128, rate: float = 0.1, block: int = 1 << 20, seed: int = 5,
+    width: int = 24, rounds: int = 2, batch: int = 1024, noise: int = 64, rate: float = 0.1, block: int = 1 << 20, seed: int = 5,
 ) -> tuple[Model, DataFrame]:
     """The model, and the table of all tokens of the training texts with their counts (``token``, ``c``)."""
     key = F.coalesce(F.col(id_column).cast("string"), F.lit(""))
     known = docs.filter(learnable).select(text_of(text).alias("text"), F.pmod(F.xxhash64(key), F.lit(rounds)).alias("round"))
     counts = stage.write(token_counts(known.select("text")), "counts")
     total = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    common = counts.orderBy(F.desc("c"), "token").limit(dictionary).collect()
-    tokens, frequency = [bytes(r["token"]) for r in common], np.array([r["c"] for r in common], np.int64)
+    common = sorted((-r["c"], bytes(r["token"])) for r in counts.filter(F.col("c") >= least_count(counts, dictionary)).collect())
+    tokens, frequency = [t for _, t in common], np.array([-c for c, _ in common], np.int64)
     numbers = Numbers(tokens, shortlist)
     n = total["n"] or 0
     seen = np.append(frequency[: numbers.short], n - frequency[: numbers.short].sum())

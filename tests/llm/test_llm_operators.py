@@ -549,7 +549,7 @@ def test_neural_scores_against_a_plain_softmax(spark):
     for name in ("token", "c", "row", "key", "rare", "base", "round"):
         frame = frame.withColumn(name, F.lit(7))
     stage, ids = Stage(spark, "lm"), F.coalesce("doc_id", F.lit(-1))
-    for dictionary, shortlist in ((50, 4), (3, 3), (2, 50)):
+    for dictionary, shortlist in ((50, 4), (4, 3), (3, 50), (0, 9)):
         model, counts = neural.learn(frame, ids % 3 != 0, Stage(spark, "lm"), dictionary=dictionary, shortlist=shortlist, width=5, batch=16, noise=4)
         got = sorted((str(r.doc_id), r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in neural.score(frame, model, counts, Stage(spark, "lm")).collect())
         plain = lm_plain(rows, lambda i: (-1 if i is None else i) % 3 != 0, model)
