@@ -89,29 +89,39 @@ def _count(values) -> str:
     return "(" + " + ".join(f"contains(low, {q(v)})::INTEGER" for v in values) + ")"
 
 
-def _found(kind: str, default: str, section: str, text: str) -> str:
-    """Relations ``{kind}_text``, ``{kind}_sent`` and ``{kind}``: the mentions from one part of the text."""
+def _wordlike(text: str) -> str:
+    """Single words between spaces. A full stop before white space goes, others stay; chr(1) holds its place meanwhile."""
+    stops = f"regexp_replace({text}, '[.](\\s|$)', chr(1) || '\\1', 'g')"
+    spaced = f"regexp_replace({stops}, '[^\\p{{L}}\\p{{N}}+#./&\\x01-]+', ' ', 'g')"
+    return f"(' ' || replace({spaced}, chr(1), ' ') || ' ')"
+
+
+def _found(kind: str, default: str, section: str, text: str, whole: bool = False) -> str:
+    """Relations ``{kind}_text``, ``{kind}_sent`` and ``{kind}``: the mentions from one part of the text; ``whole`` asks for whole words."""
+    inside, held, asked = ("lower(body)", "s.low", "w.spelling") if not whole else ("body_words", "s.words", "' ' || w.spelling || ' '")
+    spelled = "spelling" if not whole else "' ' || spelling || ' '"
     return f"""
 {kind}_text AS (
-  SELECT j.jd_id, coalesce(nullif(s.body, ''), j.clean) AS body, j.clean FROM jds j
-    LEFT JOIN named s ON s.jd_id = j.jd_id AND s.section = {q(text)}),
+  SELECT *, {_wordlike('lower(body)')} AS body_words FROM (
+    SELECT j.jd_id, coalesce(nullif(s.body, ''), j.clean) AS body, j.clean FROM jds j
+      LEFT JOIN named s ON s.jd_id = j.jd_id AND s.section = {q(text)})),
 {kind}_pool AS (
   SELECT jd_id, CASE WHEN len(own) > 0 THEN own ELSE {cut('clean')} END AS sents
   FROM (SELECT jd_id, clean, {cut('body')} AS own FROM {kind}_text)),
 {kind}_sent AS MATERIALIZED (
   SELECT *, CASE WHEN must > nice THEN 'must_have' WHEN nice > must THEN 'nice_to_have' ELSE {q(default)} END AS context,
     CASE WHEN must > nice THEN least(0.70 + must * 0.05, 0.95) WHEN nice > must THEN least(0.70 + nice * 0.05, 0.90)
-      ELSE 0.65 END::DOUBLE AS conf
+      ELSE 0.65 END::DOUBLE AS conf, {_wordlike('low')} AS words
   FROM (SELECT jd_id, pos, low, {contains_any('low', vocab.NEGATION_CUES)} AS negated, {_count(vocab.MUST_HAVE_CUES)} AS must,
       {_count(vocab.NICE_TO_HAVE_CUES)} AS nice
     FROM (SELECT jd_id, generate_subscripts(sents, 1) AS pos, lower(unnest(sents)) AS low FROM {kind}_pool))),
 {kind}_word AS MATERIALIZED (
-  SELECT jd_id, spelling, name, rank FROM {kind}_text, spelling WHERE contains(lower(body), spelling)),
+  SELECT jd_id, spelling, name, rank FROM {kind}_text, spelling WHERE contains({inside}, {spelled})),
 {kind}_hit AS (
   SELECT w.jd_id, w.name, w.rank,
     CASE WHEN bool_or(s.negated) THEN 'nice_to_have' ELSE coalesce(min_by(s.context, (-s.conf, s.pos)), {q(default)}) END AS context,
     CASE WHEN bool_or(s.negated) THEN 0.55 ELSE coalesce(max(s.conf), 0.60) END AS conf
-  FROM {kind}_word w LEFT JOIN {kind}_sent s ON s.jd_id = w.jd_id AND contains(s.low, w.spelling) GROUP BY ALL
+  FROM {kind}_word w LEFT JOIN {kind}_sent s ON s.jd_id = w.jd_id AND contains({held}, {asked}) GROUP BY ALL
   UNION ALL SELECT jd_id, 'R', {lone_r_rank()}, {q(default)}, 0.60 FROM {kind}_text WHERE regexp_matches(body, {q(bounded('R'))})),
 {kind}_best AS (
   SELECT jd_id, name, min_by(context, (-conf, rank)) AS context, max(conf) AS conf, min(rank) AS rank
@@ -128,6 +138,11 @@ SQL["jd_skill_mentions"] = jd(
     """SELECT jd_id, name, context, round(conf, 6) AS confidence, section FROM must
 UNION ALL SELECT jd_id, name, context, round(conf, 6), section FROM extra""", *SKILLS)
 
+SQL["jd_word_mentions"] = jd(
+    """SELECT jd_id, name, context, round(conf, 6) AS confidence, section FROM must
+UNION ALL SELECT jd_id, name, context, round(conf, 6), section FROM extra""",
+    *SKILLS[:2], _found("must", "must_have", "requirements", "requirements", True), _found("nice", "nice_to_have", "preferred", "preferred", True), SKILLS[-1])
+
 # --- numbers and seniority ------------------------------------------------------------------------
 
 

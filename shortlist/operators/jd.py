@@ -215,29 +215,31 @@ def _names(mentions: Column) -> Column:
     return F.transform(mentions, lambda m: m["name"])
 
 
-def with_skills(parsed: DataFrame, match: str = "substring", skills: dict[str, list[str]] | None = None,
-                caps: Caps = CAPS) -> DataFrame:
-    """Must-have and nice-to-have mentions.
-
-    Must-haves come from the requirements section, nice-to-haves from the preferred one; without
-    such a section the whole text is searched. A skill is never in both lists.
-    """
-    spellings, lone = _records(spelling_rows(skills), "spelling:string,name:string,rank:int"), lone_r_rank(skills)
+def with_cues(parsed: DataFrame) -> DataFrame:
+    """Adds the parts that must-haves and nice-to-haves are looked for in, and their sentences with cues."""
     part = lambda name: F.coalesce(
         F.nullif(F.try_element_at("sections", F.lit(name)), F.lit("")), F.col("clean")
     )
-    staged_text = parsed.select("*", part("requirements").alias("_must_text"), part("preferred").alias("_nice_text"))
+    parts = parsed.select("*", part("requirements").alias("_must_text"), part("preferred").alias("_nice_text"))
 
     def pool(column: str) -> Column:
         own = sentences(F.col(column))
         return F.when(F.size(own) > 0, own).otherwise(F.col("sentences"))
 
-    cued = staged_text.select(
-        "*",
-        cued_sentences(pool("_must_text"), MUST).alias("_must_cues"),
-        cued_sentences(pool("_nice_text"), NICE).alias("_nice_cues"),
-        spellings.alias("_spellings"),
+    return parts.select(
+        "*", cued_sentences(pool("_must_text"), MUST).alias("_must_cues"), cued_sentences(pool("_nice_text"), NICE).alias("_nice_cues")
     )
+
+
+def with_skills(parsed: DataFrame, match: str = "substring", skills: dict[str, list[str]] | None = None,
+                caps: Caps = CAPS) -> DataFrame:
+    """Must-have and nice-to-have mentions.
+
+    Must-haves come from the requirements section, nice-to-haves from the preferred one; without
+    such a section the whole text is searched. A skill is never in both lists.
+    """
+    spellings, lone = _records(spelling_rows(skills), "spelling:string,name:string,rank:int"), lone_r_rank(skills)
+    cued = with_cues(parsed).withColumn("_spellings", spellings)
     found = cued.select(
         "*",
         _mentions(

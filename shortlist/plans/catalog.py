@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from shortlist.functions import text
 from shortlist.functions.numbers import exact_round
 from shortlist.operators import features as feat
-from shortlist.operators import jd, lambdarank, ltr, normalise, ranking, retrieval, scoring, screening, search, stats, textindex
+from shortlist.operators import jd, lambdarank, ltr, normalise, phrases, ranking, retrieval, scoring, screening, search, stats, textindex
 from shortlist.plans import derived, pipeline, quality_inputs
 from shortlist.plans.warehouse import warehouse
 from shortlist.session import shared_folder, spread, staged
@@ -865,6 +865,13 @@ def jd_skill_mentions(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@register
+def jd_word_mentions(spark: SparkSession, folder: str) -> DataFrame:
+    """Mentions as whole words, by a join of word runs with the spellings."""
+    found = phrases.word_mentions(jd.with_clean_text(derived.job_descriptions(spark, folder)))
+    return found.select("jd_id", "name", "context", six("confidence"), "section")
+
+
 @register
 def jd_experience(spark: SparkSession, folder: str) -> DataFrame:
     """X4, X4b."""

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shortlist.functions import text
-from shortlist.operators import jd
+from shortlist.operators import jd, phrases
 from shortlist.plans import derived
 
 
@@ -223,3 +223,31 @@ def test_uncapped_snippets(spark, monkeypatch):
         row = df.select(jd.leadership_signals(F.col("t"), caps).alias("s"), jd.negative_signals(F.col("t"), caps).alias("n")).first()
         assert len(row["s"]["signals"]) == count and max(map(len, row["s"]["signals"])) == chars
         assert [len(n["raw"]) for n in row["n"]] == [raw]
+
+
+# --- mentions by a phrase join -----------------------------------------------------------------
+
+
+@pytest.mark.parametrize("caps", [jd.CAPS, jd.UNCAPPED])
+def test_phrase_join_finds_what_word_search_finds(spark, small, caps):
+    jds = derived.job_descriptions(spark, small)
+    extra = spark.createDataFrame([
+        (-1, None), (-2, ""), (-3, "Machine. Learning and machine learning! No C++, but R. R"), (-4, "Requirements:\nPython, c#, node.js. sql\nPreferred:\nNot required: Docker"),
+        (-5, "python " * 3000),
+    ], "jd_id long, text string")
+    parsed = jd.with_clean_text(jds.unionByName(extra))
+    want = sorted((r.jd_id, m.section, m.name, m.context, round(m.confidence, 6)) for r in jd.with_skills(parsed, match="word", caps=caps).collect() for m in r.must_have + r.nice_to_have)
+    got = phrases.word_mentions(parsed, caps=caps).collect()
+    assert sorted((r.jd_id, r.section, r.name, r.context, round(r.confidence, 6)) for r in got) == want
+    assert {-3, -4, -5} <= {r.jd_id for r in got} and any(" " in r.name for r in got)
+
+
+def test_phrase_join_takes_a_table_of_any_size(spark, capsys):
+    """The list is joined, not written into the expression: ten thousand more spellings leave the projection as it is."""
+    parsed = jd.with_clean_text(spark.createDataFrame([(1, "We need zeta 9999 and alpha 12.")], "jd_id long, text string"))
+    table = spark.range(10_000).select(F.concat(F.lit("zeta "), F.col("id")).alias("phrase"), F.concat(F.lit("Z"), F.col("id")).alias("name"), F.col("id").cast("int").alias("rank"))
+    found = phrases.word_mentions(parsed, phrases=table)
+    assert [(r.name, r.section) for r in found.collect()] == [("Z9999", "requirements")]
+    found.explain("formatted")
+    plan = capsys.readouterr().out
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
