@@ -6,7 +6,9 @@ folder and reads it again as the next stage's documents.
 
 Defined cases, besides those of the operators: an id is taken to name one document, so where rows
 with different texts share one, the near-duplicate and benchmark stages treat them alike; of rows
-that repeat an id and a text one passes the exact stage; empty tables pass through as such.
+that repeat an id and a text one passes the exact stage; a null text is an empty one, and has no letter, so
+the language stage drops it; texts of any length are read whole; of ties every stage keeps what its operator
+keeps; columns of any other name stay as they are; empty tables pass through as such.
 """
 
 from __future__ import annotations
@@ -46,9 +48,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts (A-Z and a-z are one), the row with the largest id."""
     kept = exact.deduplicate(docs).filter("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_text"))
-    rows = docs.withColumn("_text", F.sha2(F.encode(ascii_lower(text_of()), "UTF-8"), 256))
-    same = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("_text") == F.col("kept_text"))
-    return rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_text"]).drop("_text")
+    own = fresh("text_digest", docs)
+    rows = docs.withColumn(own, F.sha2(F.encode(ascii_lower(text_of()), "UTF-8"), 256))
+    same = rows["doc_id"].eqNullSafe(kept["kept_id"]) & (rows[own] == kept["kept_text"])
+    return rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", own]).drop(own)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,7 +76,15 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def without(docs: DataFrame, dropped: DataFrame, name: str) -> DataFrame:
     """``docs`` but for the ids in ``dropped``. These are written first, so Spark knows their size when it plans the join."""
     ids = Stage(docs.sparkSession, "pipeline").write(dropped.distinct(), name)
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("dropped_id")), "left_anti")
+    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["dropped_id"]), "left_anti")
+
+
+def fresh(name: str, docs: DataFrame) -> str:
+    """A column name that ``docs`` does not have, whatever its case."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shortlist.llm.common import LOWER, UPPER, Stage, text_of
+from shortlist.llm.common import LOWER, UPPER, Stage, release, small_batches, text_of
 
 _MARKS = b".,;:!?\n\x0b\x0c\r"
 #: Stands for the end of a piece. No UTF-8 text holds this byte.
@@ -207,7 +207,9 @@ def counted(docs: DataFrame, wanted: Wanted, block: int) -> DataFrame:
                     yield from emit()
                     held = 0
         yield from emit()
+        release()
 
+    small_batches(docs.sparkSession)
     rows = docs.mapInArrow(task, "lang string, phrase string, f long")
     return rows.groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
 

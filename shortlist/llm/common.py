@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -71,6 +73,25 @@ class Stage:
         at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: Rows per batch between the JVM and Python where the session's configuration names no number.
+BATCH_ROWS, BATCH_KEY = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Batches of whole texts are held on both sides of a task at once, so they are kept small unless the user decides."""
+    if not spark.sparkContext.getConf().contains(BATCH_KEY):
+        spark.conf.set(BATCH_KEY, BATCH_ROWS)
+
+
+def release() -> None:
+    """Give freed memory back to the machine. Workers live on between the tasks and stages of a session."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def per_row(
     df: DataFrame, schema: str, rows: Callable[[dict[str, list]], dict[str, list]] | None = None, *,
     setup: Callable[[], Callable[[dict[str, list]], dict[str, list]]] | None = None, step: int = 512,
@@ -93,7 +114,10 @@ def per_row(
                 part = batch.slice(start, step)
                 made = mapping({n: part.column(i).to_pylist() for i, n in enumerate(part.schema.names)})
                 yield pa.RecordBatch.from_arrays([pa.array(made[n], arrow.field(n).type) for n in names], schema=arrow)
+        mapping = batch = part = made = None
+        release()
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(task, schema)
 
 
@@ -105,5 +129,8 @@ def keep_rows(df: DataFrame, text: str, setup: Callable[[], Callable[[str | None
         accepts = setup()
         for batch in batches:
             yield batch.filter(pa.array([accepts(t) for t in batch.column(at).to_pylist()], pa.bool_()))
+        accepts = batch = None
+        release()
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(task, df.schema)

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shortlist.llm.common import LOWER, UPPER, Stage, per_row, text_of
+from shortlist.llm.common import LOWER, UPPER, Stage, per_row, release, small_batches, text_of
 
 _FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
 #: The token after the last word. No word holds a line end.
@@ -77,7 +77,9 @@ def token_counts(texts: DataFrame, held: int = 400_000) -> DataFrame:
                 if len(found) >= held:
                     yield from emit()
         yield from emit()
+        release()
 
+    small_batches(texts.sparkSession)
     return texts.mapInArrow(task, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
 
@@ -325,6 +327,7 @@ def _round(texts: DataFrame, start: Parameters, tokens: list[bytes], numbers: Nu
             "weight": pa.array([weights[k] for k in keys], pa.float64()), "sums": pa.array([sums[k] for k in keys], pa.list_(pa.float64())),
         })
 
+    small_batches(texts.sparkSession)
     kind = "part int, row int, weight double, sums array<double>"
     return texts.mapInArrow(task, kind).repartition("part", "row").sortWithinPartitions("part", "row", "weight").mapInArrow(add, kind)
 

@@ -30,7 +30,7 @@ from shortlist.llm.common import per_row, text_of
 
 SPACE = "▁"
 #: Parts remembered per task, and the longest part worth remembering.
-REMEMBERED, REMEMBERED_LENGTH = 200_000, 64
+REMEMBERED, REMEMBERED_LENGTH = 100_000, 64
 
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:

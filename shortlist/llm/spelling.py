@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shortlist.llm.common import LOWER, UPPER, Stage, text_of
+from shortlist.llm.common import LOWER, UPPER, Stage, release, small_batches, text_of
 
 _FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
 _RUN = re.compile("[A-Za-zÀ-ÿ]+")
@@ -82,7 +82,9 @@ def vocabulary(docs: DataFrame, *, id_column: str, text: str, every: int, shorte
                 if len(found) >= held:
                     yield from emit()
         yield from emit()
+        release()
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_column).cast("string").alias("id"), text_of(text).alias("text")).mapInArrow(task, "word string, n long")
     return rows.groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
 

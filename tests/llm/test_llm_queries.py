@@ -7,6 +7,7 @@ from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 from brute_llm import brute_components, brute_removed
 
 import corpus_pipeline
@@ -81,6 +82,19 @@ def test_pipeline_stages(spark, small):
     assert {r.doc_id for r in done.collect()} == clean
 
 
+def test_pipeline_stages_keep_clashing_columns(spark, small):
+    docs = spark.createDataFrame([(1, "one two three", "en", "s", 3), (2, "ONE two three", "en", "s", 3), (3, None, None, None, None)], "doc_id long, text string, lang string, source string, n_chars int")
+    names = ["_text", "text_digest", "Text_digest_", "kept_id", "kept_text", "dropped_id", "id", "key", "class", "kept", "component_id"]
+    for name in names:
+        docs = docs.withColumn(name, F.lit(name))
+    for _, function in corpus_pipeline.STAGES[1:4]:
+        kept = function(spark, docs, small)
+        assert kept.columns == docs.columns
+        rows = kept.collect()
+        assert rows and all(r[name] == name for r in rows for name in names)
+        assert function(spark, docs.limit(0), small).count() == 0
+
+
 def test_pipeline_run(spark, small):
     rows = corpus_pipeline.run(spark, small).collect()
     assert rows and set(rows[0].asDict()) == {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"}
