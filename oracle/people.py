@@ -186,6 +186,9 @@ WHERE k IN (SELECT k FROM sk WHERE contains(lname, 'learning'))""")
 SQL["page_rows"] = with_base("""
 SELECT cid AS candidate_id, headline, (SELECT count(*) FROM people WHERE work_mode = 'remote') AS total
 FROM people WHERE work_mode = 'remote' ORDER BY cid LIMIT 20 OFFSET 40""")
+SQL["deep_page"] = """
+SELECT l_orderkey, l_linenumber, round(l_extendedprice::DOUBLE, 6) AS price FROM lineitem
+ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber LIMIT 50 OFFSET 5400"""
 SQL["mask_names"] = with_base("""
 SELECT cid AS candidate_id,
   list_aggregate(list_transform(string_split(name, ' '), lambda w: w[1] || repeat('*', length(w) - 1)), 'string_agg', ' ') AS masked
@@ -276,6 +279,11 @@ WHERE rn = 1"""
 SQL["ltr_groups"] = with_base(
     "SELECT cid AS candidate_id, ((row_number() OVER (ORDER BY cid) - 1) // 100)::BIGINT AS group_id FROM people")
 SQL["group_kfold"] = """
-SELECT group_id, size, ((row_number() OVER (ORDER BY size DESC, group_id) - 1) % 5)::INTEGER AS fold
-FROM (SELECT o_custkey AS group_id, count(*) AS size FROM orders GROUP BY 1)"""
-
+WITH RECURSIVE sizes AS (
+  SELECT o_custkey AS group_id, count(*) AS size, row_number() OVER (ORDER BY count(*) DESC, o_custkey) AS i FROM orders GROUP BY 1),
+dealt AS (
+  SELECT 0::BIGINT AS i, NULL::BIGINT AS group_id, 0::BIGINT AS size, -1 AS fold, [0, 0, 0, 0, 0]::BIGINT[] AS loads
+  UNION ALL
+  SELECT i, group_id, size, pick - 1, list_transform(loads, lambda load, pos: load + CASE WHEN pos = pick THEN size ELSE 0 END)
+  FROM (SELECT s.i, s.group_id, s.size, loads, list_position(loads, list_min(loads)) AS pick FROM dealt d JOIN sizes s ON s.i = d.i + 1))
+SELECT group_id, size, fold::INTEGER AS fold FROM dealt WHERE i > 0"""

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shortlist import vocab
+from shortlist.operators.positions import with_positions
 from shortlist.operators.scoring import weighted_score
 from shortlist.session import checkpointing, staged
 
@@ -63,13 +64,9 @@ def row_index(df: DataFrame, buckets: list[Column], order: list[Column], out: st
 
 
 def synthetic_groups(df: DataFrame, size: int = 100, id_col: str = "candidate_id") -> DataFrame:
-    """Query groups of ``size`` rows in id order.
-
-    Ids end in seven digits; all but the last four form the bucket, so a bucket never holds more
-    than 10 000 ids however large the table is.
-    """
-    bucket = F.substring(id_col, 1, len("CAND_000"))
-    indexed = row_index(df, [bucket], [F.col(id_col)], "_i")
+    """Query groups of ``size`` rows in id order. Ids are numbered in ranges, so ids of any form spread over tasks."""
+    rest = [F.xxhash64(*[c for c in df.columns if c != id_col])] if len(df.columns) > 1 else []
+    indexed = with_positions(df, [F.col(id_col), *rest], "_i")
     return indexed.withColumn("group_id", F.floor(F.col("_i") / size).cast("bigint")).drop("_i")
 
 
@@ -78,16 +75,53 @@ def group_sizes(df: DataFrame, group: str = "group_id") -> DataFrame:
     return df.groupBy(group).agg(F.count("*").alias("size"))
 
 
+def packed(histogram: list[tuple[int, int]], k: int) -> list[tuple[int, int, int, list[int]]]:
+    """Which fold takes which group when each in turn goes to the lightest fold, the largest groups first.
+
+    ``histogram`` lists sizes with their numbers of groups. The result lists runs ``(size, start, stop, folds)``: the groups
+    of a size numbered from ``start`` up to ``stop`` (from 0, exclusive) go to ``folds`` in turn. Among folds of equal weight the first is the
+    lightest. No step is made per group: with groups of size s a fold of load L is the lightest at L, L + s, L + 2s, ..., and
+    folds take turns in the order of these numbers. From a fold's level L // s on it takes part in every turn, in the order of L % s.
+    """
+    loads, runs = [0] * k, []
+    for size, groups in sorted(histogram, reverse=True):
+        entry = sorted((load // size, fold) for fold, load in enumerate(loads))
+        taken, at = [0] * k, 0
+        for i, (level, _) in enumerate(entry):
+            active = sorted((fold for _, fold in entry[: i + 1]), key=lambda fold: (loads[fold] % size, fold))
+            turns = entry[i + 1][0] - level if i + 1 < k else -(-(groups - at) // k)
+            stop = min(groups, at + turns * len(active))
+            if stop > at:
+                runs.append((size, at, stop, active))
+                whole, rest = divmod(stop - at, len(active))
+                for place, fold in enumerate(active):
+                    taken[fold] += whole + (place < rest)
+                at = stop
+            if at == groups:
+                break
+        loads = [load + size * n for load, n in zip(loads, taken)]
+    return runs
+
+
 def group_folds(df: DataFrame, k: int = 5, group: str = "group_id") -> DataFrame:
-    """``(group, size, fold)``; groups are dealt out by size, so fold sizes differ by little.
+    """``(group, size, fold)``; every group in turn, largest first and then by id, goes to the fold with the fewest rows.
 
-    Equal sizes are common, so groups of one size are numbered in runs of 100 000 ids.
+    The packing runs on the histogram of sizes, which has at most about the square root of twice the rows as entries. Groups of a size are
+    numbered in ranges of the ids, of whatever type.
     """
     sizes = group_sizes(df, group)
-    indexed = row_index(
-        sizes, [-F.col("size"), F.floor(F.col(group) / 100_000)], [F.col(group)], "_i"
-    )
-    return indexed.withColumn("fold", F.pmod("_i", F.lit(k)).cast("int")).drop("_i")
+    histogram = [(r["size"], r["groups"]) for r in sizes.groupBy("size").agg(F.count("*").alias("groups")).collect()]
+    larger, first = 0, {}
+    for size, groups in sorted(histogram, reverse=True):
+        first[size] = larger
+        larger += groups
+    numbered = with_positions(sizes, [F.desc("size"), F.col(group)], "_i")
+    rows = [(size, start, stop, first[size], folds) for size, start, stop, folds in packed(histogram, k)]
+    runs = df.sparkSession.createDataFrame(rows, "size long, _start long, _stop long, _first long, _folds array<int>")
+    place = F.col("_i") - F.col("_first")
+    found = numbered.join(runs, "size").where((place >= F.col("_start")) & (place < F.col("_stop")))
+    fold = F.get("_folds", F.pmod(place - F.col("_start"), F.size("_folds")).cast("int"))
+    return found.select(group, "size", fold.alias("fold"))
 
 
 def usable_folds(df: DataFrame, k: int, group: str = "group_id") -> int:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from shortlist.functions import text
 from shortlist.functions.numbers import exact_round
 from shortlist.operators import features as feat
-from shortlist.operators import jd, lambdarank, ltr, normalise, phrases, ranking, retrieval, scoring, screening, search, stats, textindex
+from shortlist.operators import jd, lambdarank, ltr, normalise, phrases, positions, ranking, retrieval, scoring, screening, search, stats, textindex
 from shortlist.plans import derived, pipeline, quality_inputs
 from shortlist.plans.warehouse import warehouse
 from shortlist.session import shared_folder, spread, staged
@@ -233,6 +233,18 @@ def page_rows(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@register
+def deep_page(spark: SparkSession, folder: str) -> DataFrame:
+    """P10: a page far down all line items in price order, from the ranges that hold it."""
+    rows = derived.table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    order = [F.desc("l_extendedprice"), F.col("l_orderkey"), F.col("l_linenumber")]
+    stored = positions.ranged(rows, order)
+    return positions.page(stored, order, offset=DEEP_OFFSET, limit=50).select("l_orderkey", "l_linenumber", six("l_extendedprice", "price"))
+
+
+DEEP_OFFSET = 5400
+
+
 @register
 def mask_names(spark: SparkSession, folder: str) -> DataFrame:
     """P11."""

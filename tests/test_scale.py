@@ -4,7 +4,7 @@ import pytest
 from people import frame, person, skill
 from pyspark.sql import functions as F
 
-from shortlist.operators import ltr, ranking, retrieval, screening
+from shortlist.operators import ltr, positions, ranking, retrieval, screening
 from shortlist.plans.warehouse import warehouse
 from shortlist.session import spread, staged
 
@@ -50,6 +50,26 @@ def test_positions_do_not_depend_on_buckets(skewed):
         assert numbered.where("row_index <> input_pos").count() == 0
 
 
+def test_positions_and_pages_of_ranges(spark, skewed):
+    rows = skewed.select("candidate_id", "input_pos")
+    order = [F.desc("candidate_id"), F.col("input_pos")]
+    want = [tuple(r) for r in rows.orderBy(*order).collect()]
+    placed = positions.with_positions(rows, order, parts=7).collect()
+    assert [tuple(r)[:2] for r in sorted(placed, key=lambda r: r.position)] == want and {r.position for r in placed} == set(range(len(want)))
+    stored = positions.ranged(rows, order, parts=16)
+    for offset, limit in ((0, 10), (13331, 25), (19990, 50), (20000, 5), (0, 0), (5, 18000)):
+        assert [tuple(r) for r in positions.page(stored, order, offset, limit).collect()] == want[offset : offset + limit]
+    assert positions.page(positions.ranged(rows.limit(0), order), order, 0, 5).count() == 0
+
+
+def test_a_deep_page_reads_two_ranges_at_most(spark, capsys):
+    stored = positions.ranged(spark.range(100_000).select(F.col("id")), [F.col("id")], parts=32)
+    plan = shown(positions.page(stored, [F.col("id")], 77_777, 50), capsys)
+    numbers = plan.split("PartitionFilters: ")[1].splitlines()[0]
+    assert numbers.count(",") <= 3 and "_range" in numbers
+    assert [r.id for r in positions.page(stored, [F.col("id")], 77_777, 3).collect()] == [77_777, 77_778, 77_779]
+
+
 def test_one_query_shuffles_only_term_counts(spark, small, capsys):
     docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
     plan = shown(retrieval.bm25_topk(docs, "the nation", 5, "doc_id"), capsys)

@@ -56,6 +56,42 @@ def test_folds_are_whole_groups_and_balanced(spark):
     assert folds.count() == folds.select("group_id").distinct().count()
 
 
+def greedy(sizes, k):
+    """The plain loop: every group to the lightest fold."""
+    loads, out = [0] * k, {}
+    for name, size in sorted(sizes.items(), key=lambda x: (-x[1], x[0])):
+        fold = loads.index(min(loads))
+        loads[fold] += size
+        out[name] = fold
+    return out
+
+
+@pytest.mark.parametrize("k", [1, 2, 3, 5, 8])
+def test_packing_equals_the_plain_loop(k):
+    draw = random.Random(k)
+    for _ in range(200):
+        histogram = {draw.choice([1, 2, 3, 5, 7, 50, 1000]): draw.choice([1, 2, 3, 9, 40]) for _ in range(draw.randint(1, 6))}
+        sizes = {f"{size:05d}-{i:05d}": size for size, n in histogram.items() for i in range(n)}
+        got = {}
+        for size, start, stop, folds in ltr.packed(list(histogram.items()), k):
+            for i in range(start, stop):
+                got[f"{size:05d}-{i:05d}"] = folds[(i - start) % len(folds)]
+        assert got == greedy(sizes, k)
+
+
+def test_packing_makes_no_step_per_group():
+    runs = ltr.packed([(3, 10**12), (1000, 7), (1, 10**13)], 5)
+    assert len(runs) <= 15 and sum(stop - start for _, start, stop, _ in runs) == 11 * 10**12 + 7
+
+
+def test_folds_take_text_ids_and_skewed_groups(spark):
+    draw = random.Random(1)
+    sizes = {f"g{i}": draw.choice([1, 1, 2, 3, 30]) for i in range(300)} | {"hot": 900}
+    rows = [(name,) for name, n in sizes.items() for _ in range(n)]
+    found = ltr.group_folds(spark.createDataFrame(rows, "group_id string"), 4).collect()
+    assert {r.group_id: r.fold for r in found} == greedy(sizes, 4) and len(found) == len(sizes)
+
+
 def test_ndcg_equals_the_definition(spark):
     draw = random.Random(3)
     data = [(g, f"c{i}", draw.choice([0, 0, 1, 2, 3]), draw.random()) for g in range(4) for i in range(60)]
