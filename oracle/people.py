@@ -28,6 +28,16 @@ SELECT p.k * 2 AS line_id, CASE WHEN {VALID} THEN 'valid' ELSE 'skipped' END AS
     ELSE '' END AS first_violation
 FROM people p LEFT JOIN skillset s USING (k)""")
 
+SQL["convert_records"] = with_base(f"""
+SELECT p.k * 2 AS line_id, CASE WHEN {VALID} OR p.k % {BROKEN} = 9 THEN 'valid' ELSE 'skipped' END AS status,
+  CASE p.k % {BROKEN} WHEN 5 THEN coalesce(s.n, 0) WHEN 0 THEN 1 WHEN 1 THEN 1 WHEN 2 THEN 1 WHEN 3 THEN 1 WHEN 4 THEN 1
+    WHEN 6 THEN 1 ELSE 0 END AS violation_count,
+  CASE WHEN p.k % {BROKEN} <> 7 THEN p.connections END AS connections,
+  round(CASE p.k % {BROKEN} WHEN 7 THEN NULL WHEN 4 THEN 1.2 ELSE p.response_rate END::DOUBLE, 6) AS response_rate
+FROM people p LEFT JOIN skillset s USING (k)""")
+
+SQL["line_numbers"] = "SELECT doc_id, true AS same FROM documents"
+
 SQL["quarantine_log"] = with_base(f"""
 SELECT p.k * 2 AS line_id, CASE p.k % {BROKEN} WHEN 7 THEN 'JSON parse error'
   WHEN 5 THEN 'Validation error: ' || s.n || ' errors' ELSE 'Validation error: 1 errors' END AS reason

@@ -90,6 +90,31 @@ def validate_records(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@register
+def convert_records(spark: SparkSession, folder: str) -> DataFrame:
+    """V1 with conversion: the same lines, where a number written as text counts as that number."""
+    found = ingest.parse_lines(
+        derived.raw_lines(warehouse(spark, folder).candidates), id_pattern=derived.ID_PATTERN,
+        longest_career=derived.LONGEST_CAREER, numbers="convert",
+    )
+    return found.where("status <> 'blank'").select(
+        "line_id", "status", F.coalesce(F.size("violations"), F.lit(0)).alias("violation_count"),
+        F.col("signals.connection_count").alias("connections"), six("signals.recruiter_response_rate", "response_rate"),
+    )
+
+
+@register
+def line_numbers(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents written as lines that carry their number in their file, blank lines between, read back with numbers."""
+    path = f"{shared_folder(spark)}/lines-{uuid.uuid4().hex}"
+    texts = _documents(spark, folder).select("doc_id", F.regexp_replace("text", r"[\r\n]+", " ").alias("text"))
+    number = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) * 2 + 1
+    texts.select(F.concat_ws(" ", number, "doc_id", "text", F.lit("\n"))).write.text(path)
+    lines = ingest.read_lines(spark, path).where("value <> ''")
+    word = lambda n: F.split_part("value", F.lit(" "), F.lit(n)).cast("long")
+    return lines.select(word(2).alias("doc_id"), (word(1) == F.col("line_id")).alias("same"))
+
+
 @register
 def quarantine_log(spark: SparkSession, folder: str) -> DataFrame:
     """V2: skipped lines with the reason."""

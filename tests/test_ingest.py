@@ -3,6 +3,7 @@
 import json
 import os
 
+import pytest
 from people import frame, job, lines, person, skill
 from pyspark.sql import functions as F
 
@@ -171,3 +172,58 @@ def test_embedding_stream_encodes_an_id_once(spark, tmp_path):
     rows = spark.read.parquet(store).select("candidate_id", "batch_id").collect()
     assert sorted((r[0], r[1]) for r in rows) == [("C1", 0), ("C2", 0), ("C3", 0), ("C4", 1), ("C5", 1)]
     assert os.path.isdir(state)
+
+
+# --- line numbers and conversion ----------------------------------------------------------------
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_lines_are_numbered_across_pieces(spark, tmp_path, end):
+    want = {}
+    for name, count in (("a.jsonl", 4000), ("b.jsonl", 3), ("c.jsonl", 0)):
+        lines = ["" if i % 7 == 3 else f"{name} {i} " + "x" * (i % 90) for i in range(count)]
+        (tmp_path / name).write_bytes("".join(line + end for line in lines).encode())
+        want |= {(name, i + 1): line for i, line in enumerate(lines)}
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "20000")
+    try:
+        frame = ingest.read_lines(spark, str(tmp_path))
+        assert frame.rdd.getNumPartitions() > 4
+        rows = frame.collect()
+    finally:
+        spark.conf.set(key, before)
+    assert {(r.file, r.line_id): r.value for r in rows} == want and len(rows) == len(want)
+
+
+FORMS = [  # JSON value, as a whole number, as a number, as a truth value
+    ("7", 7, 7.0, None), ('"7"', 7, 7.0, None), ("1.0", 1, 1.0, True), ('" 12.00 "', 12, 12.0, None), ("1.5", None, 1.5, None), ('"-3"', -3, -3.0, None),
+    ('"1e3"', None, 1000.0, None), ('"abc"', None, None, None), ('""', None, None, None), ("true", 1, 1.0, True), ("false", 0, 0.0, False), ('"Yes"', None, None, True),
+    ('"off"', None, None, False), ("0", 0, 0.0, False), ("99999999999", None, 99999999999.0, None), ('"1,000"', None, None, None), ("null", None, None, None), ('".5"', None, 0.5, None),
+]
+
+
+def test_forms_that_convert(spark):
+    kinds = ("int", "double", "boolean")
+    schema = ", ".join(f"{k[0]} {k}" for k in kinds)
+    typed = spark.createDataFrame([], schema).schema
+    rows = spark.createDataFrame([(i, "{" + ", ".join(f'"{k[0]}": {form}' for k in kinds) + "}") for i, (form, *_) in enumerate(FORMS)], "n int, value string")
+    text = rows.select("n", F.from_json("value", ingest.loose(typed)).alias("t"))
+    found = text.select("n", ingest.converted(F.col("t"), typed).alias("c"), ingest.unconverted(F.col("t"), typed, "").alias("bad")).collect()
+    for r in sorted(found, key=lambda r: r.n):
+        form, *want = FORMS[r.n]
+        assert (r.c.i, r.c.d, r.c.b) == tuple(want), form
+        assert r.bad == ([] if form == "null" else [f"{k[0]}:type" for k, w in zip(kinds, want) if w is None]), form
+
+
+def test_both_modes_on_records(spark):
+    other = person(signals__connection_count="12", signals__verified_email="yes", skills=[skill("a", endorsements=3.0)])
+    broken = person(signals__connection_count="many", skills=[skill("a", endorsements=3.5)])
+    found = spark.createDataFrame([(i, json.dumps(x)) for i, x in enumerate((person(), other, broken))], "line_id int, value string")
+    for mode, states in (("strict", ["valid", "skipped", "skipped"]), ("convert", ["valid", "valid", "skipped"])):
+        rows = ingest.parse_lines(found, numbers=mode).orderBy("line_id").collect()
+        assert [r.status for r in rows] == states
+    assert (rows[1].signals.connection_count, rows[1].skills[0].endorsements, rows[1].signals.verified_email) == (12, 3, True)
+    assert {"signals.connection_count:type", "skills[0].endorsements:type"} <= set(rows[2].violations)
+    with pytest.raises(ValueError):
+        ingest.parse_lines(found, numbers="loose")
