@@ -260,8 +260,19 @@ SQL["jd_salary"] = jd(
 # --- the hand-off -----------------------------------------------------------------------------------
 
 _NEGATIVE = _joined([(label, f"{_group('(?i)' + p, 0)} <> ''") for p, _, label in vocab.NEGATIVE_PATTERNS])
+#: The text a description is searched with, uncut, and what it is made of.
+SUMMARY = f"""concat_ws(' ', nullif(substr(j.clean, 1, 600), ''), 'Required skills: ' || coalesce(m.first15, ''),
+    'Nice-to-have: ' || coalesce(x.first10, ''),
+    'Titles: ' || array_to_string(list_slice(string_split(t.titles, '|'), 1, 4), ', '), 'Seniority: ' || l.level,
+    'Industries: ' || array_to_string(list_slice(string_split({_INDUSTRIES.replace('low,', 'j.low,')}, '|'), 1, 5), ', '))"""
+SUMMARISED = """jds j JOIN exp e USING (jd_id) JOIN level l USING (jd_id) JOIN titles t USING (jd_id)
+  LEFT JOIN (SELECT jd_id, string_agg(name, '|' ORDER BY nth) AS joined, list(name ORDER BY nth) AS names,
+    string_agg(name, ', ' ORDER BY nth) FILTER (WHERE nth <= 15) AS first15 FROM must GROUP BY 1) m USING (jd_id)
+  LEFT JOIN (SELECT jd_id, string_agg(name, '|' ORDER BY nth) AS names,
+    string_agg(name, ', ' ORDER BY nth) FILTER (WHERE again <= 10) AS first10
+    FROM (SELECT *, row_number() OVER (PARTITION BY jd_id ORDER BY nth) AS again FROM extra) GROUP BY 1) x USING (jd_id)"""
 SQL["jd_requirements"] = jd(f"""
-SELECT j.jd_id, coalesce(m.names, '') AS must_have_skills, coalesce(x.names, '') AS nice_to_have_skills,
+SELECT j.jd_id, coalesce(m.joined, '') AS must_have_skills, coalesce(x.names, '') AS nice_to_have_skills,
   e.lo AS required_experience_min, e.hi AS required_experience_max, l.level AS seniority_level,
   {_INDUSTRIES.replace('low,', 'j.low,')} AS required_industries,
   EXISTS (SELECT 1 FROM (SELECT jd_id, name FROM must UNION ALL SELECT jd_id, name FROM extra) a
@@ -269,15 +280,7 @@ SELECT j.jd_id, coalesce(m.names, '') AS must_have_skills, coalesce(x.names, '')
     OR (contains(j.low, 'production') AND contains(j.low, 'machine learning')) AS production_ml_requirements,
   {_NEGATIVE.replace('(clean,', '(j.clean,')} AS negative_signals, {_city(0).replace('(low,', '(j.low,')} AS city,
   {_MODE.replace('(low,', '(j.low,')} AS work_mode_requirements,
-  least(2000, length(concat_ws(' ', nullif(substr(j.clean, 1, 600), ''), 'Required skills: ' || coalesce(m.first15, ''),
-    'Nice-to-have: ' || coalesce(x.first10, ''),
-    'Titles: ' || array_to_string(list_slice(string_split(t.titles, '|'), 1, 4), ', '), 'Seniority: ' || l.level,
-    'Industries: ' || array_to_string(list_slice(string_split({_INDUSTRIES.replace('low,', 'j.low,')}, '|'), 1, 5), ', '))))::INTEGER
+  least(2000, length({SUMMARY}))::INTEGER
     AS summary_chars
-FROM jds j JOIN exp e USING (jd_id) JOIN level l USING (jd_id) JOIN titles t USING (jd_id)
-  LEFT JOIN (SELECT jd_id, string_agg(name, '|' ORDER BY nth) AS names,
-    string_agg(name, ', ' ORDER BY nth) FILTER (WHERE nth <= 15) AS first15 FROM must GROUP BY 1) m USING (jd_id)
-  LEFT JOIN (SELECT jd_id, string_agg(name, '|' ORDER BY nth) AS names,
-    string_agg(name, ', ' ORDER BY nth) FILTER (WHERE again <= 10) AS first10
-    FROM (SELECT *, row_number() OVER (PARTITION BY jd_id ORDER BY nth) AS again FROM extra) GROUP BY 1) x USING (jd_id)""",
+FROM {SUMMARISED}""",
     *SKILLS, EXPERIENCE, SENIORITY, TITLES)

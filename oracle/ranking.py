@@ -69,7 +69,7 @@ WITH {bm25('documents', 'doc_id', 'text', TEXT_QUERY)}, {cosine('embeddings', 'v
 SELECT id AS doc_id, round(hybrid_score, 6) AS hybrid_score, round(bm25_norm, 6) AS bm25_norm,
   round(semantic_score, 6) AS semantic_score FROM hybrid ORDER BY hybrid.hybrid_score DESC, id LIMIT 200"""
 SQL["hybrid_batch"] = f"""
-WITH qs AS (SELECT item_id AS query_id, b.text, e.embedding::DOUBLE[] AS vec FROM benchmark b JOIN embeddings e ON vec_id = item_id),
+WITH qs AS (SELECT item_id AS query_id, b.text, e.embedding::DOUBLE[] AS vec FROM benchmark b LEFT JOIN embeddings e ON vec_id = item_id),
 toks AS (SELECT doc_id, unnest({tokens('text')}) AS term FROM documents),
 dl AS (SELECT doc_id, len({tokens('text')}) AS length FROM documents),
 corpus AS (SELECT count(*) AS n, avg(length) AS mean_length FROM dl),
@@ -436,6 +436,14 @@ SQL["ndcg_at_k"] = with_base(
     + f""" FROM (SELECT *, row_number() OVER (PARTITION BY location ORDER BY round({R4}, 6) DESC, cid) AS d,
   row_number() OVER (PARTITION BY location ORDER BY label DESC, cid) AS i FROM lab) GROUP BY 1""", *ALL, LABELS)
 
+SQL["labels_file"] = SQL["pseudo_labels"]
+SQL["features_file"] = SQL["features31"]
+SQL["importance_file"] = SQL["mean_abs_contrib"]
+SQL["search_export"] = SQL["search_ranked"]
+SQL["ranking_file"] = with_base(
+    """SELECT (rank + 1)::INTEGER AS row_num, cid AS candidate_id, rank::VARCHAR AS rank, printf('%.4f', score) AS score, 4 AS columns FROM topped""",
+    *ALL)
+
 # --- the pairwise ranker --------------------------------------------------------------------------
 
 UNIT = 1 << 30

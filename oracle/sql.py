@@ -1,5 +1,5 @@
 """All comparison SQL, by query name."""
 
-from oracle import jobs, people, ranking
+from oracle import jobs, matching, people, ranking
 
-ORACLE: dict[str, str] = {**people.SQL, **ranking.SQL, **jobs.SQL}
+ORACLE: dict[str, str] = {**people.SQL, **ranking.SQL, **jobs.SQL, **matching.SQL}

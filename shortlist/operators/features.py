@@ -188,6 +188,20 @@ def with_features_31(
     return _inputs(candidates).select(*kept, *[value.alias(name) for name, value in features.items()])
 
 
+def with_job_inputs(candidates: DataFrame) -> DataFrame:
+    """Adds what a job's demands are compared with: ``_names`` (lower-cased skills) and ``_years``."""
+    names = F.transform(elements(F.col("skills.name"), "string"), lowered)
+    return candidates.withColumns({"_names": names, "_years": or_default(F.col("profile.years_of_experience"), 0.0)})
+
+
+def with_pair_features(pairs: DataFrame, role: Role, bm25: Column, semantic: Column) -> DataFrame:
+    """The features that depend on candidate and job, for pairs with ``with_job_inputs`` and the role's columns."""
+    return pairs.withColumns({
+        "embedding_similarity": semantic.cast("double"), "bm25_score": bm25.cast("double"), "skill_overlap_score": overlap_share(role.must_have, F.col("_names")),
+        "years_experience_score": years_score(F.col("_years"), role.years_min, role.years_max), "seniority_score": seniority_score(F.col("_years"), role.seniority),
+    })
+
+
 def promotions(jobs: Column) -> Column:
     """Neighbours in the stored order with the same company and another title."""
     # Comparing neighbours inside the row needs no window and no shuffle.

@@ -53,7 +53,13 @@ def validate_ranking(
     that many files are checked in one job. Rules about one row are a projection. Duplicates
     are found by counts per key. Neighbouring ranks are compared inside buckets of ``bucket``
     ranks and then across bucket edges, so a very long list is not sorted in one task.
+
+    A column ``columns`` tells how many cells a row had; rows with another number than the header break that rule
+    alone, and count as rows.
     """
+    every, cells = rows, len(vocab.RANKING_HEADER)
+    odd = F.col("columns") != cells if "columns" in rows.columns else F.lit(False)
+    rows = rows.where(~odd)
     clean = rows.select(
         list_id,
         "row_num",
@@ -104,7 +110,7 @@ def validate_ranking(
         list_id, F.lit("rank_duplicate").alias("rule"), "row_num",
         _row_message(F.concat(F.lit(": duplicate rank "), F.col("rank").cast("string"), F.lit("."))).alias("message"),
     )
-    counts = rows.groupBy(list_id).agg(F.count("*").alias("c"))
+    counts = every.groupBy(list_id).agg(F.count("*").alias("c"))
     row_count = counts.where(F.col("c") != n).select(
         list_id, F.lit("row_count").alias("rule"), F.lit(None).cast(rows.schema["row_num"].dataType).alias("row_num"),
         F.concat(F.lit(f"there must be exactly {n} data rows; found "), F.col("c").cast("string"), F.lit(".")).alias(
@@ -141,6 +147,12 @@ def validate_ranking(
                  F.lit(": tie-break requires candidate_id ascending.")).alias("message"),
     )
     out = single
+    if "columns" in every.columns:
+        expected = f": expected {cells} columns ({','.join(vocab.RANKING_HEADER)}), got "
+        out = out.unionByName(every.where(odd).select(
+            list_id, F.lit("column_count").alias("rule"), "row_num",
+            _row_message(F.concat(F.lit(expected), F.col("columns").cast("string"), F.lit("."))).alias("message"),
+        ))
     for part in (again_id, again_rank, row_count, missing, rising, ties):
         out = out.unionByName(part)
     return out

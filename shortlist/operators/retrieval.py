@@ -426,16 +426,24 @@ def hybrid_batch(
     asked = queries.select(
         query_id, query_vector, F.array_distinct(tokens(F.col(query_text))).alias("_terms")
     )
-    total, documents = queries.count(), docs.agg(F.count("*").alias("n")).first()["n"]
+    documents = docs.agg(F.count("*").alias("n")).first()["n"]
+    total, ids = queries.agg(F.count("*"), F.count_distinct(query_id)).first()
+    if ids < total:
+        raise ValueError("query ids must be unique and not null")
     # Hash parts of about half the block size. Only one bounded block is held at a time.
     parts = 1 if total <= QUERIES_PER_PASS else -(-2 * total // QUERIES_PER_PASS)
     part_of = F.pmod(F.xxhash64(query_id), F.lit(parts))
     spark = docs.sparkSession
+    found = (
+        f"{query_id} {queries.schema[query_id].dataType.simpleString()}, "
+        f"{id_col} {vectors.schema[id_col].dataType.simpleString()}, "
+        "hybrid_score double, bm25_norm double, semantic_score double"
+    )
     out = None
     for part in range(parts):
         rows = asked.where(part_of == part).limit(QUERIES_PER_PASS + 1).toPandas()
         if len(rows) > QUERIES_PER_PASS:
-            raise ValueError("query ids must be unique")
+            raise ValueError("too many queries share a hash part; raise QUERIES_PER_PASS")
         if not len(rows):
             continue
         block = _Block(rows, query_id, query_vector)
@@ -464,13 +472,11 @@ def hybrid_batch(
         known = docs.select(id_col).join(vectors.select(id_col, vector_col), id_col, "full_outer")
         local = known.join(lists, id_col, "left").mapInPandas(
             _best_of(block, low, high, k, (query_id, id_col, vector_col), (bm25_weight, semantic_weight)),
-            f"{query_id} {queries.schema[query_id].dataType.simpleString()}, "
-            f"{id_col} {vectors.schema[id_col].dataType.simpleString()}, "
-            "hybrid_score double, bm25_norm double, semantic_score double",
+            found,
         )
         out = local if out is None else out.unionByName(local)
     if out is None:
-        raise ValueError("the query table is empty")
+        out = spark.createDataFrame([], found)
     return best_per_query(out, "hybrid_score", id_col, k, query_id)
 
 

@@ -16,11 +16,11 @@ from pyspark.sql import functions as F
 from shortlist.functions import text
 from shortlist.functions.numbers import exact_round
 from shortlist.operators import features as feat
-from shortlist.operators import jd, lambdarank, ltr, normalise, phrases, positions, ranking, retrieval, scoring, screening, search, stats, textindex
+from shortlist.operators import encoded, jd, lambdarank, ltr, normalise, phrases, positions, ranking, retrieval, scoring, screening, search, stats, textindex
 from shortlist.plans import derived, pipeline, quality_inputs
 from shortlist.plans.warehouse import warehouse
 from shortlist.session import shared_folder, spread, staged
-from shortlist.sources import ingest
+from shortlist.sources import files, ingest, tables
 from shortlist.streaming import ingest as streaming
 
 AS_OF_YEAR = 2026
@@ -631,6 +631,22 @@ def rank_whole_texts(spark: SparkSession, folder: str) -> DataFrame:
     return _top(spark, folder, normalise.whole_texts(warehouse(spark, folder).candidates))
 
 
+@register
+def rank_jobs(spark: SparkSession, folder: str) -> DataFrame:
+    """From the texts of jobs, one per benchmark item, to the hundred best candidates of each."""
+    w = warehouse(spark, folder)
+    jobs = staged(jd.requirements(jd.parse_jds(derived.benchmark_jobs(spark, folder))), "jobs")
+    store = f"{shared_folder(spark)}/query-vectors-{uuid.uuid4().hex}"
+    asked = jobs.select(F.col("jd_id").alias("query_id"), F.col("summary_for_embedding").alias("query_text"))
+    vectors = encoded.encoded_queries(asked, store, "digest-bag-64", make=encoded.digest_bag)
+    jobs = jobs.join(vectors.select(F.col("query_id").alias("jd_id"), "query_vector"), "jd_id")
+    texts = w.profiles.select("candidate_id", "embedding_text")
+    known = texts.select("candidate_id", encoded.digest_bag(F.col("embedding_text")).alias("embedding"))
+    top = pipeline.rank_jobs(w.candidates, texts, staged(known, "text-vectors"), jobs, _settings())
+    breakdown = ["embedding_similarity", "bm25_score", "skill_overlap_score", "years_experience_score", "seniority_score"]
+    return top.select("jd_id", "rank", "candidate_id", six("score"), *[six(f"feature_breakdown.{f}", f) for f in breakdown])
+
+
 def _ranked(spark: SparkSession, folder: str) -> DataFrame:
     return pipeline.rank_with_components(_components(spark, folder), n=100)
 
@@ -736,6 +752,53 @@ def search_ranked(spark: SparkSession, folder: str) -> DataFrame:
     return search.search_ranked(_ranked(spark, folder), "data").select("candidate_id", "rank", six("score"))
 
 
+def _written(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder for a query that writes and reads back."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@register
+def search_export(spark: SparkSession, folder: str) -> DataFrame:
+    """K8: the filtered ranking written as CSV and read back."""
+    path = _written(spark, "search")
+    files.write_search(search.search_ranked(_ranked(spark, folder), "data").select("candidate_id", "rank", six("score")), path)
+    return spark.read.schema("candidate_id string, rank int, score double").csv(path, header=True)
+
+
+@register
+def ranking_file(spark: SparkSession, folder: str) -> DataFrame:
+    """The ranked file written, read back and numbered by its rows."""
+    path = _written(spark, "ranking")
+    results = _penalised(spark, folder).select("candidate_id", "score", F.lit("").alias("reasoning"), F.lit(0).alias("input_pos"))
+    files.write_ranking(results, path)
+    rows, _ = files.read_ranking(spark, path)
+    return rows.select("row_num", "candidate_id", "rank", "score", "columns")
+
+
+@register
+def labels_file(spark: SparkSession, folder: str) -> DataFrame:
+    """The labels written as CSV and read back."""
+    path = _written(spark, "labels")
+    files.write_labels(_labelled(spark, folder), path)
+    return files.read_labels(spark, path)
+
+
+@register
+def features_file(spark: SparkSession, folder: str) -> DataFrame:
+    """K6: the feature table written and read back."""
+    path = _written(spark, "features")
+    tables.write_features(_featured(spark, folder).select("candidate_id", *feat.FEATURES_31), path)
+    return spark.read.parquet(path).select("candidate_id", *[six(f) for f in feat.FEATURES_31])
+
+
+@register
+def importance_file(spark: SparkSession, folder: str) -> DataFrame:
+    """The mean absolute contributions written, largest first, and read back."""
+    path = _written(spark, "importance")
+    files.write_importance(ltr.mean_abs_contributions(_contributions(spark, folder)), path, "mean_abs")
+    return spark.read.schema("feature string, mean_abs double").csv(path, header=True).select("feature", six("mean_abs"))
+
+
 @register
 def dedupe_ranked(spark: SparkSession, folder: str) -> DataFrame:
     """The best order of each customer."""

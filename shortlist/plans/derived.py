@@ -354,6 +354,12 @@ def job_descriptions(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def benchmark_jobs(spark: SparkSession, folder: str) -> DataFrame:
+    """One job description per benchmark item: a template by ``item_id`` and then the item's text."""
+    items = table(spark, folder, "benchmark").select("item_id", "text")
+    return items.select(F.col("item_id").alias("jd_id"), F.concat(_pick(JD_TEMPLATES, F.col("item_id")), F.lit("\n"), "text").alias("text"))
+
+
 def candidate_vectors(spark: SparkSession, folder: str) -> DataFrame:
     """Stored vectors under candidate ids; only some candidates have one."""
     return table(spark, folder, "embeddings").select(

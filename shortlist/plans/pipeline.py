@@ -12,6 +12,7 @@ from shortlist.functions.numbers import exact_round
 from shortlist.operators import features as feat
 from shortlist.operators import ranking, retrieval, scoring, screening
 from shortlist.operators.ltr import predict_or_weighted
+from shortlist.session import staged
 
 
 @dataclass(frozen=True)
@@ -64,6 +65,37 @@ def rank_candidates(
     return score_and_rank(screened_features(candidates, retrieved, role, settings), settings, model)
 
 
+#: Features that compare a candidate with the job; the others are computed once per candidate.
+PAIR_FEATURES = ["embedding_similarity", "bm25_score", "skill_overlap_score", "years_experience_score", "seniority_score"]
+
+
+def rank_jobs(
+    candidates: DataFrame, texts: DataFrame, vectors: DataFrame, jobs: DataFrame, settings: Settings, model: Model | None = None,
+    text_col: str = "embedding_text", job_id: str = "jd_id",
+) -> DataFrame:
+    """R6 for a table of parsed jobs: ``(job, rank, candidate, score, feature_breakdown)``, the best of every job.
+
+    ``jobs`` has what ``jd.requirements`` returns and ``query_vector``; its ids are unique. Retrieval gives at most
+    ``settings.retrieve`` pairs a job, and nothing else pairs jobs with people. Whoever was retrieved for any job is screened
+    once, and the features that ask nothing of the job are computed once, both before the pairs are made; a pair
+    carries numbers and skill names, never the nested record. Of every job each task sends on no more than the asked-for top.
+    """
+    queries = jobs.select(F.col(job_id).alias("query_id"), F.col("summary_for_embedding").alias("query_text"), "query_vector")
+    met = retrieval.hybrid_batch(texts, vectors, queries, settings.retrieve, text_col=text_col)
+    met = staged(met.select("query_id", "candidate_id", "bm25_norm", "semantic_score"), "job-pairs")
+    wanted = candidates.join(met.select("candidate_id").distinct(), "candidate_id", "left_semi")
+    passed = screening.fraud_gate(screening.with_fraud_scores(wanted, settings.as_of_year), settings.fraud_threshold)
+    own = [f for f in feat.FEATURES_31 if f not in PAIR_FEATURES]
+    people = feat.with_job_inputs(feat.with_features_31(passed, feat.Role.of([], None, None, ""))).select("candidate_id", "_names", "_years", *own)
+    asked = jobs.select(F.col(job_id).alias("query_id"), "must_have_skills", "required_experience_min", "required_experience_max", "seniority_level")
+    pairs = met.join(staged(people, "job-people"), "candidate_id").join(asked, "query_id")
+    featured = feat.with_pair_features(pairs, feat.Role.from_columns(), F.col("bm25_norm"), F.col("semantic_score"))
+    scored = predict_or_weighted(model, featured, feat.FEATURES_31, settings.weights)
+    shaped = scored.select("query_id", "candidate_id", exact_round(F.col("score"), 4).alias("score"), F.struct(*feat.FEATURES_31).alias("feature_breakdown"))
+    best = retrieval.best_per_query(shaped, "score", "candidate_id", settings.top)
+    return best.select(F.col("query_id").alias(job_id), "rank", "candidate_id", "score", "feature_breakdown")
+
+
 def rank_with_components(
     candidates: DataFrame, weights: scoring.Weights | None = None, n: int = 100
 ) -> DataFrame:

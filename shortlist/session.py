@@ -31,7 +31,9 @@ def local_session(app: str = "shortlist", cores: str = "*", memory: str = "16g",
 
 
 def is_local(spark: SparkSession) -> bool:
-    return spark.sparkContext.master.startswith("local")
+    """Whether driver and executors are one process. ``local-cluster[...]`` has executors of its own."""
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
 
 
 def shared_folder(spark: SparkSession) -> str | None:

@@ -32,14 +32,18 @@ def read_ranking(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     Rows are numbered as in the file, the header being row 1. Blank rows are dropped. A ranked
     file is small by definition, so each file is read by one task and keeps its order.
     """
-    raw = spark.read.options(header=False, **_CSV).schema(
-        "candidate_id string, rank string, score string, reasoning string, _more string"
+    raw = spark.read.options(header=False, columnNameOfCorruptRecord="_record", **_CSV).schema(
+        "candidate_id string, rank string, score string, reasoning string, _record string"
     ).csv(path)
     cells = ["candidate_id", "rank", "score", "reasoning"]
+    # The reader keeps the text of rows with more or fewer cells. A comma between quotes parts none.
+    bare = F.regexp_replace("_record", r'"(?:[^"]|"")*"', "")
+    columns = F.when(F.col("_record").isNull(), len(cells)).otherwise(F.length(F.regexp_replace(bare, "[^,]", "")) + 1)
     placed = raw.select(
-        F.col("_metadata.file_name").alias("list_id"), F.monotonically_increasing_id().alias("_at"), *cells, "_more"
+        F.col("_metadata.file_name").alias("list_id"), F.monotonically_increasing_id().alias("_at"), *cells, columns.alias("columns"), "_record"
     )
-    first = placed.groupBy("list_id").agg(F.min("_at").alias("_start"), F.min_by(F.array(*cells), "_at").alias("header"))
+    names = F.when(F.col("_record").isNull(), F.array(*cells)).otherwise(F.split("_record", ","))
+    first = placed.groupBy("list_id").agg(F.min("_at").alias("_start"), F.min_by(names, "_at").alias("header"))
     problems = first.select("list_id", ranking.header_errors(F.col("header")).alias("message")).where(
         F.col("message").isNotNull()
     )
@@ -47,7 +51,7 @@ def read_ranking(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     rows = (
         placed.join(first.select("list_id", "_start"), "list_id")
         .where((F.col("_at") > F.col("_start")) & ~blank)
-        .select("list_id", (F.col("_at") - F.col("_start") + 1).cast("int").alias("row_num"), *cells)
+        .select("list_id", (F.col("_at") - F.col("_start") + 1).cast("int").alias("row_num"), *cells, "columns")
     )
     return rows, problems
 
@@ -84,6 +88,12 @@ def write_ranking(results: DataFrame, path: str, n: int = 100, position: str = "
     )
 
 
+def write_search(found: DataFrame, path: str) -> None:
+    """K8: the rows of a search as CSV, lists joined by ``|``; written in parallel."""
+    columns = [F.array_join(c, "|").alias(c) if kind.startswith("array<string") else F.col(c) for c, kind in found.dtypes]
+    found.select(*columns).write.mode("overwrite").options(header=True, quote='"', escape='"').csv(path)
+
+
 def write_predictions(scored: DataFrame, path: str) -> None:
     """K4."""
     scored.select("candidate_id", "label", "prediction_score").write.mode("overwrite").options(header=True).csv(path)

@@ -128,6 +128,19 @@ def test_duplicates_and_ranks(spark):
     assert top[0]["candidate_id"] == "CAND_0000004"
 
 
+def test_rows_with_other_numbers_of_cells(spark, tmp_path):
+    lines = ["candidate_id,rank,score,reasoning", 'CAND_0000001,1,0.9,"a, ""b"""', "CAND_0000002,2,0.8", "CAND_0000003,3,0.7,x,y,", 'CAND_0000004,4,0.6,"one, two",more']
+    (tmp_path / "odd.csv").write_text("\n".join(lines) + "\n")
+    rows, header = files.read_ranking(spark, str(tmp_path / "odd.csv"))
+    assert header.count() == 0 and {r.row_num: r.columns for r in rows.collect()} == {2: 4, 3: 3, 4: 6, 5: 5}
+    found = {(r.rule, r.row_num): r.message for r in ranking.validate_ranking(rows, 4).collect()}
+    assert found["column_count", 4] == "Row 4: expected 4 columns (candidate_id,rank,score,reasoning), got 6."
+    assert {rule for rule, _ in found} == {"column_count", "rank_missing"} and ("column_count", 5) in found
+    (tmp_path / "wide.csv").write_text("candidate_id,rank,score,reasoning,extra\nCAND_0000001,1,0.9,a\n")
+    _, header = files.read_ranking(spark, str(tmp_path / "wide.csv"))
+    assert header.first().message.endswith("found: candidate_id,rank,score,reasoning,extra")
+
+
 def test_ranked_file_round_trip(spark, tmp_path):
     good = spark.range(120).select(
         F.format_string("CAND_%07d", "id").alias("candidate_id"), (1 - F.col("id") / 1000).alias("score"),

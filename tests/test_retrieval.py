@@ -6,11 +6,11 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from people import frame, job, person, skill
+from people import frame, person, skill
 from pyspark.sql import functions as F
 
 from shortlist.functions import text, vectors
-from shortlist.operators import retrieval, textindex
+from shortlist.operators import encoded, features, retrieval, textindex
 from shortlist.plans import derived, pipeline
 from shortlist.plans.catalog import QUERIES
 
@@ -297,3 +297,60 @@ def test_queries_without_vectors_are_answered_by_their_text(spark, tmp_path):
     alone = spark.createDataFrame([(7, "plum", None)], "query_id long, query_text string, query_vector array<float>")
     found = retrieval.hybrid_batch(docs, vectors, alone, k=1, id_col="doc_id").first()
     assert (found.doc_id, found.semantic_score) == (3, 0.0)
+
+
+# --- tables of queries and jobs ---------------------------------------------------------------
+
+
+def test_batch_of_no_queries_and_repeated_ids(spark, corpus):
+    vectors = corpus.select("candidate_id", F.array(F.lit(1.0)).alias("embedding"))
+    kind = "query_id long, query_text string, query_vector array<double>"
+    empty = retrieval.hybrid_batch(corpus, vectors, spark.createDataFrame([], kind))
+    assert empty.count() == 0 and "rank" in empty.columns
+    with pytest.raises(ValueError, match="unique"):
+        retrieval.hybrid_batch(corpus, vectors, spark.createDataFrame([(1, "a", [1.0]), (1, "b", [1.0])], kind))
+
+
+def test_batch_answers_queries_without_a_vector(spark, corpus):
+    vectors = corpus.select("candidate_id", F.array(F.lit(1.0)).alias("embedding"))
+    asked = spark.createDataFrame([(1, "python aws", None), (2, "react", [1.0])], "query_id long, query_text string, query_vector array<double>")
+    got = {(r.query_id, r["rank"]): (r.candidate_id, r.semantic_score) for r in retrieval.hybrid_batch(corpus, vectors, asked, k=1).collect()}
+    assert got == {(1, 1): ("CAND_1", 0.0), (2, 1): ("CAND_3", 1.0)}
+
+
+def test_query_vectors_are_made_once(spark, tmp_path):
+    path = str(tmp_path / "store")
+    queries = spark.createDataFrame([(1, "a b"), (2, "c"), (3, "a b"), (4, None)], "query_id long, query_text string")
+    made = {r.query_id: r.query_vector for r in encoded.encoded_queries(queries, path, "v1", make=encoded.digest_bag).collect()}
+    assert made[1] == made[3] != made[2] and len(made[4]) == 64 and math.isclose(sum(x * x for x in made[2]), 1, rel_tol=1e-6)
+    assert encoded.stored_queries(spark, path).count() == 3
+
+    def failing(text):
+        raise AssertionError("nothing is left to encode")
+
+    again = encoded.encoded_queries(queries, path, "v1", make=failing)
+    assert {r.query_id: r.query_vector for r in again.collect()} == made
+    more = queries.union(spark.createDataFrame([(5, "d")], queries.schema))
+    encoded.encoded_queries(more, path, "v1", make=encoded.digest_bag)
+    assert encoded.stored_queries(spark, path).count() == 4
+    encoded.encoded_queries(queries, path, "v2", make=encoded.digest_bag)
+    assert encoded.stored_queries(spark, path).count() == 7
+
+
+def test_ranking_of_many_jobs_equals_one_at_a_time(spark):
+    people = frame(spark, [person(i, skills=[skill("python")] if i % 2 else [skill("java")], profile__years_of_experience=float(i)) for i in range(1, 9)])
+    texts = people.select("candidate_id", F.concat_ws(" ", "profile.headline", F.array_join("skills.name", " ")).alias("embedding_text"))
+    known = texts.select("candidate_id", encoded.digest_bag(F.col("embedding_text")).alias("embedding"))
+    jobs = spark.createDataFrame(
+        [(1, ["python"], 2.0, 5.0, "mid", "python engineer"), (2, ["java", "spring"], None, None, "senior", "java")],
+        "jd_id long, must_have_skills array<string>, required_experience_min double, required_experience_max double, seniority_level string, summary_for_embedding string",
+    ).withColumn("query_vector", encoded.digest_bag(F.col("summary_for_embedding")))
+    settings = pipeline.Settings(as_of_year=2026, retrieve=6, top=4)
+    got = pipeline.rank_jobs(people, texts, known, jobs, settings).collect()
+    assert got
+    for job in jobs.collect():
+        role = features.Role.of(job.must_have_skills, job.required_experience_min, job.required_experience_max, job.seniority_level)
+        query = F.array(*[F.lit(x) for x in job.query_vector])
+        one = pipeline.rank_candidates(people, texts, known, job.summary_for_embedding, query, role, settings).collect()
+        mine = sorted((r for r in got if r.jd_id == job.jd_id), key=lambda r: r["rank"])
+        assert [(r["rank"], r.candidate_id, r.score, r.feature_breakdown) for r in mine] == [(r["rank"], r.candidate_id, r.score, r.feature_breakdown) for r in one]
