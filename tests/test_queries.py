@@ -53,7 +53,7 @@ def test_query_equals_sql(spark, duck, small, name, capsys):
 
 def test_entry(spark):
     df = entry.entry(spark)
-    assert df.columns[:3] == ["rank", "candidate_id", "score"] and df.count() > 0
+    assert df.columns[:4] == ["jd_id", "rank", "candidate_id", "score"] and df.count() > 0
 
 
 def test_scores_stay_in_their_range(spark, small):

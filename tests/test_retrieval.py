@@ -6,7 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from people import frame, person, skill
+from people import frame, job, person, skill
 from pyspark.sql import functions as F
 
 from shortlist.functions import text, vectors
@@ -348,9 +348,9 @@ def test_ranking_of_many_jobs_equals_one_at_a_time(spark):
     settings = pipeline.Settings(as_of_year=2026, retrieve=6, top=4)
     got = pipeline.rank_jobs(people, texts, known, jobs, settings).collect()
     assert got
-    for job in jobs.collect():
-        role = features.Role.of(job.must_have_skills, job.required_experience_min, job.required_experience_max, job.seniority_level)
-        query = F.array(*[F.lit(x) for x in job.query_vector])
-        one = pipeline.rank_candidates(people, texts, known, job.summary_for_embedding, query, role, settings).collect()
-        mine = sorted((r for r in got if r.jd_id == job.jd_id), key=lambda r: r["rank"])
+    for asked in jobs.collect():
+        role = features.Role.of(asked.must_have_skills, asked.required_experience_min, asked.required_experience_max, asked.seniority_level)
+        query = F.array(*[F.lit(x) for x in asked.query_vector])
+        one = pipeline.rank_candidates(people, texts, known, asked.summary_for_embedding, query, role, settings).collect()
+        mine = sorted((r for r in got if r.jd_id == asked.jd_id), key=lambda r: r["rank"])
         assert [(r["rank"], r.candidate_id, r.score, r.feature_breakdown) for r in mine] == [(r["rank"], r.candidate_id, r.score, r.feature_breakdown) for r in one]
