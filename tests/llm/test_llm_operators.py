@@ -89,12 +89,23 @@ def brute_licence(text):
 def test_licences_against_brute_force(spark, small):
     table = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
     extra = [(-1, None), (-2, ""), (-3, "cc by CC-BY cc, by all RIGHTS reserved"), (-4, "general public license general public license"), (-5, "by"), (-5, "by")]
+    draw = random.Random(6)
+    for number, t in enumerate(licenses.TEXTS):  # whole, with words changed, without a key word, cut short, in other text
+        words = list(t.words)
+        other = [draw.choice(["alpha", "the", w]) if draw.random() < 0.3 else w for w in words]
+        first, length = t.key
+        other[first : first + length] = words[first : first + length]
+        broken = words[:first] + words[first + 1 :]
+        for i, some in enumerate((words, other, broken, words[: first + length], ["x", *words[first:], *words])):
+            extra.append((-100 - 10 * number - i, ", ".join(some).upper() if i % 2 else " ".join(some)))
     frame = table.union(docs_of(spark, extra))
     rows = {r.doc_id: r.text for r in frame.collect()}
     got = licenses.scan(frame.withColumn("words", F.lit(1)).withColumn("key", F.lit(1))).collect()
     assert len(got) == frame.count()
     for r in got:
         assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, r.score) == brute_licence(rows[r.doc_id])
+    whole = {r.doc_id: r for r in got}
+    assert all(t.label in whole[-100 - 10 * n].labels.split(",") and whole[-100 - 10 * n].score == 1 for n, t in enumerate(licenses.TEXTS))
     assert licenses.scan(frame.limit(0)).count() == 0
 
 
