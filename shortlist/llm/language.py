@@ -33,6 +33,8 @@ FAMILIES = {
     "slavic": ("ru", "uk", "pl", "cs", "sk", "bg", "sr", "hr"),
 }
 WIDTH, PIECE = 1 << 12, 1 << 20
+#: Deals that the documents of a language are drawn from first.
+DEALS = 16
 _FOLD = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 
 
@@ -137,9 +139,13 @@ def learn(
     rows = rows.select(F.col(id_column).alias("id"), F.col(text).alias("text"), F.col(label).cast("string").alias("lang"))
     # First the ids alone, then only the chosen texts: the window moves no text, and drops what is
     # beyond the bound before its shuffle. The chosen ids are bounded, so they can go to every task.
-    draw = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("id").cast("string")), "id", "hash")
-    chosen = rows.select("id", "lang", F.xxhash64("text").alias("hash")).distinct().withColumn("n", F.row_number().over(draw))
-    chosen = chosen.filter(F.col("n") <= per_language).drop("n")
+    # A first cut within ``DEALS`` deals of each language bounds what one language brings to one task, however many tasks read it.
+    order = (F.xxhash64(F.col("id").cast("string")), "id", "hash")
+    chosen = rows.select("id", "lang", F.xxhash64("text").alias("hash"), F.pmod(F.crc32(F.col("id").cast("string").cast("binary")), F.lit(DEALS)).alias("deal")).distinct()
+    for keys in (("lang", "deal"), ("lang",)):
+        draw = Window.partitionBy(*keys).orderBy(*order)
+        chosen = chosen.withColumn("n", F.row_number().over(draw)).filter(F.col("n") <= per_language).drop("n")
+    chosen = chosen.drop("deal")
     rows = rows.withColumn("hash", F.xxhash64("text")).join(F.broadcast(chosen), ["id", "lang", "hash"])
     rows = rows.groupBy("id", "lang", "hash").agg(F.min("text").alias("text"))  # rows that repeat teach once
 
