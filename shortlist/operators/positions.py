@@ -7,12 +7,10 @@ plus that beginning, and a page needs only the ranges that overlap it.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shortlist.session import shared_folder
+from shortlist.session import scratch
 
 PART = "_range"
 
@@ -22,10 +20,9 @@ def ranged(df: DataFrame, order: list[Column], parts: int | None = None) -> Data
     spark = df.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = df.repartitionByRange(parts, *order).withColumn(PART, F.spark_partition_id())
-    folder = shared_folder(spark)
-    if folder is None:
+    path = scratch(spark, "ranges")
+    if path is None:
         return dealt
-    path = f"{folder}/ranges-{uuid.uuid4().hex}"
     dealt.write.partitionBy(PART).parquet(path)
     return spark.read.schema(dealt.schema).parquet(path)
 

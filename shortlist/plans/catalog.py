@@ -7,7 +7,6 @@ derived profiles, job descriptions or the given tables.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,7 +18,7 @@ from shortlist.operators import features as feat
 from shortlist.operators import encoded, jd, lambdarank, ltr, normalise, phrases, positions, ranking, retrieval, scoring, screening, search, stats, textindex
 from shortlist.plans import derived, pipeline, quality_inputs
 from shortlist.plans.warehouse import warehouse
-from shortlist.session import shared_folder, spread, staged
+from shortlist.session import scratch, spread, staged
 from shortlist.sources import files, ingest, tables
 from shortlist.streaming import ingest as streaming
 
@@ -106,7 +105,7 @@ def convert_records(spark: SparkSession, folder: str) -> DataFrame:
 @register
 def line_numbers(spark: SparkSession, folder: str) -> DataFrame:
     """Documents written as lines that carry their number in their file, blank lines between, read back with numbers."""
-    path = f"{shared_folder(spark)}/lines-{uuid.uuid4().hex}"
+    path = _written(spark, "lines")
     texts = _documents(spark, folder).select("doc_id", F.regexp_replace("text", r"[\r\n]+", " ").alias("text"))
     number = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) * 2 + 1
     texts.select(F.concat_ws(" ", number, "doc_id", "text", F.lit("\n"))).write.text(path)
@@ -130,10 +129,7 @@ def load_stats(spark: SparkSession, folder: str) -> DataFrame:
 @register
 def stream_ingest(spark: SparkSession, folder: str) -> DataFrame:
     """M1, M3: the same lines through the streaming load; rows per stored table."""
-    shared = shared_folder(spark)
-    if shared is None:
-        raise ValueError("a streaming load needs a shared folder: set spark.checkpoint.dir")
-    base = f"{shared}/stream-{uuid.uuid4().hex}"
+    base = _written(spark, "stream")
     derived.raw_lines(warehouse(spark, folder).candidates).select("value").write.text(f"{base}/in")
     streaming.load_stream(
         spark, f"{base}/in", f"{base}/out", f"{base}/state", files_per_batch=8,
@@ -389,7 +385,7 @@ def _index(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     """The stored index of all documents, written once per session."""
     key = (spark.sparkContext.applicationId, folder)
     if key not in _INDEXES:
-        path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+        path = _written(spark, "index")
         textindex.write(_documents(spark, folder), path, "doc_id")
         _INDEXES[key] = textindex.read(spark, path)
     return _INDEXES[key]
@@ -636,7 +632,7 @@ def rank_jobs(spark: SparkSession, folder: str) -> DataFrame:
     """From the texts of jobs, one per benchmark item, to the hundred best candidates of each."""
     w = warehouse(spark, folder)
     jobs = staged(jd.requirements(jd.parse_jds(derived.benchmark_jobs(spark, folder))), "jobs")
-    store = f"{shared_folder(spark)}/query-vectors-{uuid.uuid4().hex}"
+    store = _written(spark, "query-vectors")
     asked = jobs.select(F.col("jd_id").alias("query_id"), F.col("summary_for_embedding").alias("query_text"))
     vectors = encoded.encoded_queries(asked, store, "digest-bag-64", make=encoded.digest_bag)
     jobs = jobs.join(vectors.select(F.col("query_id").alias("jd_id"), "query_vector"), "jd_id")
@@ -754,7 +750,10 @@ def search_ranked(spark: SparkSession, folder: str) -> DataFrame:
 
 def _written(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder for a query that writes and reads back."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
+    if path is None:
+        raise ValueError(f"{name} needs a shared folder: set spark.checkpoint.dir")
+    return path
 
 
 @register

@@ -7,13 +7,11 @@ shared folder every query works on the lazy derivation instead.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from shortlist.operators.normalise import six_tables
 from shortlist.plans import derived
-from shortlist.session import shared_folder
+from shortlist.session import scratch
 from shortlist.sources import tables
 
 _LOADED: dict[tuple[str, str], Warehouse] = {}
@@ -24,8 +22,7 @@ class Warehouse:
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder
-        shared = shared_folder(spark)
-        self._store = f"{shared}/warehouse-{uuid.uuid4().hex}" if shared else None
+        self._store = scratch(spark, "warehouse")
         self._nested: DataFrame | None = None
         self._flat: dict[str, DataFrame] | None = None
 

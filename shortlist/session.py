@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -69,6 +70,24 @@ def checkpointing(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(folder)
 
 
+def scratch(spark: SparkSession, name: str) -> str | None:
+    """A new path in the shared folder for a table that goes when the driver's interpreter ends; None without a shared folder."""
+    folder = shared_folder(spark)
+    if folder is None:
+        return None
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    context = spark.sparkContext
+    if context._jsc is None:  # the session has ended before
+        return
+    at = context._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and return a scan of the written table.
 
@@ -76,9 +95,8 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     starts with a short lineage, and survives the loss of executors.
     """
     spark = df.sparkSession
-    folder = shared_folder(spark)
-    if folder is None:
+    path = scratch(spark, name)
+    if path is None:
         return df
-    path = f"{folder}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
