@@ -61,6 +61,8 @@ df AS (SELECT term, count(DISTINCT doc_id) AS df FROM toks GROUP BY 1)
 SELECT count(*) AS terms, sum(df)::BIGINT AS postings, max(df) AS highest_df,
   count(*) FILTER (WHERE df = 1) AS single_document_terms, (SELECT count(*) FROM documents) AS documents,
   (SELECT round(avg(len({tokens('text')})), 6) FROM documents) AS mean_length FROM df"""
+SQL["stream_embed"] = f"""
+SELECT doc_id, 64 AS dim, CASE WHEN len({tokens('text')}) > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS norm FROM documents"""
 SQL["cosine_topk"] = f"""
 WITH {cosine('embeddings', 'vec_id', '7')}
 SELECT id AS doc_id, round(semantic_score, 6) AS semantic_score FROM cos ORDER BY cos.semantic_score DESC, id LIMIT 200"""

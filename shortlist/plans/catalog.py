@@ -20,6 +20,7 @@ from shortlist.plans import derived, pipeline, quality_inputs
 from shortlist.plans.warehouse import warehouse
 from shortlist.session import scratch, spread, staged
 from shortlist.sources import files, ingest, tables
+from shortlist.streaming import encoding
 from shortlist.streaming import ingest as streaming
 
 AS_OF_YEAR = 2026
@@ -470,6 +471,23 @@ def embed_pending(spark: SparkSession, folder: str) -> DataFrame:
     return new.select("candidate_id", F.size("embedding").alias("dim"), F.round(length, 3).alias("norm"))
 
 
+@register
+def stream_embed(spark: SparkSession, folder: str) -> DataFrame:
+    """M2: documents delivered by a stream, the even ones once more after a restart; every id is encoded once."""
+    base = _written(spark, "stream-embed")
+    texts = _documents(spark, folder).select(F.col("doc_id").alias("candidate_id"), F.col("text").alias("embedding_text"))
+    odd = F.col("candidate_id") % 2 == 1
+    texts.where(odd).unionByName(texts.where(odd)).write.parquet(f"{base}/in/first")
+    for second in (False, True):
+        if second:
+            texts.write.parquet(f"{base}/in/second")
+        arrivals = spark.readStream.schema(texts.schema).parquet(f"{base}/in/*")
+        encoding.embed_stream(arrivals, f"{base}/out", f"{base}/state", make=encoded.digest_bag).awaitTermination()
+    stored = spark.read.parquet(f"{base}/out")
+    length = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    return stored.select(F.col("candidate_id").alias("doc_id"), F.size("embedding").alias("dim"), F.round(length, 3).alias("norm"))
+
+
 # --- rules and features ---------------------------------------------------------------------------
 
 

@@ -7,10 +7,11 @@ import pytest
 from people import frame, job, lines, person, skill
 from pyspark.sql import functions as F
 
-from shortlist.operators import normalise, retrieval
+from shortlist.operators import encoded, normalise, retrieval
 from shortlist.plans import derived
 from shortlist.plans.warehouse import warehouse
 from shortlist.sources import ingest, tables
+from shortlist.streaming import encoding
 from shortlist.streaming import ingest as streaming
 
 CASES = {
@@ -227,3 +228,34 @@ def test_both_modes_on_records(spark):
     assert {"signals.connection_count:type", "skills[0].endorsements:type"} <= set(rows[2].violations)
     with pytest.raises(ValueError):
         ingest.parse_lines(found, numbers="loose")
+
+
+# --- encoding with state in the stream ----------------------------------------------------------
+
+
+def test_state_in_the_stream_and_progress(spark, tmp_path):
+    source, store, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    kind = "candidate_id string, embedding_text string"
+
+    def deliver(rows, name):
+        spark.createDataFrame(rows, kind).coalesce(1).write.parquet(f"{source}/{name}")
+
+    known = spark.createDataFrame([("OLD", "x")], kind)
+    log = encoding.ProgressLog()
+    spark.streams.addListener(log)
+    try:
+        for number, rows in enumerate(([("A", "one"), ("A", "one"), ("OLD", "two"), (None, "x")], [("A", "three"), ("B", "four"), ("B", "four")], [("B", "x"), ("OLD", "y")])):
+            deliver(rows, f"part{number}")
+            arrivals = spark.readStream.schema(kind).parquet(f"{source}/*")
+            query = encoding.embed_stream(arrivals, store, state, known, make=encoded.digest_bag)
+            log.follow(query)
+            query.awaitTermination()
+            assert log.ended.wait(30)
+    finally:
+        spark.streams.removeListener(log)
+    found = spark.read.parquet(store)
+    assert sorted(r.candidate_id for r in found.collect()) == ["A", "B"]
+    one = spark.createDataFrame([("A", "one")], kind).select(encoded.digest_bag(F.col("embedding_text"))).first()[0]
+    assert found.where("candidate_id = 'A'").first().embedding == one
+    seen = log.frame(spark).groupBy("run").agg(F.sum("arrived").alias("arrived"), F.sum("ids").alias("ids"), F.max("ids_in_state").alias("held")).collect()
+    assert sorted((r.arrived, r.ids, r.held) for r in seen) == [(2, 0, 2), (3, 1, 1), (3, 1, 2)]
