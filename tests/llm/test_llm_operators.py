@@ -595,3 +595,56 @@ def test_neural_model_beats_frequencies_on_held_out_texts(spark):
     model, counts = neural.learn(docs, ~held, stage)
     sums = neural.score(docs, model, counts, stage).filter(held).agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
     assert (sums[0] - sums[1]) / sums[2] > 0.05
+
+
+# ---- classifiers, computed again plainly
+
+
+def test_bradley_terry_weights_are_the_optimum(spark):
+    """At the optimum of the penalised logistic loss its slope is 0; Newton's method finds the same weights."""
+    draw = np.random.default_rng(3)
+    better, worse = draw.normal(0.3, 1, (200, 4)), draw.normal(0, 1, (200, 4))
+    found = quality.bradley_terry(better, worse, penalty=0.05, steps=4000)
+    d, w = better - worse, np.zeros(4)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(d @ w))
+        slope = -d.T @ p / len(d) + 0.05 * w
+        w = w - np.linalg.solve((d * (p * (1 - p))[:, None]).T @ d / len(d) + 0.05 * np.eye(4), slope)
+    assert np.allclose(found, w, atol=1e-3)
+
+
+def test_quality_scores_follow_from_the_strengths(spark):
+    model = quality.Model(np.zeros(len(quality.features(""))), np.ones(len(quality.features(""))), np.linspace(-1, 1, len(quality.features(""))), 0.2)
+    texts = [(1, "One two three."), (2, ""), (3, None), (4, "!!! @@ ### AAA aaa " * 50)]
+    for r in quality.score(docs_of(spark, texts), model, cut=0.3).collect():
+        x = quality.features(dict(texts)[r.doc_id] or "")
+        strength = sum(min(8, max(-8, v)) * w for v, w in zip(x, model.weights))
+        odds = np.exp(strength - 0.2) * 0.3 / 0.7
+        assert r.score == pytest.approx(odds / (1 + odds)) and (r.score >= 0.3) == (strength >= 0.2)
+
+
+def test_language_votes_of_all_pairs():
+    draw = np.random.default_rng(5)
+    names, pairs = ("a", "b", "c", "d"), tuple((i, j) for i in range(4) for j in range(i + 1, 4))
+    votes = language.Votes(names, pairs, draw.normal(size=(6, 9)).astype(np.float32))
+    for _ in range(200):
+        x = draw.normal(size=8).astype(np.float32)
+        won, sums, margin = dict.fromkeys(names, 0), dict.fromkeys(names, 0.0), {}
+        for (i, j), w in zip(pairs, votes.weights):
+            m = float(w[:-1] @ x + w[-1])
+            margin[names[i], names[j]], margin[names[j], names[i]] = m, -m
+            won[names[i] if m >= 0 else names[j]] += 1
+            sums[names[i]] += m
+            sums[names[j]] -= m
+        best = max(names, key=lambda n: (won[n], sums[n]))
+        closest = min(margin[best, other] for other in names if other != best)
+        name, sure = votes.predict(x)
+        assert name == best and sure == pytest.approx(1 / (1 + np.exp(-4 * closest)), rel=1e-4)
+
+
+def test_toxicity_is_a_sum_over_all_pairs():
+    draw = np.random.default_rng(7)
+    model = toxicity.Model({}, 0.4, draw.normal(size=9), draw.normal(size=(9, 3)))
+    for held in ([], [4], [0, 3], [1, 2, 5, 8], list(range(9))):
+        pairs = sum(float(model.latent[i] @ model.latent[j]) for n, i in enumerate(held) for j in held[n + 1 :])
+        assert model.logit(held) == pytest.approx(0.4 + sum(model.linear[i] for i in held) + pairs)
