@@ -103,9 +103,10 @@ class Model:
                 if (a := self.rank.get(p[:n])) and (b := self.rank.get(p[n:])):
                     self.joint[a[1] * len(self.pieces) + b[1]] = order
         self.compatible: dict[int, bool] = {}  # first id times the number of pieces plus second id
-        self.memory: dict[str, str] = {}  # word: its ids in decimal
+        self.memory: dict[str, str] = {}  # word, without the space before it: the ids of both in decimal
         self.older: dict[str, str] = {}
         self.altered: dict[str, str] = {}  # words that do not decode to themselves
+        self.marks: dict[str, str] = {}  # last characters apart, with their ids in decimal; one entry a character
 
     @staticmethod
     def check(trainer: dict, normalizer: dict) -> None:
@@ -239,22 +240,30 @@ class Model:
         return "".join(out)
 
     def remembered(self, word: str) -> str:
-        """The ids in decimal of one word between spaces; ``altered`` learns what it decodes to if that is another text.
+        """The ids in decimal of a word with a space before it; ``altered`` learns what it decodes to if that is another text.
 
-        The bytes of a character never fall into two words, so decoded words can be joined. Of the
+        A last character that no piece joins with the one before it is looked up apart, so a word and the same word
+        with a mark behind it are encoded once. The bytes of a character never fall into two words, so decoded words can be joined. Of the
         words seen last, ``REMEMBERED`` to twice as many are kept.
         """
-        known = self.older.get(word)
+        known = self.memory.get(word) or self.older.get(word)
+        if known is None and 2 < len(word) <= REMEMBERED_LENGTH and word[-2:] not in self.joined:
+            head, mark = self.remembered(word[:-1]), word[-1]
+            if mark not in self.marks:
+                self.marks[mark] = " ".join(map(str, self.ids_of_word(mark)))
+            if word[:-1] in self.altered:
+                self.altered[word] = self.altered[word[:-1]] + mark
+            return f"{head} {self.marks[mark]}"
         if known is None:
-            ids = self.ids_of_word(word)
+            ids = self.ids_of_word(SPACE + word)
             known = " ".join(map(str, ids))
             if min(ids) in self.byte_of:
                 lead = [self.rank[SPACE][1]] if self.dummy_prefix else []  # else the word's own space is taken as the prefix
                 decoded = self.decode(lead + ids)
             else:
                 decoded = "".join([self.pieces[i][0] for i in ids]).replace(SPACE, " ")
-            if decoded != word.replace(SPACE, " "):
-                self.altered[word] = decoded
+            if decoded != " " + word:
+                self.altered[word] = decoded[1:]
         if len(word) <= REMEMBERED_LENGTH:
             if len(self.memory) >= REMEMBERED:
                 self.older, self.memory = self.memory, {}
@@ -264,7 +273,11 @@ class Model:
 
     def digest(self, text: str) -> tuple[int, str, str]:
         """Number of ids with the end id, SHA-256 of the ids in decimal, SHA-256 of the decoded text."""
-        words, altered = self.words_between(text), {}
+        if not text or not self.splits or not self.dummy_prefix or text[0] == " " or "  " in text or SPACE in text:
+            ids = self.encode(text)
+            return digests(" ".join(map(str, ids)), self.decode(ids))
+        # Every word has one space before it, the first one the prefix.
+        words, altered = text.split(" "), {}
         ids = list(map(self.memory.get, words))
         if None in ids:
             for i, known in enumerate(ids):
@@ -274,13 +287,12 @@ class Model:
                         altered[words[i]] = self.altered[words[i]]
         if self.altered:
             altered |= {w: self.altered[w] for w in self.altered.keys() & set(words)}
-        decoded = "".join([altered.get(w, w) for w in words]) if altered else "".join(words)
-        decoded = decoded.replace(SPACE, " ")
-        if self.dummy_prefix:
-            decoded = decoded.removeprefix(" ")
         ids.append(str(self.end))
-        line = " ".join(ids)
-        return line.count(" ") + 1, hashlib.sha256(line.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
+        return digests(" ".join(ids), " ".join([altered.get(w, w) for w in words]) if altered else text)
+
+
+def digests(line: str, decoded: str) -> tuple[int, str, str]:
+    return line.count(" ") + 1, hashlib.sha256(line.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
 
 
 def decoded_bytes(data: bytes) -> str:
