@@ -274,8 +274,11 @@ class Model:
     def digest(self, text: str) -> tuple[int, str, str]:
         """Number of ids with the end id, SHA-256 of the ids in decimal, SHA-256 of the decoded text."""
         if not text or not self.splits or not self.dummy_prefix or text[0] == " " or "  " in text or SPACE in text:
-            ids = self.encode(text)
-            return digests(" ".join(map(str, ids)), self.decode(ids))
+            # Runs of spaces belong to the word behind them; words with a single space are looked up as below.
+            single = lambda w: w[0] == SPACE and w[1:2] != SPACE
+            parts = [self.remembered(w[1:]) if single(w) else " ".join(map(str, self.ids_of_word(w))) for w in self.words_between(text)]
+            line = " ".join([*parts, str(self.end)])
+            return digests(line, self.decode(list(map(int, line.split(" ")))))
         # Every word has one space before it, the first one the prefix.
         words, altered = text.split(" "), {}
         ids = list(map(self.memory.get, words))
