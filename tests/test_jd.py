@@ -251,3 +251,13 @@ def test_phrase_join_takes_a_table_of_any_size(spark, capsys):
     found.explain("formatted")
     plan = capsys.readouterr().out
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_runs_of_words_are_not_shuffled_to_the_spellings(spark, capsys):
+    texts = spark.createDataFrame([(1, "Requirements\n- Python and R, machine learning required\nPreferred\n- Docker")], "jd_id long, text string")
+    found = phrases.word_mentions(jd.with_clean_text(texts))
+    assert {(r["name"], r["section"]) for r in found.collect()} >= {("Python", "requirements"), ("R", "requirements"), ("Docker", "preferred")}
+    found.explain("simple")
+    plan = capsys.readouterr().out.split("== Initial Plan ==")[-1]
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert plan.count("Scan ExistingRDD") <= 3  # the texts are parsed once, beside two literal lists
