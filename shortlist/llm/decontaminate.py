@@ -10,8 +10,8 @@ passage and an item's length around it, must hold ``least_common`` of the item's
 half of its answer must stand there. The answer is what follows the last question mark, or else the
 item's ``ANSWER`` rarest words, so that common words in the right order are not enough.
 
-The space is fitted on a bounded sample, ``sample`` passages of documents drawn by hash, and on all
-items; both parts weigh the same, so items keep directions of their own. Every passage is searched.
+The space is fitted on all passages and on all items; both parts weigh the same, so items keep directions of
+their own. Texts are taken apart once for it: the used words of each block are written as numbers, and counts and products read these.
 Items are queries and taken in blocks of ``block_items``, so what goes to tasks is bounded.
 
 Defined cases: null and empty texts and texts without words hold no passage; items without words match nothing; of rows that repeat an item
@@ -27,13 +27,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shortlist.llm.common import Stage, per_row, text_of
 
 WORD = re.compile(r"[^\W_]+")
-BLOCK, ANSWER, ROWS = 16, 4, 256
+BLOCK, ANSWER, ROWS, GROUPS = 16, 4, 256, 32
 
 
 def words_of(text: str | None) -> list[str]:
@@ -130,72 +131,101 @@ def vector(words: list[str], place: dict[str, int], weight: np.ndarray) -> np.nd
     return out
 
 
-def passage_words(words: list[str]) -> list[list[str]]:
-    return [words[a : a + 2 * BLOCK] for a in range(0, max(1, len(words) - BLOCK), BLOCK)] if words else []
-
-
-def document_frequencies(docs: DataFrame, vocabulary: frozenset[str], text: str) -> tuple[dict[str, int], int]:
-    """Documents that hold each word of the vocabulary, and the number of documents."""
-
-    def count(rows):
-        found: Counter = Counter()
-        for body in rows["text"]:
-            found.update(vocabulary.intersection(words_of(body)))
-        found[""] = len(rows["text"])  # no word is empty
-        return {"word": list(found), "docs": list(found.values())}
-
-    parts = per_row(docs.select(text_of(text).alias("text")), "word string, docs long", count, step=4096)
-    sums = {r["word"]: r["docs"] for r in parts.groupBy("word").agg(F.sum("docs").alias("docs")).collect()}
-    return sums, sums.pop("", 0)
-
-
-def sampled_passages(docs: DataFrame, stage: Stage, place: dict[str, int], weight: np.ndarray, text: str, sample: int) -> DataFrame:
-    """Vectors (``places``, ``values``, of length one) of the ``sample`` passages with the smallest hash."""
-    # Documents are drawn first, by the hash of their text; copies of one text come once.
-    drawn = docs.select(F.xxhash64(text_of(text)).alias("hash")).distinct().orderBy("hash").limit(sample // 10 + 1)
-    chosen = docs.select(text_of(text).alias("text"), F.xxhash64(text_of(text)).alias("hash")).join(F.broadcast(drawn), "hash")
-    chosen = chosen.groupBy("hash").agg(F.min("text").alias("text"))
+def used_words(docs: DataFrame, stage: Stage, place: dict[str, int], text: str) -> DataFrame:
+    """Per document its words in use (``places``) with the ``blocks`` they stand in, and its number of ``passages``."""
 
     def rows(batch):
-        out: dict[str, list] = {"places": [], "values": [], "hash": []}
+        out: dict[str, list] = {"places": [], "blocks": [], "passages": []}
         for body in batch["text"]:
-            for words in passage_words(words_of(body)):
-                counted = Counter(w for w in words if w in place)
-                if counted:
-                    held = sorted((place[w], n) for w, n in counted.items())
-                    value = np.array([n * weight[at] for at, n in held])
-                    out["places"].append([at for at, _ in held])
-                    out["values"].append((value / max(np.linalg.norm(value), 1e-12)).tolist())
-                    out["hash"].append(hash_of(words))
+            words = words_of(body)
+            places = np.fromiter(map(place.get, words, _absent()), np.int32, len(words))
+            used = np.flatnonzero(places >= 0)
+            out["places"].append(places[used])
+            out["blocks"].append((used // BLOCK).astype(np.int32))
+            out["passages"].append(max(1, -(-len(words) // BLOCK) - 1) if words else 0)
         return out
 
-    made = per_row(chosen, "places array<int>, values array<double>, hash long", rows)
-    return stage.write(made.orderBy("hash", "places", "values").limit(sample).select("places", "values"), "sample")
-
-
-def hash_of(words: list[str]) -> int:
-    import xxhash
+    return stage.write(per_row(docs.select(text_of(text).alias("text")), "places array<int>, blocks array<int>, passages int", rows), "words")
 
-    return xxhash.xxh3_64_intdigest(" ".join(words)) - (1 << 63)
 
+def document_frequencies(used: DataFrame, size: int) -> tuple[np.ndarray, int]:
+    """Documents that hold each of the ``size`` words in use, and the number of documents."""
 
-def gram_product(passages: DataFrame, factor: np.ndarray) -> np.ndarray:
-    """``P' P factor`` for the passages P: each task sums its own part, and the parts are summed by blocks of rows."""
-    width = factor.shape
+    def task(batches):
+        found, docs = np.zeros(size, np.int64), 0
+        for batch in batches:
+            places, lengths = batch.column(0).flatten().to_numpy(), _lengths(batch.column(0))
+            pairs = np.unique(np.repeat(np.arange(len(lengths)), lengths) * size + places)
+            found += np.bincount(pairs % size, minlength=size)
+            docs += len(lengths)
+        held = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array([-1, *held.tolist()], pa.int32()), pa.array([docs, *found[held].tolist()], pa.int64())], ["place", "docs"])
+
+    parts = used.select("places").mapInArrow(task, "place int, docs long")
+    sums = {r["place"]: r["docs"] for r in parts.groupBy("place").agg(F.sum("docs").alias("docs")).collect()}
+    return np.array([sums.get(i, 0) for i in range(size)], np.int64), sums.get(-1, 0)
+
+
+def _lengths(lists: pa.ListArray) -> np.ndarray:
+    return np.diff(lists.offsets.to_numpy())
+
+
+def _part_of_product(places: np.ndarray, row: np.ndarray, begins: np.ndarray, weight: np.ndarray, factor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``P' P factor`` of neighbouring blocks, as word numbers and their rows.
+
+    ``row`` is the block of every word, in order, of ``len(begins) + 1`` blocks; passage i, blocks i and i + 1, counts where ``begins[i]``.
+    """
+    n, size = len(begins), len(weight)
+    # The length of a passage's vector: a word's count in both blocks together.
+    keys = np.concatenate([row[row < n] * size + places[row < n], (row[row > 0] - 1) * size + places[row > 0]])
+    keys, times = np.unique(keys, return_counts=True)
+    square = np.bincount(keys // size, (times * weight[keys % size]) ** 2, n)
+    scale = np.where(begins & (square > 0), 1 / np.maximum(square, 1e-24), 0).astype(np.float32)  # both sides of the product are of length one
+    own = weight[places].astype(np.float32)[:, None]
+    starts = np.flatnonzero(np.diff(row, prepend=-1))
+    blocks = np.zeros((n + 1, factor.shape[1]), np.float32)
+    blocks[row[starts]] = np.add.reduceat(factor[places] * own, starts, axis=0)
+    met = (blocks[:-1] + blocks[1:]) * scale[:, None]
+    back = np.zeros_like(blocks)
+    back[:-1] = met
+    back[1:] += met
+    order = np.argsort(places, kind="stable")
+    words = places[order]
+    starts = np.flatnonzero(np.diff(words, prepend=-1))
+    return words[starts], np.add.reduceat(back[row[order]] * own[order], starts, axis=0)
+
+
+def gram_product(used: DataFrame, weight: np.ndarray, factor: np.ndarray, step: int = 1024) -> np.ndarray:
+    """``P' P factor`` for the passages P, each of length one: every task sums its own part, and the parts are summed by blocks of rows."""
+    width, narrow = factor.shape, factor.astype(np.float32)
 
     def task(batches):
         total = np.zeros(width)
         for batch in batches:
-            for places, values in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                total[places] += np.outer(values, np.asarray(values) @ factor[places])
+            lengths, passages = _lengths(batch.column(0)), batch.column(2).to_numpy().astype(np.int64)
+            first = np.concatenate([[0], np.cumsum(passages + 1)])  # blocks are numbered on over documents; no passage begins in a last one
+            places = batch.column(0).flatten().to_numpy()
+            row = batch.column(1).flatten().to_numpy() + np.repeat(first[:-1], lengths)
+            begins = np.ones(first[-1], bool)
+            begins[first[1:] - 1] = False
+            for start in range(0, len(begins) - 1, step):
+                stop = min(start + step, len(begins) - 1)
+                a, b = np.searchsorted(row, [start, stop + 1])
+                if a < b:
+                    at, part = _part_of_product(places[a:b].astype(np.int64), row[a:b] - start, begins[start:stop], weight, narrow)
+                    total[at] += part
         starts = range(0, width[0], ROWS)
-        yield pa.RecordBatch.from_arrays([pa.array(starts, pa.int32()), pa.array([total[a : a + ROWS].tobytes() for a in starts], pa.binary())], ["start", "part"])
+        own = [TaskContext.get().partitionId() % GROUPS] * len(starts)
+        parts = pa.array([total[a : a + ROWS].tobytes() for a in starts], pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(starts, pa.int32()), pa.array(own, pa.int32()), parts], ["start", "own", "part"])
 
     def add(table: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(p, np.float64) for p in table.column("part").to_pylist()]
-        return pa.table({"start": table.column("start")[:1], "part": pa.array([np.sum(parts, axis=0).tobytes()], pa.binary())})
+        total = np.sum([np.frombuffer(p, np.float64) for p in table.column("part").to_pylist()], axis=0)
+        return pa.table({"start": table.column("start")[:1], "own": table.column("own")[:1], "part": pa.array([total.tobytes()], pa.binary())})
 
-    summed = passages.mapInArrow(task, "start int, part binary").groupBy("start").applyInArrow(add, "start int, part binary")
+    # Tasks are added up in groups first, so that no task holds the parts of all.
+    schema = "start int, own int, part binary"
+    summed = used.mapInArrow(task, schema).groupBy("start", "own").applyInArrow(add, schema).groupBy("start").applyInArrow(add, schema)
     out = np.zeros(width)
     for row in summed.collect():
         part = np.frombuffer(bytes(row["part"]), np.float64).reshape(-1, width[1])
@@ -203,15 +233,15 @@ def gram_product(passages: DataFrame, factor: np.ndarray) -> np.ndarray:
     return out
 
 
-def directions(passages: DataFrame, items: np.ndarray, rank: int, seed: int = 3) -> np.ndarray:
-    """Leading right singular vectors of passages and items, by a randomised range, refined once."""
+def directions(used: DataFrame, weight: np.ndarray, items: np.ndarray, rank: int, seed: int = 3) -> np.ndarray:
+    """Leading right singular vectors of all passages and items, by a randomised range, refined once."""
     width = items.shape[1]
     extra = min(width, rank + 16)
-    count = passages.count()
+    count = used.agg(F.sum("passages")).first()[0] or 0
     scale = max(1.0, count / max(1, len(items)))  # the items together weigh as much as the passages
 
     def product(factor: np.ndarray) -> np.ndarray:
-        return gram_product(passages, factor) + scale * (items.T @ (items @ factor))
+        return gram_product(used, weight, factor) + scale * (items.T @ (items @ factor))
 
     basis = np.linalg.qr(product(np.random.default_rng(seed).normal(size=(width, extra))))[0]
     gram = basis.T @ product(basis)
@@ -219,16 +249,19 @@ def directions(passages: DataFrame, items: np.ndarray, rank: int, seed: int = 3)
     return basis @ vectors[:, np.argsort(-values)[: min(rank, extra)]]
 
 
-def learn(docs: DataFrame, items: list[tuple], stage: Stage, *, text: str, rank: int, sample: int) -> Space:
-    vocabulary = frozenset(w for _, t in items for w in words_of(t))
-    frequency, count = document_frequencies(docs, vocabulary, text)
-    place = {w: i for i, w in enumerate(sorted(vocabulary))}
-    weight = np.array([np.log((count + 1) / (frequency.get(w, 0) + 1)) + 0.1 for w in sorted(vocabulary)])
+def learn(docs: DataFrame, items: list[tuple], stage: Stage, *, text: str, rank: int) -> Space:
+    vocabulary = sorted({w for _, t in items for w in words_of(t)})
+    place = {w: i for i, w in enumerate(vocabulary)}
+    used = used_words(docs, stage, place, text)
+    held, count = document_frequencies(used, len(place))
+    frequency = {w: int(n) for w, n in zip(vocabulary, held) if n}
+    weight = np.log((count + 1) / (held + 1)) + 0.1
     made = [Item.of(key, t, frequency) for key, t in items]
     raw = np.array([vector(item.words, place, weight) for item in made]).reshape(len(made), len(place))
     norms = np.linalg.norm(raw, axis=1)
     unit = raw / np.maximum(norms, 1e-12)[:, None]
-    found = directions(sampled_passages(docs, stage, place, weight, text, sample), unit, rank)
+    found = directions(used, weight, unit, rank)
+    stage.drop("words")
     latent = unit @ found
     latent /= np.maximum(np.linalg.norm(latent, axis=1), 1e-12)[:, None]
     return Space(place, weight, found.astype(np.float32), made, latent.astype(np.float32), 0.25 * float(norms.min()))
@@ -281,7 +314,7 @@ def confirmed(space: Space, words: list[str], candidates: list[tuple[int, int, f
 
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, *, id_column: str = "doc_id", text: str = "text", item_column: str = "item_id", item_text: str = "text",
-    rank: int = 224, sample: int = 10_000, least_cosine: float = 0.4, least_common: float = 0.6, block_items: int = 1_000,
+    rank: int = 224, least_cosine: float = 0.4, least_common: float = 0.6, block_items: int = 1_000,
 ) -> DataFrame:
     """One row per document and item it holds: both ids, ``cosine``, ``common`` (share of the item) and ``first_word`` of the passage."""
     spark = docs.sparkSession
@@ -297,7 +330,7 @@ def contaminated(
         if not known:
             continue
         own = Stage(spark, "decontaminate")
-        space = learn(docs, known, own, text=text, rank=rank, sample=sample)
+        space = learn(docs, known, own, text=text, rank=rank)
 
         def rows(batch, space=space):
             out: dict[str, list] = {k: [] for k in ("doc", "item", "cosine", "common", "first_word")}

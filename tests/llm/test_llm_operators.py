@@ -285,6 +285,31 @@ def test_passages_of_the_benchmark_are_found_and_clean_documents_are_not(spark,
         assert brute_common(own.words, decontaminate.words_of(texts[doc])) >= 0.6 * len(own.words)
 
 
+def test_the_space_is_fitted_on_every_passage(spark):
+    draw = random.Random(9)
+    used_in = [f"w{i}" for i in range(12)]
+    texts = ["", None, "w1", "no such", *(" ".join(draw.choice([*used_in, "x", "y"]) for _ in range(draw.randint(1, 400))) for _ in range(30))]
+    texts += texts[-3:] + ["x " * 40 + "w3 w4 " + "y " * 70]
+    place, weight = {w: i for i, w in enumerate(used_in)}, np.array([draw.random() + 0.1 for _ in used_in])
+    rows, held = [], Counter()
+    for body in texts:
+        words = (body or "").split()
+        held.update(set(words).intersection(place))
+        for a in range(0, max(1, len(words) - 16), 16) if words else []:
+            counted = Counter(words[a : a + 32])
+            value = np.array([counted[w] * weight[place[w]] for w in used_in])
+            rows.append(value / max(np.linalg.norm(value), 1e-12))
+    frame = docs_of(spark, list(enumerate(texts))).repartition(3)
+    used = decontaminate.used_words(frame, Stage(spark, "test"), place, "text")
+    assert used.agg(F.sum("passages")).first()[0] == len(rows)
+    found, count = decontaminate.document_frequencies(used, len(place))
+    assert count == len(texts) and dict(zip(used_in, found.tolist())) == {w: held[w] for w in used_in}
+    factor = np.random.default_rng(1).normal(size=(len(place), 5))
+    want = np.array(rows).T @ (np.array(rows) @ factor)
+    for step in (3, 1024):
+        assert np.allclose(decontaminate.gram_product(used, weight, factor, step), want, rtol=1e-4, atol=1e-3)
+
+
 def test_decontamination_defined_cases(spark):
     item = " ".join(f"rare{i}" for i in range(20))
     benchmark = spark.createDataFrame([(1, item), (1, item), (2, None), (3, ""), (4, "what is it? answer42 here")], "item_id long, text string")
