@@ -195,7 +195,7 @@ def _part_of_product(places: np.ndarray, row: np.ndarray, begins: np.ndarray, we
     return words[starts], np.add.reduceat(back[row[order]] * own[order], starts, axis=0)
 
 
-def gram_product(used: DataFrame, weight: np.ndarray, factor: np.ndarray, step: int = 1024) -> np.ndarray:
+def gram_product(used: DataFrame, weight: np.ndarray, factor: np.ndarray, step: int = 256) -> np.ndarray:
     """``P' P factor`` for the passages P, each of length one: every task sums its own part, and the parts are summed by blocks of rows."""
     width, narrow = factor.shape, factor.astype(np.float32)
 
