@@ -11,7 +11,9 @@ half of its answer must stand there. The answer is what follows the last questio
 item's ``ANSWER`` rarest words, so that common words in the right order are not enough.
 
 The space is fitted on all passages and on all items; both parts weigh the same, so items keep directions of
-their own. Texts are taken apart once for it: the used words of each block are written as numbers, and counts and products read these.
+their own. Texts are taken apart once: the used words of each block are written as numbers beside the text, and counts, products and the search
+read these; a text is taken apart again if it holds a candidate. Up to ``WIDEST`` used words the passages are read once, into the products of
+all pairs of words that meet in a passage; with more words, products with the wanted directions are added up in two readings.
 Items are queries and taken in blocks of ``block_items``, so what goes to tasks is bounded.
 
 Defined cases: null and empty texts and texts without words hold no passage; items without words match nothing; of rows that repeat an item
@@ -23,7 +25,9 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +35,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shortlist.llm.common import Stage, per_row, text_of
+from shortlist.llm.common import Stage, per_row, release, small_batches, text_of
 
 WORD = re.compile(r"[^\W_]+")
 BLOCK, ANSWER, ROWS, GROUPS = 16, 4, 256, 32
+#: Used words up to which a task holds the products of all pairs of them (as float64).
+WIDEST = 4096
 
 
 def words_of(text: str | None) -> list[str]:
@@ -94,13 +100,6 @@ class Space:
         for number, item in enumerate(self.items):
             self.answers[[self.place[w] for w in item.answer], number] = 1
 
-    def blocks(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Places of the used words, and the number of the block that each stands in."""
-        places = np.fromiter(map(self.place.get, words, _absent()), np.int64, len(words))
-        used = np.flatnonzero(places >= 0)
-        return places[used], used // BLOCK
-
-
     def near(self, places: np.ndarray, block: np.ndarray, passages: int) -> np.ndarray | None:
         """Whether a word of an answer stands within an item's length of each passage; None if no item can be confirmed.
 
@@ -118,11 +117,6 @@ class Space:
         return before[np.minimum(first + 2 * far + 2, len(before) - 1)] > before[first]
 
 
-def _absent():
-    while True:
-        yield -1
-
-
 def vector(words: list[str], place: dict[str, int], weight: np.ndarray) -> np.ndarray:
     out = np.zeros(len(weight))
     for word, times in Counter(words).items():
@@ -131,21 +125,25 @@ def vector(words: list[str], place: dict[str, int], weight: np.ndarray) -> np.nd
     return out
 
 
-def used_words(docs: DataFrame, stage: Stage, place: dict[str, int], text: str) -> DataFrame:
-    """Per document its words in use (``places``) with the ``blocks`` they stand in, and its number of ``passages``."""
+def used_words(docs: DataFrame, stage: Stage, place: dict[str, int], text: str, id_column: str | None = None) -> DataFrame:
+    """Per document its words in use (``places``) with the ``blocks`` they stand in, its number of ``passages``, and its ``text`` and id (``doc``)."""
+    kind = docs.schema[id_column].dataType.simpleString() if id_column else "int"
 
     def rows(batch):
-        out: dict[str, list] = {"places": [], "blocks": [], "passages": []}
+        out: dict[str, list] = {"places": [], "blocks": [], "passages": [], "doc": batch["doc"], "text": batch["text"]}
         for body in batch["text"]:
             words = words_of(body)
-            places = np.fromiter(map(place.get, words, _absent()), np.int32, len(words))
+            places = np.fromiter(map(place.get, words, repeat(-1)), np.int32, len(words))
             used = np.flatnonzero(places >= 0)
             out["places"].append(places[used])
             out["blocks"].append((used // BLOCK).astype(np.int32))
+            # Two blocks each; the last ones of a text may be short.
             out["passages"].append(max(1, -(-len(words) // BLOCK) - 1) if words else 0)
         return out
 
-    return stage.write(per_row(docs.select(text_of(text).alias("text")), "places array<int>, blocks array<int>, passages int", rows), "words")
+    own = F.col(id_column) if id_column else F.lit(0)
+    schema = f"places array<int>, blocks array<int>, passages int, doc {kind}, text string"
+    return stage.write(per_row(docs.select(own.alias("doc"), text_of(text).alias("text")), schema, rows), "words")
 
 
 def document_frequencies(used: DataFrame, size: int) -> tuple[np.ndarray, int]:
@@ -170,50 +168,50 @@ def _lengths(lists: pa.ListArray) -> np.ndarray:
     return np.diff(lists.offsets.to_numpy())
 
 
+def _pieces(batches: Iterator[pa.RecordBatch], step: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The words in use of ``step + 1`` neighbouring blocks at a time, the block of each, and where a passage (two blocks) begins."""
+    for batch in batches:
+        lengths, passages = _lengths(batch.column(0)), batch.column(2).to_numpy().astype(np.int64)
+        first = np.concatenate([[0], np.cumsum(passages + 1)])  # blocks are numbered on over documents; no passage begins in a last one
+        places = batch.column(0).flatten().to_numpy()
+        row = batch.column(1).flatten().to_numpy() + np.repeat(first[:-1], lengths)
+        begins = np.ones(first[-1], bool)
+        begins[first[1:] - 1] = False
+        for start in range(0, len(begins) - 1, step):
+            stop = min(start + step, len(begins) - 1)
+            a, b = np.searchsorted(row, [start, stop + 1])
+            if a < b:
+                yield places[a:b].astype(np.int64), row[a:b] - start, begins[start:stop]
+
+
+def _few_tasks(used: DataFrame) -> DataFrame:
+    """What the products read, in a few tasks a core: every task hands on a part of one size, however little it has read."""
+    return used.select("places", "blocks", "passages").coalesce(max(GROUPS, 4 * used.sparkSession.sparkContext.defaultParallelism))
+
+
 def _part_of_product(places: np.ndarray, row: np.ndarray, begins: np.ndarray, weight: np.ndarray, factor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """``P' P factor`` of neighbouring blocks, as word numbers and their rows.
 
     ``row`` is the block of every word, in order, of ``len(begins) + 1`` blocks; passage i, blocks i and i + 1, counts where ``begins[i]``.
     """
-    n, size = len(begins), len(weight)
-    # The length of a passage's vector: a word's count in both blocks together.
-    keys = np.concatenate([row[row < n] * size + places[row < n], (row[row > 0] - 1) * size + places[row > 0]])
-    keys, times = np.unique(keys, return_counts=True)
-    square = np.bincount(keys // size, (times * weight[keys % size]) ** 2, n)
+    words, at = np.unique(places, return_inverse=True)
+    n, size = len(begins), len(words)
+    blocks = np.bincount(row * size + at, minlength=(n + 1) * size).reshape(n + 1, size) * weight[words].astype(np.float32)
+    passages = (blocks[:-1] + blocks[1:]).astype(np.float32)
+    square = np.einsum("ij,ij->i", passages, passages)
     scale = np.where(begins & (square > 0), 1 / np.maximum(square, 1e-24), 0).astype(np.float32)  # both sides of the product are of length one
-    own = weight[places].astype(np.float32)[:, None]
-    starts = np.flatnonzero(np.diff(row, prepend=-1))
-    blocks = np.zeros((n + 1, factor.shape[1]), np.float32)
-    blocks[row[starts]] = np.add.reduceat(factor[places] * own, starts, axis=0)
-    met = (blocks[:-1] + blocks[1:]) * scale[:, None]
-    back = np.zeros_like(blocks)
-    back[:-1] = met
-    back[1:] += met
-    order = np.argsort(places, kind="stable")
-    words = places[order]
-    starts = np.flatnonzero(np.diff(words, prepend=-1))
-    return words[starts], np.add.reduceat(back[row[order]] * own[order], starts, axis=0)
-
-
-def gram_product(used: DataFrame, weight: np.ndarray, factor: np.ndarray, step: int = 256) -> np.ndarray:
+    return words, passages.T @ (passages @ factor[words] * scale[:, None])
+
+
+def gram_product(used: DataFrame, weight: np.ndarray, factor: np.ndarray, step: int = 64) -> np.ndarray:
     """``P' P factor`` for the passages P, each of length one: every task sums its own part, and the parts are summed by blocks of rows."""
     width, narrow = factor.shape, factor.astype(np.float32)
 
     def task(batches):
         total = np.zeros(width)
-        for batch in batches:
-            lengths, passages = _lengths(batch.column(0)), batch.column(2).to_numpy().astype(np.int64)
-            first = np.concatenate([[0], np.cumsum(passages + 1)])  # blocks are numbered on over documents; no passage begins in a last one
-            places = batch.column(0).flatten().to_numpy()
-            row = batch.column(1).flatten().to_numpy() + np.repeat(first[:-1], lengths)
-            begins = np.ones(first[-1], bool)
-            begins[first[1:] - 1] = False
-            for start in range(0, len(begins) - 1, step):
-                stop = min(start + step, len(begins) - 1)
-                a, b = np.searchsorted(row, [start, stop + 1])
-                if a < b:
-                    at, part = _part_of_product(places[a:b].astype(np.int64), row[a:b] - start, begins[start:stop], weight, narrow)
-                    total[at] += part
+        for places, row, begins in _pieces(batches, step):
+            at, part = _part_of_product(places, row, begins, weight, narrow)
+            total[at] += part
         starts = range(0, width[0], ROWS)
         own = [TaskContext.get().partitionId() % GROUPS] * len(starts)
         parts = pa.array([total[a : a + ROWS].tobytes() for a in starts], pa.binary())
@@ -225,7 +223,7 @@ def gram_product(used: DataFrame, weight: np.ndarray, factor: np.ndarray, step:
 
     # Tasks are added up in groups first, so that no task holds the parts of all.
     schema = "start int, own int, part binary"
-    summed = used.mapInArrow(task, schema).groupBy("start", "own").applyInArrow(add, schema).groupBy("start").applyInArrow(add, schema)
+    summed = _few_tasks(used).mapInArrow(task, schema).groupBy("start", "own").applyInArrow(add, schema).groupBy("start").applyInArrow(add, schema)
     out = np.zeros(width)
     for row in summed.collect():
         part = np.frombuffer(bytes(row["part"]), np.float64).reshape(-1, width[1])
@@ -233,15 +231,76 @@ def gram_product(used: DataFrame, weight: np.ndarray, factor: np.ndarray, step:
     return out
 
 
+def _part_of_matrix(places: np.ndarray, row: np.ndarray, begins: np.ndarray, weight: np.ndarray, total: np.ndarray) -> None:
+    """Adds ``P' P`` of neighbouring blocks, as in ``_part_of_product``, to the flat ``total``, on and above the diagonal."""
+    n, size = len(begins), len(weight)
+    # A word's count in both blocks of a passage together, by passage and word.
+    keys = np.concatenate([row[row < n] * size + places[row < n], (row[row > 0] - 1) * size + places[row > 0]])
+    keys, times = np.unique(keys, return_counts=True)
+    own, word = np.divmod(keys, size)
+    value = times * weight[word]
+    square = np.bincount(own, value**2, n)
+    value = value * np.where(begins & (square > 0), 1 / np.sqrt(np.maximum(square, 1e-24)), 0)[own]
+    # Each word of a passage meets itself and those behind it.
+    meets = np.cumsum(np.bincount(own, minlength=n))[own] - np.arange(len(own))
+    left = np.repeat(np.arange(len(own)), meets)
+    right = left + np.arange(len(left)) - np.repeat(np.cumsum(meets) - meets, meets)
+    np.add.at(total, word[left] * size + word[right], value[left] * value[right])
+
+
+def gram_matrix(used: DataFrame, weight: np.ndarray, step: int = 1024) -> np.ndarray:
+    """``P' P`` for the passages P, each of length one, on and above the diagonal; for few enough words. Parts hold what is not 0."""
+    size = len(weight)
+
+    def packed(start: int, own: int, total: np.ndarray) -> dict:
+        at = np.flatnonzero(total)
+        return {"start": start, "own": own, "at": at.astype(np.int32).tobytes(), "part": total[at].astype(np.float32).tobytes()}
+
+    arrow = pa.schema([("start", pa.int32()), ("own", pa.int32()), ("at", pa.binary()), ("part", pa.binary())])
+
+    def task(batches):
+        total = np.zeros(size * size)
+        for places, row, begins in _pieces(batches, step):
+            _part_of_matrix(places, row, begins, weight, total)
+        own = TaskContext.get().partitionId() % GROUPS
+        for start in range(0, size, ROWS):
+            yield pa.RecordBatch.from_pylist([packed(start, own, total[start * size : (start + ROWS) * size])], schema=arrow)
+        total = None
+        release()
+
+    def unpacked(at: bytes, part: bytes) -> tuple[np.ndarray, np.ndarray]:
+        return np.frombuffer(at, np.int32), np.frombuffer(part, np.float32)
+
+    def add(table: pa.Table) -> pa.Table:
+        total = np.zeros(ROWS * size)
+        for at, part in zip(table.column("at"), table.column("part")):
+            places, values = unpacked(at.as_py(), part.as_py())
+            total[places] += values
+        return pa.Table.from_pylist([packed(table.column("start")[0].as_py(), table.column("own")[0].as_py(), total)], schema=arrow)
+
+    schema = "start int, own int, at binary, part binary"
+    summed = _few_tasks(used).mapInArrow(task, schema).groupBy("start", "own").applyInArrow(add, schema).groupBy("start").applyInArrow(add, schema)
+    out = np.zeros(size * size)
+    for row in summed.collect():
+        places, values = unpacked(bytes(row["at"]), bytes(row["part"]))
+        out[row["start"] * size + places] = values
+    return out.reshape(size, size)
+
+
 def directions(used: DataFrame, weight: np.ndarray, items: np.ndarray, rank: int, seed: int = 3) -> np.ndarray:
     """Leading right singular vectors of all passages and items, by a randomised range, refined once."""
     width = items.shape[1]
     extra = min(width, rank + 16)
     count = used.agg(F.sum("passages")).first()[0] or 0
     scale = max(1.0, count / max(1, len(items)))  # the items together weigh as much as the passages
+    upper = gram_matrix(used, weight) if width <= WIDEST else None
 
     def product(factor: np.ndarray) -> np.ndarray:
-        return gram_product(used, weight, factor) + scale * (items.T @ (items @ factor))
+        if upper is None:
+            own = gram_product(used, weight, factor)
+        else:
+            own = upper @ factor + upper.T @ factor - np.diagonal(upper)[:, None] * factor
+        return own + scale * (items.T @ (items @ factor))
 
     basis = np.linalg.qr(product(np.random.default_rng(seed).normal(size=(width, extra))))[0]
     gram = basis.T @ product(basis)
@@ -249,29 +308,28 @@ def directions(used: DataFrame, weight: np.ndarray, items: np.ndarray, rank: int
     return basis @ vectors[:, np.argsort(-values)[: min(rank, extra)]]
 
 
-def learn(docs: DataFrame, items: list[tuple], stage: Stage, *, text: str, rank: int) -> Space:
-    vocabulary = sorted({w for _, t in items for w in words_of(t)})
-    place = {w: i for i, w in enumerate(vocabulary)}
-    used = used_words(docs, stage, place, text)
+def places_of(items: list[tuple]) -> dict[str, int]:
+    """The words in use, numbered."""
+    return {w: i for i, w in enumerate(sorted({w for _, t in items for w in words_of(t)}))}
+
+
+def learn(used: DataFrame, place: dict[str, int], items: list[tuple], *, rank: int) -> Space:
     held, count = document_frequencies(used, len(place))
-    frequency = {w: int(n) for w, n in zip(vocabulary, held) if n}
+    frequency = {w: int(n) for w, n in zip(place, held) if n}
     weight = np.log((count + 1) / (held + 1)) + 0.1
     made = [Item.of(key, t, frequency) for key, t in items]
     raw = np.array([vector(item.words, place, weight) for item in made]).reshape(len(made), len(place))
     norms = np.linalg.norm(raw, axis=1)
     unit = raw / np.maximum(norms, 1e-12)[:, None]
     found = directions(used, weight, unit, rank)
-    stage.drop("words")
     latent = unit @ found
     latent /= np.maximum(np.linalg.norm(latent, axis=1), 1e-12)[:, None]
     return Space(place, weight, found.astype(np.float32), made, latent.astype(np.float32), 0.25 * float(norms.min()))
 
 
-def search(space: Space, words: list[str], least_cosine: float) -> list[tuple[int, int, float]]:
-    """(number of the item, first word of the passage, cosine) of all passages of a text close to an item, in pieces of bounded size."""
+def search(space: Space, places: np.ndarray, block: np.ndarray, last: int, least_cosine: float) -> list[tuple[int, int, float]]:
+    """(number of the item, first word of the passage, cosine) of those of a text's ``last`` passages close to an item, in pieces of bounded size."""
     found: list[tuple[int, int, float]] = []
-    places, block = space.blocks(words)
-    last = max(1, -(-len(words) // BLOCK) - 1)  # passages: two blocks each, the last ones of a text may be short
     near = space.near(places, block, last)
     if near is None:
         return found
@@ -312,6 +370,34 @@ def confirmed(space: Space, words: list[str], candidates: list[tuple[int, int, f
     return {n: (share, cosine, -first) for n, (share, cosine, first) in best.items()}
 
 
+def hits(used: DataFrame, space: Space, schema: str, least_cosine: float, least_common: float) -> DataFrame:
+    """What is confirmed in each text, of ``schema``; a text is read if the search of its words in use finds a candidate."""
+    spark_schema = used.sparkSession.createDataFrame([], schema).schema
+
+    def task(batches):
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        arrow = to_arrow_schema(spark_schema)
+        for batch in batches:
+            out: dict[str, list] = {name: [] for name in arrow.names}
+            own = {name: batch.column(name) for name in batch.schema.names}
+            ends = np.concatenate([[0], np.cumsum(_lengths(own["places"]))])
+            places, blocks = (own[name].flatten().to_numpy() for name in ("places", "blocks"))
+            for i, last in enumerate(own["passages"].to_pylist()):
+                at = slice(ends[i], ends[i + 1])
+                if not last or not (close := search(space, places[at], blocks[at], last, least_cosine)):
+                    continue
+                best = confirmed(space, words_of(own["text"][i].as_py()), close, least_common)
+                for number, (share, cosine, first) in sorted(best.items()):
+                    for name, value in zip(arrow.names, (own["doc"][i].as_py(), space.items[number].key, cosine, share, first)):
+                        out[name].append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
+        release()
+
+    small_batches(used.sparkSession)
+    return used.mapInArrow(task, schema)
+
+
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, *, id_column: str = "doc_id", text: str = "text", item_column: str = "item_id", item_text: str = "text",
     rank: int = 224, least_cosine: float = 0.4, least_common: float = 0.6, block_items: int = 1_000,
@@ -329,20 +415,11 @@ def contaminated(
         known = [(r["key"], r["text"]) for r in items if words_of(r["text"])]
         if not known:
             continue
-        own = Stage(spark, "decontaminate")
-        space = learn(docs, known, own, text=text, rank=rank)
-
-        def rows(batch, space=space):
-            out: dict[str, list] = {k: [] for k in ("doc", "item", "cosine", "common", "first_word")}
-            for key, body in zip(batch["doc"], batch["text"]):
-                words = words_of(body)
-                hits = confirmed(space, words, search(space, words, least_cosine), least_common) if words else {}
-                for number, (share, cosine, first) in sorted(hits.items()):
-                    for name, value in (("doc", key), ("item", space.items[number].key), ("cosine", cosine), ("common", share), ("first_word", first)):
-                        out[name].append(value)
-            return out
-
-        frames.append(per_row(docs.select(F.col(id_column).alias("doc"), text_of(text).alias("text")), schema, rows))
+        own, place = Stage(spark, "decontaminate"), places_of(known)
+        used = used_words(docs, own, place, text, id_column)
+        space = learn(used, place, known, rank=rank)
+        frames.append(own.write(hits(used, space, schema, least_cosine, least_common), "hits"))
+        own.drop("words")
     if not frames:
         return spark.createDataFrame([], schema).withColumnsRenamed({"doc": id_column, "item": item_column})
     made = frames[0]

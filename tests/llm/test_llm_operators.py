@@ -310,6 +310,39 @@ def test_the_space_is_fitted_on_every_passage(spark):
         assert np.allclose(decontaminate.gram_product(used, weight, factor, step), want, rtol=1e-4, atol=1e-3)
 
 
+def test_the_products_of_all_pairs_of_words_cover_every_passage(spark, monkeypatch):
+    draw = random.Random(19)
+    used_in = [f"w{i:03d}" for i in range(300)]
+    texts = ["", "no such", *(" ".join(draw.choice([*used_in, "x"]) for _ in range(draw.randint(1, 300))) for _ in range(25))]
+    place, weight = {w: i for i, w in enumerate(used_in)}, np.array([draw.random() + 0.1 for _ in used_in])
+    rows = []
+    for words in map(str.split, texts):
+        for a in range(0, max(1, len(words) - 16), 16):
+            value = np.array([Counter(words[a : a + 32])[w] * weight[place[w]] for w in used_in])
+            rows.append(value / max(np.linalg.norm(value), 1e-12))
+    used = decontaminate.used_words(docs_of(spark, list(enumerate(texts))).repartition(3), Stage(spark, "test"), place, "text")
+    want = np.triu(np.array(rows).T @ np.array(rows))
+    for step in (3, 1024):
+        assert np.allclose(decontaminate.gram_matrix(used, weight, step), want, rtol=1e-4, atol=1e-5)
+    items = np.eye(300)[:7]
+    once = decontaminate.directions(used, weight, items, 20)
+    monkeypatch.setattr(decontaminate, "WIDEST", 0)
+    twice = decontaminate.directions(used, weight, items, 20)
+    assert np.allclose(once @ once.T, twice @ twice.T, atol=1e-2)
+
+
+def test_a_text_without_a_candidate_is_not_taken_apart_again(spark, monkeypatch):
+    benchmark = spark.createDataFrame([(1, " ".join(f"rare{i}" for i in range(20)))], "item_id long, text string")
+    place = decontaminate.places_of([(1, benchmark.first()["text"])])
+    frame = docs_of(spark, [(1, "plain words only"), (2, benchmark.first()["text"])])
+    used = decontaminate.used_words(frame, Stage(spark, "test"), place, "text", "doc_id")
+    space = decontaminate.learn(used, place, [(1, benchmark.first()["text"])], rank=4)
+    # Without its text a document can't be confirmed, so only the one without candidates passes unread.
+    schema = "doc long, item long, cosine double, common double, first_word long"
+    assert [r.doc for r in decontaminate.hits(used, space, schema, 0.4, 0.6).collect()] == [2]
+    assert decontaminate.hits(used.withColumn("text", F.lit("")), space, schema, 0.4, 0.6).count() == 0
+
+
 def test_decontamination_defined_cases(spark):
     item = " ".join(f"rare{i}" for i in range(20))
     benchmark = spark.createDataFrame([(1, item), (1, item), (2, None), (3, ""), (4, "what is it? answer42 here")], "item_id long, text string")
