@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shortlist.llm.common import LOWER, UPPER, Stage, per_row, text_of
+from shortlist.llm.common import LOWER, UPPER, Stage, few_parts, per_row, text_of
 from shortlist.llm.components import components
 
 _FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -194,12 +194,10 @@ def _across(of: _Members, at: int, collisions: int, percent: int) -> Iterator[tu
 
 
 def linked(
-    docs: DataFrame, *, id_column: str = "doc_id", text: str = "text", shingle_words: int = 5, percent: int = 80,
+    docs: DataFrame, stage: Stage, *, id_column: str = "doc_id", text: str = "text", shingle_words: int = 5, percent: int = 80,
     coordinates: int = 64, collisions: int = 36, rounds: int = 3, bits: int = 1024, block: int = 1 << 14,
 ) -> tuple[DataFrame, DataFrame]:
     """Membership (``id``, ``n_shingles``, ``class``) of every row, and ``class``, ``component``, ``component_id`` of every class."""
-    spark = docs.sparkSession
-    stage = Stage(spark, "neardup")
     rows = stage.write(sketches(docs, id_column=id_column, text=text, shingle_words=shingle_words, coordinates=coordinates, bits=bits), "rows")
     texts = docs.select(F.col(id_column).alias("id"), text_of(text).alias("text"))
     # Of equal sets all signatures and bitmaps are equal, so any stands for the class.
@@ -229,8 +227,8 @@ def linked(
         met = own.join(centres, "token").filter(F.col("component") != F.col("centre.component"))
         met = met.groupBy("class", F.col("centre.class").alias("b")).agg(F.count(F.lit(1)).alias("times"))
         pairs = met.groupBy("class").agg(F.max(F.struct("times", "b")).alias("best")).select(F.col("class").alias("a"), F.col("best.b").alias("b"))
-        pairs = stage.write(_colliding(pairs, narrow, collisions, percent), f"star{turn}")
-        made = stage.write(confirmed(pairs, classes, texts, shingle_words, percent), f"edges{turn}")
+        pairs = stage.write(few_parts(_colliding(pairs, narrow, collisions, percent)), f"star{turn}")
+        made = stage.write(few_parts(confirmed(pairs, classes, texts, shingle_words, percent)), f"edges{turn}")
         edges = made if edges is None else edges.unionByName(made)
         state = components(edges, stage, f"state{turn}_").select(F.col("node").alias("class"), "component")
 
@@ -252,7 +250,7 @@ def linked(
     meets = F.explode(F.transform(every, lambda other: F.struct(F.least(mine, other).alias("one"), F.greatest(mine, other).alias("two"))))
     own = own.select("*", mine.alias("block"), meets.alias("meets")).select("*", "meets.*").drop("meets", "blocks")
     pairs = stage.write(own.groupBy("token", "band", "one", "two").applyInArrow(_list_pairs(collisions, percent), "a long, b long"), "across")
-    made = stage.write(confirmed(pairs, classes, texts, shingle_words, percent), "edges")
+    made = stage.write(few_parts(confirmed(pairs, classes, texts, shingle_words, percent)), "edges")
     label = components(edges.unionByName(made), stage, "final_").select(F.col("node").alias("class"), "component")
     found = _with_component(classes, label)
     smallest = found.groupBy("component").agg(F.min("id").alias("component_id"))
@@ -297,7 +295,12 @@ def _list_pairs(collisions: int, percent: int):
 
 def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", **options) -> DataFrame:
     """One row per document: its id, n_shingles, component_id, kept (whether it has the component's smallest id)."""
-    rows, classes = linked(docs, id_column=id_column, **options)
+    stage, kept = Stage(docs.sparkSession, "neardup"), Stage(docs.sparkSession, "neardup")
+    rows, classes = linked(docs, stage, id_column=id_column, **options)
     found = rows.join(classes.select("digest", "component_id"), "digest", "left")
     own = F.coalesce("component_id", "id")
-    return found.select(F.col("id").alias(id_column), "n_shingles", own.alias("component_id"), F.col("id").eqNullSafe(own).alias("kept"))
+    found = found.select(F.col("id").alias(id_column), "n_shingles", own.alias("component_id"), F.col("id").eqNullSafe(own).alias("kept"))
+    # A few numbers a document are kept; signatures, bitmaps and links go now.
+    found = kept.write(found, "found")
+    stage.remove(stage.folder)
+    return found
