@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import pathlib
 import random
 import re
 import zlib
@@ -189,16 +190,13 @@ def test_near_duplicates_defined_cases(spark):
     assert neardup.near_duplicates(odd_docs(spark).limit(0)).count() == 0
 
 
-def test_near_duplicates_keep_their_result_only(spark, tmp_path):
-    shared, name = spark.conf.get("spark.checkpoint.dir"), "spark.checkpoint.dir"
-    spark.conf.set(name, str(tmp_path))
-    try:
-        found = neardup.near_duplicates(odd_docs(spark), shingle_words=4)
-        # Signatures, bitmaps, postings and links have gone before anyone reads the result.
-        assert sorted(p.parent.name for p in tmp_path.rglob("_SUCCESS")) == ["found"]
-        assert found.count() == odd_docs(spark).count()
-    finally:
-        spark.conf.set(name, shared)
+def test_near_duplicates_keep_their_result_only(spark):
+    shared = pathlib.Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(shared.glob("neardup-*/*/_SUCCESS"))
+    found = neardup.near_duplicates(odd_docs(spark), shingle_words=4)
+    # Signatures, bitmaps, postings and links have gone before anyone reads the result.
+    assert [p.parent.name for p in set(shared.glob("neardup-*/*/_SUCCESS")) - before] == ["found"]
+    assert found.count() == odd_docs(spark).count()
 
 
 def test_components_of_a_path_and_a_star(spark):
