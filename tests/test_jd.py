@@ -261,3 +261,18 @@ def test_runs_of_words_are_not_shuffled_to_the_spellings(spark, capsys):
     plan = capsys.readouterr().out.split("== Initial Plan ==")[-1]
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
     assert plan.count("Scan ExistingRDD") <= 3  # the texts are parsed once, beside two literal lists
+
+
+def test_a_part_is_cut_into_sentences_once_and_the_whole_text_once(spark):
+    found = jd.with_skills(jd.with_clean_text(spark.createDataFrame([(1, "Python")], "jd_id long, text string")))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("(?<=[.!?])") == 3  # the text, its requirements and its preferred section
+
+
+def test_spellings_of_several_words_are_found_within_and_across_lines(spark):
+    skills = {"Deep": ["very deep thing"], "Broken": ["broken\nline"], "Part": ["ast.thi"], "Absent": ["thing very"]}
+    text = "About\nA broken\nline of very deep\n\nRequirements\n- must have a very deep thing\n- last.thing\n"
+    rows = spark.createDataFrame([(1, text), (2, "A broken\nline. A very deep thing."), (3, None)], "jd_id long, text string")
+    found = jd.with_skills(jd.with_clean_text(rows), skills=skills)
+    all_skills = {r["jd_id"]: set(r["all_skills"]) for r in found.collect()}
+    assert all_skills == {1: {"Deep", "Broken", "Part"}, 2: {"Broken", "Deep"}, 3: set()}
