@@ -231,8 +231,13 @@ def gram_product(used: DataFrame, weight: np.ndarray, factor: np.ndarray, step:
     return out
 
 
-def _part_of_matrix(places: np.ndarray, row: np.ndarray, begins: np.ndarray, weight: np.ndarray, total: np.ndarray) -> None:
-    """Adds ``P' P`` of neighbouring blocks, as in ``_part_of_product``, to the flat ``total``, on and above the diagonal."""
+def _edges(size: int) -> np.ndarray:
+    """Where each row of an upper triangle begins when its rows lie one after the other, and the end of the last."""
+    return np.concatenate([[0], np.cumsum(size - np.arange(size))])
+
+
+def _part_of_matrix(places: np.ndarray, row: np.ndarray, begins: np.ndarray, weight: np.ndarray, total: np.ndarray, edges: np.ndarray) -> None:
+    """Adds ``P' P`` of neighbouring blocks, as in ``_part_of_product``, to ``total``: the rows of its upper triangle, laid out by ``edges``."""
     n, size = len(begins), len(weight)
     # A word's count in both blocks of a passage together, by passage and word.
     keys = np.concatenate([row[row < n] * size + places[row < n], (row[row > 0] - 1) * size + places[row > 0]])
@@ -245,12 +250,19 @@ def _part_of_matrix(places: np.ndarray, row: np.ndarray, begins: np.ndarray, wei
     meets = np.cumsum(np.bincount(own, minlength=n))[own] - np.arange(len(own))
     left = np.repeat(np.arange(len(own)), meets)
     right = left + np.arange(len(left)) - np.repeat(np.cumsum(meets) - meets, meets)
-    np.add.at(total, word[left] * size + word[right], value[left] * value[right])
+    np.add.at(total, (edges[word] - word)[left] + word[right], value[left] * value[right])
+
 
+def gram_matrix(used: DataFrame, weight: np.ndarray, step: int = 256) -> np.ndarray:
+    """``P' P`` for the passages P, each of length one, on and above the diagonal; for few enough words.
 
-def gram_matrix(used: DataFrame, weight: np.ndarray, step: int = 1024) -> np.ndarray:
-    """``P' P`` for the passages P, each of length one, on and above the diagonal; for few enough words. Parts hold what is not 0."""
+    Tasks hold the upper triangle alone; parts hold what is not 0 of ``ROWS`` rows.
+    """
     size = len(weight)
+    edges = _edges(size)
+
+    def ends(start: int) -> tuple[int, int]:
+        return edges[start], edges[min(start + ROWS, size)]
 
     def packed(start: int, own: int, total: np.ndarray) -> dict:
         at = np.flatnonzero(total)
@@ -259,12 +271,12 @@ def gram_matrix(used: DataFrame, weight: np.ndarray, step: int = 1024) -> np.nda
     arrow = pa.schema([("start", pa.int32()), ("own", pa.int32()), ("at", pa.binary()), ("part", pa.binary())])
 
     def task(batches):
-        total = np.zeros(size * size)
+        total = np.zeros(edges[-1])
         for places, row, begins in _pieces(batches, step):
-            _part_of_matrix(places, row, begins, weight, total)
+            _part_of_matrix(places, row, begins, weight, total, edges)
         own = TaskContext.get().partitionId() % GROUPS
         for start in range(0, size, ROWS):
-            yield pa.RecordBatch.from_pylist([packed(start, own, total[start * size : (start + ROWS) * size])], schema=arrow)
+            yield pa.RecordBatch.from_pylist([packed(start, own, total[slice(*ends(start))])], schema=arrow)
         total = None
         release()
 
@@ -272,19 +284,22 @@ def gram_matrix(used: DataFrame, weight: np.ndarray, step: int = 1024) -> np.nda
         return np.frombuffer(at, np.int32), np.frombuffer(part, np.float32)
 
     def add(table: pa.Table) -> pa.Table:
-        total = np.zeros(ROWS * size)
+        start = table.column("start")[0].as_py()
+        total = np.zeros(np.diff(ends(start))[0])
         for at, part in zip(table.column("at"), table.column("part")):
             places, values = unpacked(at.as_py(), part.as_py())
             total[places] += values
-        return pa.Table.from_pylist([packed(table.column("start")[0].as_py(), table.column("own")[0].as_py(), total)], schema=arrow)
+        return pa.Table.from_pylist([packed(start, table.column("own")[0].as_py(), total)], schema=arrow)
 
     schema = "start int, own int, at binary, part binary"
     summed = _few_tasks(used).mapInArrow(task, schema).groupBy("start", "own").applyInArrow(add, schema).groupBy("start").applyInArrow(add, schema)
-    out = np.zeros(size * size)
+    out = np.zeros((size, size))
     for row in summed.collect():
         places, values = unpacked(bytes(row["at"]), bytes(row["part"]))
-        out[row["start"] * size + places] = values
-    return out.reshape(size, size)
+        places = places + edges[row["start"]]
+        own = np.searchsorted(edges, places, "right") - 1
+        out[own, places - edges[own] + own] = values
+    return out
 
 
 def directions(used: DataFrame, weight: np.ndarray, items: np.ndarray, rank: int, seed: int = 3) -> np.ndarray:

@@ -341,6 +341,21 @@ def test_the_products_of_all_pairs_of_words_cover_every_passage(spark, monkeypat
     assert np.allclose(once @ once.T, twice @ twice.T, atol=1e-2)
 
 
+def test_products_of_word_pairs_are_held_as_a_triangle():
+    draw = np.random.default_rng(4)
+    size, blocks = 90, 400
+    edges = decontaminate._edges(size)
+    assert edges[-1] == size * (size + 1) // 2
+    places, row = draw.integers(0, size, 4000), np.sort(draw.integers(0, blocks + 1, 4000))
+    weight, begins, total = draw.random(size) + 0.1, draw.random(blocks) < 0.9, np.zeros(edges[-1])
+    decontaminate._part_of_matrix(places, row, begins, weight, total, edges)
+    counts = np.zeros((blocks + 1, size))
+    np.add.at(counts, (row, places), 1)
+    passages = (counts[:-1] + counts[1:]) * weight * begins[:, None]
+    passages /= np.maximum(np.linalg.norm(passages, axis=1), 1e-12)[:, None]
+    assert np.allclose(total, (passages.T @ passages)[np.triu_indices(size)])
+
+
 def test_a_text_without_a_candidate_is_not_taken_apart_again(spark, monkeypatch):
     benchmark = spark.createDataFrame([(1, " ".join(f"rare{i}" for i in range(20)))], "item_id long, text string")
     place = decontaminate.places_of([(1, benchmark.first()["text"])])
