@@ -1,9 +1,10 @@
 """A stored text index with block-max postings (T1b, J10): exact BM25 top-k that skips what can't reach it.
 
 Documents are dealt to blocks of at most ``block_size`` in the order in which they are stored. A posting list is cut at
-the same borders: one row per term and block with ids, term frequencies and lengths. Beside it stands a small header
-with the block's last id and its impact, the largest share any of its documents can add to a score for the term
-before the term's weight. Both lie in one folder per bucket of terms.
+the same borders: one row per term and block with places in the block, ids, term frequencies and lengths. Beside it, in
+columns that are read by themselves as the table ``blocks``, stands a small header with the block's last id and its impact, the
+largest share any of its documents can add to a score for the term before the term's weight. Rows lie in one folder per
+bucket of terms.
 
 A query reads only the buckets of its terms, and of these first the headers. Impacts times weights add up to a bound for
 every block of documents. The k blocks with the highest bounds are scored; they hold k documents at least, and the
@@ -13,15 +14,55 @@ is left unread. The rest is scored in full, so the result is that of a scan over
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shortlist.functions.arrays import let
 from shortlist.functions.text import tokens
 from shortlist.operators.retrieval import B, K1, SCORE_DIGITS, _bucket, _idf, _saturation, query_terms, top_k
 
-TABLES = ("documents", "postings", "blocks", "terms", "corpus")
+TABLES = ("documents", "postings", "terms", "corpus")
+#: Columns of the stored postings that are read by themselves, as the table ``blocks``.
+HEADER = ("size", "last_id", "impact")
 #: Scores are sums in another order than bounds; a bound is raised by more than the difference can be.
 SLACK = 1e-6
+#: The most groups that buckets are dealt to, the character of the first one, and how many words of texts a task takes.
+GROUPS, FIRST, TASK_WORDS = 32, ord("0"), 2_000_000
+
+
+def _word_lists(words: str, groups: int) -> Column:
+    """The different words of a text as one text for each group of buckets that has any: a character for the group, then words with spaces between.
+
+    A word that occurs more than once has its count behind a colon; words hold neither spaces nor marks. Buckets of a group are equal
+    modulo ``groups``. The words are sorted once, behind the characters of their groups; all else is linear in them.
+    """
+    mark = lambda w: F.chr(F.pmod(F.xxhash64(w), F.lit(groups)) + FIRST)
+
+    def listed(marked: Column) -> Column:
+        new = lambda i: (i == 0) | (F.get(marked, i) != F.get(marked, i - 1))
+
+        def joined(starts: Column) -> Column:
+            def piece(i: Column, n: Column) -> Column:
+                word, before = F.get(marked, i), F.get(marked, i - 1)
+                apart = (i == 0) | (F.left(word, F.lit(1)) != F.left(before, F.lit(1)))
+                tf = F.coalesce(F.get(starts, n + 1), F.size(marked)) - i
+                return F.concat(
+                    F.when(apart, F.concat(F.lit("\n"), word)).otherwise(F.concat(F.lit(" "), F.substr(word, F.lit(2)))),
+                    F.when(tf > 1, F.concat(F.lit(":"), tf.cast("string"))).otherwise(""),
+                )
+
+            return F.array_join(F.transform(starts, piece), "")
+
+        return let(F.filter(F.sequence(F.lit(0), F.size(marked) - 1), new), joined)
+
+    text = let(F.sort_array(F.transform(words, lambda w: F.concat(mark(w), w))), listed)
+    return F.split(F.substr(text, F.lit(2)), "\n")
+
+
+def _store(df: DataFrame, path: str, *folders: str) -> None:
+    df.write.mode("overwrite").option("compression", "zstd").partitionBy(*folders).parquet(path)
 
 
 def write(docs: DataFrame, path: str, id_col: str = "candidate_id", text_col: str = "text", buckets: int = 64,
@@ -29,38 +70,47 @@ def write(docs: DataFrame, path: str, id_col: str = "candidate_id", text_col: st
     """Write the index of ``docs``. Texts are split into words once, into a forward index that all other tables are made of.
 
     Documents without words count for the corpus only; a null text has none. Rows of one id are documents of their own.
+    Words move once, as one text per document and group of buckets, and postings are grouped where they arrive.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("number"), tokens(F.col(text_col)).alias("words"))
     # The high bits of a number name the partition, the low ones count its rows.
     part, row = F.shiftright("number", 33), F.col("number").bitwiseAND((1 << 33) - 1)
     block = F.shiftleft(part, 33) + F.floor(row / block_size)
-    texts.select("number", "doc_id", block.alias("block"), F.size("words").alias("length"), "words").write.mode("overwrite").parquet(f"{path}/documents")
+    _store(texts.select("number", "doc_id", block.alias("block"), F.size("words").alias("length"), "words"), f"{path}/documents")
     forward = spark.read.parquet(f"{path}/documents")
 
     corpus = forward.agg(F.count("*").alias("n"), F.avg("length").alias("mean_length"))
     settings = {"buckets": buckets, "k1": float(k1), "b": float(b)}
-    corpus.select("*", *[F.lit(v).alias(n) for n, v in settings.items()]).write.mode("overwrite").parquet(f"{path}/corpus")
-    mean = spark.read.parquet(f"{path}/corpus").select("mean_length").scalar()
-
-    entries = forward.select("number", "doc_id", "block", "length", F.explode("words").alias("term"))
-    entries = entries.groupBy("number", "doc_id", "block", "length", "term").agg(F.count("*").cast("int").alias("tf"))
-    postings = entries.groupBy("term", "block").agg(F.sort_array(F.collect_list(F.struct("number", "doc_id", "tf", "length"))).alias("entries"))
-    postings = postings.withColumn("bucket", _bucket(F.col("term"), buckets))
-    # A common term has as many rows as there are blocks, so it is written by several tasks.
-    spread = postings.repartition("bucket", F.pmod(F.xxhash64("block"), F.lit(16))).sortWithinPartitions("bucket", "term", "block")
-    spread.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-
-    stored = spark.read.parquet(f"{path}/postings").withColumn("mean", mean)
-    impact = F.array_max(F.transform("entries", lambda e: _saturation(e["tf"].cast("double"), e["length"], F.col("mean"), k1, b)))
-    heads = stored.select("bucket", "term", "block", F.size("entries").alias("size"), F.element_at("entries", -1)["doc_id"].alias("last_id"), impact.alias("impact"))
-    heads.repartition("bucket").sortWithinPartitions("bucket", "term", "block").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/blocks")
-    frequencies = spark.read.parquet(f"{path}/blocks").groupBy("bucket", "term").agg(F.sum("size").alias("df"))
-    frequencies.write.mode("overwrite").parquet(f"{path}/terms")
+    _store(corpus.select("*", *[F.lit(v).alias(n) for n, v in settings.items()]), f"{path}/corpus")
+
+    # A task takes the words of one group of buckets in a share of the blocks, so a common term is written by several tasks.
+    n, mean = spark.read.parquet(f"{path}/corpus").select("n", F.coalesce("mean_length", F.lit(0.0))).first()
+    groups = max(g for g in range(1, GROUPS + 1) if buckets % g == 0)
+    shares = max(1, math.ceil(n * mean / groups / TASK_WORDS))
+    place = F.pmod(row, F.lit(block_size)).cast("int").alias("place")
+    lists = forward.where("length > 0").select("block", place, "doc_id", "length", F.explode(_word_lists("words", groups)).alias("list"))
+    task = (F.ascii("list") - FIRST) * shares + F.pmod(F.xxhash64("block"), F.lit(shares))
+    lists = lists.withColumn("task", task.cast("int")).repartitionById(groups * shares, "task")
+    found = lists.select("task", "block", "place", "doc_id", "length", F.explode(F.split(F.substr("list", F.lit(2)), " ")).alias("found"))
+    tf = F.when(F.contains("found", F.lit(":")), F.substring_index("found", ":", -1).cast("int")).otherwise(1)
+    entries = found.select("task", "block", "place", "doc_id", "length", F.substring_index("found", ":", 1).alias("term"), tf.alias("tf"))
+    postings = entries.groupBy("term", "block", "task").agg(
+        F.sort_array(F.collect_list(F.struct("place", "doc_id", "tf", "length"))).alias("entries"),
+        F.max(_saturation(F.col("tf").cast("double"), F.col("length"), F.lit(mean), k1, b)).alias("impact"),
+    )
+    heads = [F.size("entries").alias("size"), F.element_at("entries", -1)["doc_id"].alias("last_id"), "impact"]
+    postings = postings.select(_bucket(F.col("term"), buckets).alias("bucket"), "term", "block", *heads, "entries")
+    _store(postings.sortWithinPartitions("bucket", "term", "block"), f"{path}/postings", "bucket")
+
+    frequencies = spark.read.parquet(f"{path}/postings").groupBy("bucket", "term").agg(F.sum("size").alias("df"))
+    _store(frequencies, f"{path}/terms")
 
 
 def read(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    return {name: spark.read.parquet(f"{path}/{name}") for name in TABLES}
+    found = {name: spark.read.parquet(f"{path}/{name}") for name in TABLES}
+    postings = found["postings"]
+    return found | {"postings": postings.drop(*HEADER), "blocks": postings.drop("entries")}
 
 
 class Search:
@@ -88,9 +138,9 @@ class Search:
 
     def _scores(self, blocks: DataFrame) -> DataFrame:
         rows = self.index["postings"].where(self.chosen).join(blocks.select("block"), "block", "left_semi").join(self.weights, "term")
-        rows = rows.select("weight", F.inline("entries"))
+        rows = rows.select("block", "weight", F.inline("entries"))
         part = F.col("weight") * _saturation(F.col("tf").cast("double"), F.col("length"), F.lit(self.settings["mean_length"]), self.settings["k1"], self.settings["b"])
-        return rows.groupBy("number", F.col("doc_id").alias(self.id_col)).agg(F.round(F.sum(part), SCORE_DIGITS).alias("bm25_score")).drop("number")
+        return rows.groupBy("block", "place", F.col("doc_id").alias(self.id_col)).agg(F.round(F.sum(part), SCORE_DIGITS).alias("bm25_score")).drop("block", "place")
 
     def needed(self) -> DataFrame:
         """The blocks that may hold one of the k best documents."""
