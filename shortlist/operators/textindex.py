@@ -41,12 +41,12 @@ def _word_lists(words: str, groups: int) -> Column:
     mark = lambda w: F.chr(F.pmod(F.xxhash64(w), F.lit(groups)) + FIRST)
 
     def listed(marked: Column) -> Column:
-        new = lambda i: (i == 0) | (F.get(marked, i) != F.get(marked, i - 1))
+        new = lambda i: ~F.get(marked, i).eqNullSafe(F.get(marked, i - 1))
 
         def joined(starts: Column) -> Column:
             def piece(i: Column, n: Column) -> Column:
                 word, before = F.get(marked, i), F.get(marked, i - 1)
-                apart = (i == 0) | (F.left(word, F.lit(1)) != F.left(before, F.lit(1)))
+                apart = ~F.left(word, F.lit(1)).eqNullSafe(F.left(before, F.lit(1)))
                 tf = F.coalesce(F.get(starts, n + 1), F.size(marked)) - i
                 return F.concat(
                     F.when(apart, F.concat(F.lit("\n"), word)).otherwise(F.concat(F.lit(" "), F.substr(word, F.lit(2)))),
@@ -101,7 +101,8 @@ def write(docs: DataFrame, path: str, id_col: str = "candidate_id", text_col: st
     )
     heads = [F.size("entries").alias("size"), F.element_at("entries", -1)["doc_id"].alias("last_id"), "impact"]
     postings = postings.select(_bucket(F.col("term"), buckets).alias("bucket"), "term", "block", *heads, "entries")
-    _store(postings.sortWithinPartitions("bucket", "term", "block"), f"{path}/postings", "bucket")
+    # Lists come from the sorting aggregation ordered by term and block; a stable sort by one small number keeps them so.
+    _store(postings.sortWithinPartitions("bucket"), f"{path}/postings", "bucket")
 
     frequencies = spark.read.parquet(f"{path}/postings").groupBy("bucket", "term").agg(F.sum("size").alias("df"))
     _store(frequencies, f"{path}/terms")
