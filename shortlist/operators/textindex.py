@@ -28,6 +28,8 @@ TABLES = ("documents", "postings", "terms", "corpus")
 HEADER = ("size", "last_id", "impact")
 #: Scores are sums in another order than bounds; a bound is raised by more than the difference can be.
 SLACK = 1e-6
+#: How tables are compressed: with the least effort, as time is shorter than disk.
+STORED = {"compression": "zstd", "parquet.compression.codec.zstd.level": "1"}
 #: The most groups that buckets are dealt to, the character of the first one, and how many words of texts a task takes.
 GROUPS, FIRST, TASK_WORDS = 32, ord("0"), 2_000_000
 
@@ -62,7 +64,7 @@ def _word_lists(words: str, groups: int) -> Column:
 
 
 def _store(df: DataFrame, path: str, *folders: str) -> None:
-    df.write.mode("overwrite").option("compression", "zstd").partitionBy(*folders).parquet(path)
+    df.write.mode("overwrite").options(**STORED).partitionBy(*folders).parquet(path)
 
 
 def write(docs: DataFrame, path: str, id_col: str = "candidate_id", text_col: str = "text", buckets: int = 64,
